@@ -9,7 +9,11 @@ from panelstat.functions import _c
 
 # Line breaks recognised by Python's str.splitlines (CR LF counts once).
 _LINE_BREAKS = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029]"
-_WS = "[\\s\u0085\u00a0\u2028\u2029]"
+# Characters Python's str.strip() treats as whitespace.
+WS_CHARS = (" \t\n\u000b\u000c\r\u001c\u001d\u001e\u001f\u0085\u00a0\u1680"
+            "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+            "\u2028\u2029\u202f\u205f\u3000")
+_WS = "[\\s\u001c-\u001f\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def zfill(col, width: int) -> Column:
@@ -20,7 +24,7 @@ def zfill(col, width: int) -> Column:
 
 def strip_ws(col) -> Column:
     """Strip all leading/trailing whitespace, not just spaces."""
-    return F.regexp_replace(_c(col), f"^{_WS}+|{_WS}+$", "")
+    return F.btrim(_c(col), F.lit(WS_CHARS))
 
 
 def collapse_ws(col) -> Column:
@@ -29,8 +33,8 @@ def collapse_ws(col) -> Column:
 
 
 def remove_ws(col) -> Column:
-    """Remove all whitespace (X11)."""
-    return F.regexp_replace(_c(col), f"{_WS}+", "")
+    """Remove all whitespace (X11); a character translation, no regex."""
+    return F.translate(_c(col), WS_CHARS, "")
 
 
 def canonical_text(col) -> Column:
