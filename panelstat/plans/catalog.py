@@ -1,6 +1,6 @@
 """All registered queries. Importing the catalog modules fills the registry."""
 
-from panelstat.plans import catalog_lookup, catalog_records, catalog_survey  # noqa: F401
+from panelstat.plans import catalog_eval, catalog_lookup, catalog_records, catalog_survey  # noqa: F401
 from panelstat.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
