@@ -14,36 +14,38 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def _json_key(c) -> "F.Column":
+    """A string as a quoted JSON key."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def _json_object(entries, key: str, val: str) -> "F.Column":
+    """``{key: raw-json-value, ...}`` from an array of structs, keys sorted."""
+    return F.concat(F.lit("{"), F.array_join(F.transform(F.sort_array(entries), lambda e: F.concat(
+        _json_key(e[key]), F.lit(":"), e[val])), ","), F.lit("}"))
+
+
 def profile_json(long: DataFrame, outer: str = "state", inner: str = "sector",
                  metric: str = "metric", category: str = "category", value: str = "value") -> DataFrame:
     """Long metric rows -> one JSON document per ``outer`` key:
     ``{inner: {metric: value | {category: value}}}`` (S13).
 
-    Scalar metrics carry a null category. Built with grouped aggregation, one
-    row per outer key, so the nesting is done in parallel per key."""
+    Scalar metrics carry a null category. Each level is a grouped aggregate
+    over a bounded number of entries (sectors x metrics x top-n categories),
+    so the nesting runs in parallel per key."""
+    v = F.col(value).cast("double")
     scalars = (long.where(F.col(category).isNull())
-               .groupBy(outer, inner, metric).agg(F.first(value).alias("_v"))
-               .select(outer, inner, metric, F.to_json(F.col("_v")).alias("_j")))
+               .select(outer, inner, metric, F.coalesce(v.cast("string"), F.lit("null")).alias("_j")))
     dists = (long.where(F.col(category).isNotNull())
              .groupBy(outer, inner, metric)
-             .agg(F.map_from_entries(F.collect_list(F.struct(category, value))).alias("_m"))
-             .select(outer, inner, metric, F.to_json("_m").alias("_j")))
+             .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(category), v)))).alias("_j")))
     metrics = scalars.unionByName(dists)
     per_inner = (metrics.groupBy(outer, inner)
-                 .agg(F.map_from_entries(F.collect_list(F.struct(metric, "_j"))).alias("_mm")))
-    per_inner = per_inner.select(outer, inner, F.concat(
-        F.lit("{"),
-        F.array_join(F.transform(F.map_entries("_mm"),
-                                 lambda e: F.concat(F.to_json(F.array(e["key"])).substr(F.lit(2), F.length(F.to_json(F.array(e["key"]))) - 2),
-                                                    F.lit(":"), e["value"])), ","),
-        F.lit("}")).alias("_j"))
+                 .agg(_json_object(F.collect_list(F.struct(F.col(metric).alias("k"), F.col("_j").alias("v"))),
+                                   "k", "v").alias("_j")))
     return (per_inner.groupBy(outer)
-            .agg(F.map_from_entries(F.collect_list(F.struct(inner, "_j"))).alias("_im"))
-            .select(outer, F.concat(
-                F.lit("{"),
-                F.array_join(F.transform(F.map_entries("_im"),
-                                         lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","),
-                F.lit("}")).alias("profile")))
+            .agg(_json_object(F.collect_list(F.struct(F.col(inner).alias("k"), F.col("_j").alias("v"))),
+                              "k", "v").alias("profile")))
 
 
 def write_profile(long: DataFrame, path: str, **kw) -> None:
