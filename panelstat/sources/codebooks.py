@@ -72,16 +72,23 @@ UNKNOWN_DISTRICT = "UNKNOWN_DISTRICT"
 # ---------------------------------------------------------------------------
 
 
+def literal_table(spark: SparkSession, rows, names: list[str]) -> DataFrame:
+    """A small constant table built JVM-side (``inline`` of a literal array),
+    so no Python worker is involved and its size is fixed by construction."""
+    structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def household_type_codebook(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(HOUSEHOLD_TYPE, "sector string, code string, label string")
+    return literal_table(spark, HOUSEHOLD_TYPE, ["sector", "code", "label"])
 
 
 def status_codebook(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(STATUS, "code string, label string, category string")
+    return literal_table(spark, STATUS, ["code", "label", "category"])
 
 
 def pairs_codebook(spark: SparkSession, pairs) -> DataFrame:
-    return spark.createDataFrame(list(pairs), "code string, label string")
+    return literal_table(spark, list(pairs), ["code", "label"])
 
 
 def map_literal(pairs) -> "F.Column":
