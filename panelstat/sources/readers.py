@@ -86,7 +86,7 @@ def read_codebook_csv(spark: SparkSession, path: str, numeric_code: bool = True)
 
 def read_codebook_json(spark: SparkSession, path: str) -> DataFrame:
     """``{"code": "label", ...}`` object -> (code, label) rows."""
-    m = spark.read.option("multiLine", True).text(path, wholetext=True)
+    m = spark.read.text(path, wholetext=True)
     parsed = m.select(F.from_json("value", "map<string,string>").alias("m"))
     return parsed.select(F.explode("m").alias("code", "label"))
 
@@ -105,7 +105,7 @@ def read_any(spark: SparkSession, path: str, schema=None) -> DataFrame:
 def read_documents(spark: SparkSession, directory: str, glob: str = "*.txt") -> DataFrame:
     """``file, text`` for every matching file, whole text, invalid UTF-8 bytes
     dropped (S9, S10). Name order is applied only at output."""
-    df = (spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(directory)
+    df = (spark.read.option("pathGlobFilter", glob).text(directory, wholetext=True)
           .select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text")))
     return df.withColumn("text", F.regexp_replace("text", "�", ""))
 
