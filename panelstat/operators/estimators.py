@@ -208,9 +208,10 @@ def _cumulative(df: DataFrame, keys: list[str], value: str, weight) -> DataFrame
 
     Distinct values are range-partitioned on (keys, value), so a hot group is
     spread across partitions; each partition's running sum is offset by the
-    weight of the earlier partitions of the same group. The partitioned frame
-    is checkpointed (reliably) so the partition ids used for the offsets are
-    the ones the rows keep if a task is retried.
+    weight of the earlier partitions of the same group. The partition id is
+    written out with the rows (a Parquet table in the shared checkpoint
+    folder), so the ids used for the offsets are the ones the rows keep if a
+    task is retried.
     """
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -218,9 +219,8 @@ def _cumulative(df: DataFrame, keys: list[str], value: str, weight) -> DataFrame
            .groupBy(*keys, _c(value).alias("_v")).agg(F.sum(_w(weight)).alias("_cw")))
     ranged = (pre.repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col("_v"))
               .withColumn("_pid", F.spark_partition_id()))
-    from panelstat.session import checkpoint_dir
-    checkpoint_dir(spark)
-    ranged = ranged.checkpoint(eager=True)
+    from panelstat.session import materialize
+    ranged = materialize(ranged, "cumulative")
     part = ranged.groupBy(*keys, "_pid").agg(F.sum("_cw").alias("_ps"))
     gw = Window.partitionBy(*keys) if keys else Window.partitionBy()
     offsets = part.select(*keys, "_pid",

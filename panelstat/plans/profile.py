@@ -1,11 +1,12 @@
 """State profile (A19, J9, J10, S13): every household and person metric per
 (state, sector) as long rows ``state, sector, metric, category, value``.
 
-Physical shape, per side: one aggregate for all scalar metrics, one
-distribution pass for all categorical metrics (the columns are unpivoted to
-``(keys, metric, value, weight)`` so they share a single shuffle), and one
-cumulative pass for all medians. The two sides are merged by union - a full
-outer merge on (state, sector) needs no join in long form.
+Physical shape, per side: one scan of the source, every metric input
+unpivoted to ``(keys, metric, category, num, weight)`` and partially
+aggregated in a single shuffle, written once to the checkpoint folder; all scalar means, totals, age
+bands, distributions (one top-n pass for all categorical metrics) and medians
+(one cumulative pass) derive from that narrow table. The two sides are merged
+by union - a full outer merge on (state, sector) needs no join in long form.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelstat.operators import estimators as est
 from panelstat.operators.lookups import lookup
+from panelstat.session import materialize
 from panelstat.sources.codebooks import AGE_BANDS
 
 KEYS = ["state", "sector"]
@@ -25,42 +27,67 @@ PER_DISTS = {"gender_ratio": "gender", "marital_status": "marital_status", "educ
              "occupation": "_occ", "industry": "_ind"}
 
 
-def _unpivot(df: DataFrame, keys, cols: dict[str, str], weight: str = "weight") -> DataFrame:
-    pairs = ", ".join(f"'{m}', CAST(`{c}` AS STRING)" for m, c in cols.items())
-    return df.select(*keys, weight, F.expr(f"stack({len(cols)}, {pairs}) AS (metric, value)"))
-
-
-def _long_scalars(wide: DataFrame, keys, metrics: list[str]) -> DataFrame:
-    pairs = ", ".join(f"'{m}', CAST(`{m}` AS DOUBLE)" for m in metrics)
-    return wide.select(*keys, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)"),
-                       ).withColumn("category", F.lit(None).cast("string"))
-
-
-def _medians(df: DataFrame, keys, cols: dict[str, str], weight: str = "weight") -> DataFrame:
-    pairs = ", ".join(f"'{m}', CAST(`{c}` AS DOUBLE)" for m, c in cols.items())
-    long = df.select(*keys, weight, F.expr(f"stack({len(cols)}, {pairs}) AS (metric, v)"))
-    med = est.weighted_median(long, [*keys, "metric"], "v", weight, name="value")
-    return med.withColumn("category", F.lit(None).cast("string"))
+def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeric: dict[str, str],
+                        weight: str = "weight") -> DataFrame:
+    """One pass over the rows: every metric input becomes an entry
+    ``(metric, category, num)`` and the weights are summed per
+    ``(keys, metric, category, num)``. Every metric family below derives from
+    this one partially-aggregated table, so the source is scanned (and joined)
+    once and all consumers share the same exchange."""
+    entries = ([F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("category"),
+                         F.lit(None).cast("double").alias("num")) for m, c in categorical.items()]
+               + [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("category"),
+                           F.col(c).cast("double").alias("num")) for m, c in numeric.items()])
+    ex = df.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.array(*entries)).alias("_e"))
+    pre = (ex.groupBy(*keys, F.col("_e.metric").alias("metric"), F.col("_e.category").alias("category"),
+                      F.col("_e.num").alias("num"))
+           .agg(F.sum("_w").alias("w")))
+    # Consumers filter by metric and Catalyst would push those filters below
+    # the aggregate, giving each consumer its own scan. Writing this narrow,
+    # pre-aggregated table to the shared checkpoint folder keeps it to one
+    # scan and survives executor loss.
+    return materialize(pre, "profile_pre")
+
+
+def _means(pre: DataFrame, keys, metrics: dict[str, str]) -> DataFrame:
+    """Weighted means from the pre-aggregate: out-name -> input metric."""
+    src = pre.where(F.col("metric").isin(*metrics.values()))
+    m = src.groupBy(*keys, "metric").agg(est.weighted_mean_expr("num", "w").alias("value"))
+    rename = F.lit(None).cast("string")
+    for out, inp in metrics.items():
+        rename = F.when(F.col("metric") == inp, F.lit(out)).otherwise(rename)
+    return m.select(*keys, rename.alias("metric"), F.lit(None).cast("string").alias("category"), "value")
+
+
+def _medians(pre: DataFrame, keys, metrics: dict[str, str]) -> DataFrame:
+    src = pre.where(F.col("metric").isin(*metrics.values()))
+    med = est.weighted_median(src, [*keys, "metric"], "num", "w", name="value")
+    rename = F.lit(None).cast("string")
+    for out, inp in metrics.items():
+        rename = F.when(F.col("metric") == inp, F.lit(out)).otherwise(rename)
+    return med.select(*keys, rename.alias("metric"), F.lit(None).cast("string").alias("category"), "value")
+
+
+def _total(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
+    """Sum of all weights, read from one metric's entries (every row emits one)."""
+    return (pre.where(F.col("metric") == metric).groupBy(*keys).agg(F.sum("w").alias("value"))
+            .select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("string").alias("category"), "value"))
 
 
 def household_metrics(hh: DataFrame) -> DataFrame:
     hh = est._drop_null_keys(hh, KEYS)
-    scal = hh.groupBy(*KEYS).agg(
-        F.sum("weight").alias("total_households"),
-        est.weighted_mean_expr("household_size", "weight").alias("avg_household_size"),
-        est.weighted_mean_expr("expenditure", "weight").alias("avg_monthly_expenditure"))
-    scal = _long_scalars(scal, KEYS, ["total_households", "avg_household_size", "avg_monthly_expenditure"])
-    med = _medians(hh, KEYS, {"median_monthly_expenditure": "expenditure"})
-    dist = est.weighted_distribution(_unpivot(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()}),
-                                     [*KEYS, "metric"], "value", "weight", top_n=100)
-    digits = F.lit(2)
-    for m, (_, d) in HH_DISTS.items():
-        digits = F.when(F.col("metric") == m, F.lit(d)).otherwise(digits)
+    pre = metric_preaggregate(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()},
+                              {"household_size": "household_size", "expenditure": "expenditure"})
+    total = _total(pre, KEYS, "household_size", "total_households")
+    means = _means(pre, KEYS, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"})
+    med = _medians(pre, KEYS, {"median_monthly_expenditure": "expenditure"})
+    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*KEYS, "metric"], "category",
+                                     "w", top_n=100)
     dist = dist.select(*KEYS, "metric", "category",
                        F.when(F.col("metric") == "household_type", F.round("share", 3))
                        .otherwise(F.round("share", 2)).alias("value"))
     cols = [*KEYS, "metric", "category", "value"]
-    return scal.select(cols).unionByName(med.select(cols)).unionByName(dist.select(cols))
+    return total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
 
 
 def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame) -> DataFrame:
@@ -71,22 +98,22 @@ def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame) -
     per = lookup(per.withColumn("_opfx", F.substring("occupation_code", 1, 3)), occupation,
                  {"code": F.col("_opfx")}, out="_occ")
     per = per.withColumns({"_ind": F.coalesce("_ind", "_ipfx"), "_occ": F.coalesce("_occ", "_opfx")})
-    scal = per.groupBy(*KEYS).agg(
-        est.weighted_mean_expr("years_formal_education", "weight").alias("avg_years_formal_education"),
-        est.weighted_mean_expr("regular_earning", "weight").alias("avg_regular_wage_earning"),
-        est.weighted_mean_expr("self_employed_earning", "weight").alias("avg_self_employed_earning"),
-        *est.band_exprs("age", AGE_BANDS, "weight", prefix="age_"))
-    scal_long = _long_scalars(scal, KEYS, ["avg_years_formal_education", "avg_regular_wage_earning",
-                                           "avg_self_employed_earning"])
+    pre = metric_preaggregate(per, KEYS, PER_DISTS,
+                              {"years_formal_education": "years_formal_education", "regular_earning": "regular_earning",
+                               "self_employed_earning": "self_employed_earning", "age": "age"})
+    means = _means(pre, KEYS, {"avg_years_formal_education": "years_formal_education",
+                               "avg_regular_wage_earning": "regular_earning",
+                               "avg_self_employed_earning": "self_employed_earning"})
+    ages = pre.where(F.col("metric") == "age").groupBy(*KEYS).agg(*est.band_exprs("num", AGE_BANDS, "w", prefix="age_"))
     band_pairs = ", ".join(f"'{b[0]}', `age_{b[0]}`" for b in AGE_BANDS)
-    bands = scal.select(*KEYS, F.lit("age_distribution").alias("metric"),
+    bands = ages.select(*KEYS, F.lit("age_distribution").alias("metric"),
                         F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)"))
-    med = _medians(per, KEYS, {"median_regular_wage_earning": "regular_earning",
+    med = _medians(pre, KEYS, {"median_regular_wage_earning": "regular_earning",
                                "median_self_employed_earning": "self_employed_earning"})
-    dist = est.weighted_distribution(_unpivot(per, KEYS, PER_DISTS), [*KEYS, "metric"], "value", "weight",
-                                     top_n=5, digits=2).withColumnRenamed("share", "value")
+    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*PER_DISTS)), [*KEYS, "metric"], "category",
+                                     "w", top_n=5, digits=2).withColumnRenamed("share", "value")
     cols = [*KEYS, "metric", "category", "value"]
-    return (scal_long.select(cols).unionByName(bands.select(cols)).unionByName(med.select(cols))
+    return (means.select(cols).unionByName(bands.select(cols)).unionByName(med.select(cols))
             .unionByName(dist.select(cols)))
 
 
