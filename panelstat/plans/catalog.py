@@ -1,7 +1,7 @@
 """All registered queries. Importing the catalog modules fills the registry."""
 
-from panelstat.plans import (catalog_eval, catalog_lookup, catalog_profile, catalog_records,  # noqa: F401
-                             catalog_stream, catalog_survey)
+from panelstat.plans import (catalog_eval, catalog_indicators, catalog_lookup, catalog_profile,  # noqa: F401
+                             catalog_records, catalog_stream, catalog_survey)
 from panelstat.plans.registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]
