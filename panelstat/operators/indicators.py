@@ -46,6 +46,49 @@ def subgroup_totals(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column],
                         *[c for c in cubed.columns if c not in keys])
 
 
+def cube_of_sums(df: DataFrame, keys: Sequence[str], sums: dict[str, Column], finish: dict[str, Column],
+                 all_label: str = ALL) -> DataFrame:
+    """Subgroup totals for ratio-of-sums indicators (A20, SURVEY §4.6).
+
+    Sums are aggregated once at the finest key (partial aggregation, one
+    shuffle), the small result is cubed, and ``finish`` expressions (ratios
+    of the summed columns) are applied last - so rows are never multiplied by
+    the 2^k grouping sets before they are combined."""
+    keys = list(keys)
+    fine = _drop_null_keys(df, keys).groupBy(*keys).agg(*[e.alias(n) for n, e in sums.items()])
+    cubed = fine.cube(*keys).agg(F.grouping_id(*keys).alias("gid"), *[F.sum(n).alias(n) for n in sums])
+    return cubed.select(*[F.coalesce(F.col(k).cast("string"), F.lit(all_label)).alias(k) for k in keys], "gid",
+                        *[e.alias(n) for n, e in finish.items()])
+
+
+def labour_rate_sums(category: str = "status_category", weight="weight") -> tuple[dict, dict]:
+    """(sums, finish) for labour rates through ``cube_of_sums``."""
+    w = _w(weight)
+    cat = F.col(category)
+    sums = {"_emp": F.sum(F.when(cat == "employed", w).otherwise(0.0)),
+            "_unemp": F.sum(F.when(cat == "unemployed", w).otherwise(0.0)),
+            "_tot": F.sum(w)}
+
+    def safe(n, d):
+        return F.coalesce(F.try_divide(n, F.when(d > 0, d)), F.lit(0.0))
+    lf = F.col("_emp") + F.col("_unemp")
+    finish = {"wpr": safe(F.col("_emp"), F.col("_tot")), "lfpr": safe(lf, F.col("_tot")),
+              "ur": safe(F.col("_unemp"), lf)}
+    return sums, finish
+
+
+def mean_sums(values: dict[str, str], weight="weight") -> tuple[dict, dict]:
+    """(sums, finish) for weighted means through ``cube_of_sums``."""
+    w = _w(weight)
+    sums, finish = {}, {}
+    for out, v in values.items():
+        c = F.col(v).cast("double")
+        sums[f"_{out}_vw"] = F.sum(c * w)
+        sums[f"_{out}_w"] = F.sum(F.when(c.isNotNull(), w))
+        finish[out] = F.try_divide(F.col(f"_{out}_vw"), F.col(f"_{out}_w"))
+    return sums, finish
+
+
 def arg_extreme(df: DataFrame, value: str, key: str = "state", by: Sequence[str] = (),
                 largest: bool = True, name: str | None = None) -> DataFrame:
     """Key with the largest (or smallest) value per ``by`` group; null values

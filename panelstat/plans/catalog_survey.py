@@ -254,7 +254,8 @@ def q_labour_rates(spark, sf_dir):
     ["wpr", "lfpr", "ur"])))
 def q_rates_cube(spark, sf_dir):
     p = persons_with_status(spark, sf_dir)
-    return r6(ind.subgroup_totals(p, ["state", "sector", "gender"], ind.labour_rate_exprs()))
+    sums, finish = ind.labour_rate_sums()
+    return r6(ind.cube_of_sums(p, ["state", "sector", "gender"], sums, finish))
 
 
 # --------------------------------------------------------------------------- T2, T3, I*
@@ -294,10 +295,9 @@ SELECT coalesce(state, 'all') AS state, coalesce(sector, 'all') AS sector, coale
 FROM person_v WHERE state IS NOT NULL AND sector IS NOT NULL AND gender IS NOT NULL
 GROUP BY CUBE (state, sector, gender)""", ["regular_wage", "self_employed_earning", "casual_wage"])))
 def q_wage_by_group(spark, sf_dir):
-    aggs = [est.weighted_mean_expr("regular_earning", "weight").alias("regular_wage"),
-            est.weighted_mean_expr("self_employed_earning", "weight").alias("self_employed_earning"),
-            est.weighted_mean_expr("casual_wage", "weight").alias("casual_wage")]
-    return r6(ind.subgroup_totals(persons(spark, sf_dir), ["state", "sector", "gender"], aggs))
+    sums, finish = ind.mean_sums({"regular_wage": "regular_earning", "self_employed_earning": "self_employed_earning",
+                                  "casual_wage": "casual_wage"})
+    return r6(ind.cube_of_sums(persons(spark, sf_dir), ["state", "sector", "gender"], sums, finish))
 
 
 @register("pay_gap", with_views(sql_r6(f"""
