@@ -96,7 +96,7 @@ def normalise_date(col) -> Column:
 
 def strict_date(col) -> Column:
     """Strict variant: a real date or null (abbreviated/unknown month -> null)."""
-    return F.try_to_date(normalise_date(col), F.lit("dd/MM/yyyy"))
+    return F.try_to_date(normalise_date(col), "dd/MM/yyyy")
 
 
 # --------------------------------------------------------------------------- R11, R12

@@ -133,3 +133,38 @@ def test_profile_json_shape(spark):
                                  "state string, sector string, metric string, category string, value double")
     doc = json.loads(sk.profile_json(long).first()["profile"])
     assert doc == {"urban": {"religion": {"hinduism": 0.89, "islam": 0.11}, "total": 9.5}}
+
+
+def test_constant_decimal_positional_source(spark):
+    df = spark.createDataFrame([(1, "a", 2)], "id int, x string, y int").withColumn("d", F.lit(1.5).cast("decimal(5,2)"))
+    out = sc.decimals_to_double(sc.with_constant(df, "file_id", "First Visit Household 7"))
+    assert dict(out.dtypes)["d"] == "double" and out.first()["file_id"] == "First Visit Household 7"
+    assert sc.positional(df, 1, 3).columns == ["x", "y"]
+    d = tempfile.mkdtemp(prefix="panelstat-src-")
+    spark.range(3).write.parquet(os.path.join(d, "t"))
+    files = {r["file"] for r in sc.with_source_file(spark.read.parquet(os.path.join(d, "t"))).collect()}
+    assert all(f.endswith(".parquet") for f in files)
+
+
+def test_csv_and_per_model_sinks(spark):
+    d = tempfile.mkdtemp(prefix="panelstat-sink-")
+    df = spark.createDataFrame([("gpt-4o", 1.0), ("llama-3", 0.5)], "model string, score double")
+    sk.write_csv(df, os.path.join(d, "csv"))
+    assert spark.read.option("header", True).csv(os.path.join(d, "csv")).count() == 2
+    sk.write_per_model(df, os.path.join(d, "per"))
+    assert sorted(p for p in os.listdir(os.path.join(d, "per")) if p.startswith("_model_file=")) == [
+        "_model_file=gpt_4o", "_model_file=llama_3"]
+
+
+def test_cube_of_sums_equals_direct_cube(spark):
+    from panelstat.operators import indicators as ind
+    rows_ = [(s, sec, g, c, float(w)) for s, sec, g, c, w in [
+        ("a", "urban", "male", "employed", 2), ("a", "rural", "female", "unemployed", 1),
+        ("b", "urban", "female", "employed", 3), ("b", "urban", "male", "not_in_labor_force", 4)]]
+    df = spark.createDataFrame(rows_, "state string, sector string, gender string, status_category string, weight double")
+    sums, finish = ind.labour_rate_sums()
+    a = sorted((r["state"], r["sector"], r["gender"], round(r["wpr"], 9), round(r["ur"], 9))
+               for r in ind.cube_of_sums(df, ["state", "sector", "gender"], sums, finish).collect())
+    b = sorted((r["state"], r["sector"], r["gender"], round(r["wpr"], 9), round(r["ur"], 9))
+               for r in ind.subgroup_totals(df, ["state", "sector", "gender"], ind.labour_rate_exprs()).collect())
+    assert a == b
