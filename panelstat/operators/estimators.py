@@ -68,40 +68,54 @@ def weighted_distribution(df: DataFrame, keys, value: str, weight=None, top_n: i
     Returns ``keys..., category, rank, share`` (rank of ``other`` = top_n + 1).
     """
     keys = _keys(keys)
-    base = _drop_null_keys(df, keys).select(*keys, _c(value).alias("_v"), _w(weight).alias("_wt"))
-    per_cat = (base.where(F.col("_v").isNotNull())
-               .groupBy(*keys, F.col("_v").cast("string").alias("category"))
-               .agg(F.sum("_wt").alias("_cw")))
-    if denominator == "all":
-        totals = base.groupBy(*keys).agg(F.sum("_wt").alias("_tot"))
-    else:
-        totals = per_cat.groupBy(*keys).agg(F.sum("_cw").alias("_tot"))
-
-    if top_n is None:
-        out = per_cat.join(totals, keys) if keys else per_cat.crossJoin(totals)
-        rank_w = Window.partitionBy(*keys).orderBy(F.col("_cw").desc(), F.col("category"))
-        return out.select(*keys, "category", F.row_number().over(rank_w).alias("rank"),
-                          _round(_ratio(F.col("_cw"), F.col("_tot")), digits).alias("share"))
-
-    # Top-n in two steps so no task holds every category of a hot group:
-    # best n per (keys, bucket), then best n of those per keys.
+    base = _drop_null_keys(df, keys).select(*keys, _c(value).cast("string").alias("category"),
+                                            _w(weight).alias("_wt"))
+    # weight per category, null values kept as a null category for the
+    # all-rows denominator
+    per_cat = base.groupBy(*keys, "category").agg(F.sum("_wt").alias("_cw"))
+    kw = Window.partitionBy(*keys)
     order = [F.col("_cw").desc(), F.col("category")]
-    bucketed = per_cat.withColumn("_b", F.pmod(F.xxhash64("category"), F.lit(_TOPN_BUCKETS)))
-    local = (bucketed.withColumn("_r", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)))
-             .where(F.col("_r") <= top_n).drop("_r", "_b"))
-    top = (local.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-           .where(F.col("rank") <= top_n))
-
-    rest = (per_cat.join(top.select(*keys, "category", F.lit(True).alias("_top")), [*keys, "category"], "left")
-            .where(F.col("_top").isNull())
-            .groupBy(*keys).agg(F.sum("_cw").alias("_cw"))
-            .where(F.col("_cw") > 0)
-            .select(*keys, F.lit(other_label).alias("category"), F.lit(top_n + 1).alias("rank"), "_cw"))
-    both = top.select(*keys, "category", F.col("rank").cast("int").alias("rank"), "_cw").unionByName(
-        rest.withColumn("rank", F.col("rank").cast("int")))
-    joined = both.join(totals, keys) if keys else both.crossJoin(totals)
-    return joined.select(*keys, "category", "rank",
-                         _round(_ratio(F.col("_cw"), F.col("_tot")), digits).alias("share"))
+
+    if top_n is None or denominator == "all":
+        tot = F.sum(F.when(F.col("category").isNotNull() | F.lit(denominator == "all"), F.col("_cw"))).over(kw)
+        ranked = (per_cat.withColumn("_tot", tot).where(F.col("category").isNotNull())
+                  .withColumn("rank", F.row_number().over(kw.orderBy(*order))))
+        if top_n is None:
+            return ranked.select(*keys, "category", "rank",
+                                 _round(_ratio(F.col("_cw"), F.col("_tot")), digits).alias("share"))
+        folded = ranked.withColumn("_top", F.col("rank") <= top_n)
+    else:
+        # Top-n in two steps so no task holds every category of a hot group:
+        # each (keys, hash bucket) keeps its best n categories plus one
+        # remainder row; one window over keys then ranks at most
+        # buckets x (n + 1) rows and totals the weight. Each step reuses the
+        # previous partitioning, so the source is scanned once.
+        nonnull = per_cat.where(F.col("category").isNotNull())
+        bucketed = nonnull.withColumn("_b", F.pmod(F.xxhash64("category"), F.lit(_TOPN_BUCKETS)))
+        r = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
+        marked = bucketed.withColumn("_r", r)
+        cand = F.struct(F.col("_cw").alias("w"), F.col("category").alias("c"))
+        buckets = marked.groupBy(*keys, "_b").agg(
+            F.collect_list(F.when(F.col("_r") <= top_n, cand)).alias("_cands"),
+            F.sum(F.when(F.col("_r") > top_n, F.col("_cw"))).alias("_rem"))
+        rows_ = F.concat(F.col("_cands"), F.array(F.struct(F.coalesce(F.col("_rem"), F.lit(0.0)).alias("w"),
+                                                            F.lit(None).cast("string").alias("c"))))
+        ex = buckets.select(*keys, F.explode(rows_).alias("_e")).select(
+            *keys, F.col("_e.c").alias("category"), F.col("_e.w").alias("_cw"))
+        rank_order = [F.col("category").isNull(), *order]
+        folded = (ex.withColumn("_tot", F.sum("_cw").over(kw))
+                  .withColumn("rank", F.row_number().over(kw.orderBy(*rank_order)))
+                  .withColumn("_top", F.col("category").isNotNull() & (F.col("rank") <= top_n)))
+
+    # top rows keep their category, everything else folds into one 'other'
+    # row; the data is already partitioned by keys, so no shuffle here
+    cat = F.when(F.col("_top"), F.col("category")).otherwise(F.lit(other_label))
+    out = (folded.groupBy(*keys, "_top", cat.alias("_cat"))
+           .agg(F.sum("_cw").alias("_cw"), F.max("_tot").alias("_tot"), F.min("rank").alias("_rk"))
+           .where(F.col("_top") | (F.col("_cw") > 0)))
+    rank = F.when(F.col("_top"), F.col("_rk")).otherwise(F.lit(top_n + 1)).cast("int")
+    return out.select(*keys, F.col("_cat").alias("category"), rank.alias("rank"),
+                      _round(_ratio(F.col("_cw"), F.col("_tot")), digits).alias("share"))
 
 
 def distribution(df: DataFrame, keys, value: str, top_n: int | None = None,

@@ -157,9 +157,12 @@ def person_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
-    j = (li.join(o, li.l_orderkey == o.o_orderkey)
-         .join(c, F.col("o_custkey") == c.c_custkey)
-         .join(n, F.col("c_nationkey") == n.n_nationkey))
+    # Resolve each order's state first (orders-sized joins), then join
+    # lineitem once on the order key: a single lineitem-sized shuffle, and the
+    # result stays partitioned by hh_id for person x household joins.
+    order_state = (o.join(c, F.col("o_custkey") == c.c_custkey).join(n, F.col("c_nationkey") == n.n_nationkey)
+                   .select("o_orderkey", "n_name"))
+    j = li.join(order_state, li.l_orderkey == order_state.o_orderkey)
     lo, lp, ls, ln = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
     status = _case_mod(lp, STATUS_CODES)
     edu = _case_mod(lo, EDUCATION)
