@@ -15,11 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.functions import _c
-from panelstat.functions.text import numeric_prefix, zfill
+from panelstat.functions.text import zfill
 from panelstat.sources.codebooks import (HOUSEHOLD_TYPE_DEFAULT, STATUS_DEFAULT_CATEGORY,
                                          UNKNOWN_DISTRICT, map_literal)
 
-BROADCAST_MAX_ROWS = 1_000_000
+BROADCAST_MAX_ROWS = 100_000
+MAP_LITERAL_MAX_ENTRIES = 10_000
 
 
 def bounded_broadcast(cb: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
@@ -42,6 +43,16 @@ def lookup(df: DataFrame, codebook: DataFrame, on: dict[str, Column | str], labe
     return joined.withColumn(out, lab).drop("__label", *tmp.values())
 
 
+def build_district_codebook(df: DataFrame, state: str, code: str, name: str, order) -> DataFrame:
+    """Sheet rows -> (STATE, zero-filled code, name); the last row wins for a
+    repeated (state, code) (J1 codebook, U4)."""
+    from panelstat.functions.text import strip_ws
+    o = F.col(order) if isinstance(order, str) else order
+    rows = df.select(F.upper(strip_ws(F.col(state))).alias("state"), zfill(strip_ws(F.col(code).cast("string")), 2)
+                     .alias("code"), strip_ws(F.col(name)).alias("label"), o.alias("_o"))
+    return rows.groupBy("state", "code").agg(F.max_by("label", "_o").alias("label"))
+
+
 def decode_district(df: DataFrame, districts: DataFrame, state: str = "state", code: str = "district_code",
                     out: str = "district", default: str | None = UNKNOWN_DISTRICT) -> DataFrame:
     """(upper(state), zero-filled code) -> district name; miss -> default.
@@ -91,7 +102,7 @@ def status_category(df: DataFrame, statuses: DataFrame, code: str = "status_code
 
 
 def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Sequence[str] | None = None,
-                       max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
+                       max_rows: int = MAP_LITERAL_MAX_ENTRIES) -> DataFrame:
     """Replace codes by labels for many columns at once.
 
     ``labels`` has ``column, code, label``. The label sets are small, so they
@@ -114,8 +125,3 @@ def unmatched_codes(df: DataFrame, codebook: DataFrame, key: Column, name: str =
     left = df.select(key.alias(name)).where(F.col(name).isNotNull())
     cb = bounded_broadcast(codebook.select(F.col("code").alias(name)))
     return left.join(cb, name, "left_anti").groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-
-
-def coded_label(code_col, mapping_pairs=None, n: int = 2) -> Column:
-    """Numeric prefix of a code (X5) for label mapping inside A17."""
-    return numeric_prefix(code_col, n)

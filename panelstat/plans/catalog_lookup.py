@@ -15,16 +15,20 @@ from panelstat.plans.registry import r6, register, sql_r6
 from panelstat.plans.views import (HOUSEHOLD_RAW_SQL, PERSON_RAW_SQL, household_raw, households, person_raw,
                                    persons, table, with_views)
 from panelstat.sources import codebooks as cb
-from panelstat.sources.readers import last_per_key
+from panelstat.sources.readers import REGION_LINE_RE, last_per_key, region_codes_from_text
 
 
 def district_codebook(spark, sf_dir):
-    """(STATE, code, name): twenty districts per state, derived from nation."""
+    """(STATE, code, name): twenty districts per state, derived from nation as
+    sheet-like rows (mixed case, padded, unpadded codes) and built by rule."""
     n = table(spark, sf_dir, "nation")
-    ex = n.select(F.upper("n_name").alias("state"), "n_nationkey", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"))
-    code = F.lpad(F.col("i").cast("string"), 2, "0")
-    return ex.select("state", code.alias("code"),
-                     F.concat(F.lit("district "), F.col("n_nationkey").cast("string"), F.lit("-"), code).alias("label"))
+    ex = n.select(F.concat(F.lit(" "), F.lower("n_name"), F.lit(" ")).alias("state_name"), "n_nationkey",
+                  F.explode(F.sequence(F.lit(1), F.lit(20))).alias("i"))
+    sheet = ex.select("state_name", F.col("i").cast("string").alias("district_code"),
+                      F.concat(F.lit("district "), F.col("n_nationkey").cast("string"), F.lit("-"),
+                               F.lpad(F.col("i").cast("string"), 2, "0")).alias("district_name"),
+                      (F.col("n_nationkey") * 100 + F.col("i")).alias("row_no"))
+    return lk.build_district_codebook(sheet, "state_name", "district_code", "district_name", "row_no")
 
 
 DISTRICT_SQL = ("(SELECT upper(n_name) AS state, lpad(CAST(i AS VARCHAR), 2, '0') AS code, "
@@ -253,3 +257,29 @@ def q_file_counts(spark, sf_dir):
                                    F.count_if(~F.col("ok")).alias("failed"))
     return out.select(F.when(F.col("_g") == 1, "all").otherwise(F.col("listing").cast("string")).alias("listing"),
                       "succeeded", "failed")
+
+
+def region_listing(spark, sf_dir):
+    """One listing line per nation: 3-digit code (codes repeat every 20
+    nations), a letters-only name and the region number in parentheses."""
+    n = table(spark, sf_dir, "nation")
+    code = F.lpad(((F.col("n_nationkey") % 20) * 37 % 900 + 100).cast("string"), 3, "0")
+    name = F.translate(F.col("n_name"), "0123456789_", "ABCDEFGHIJ ")
+    line = F.concat(code, F.lit(" "), name, F.lit(" Region ("), F.col("n_regionkey").cast("string"), F.lit(")"))
+    return n.select("n_nationkey", line.alias("text"))
+
+
+_LISTING_SQL = ("(SELECT n_nationkey, lpad(CAST((n_nationkey % 20) * 37 % 900 + 100 AS VARCHAR), 3, '0') || ' ' || "
+                "translate(n_name, '0123456789_', 'ABCDEFGHIJ ') || ' Region (' || CAST(n_regionkey AS VARCHAR) || ')' "
+                "AS text FROM nation)")
+_REGION_RE_SQL = REGION_LINE_RE.replace("(?=", "(?:")
+
+
+@register("region_codes", f"""
+SELECT code, arg_max(trim(name), struct_pack(o := n_nationkey, p := pos)) AS name FROM (
+  SELECT n_nationkey, unnest(regexp_extract_all(text, '{_REGION_RE_SQL}', 1)) AS code,
+         unnest(regexp_extract_all(text, '{_REGION_RE_SQL}', 2)) AS name,
+         unnest(range(len(regexp_extract_all(text, '{_REGION_RE_SQL}', 1)))) AS pos
+  FROM {_LISTING_SQL} l) t GROUP BY code""")
+def q_region_codes(spark, sf_dir):
+    return region_codes_from_text(region_listing(spark, sf_dir), "text", "n_nationkey")

@@ -131,3 +131,20 @@ def last_per_key(df: DataFrame, key: str, value: str, order) -> DataFrame:
 def first_per_key_window(df: DataFrame, key: str, order: str) -> DataFrame:
     w = Window.partitionBy(key).orderBy(F.col(order).desc())
     return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+# Fixed pattern: a three-digit region code, its name, then a "Word (digits)"
+# that follows it in the survey's region listing.
+REGION_LINE_RE = r"(\d{3})\s+([A-Za-z\-\&\. ]+?)\s+(?=[A-Za-z]+\s*\(\d+\))"
+
+
+def region_codes_from_text(df: DataFrame, text: str, order: str) -> DataFrame:
+    """Region table from extracted text (X7): every code/name pair in each
+    row's whole text, one row per pair; a code seen again later (by ``order``,
+    then position in the text) replaces the earlier name (U4)."""
+    codes = F.regexp_extract_all(F.col(text), F.lit(REGION_LINE_RE), 1)
+    names = F.regexp_extract_all(F.col(text), F.lit(REGION_LINE_RE), 2)
+    pairs = F.transform(codes, lambda c, i: F.struct(c.alias("code"), F.get(names, i).alias("name"), i.alias("pos")))
+    ex = df.select(F.col(order).alias("_o"), F.explode(pairs).alias("_p"))
+    return (ex.groupBy(F.col("_p.code").alias("code"))
+            .agg(F.max_by(F.trim(F.col("_p.name")), F.struct("_o", F.col("_p.pos"))).alias("name")))

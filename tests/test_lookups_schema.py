@@ -168,3 +168,17 @@ def test_cube_of_sums_equals_direct_cube(spark):
     b = sorted((r["state"], r["sector"], r["gender"], round(r["wpr"], 9), round(r["ur"], 9))
                for r in ind.subgroup_totals(df, ["state", "sector", "gender"], ind.labour_rate_exprs()).collect())
     assert a == b
+
+
+def test_region_codes_from_text(spark):
+    text = "Table 281 Coastal Northern Kerala (12) 282 Inland Southern Kerala (3) 281 Coast North Goa (1)"
+    df = spark.createDataFrame([(1, text)], "o int, text string")
+    got = dict(rows(rd.region_codes_from_text(df, "text", "o")))
+    assert got == {"281": "Coast North", "282": "Inland Southern"}
+
+
+def test_build_district_codebook(spark):
+    sheet = spark.createDataFrame([(" kerala ", "7", "Old", 1), ("KERALA", "07", " New ", 2), ("goa", "12", "North", 3)],
+                                  "s string, c string, n string, o int")
+    got = rows(lk.build_district_codebook(sheet, "s", "c", "n", "o"))
+    assert got == [("GOA", "12", "North"), ("KERALA", "07", "New")]
