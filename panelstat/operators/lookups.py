@@ -23,9 +23,11 @@ BROADCAST_MAX_ROWS = 100_000
 MAP_LITERAL_MAX_ENTRIES = 10_000
 
 
-def bounded_broadcast(cb: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only when the codebook is proven small."""
-    n = cb.limit(max_rows + 1).count()
+def bounded_broadcast(cb: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
+    """Broadcast hint only when the codebook is proven small: by a bound
+    known from construction, else by counting at most ``max_rows + 1`` rows."""
+    known = known_rows if known_rows is not None else getattr(cb, "_panelstat_max_rows", None)
+    n = known if known is not None else cb.limit(max_rows + 1).count()
     return F.broadcast(cb) if n <= max_rows else cb
 
 
@@ -38,7 +40,8 @@ def lookup(df: DataFrame, codebook: DataFrame, on: dict[str, Column | str], labe
     tmp = {k: f"__k_{k}" for k in on}
     left = df.withColumns({tmp[k]: _c(v) for k, v in on.items()})
     right = codebook.select(*[F.col(k).alias(tmp[k]) for k in on], F.col(label).alias("__label"))
-    joined = left.join(bounded_broadcast(right, max_rows), list(tmp.values()), "left")
+    joined = left.join(bounded_broadcast(right, max_rows, getattr(codebook, "_panelstat_max_rows", None)),
+                       list(tmp.values()), "left")
     lab = F.col("__label") if default is None else F.coalesce(F.col("__label"), F.lit(default))
     return joined.withColumn(out, lab).drop("__label", *tmp.values())
 
@@ -123,5 +126,6 @@ def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Sequence[str]
 def unmatched_codes(df: DataFrame, codebook: DataFrame, key: Column, name: str = "code") -> DataFrame:
     """Codes with no label, with their row counts."""
     left = df.select(key.alias(name)).where(F.col(name).isNotNull())
-    cb = bounded_broadcast(codebook.select(F.col("code").alias(name)))
+    cb = bounded_broadcast(codebook.select(F.col("code").alias(name)),
+                           known_rows=getattr(codebook, "_panelstat_max_rows", None))
     return left.join(cb, name, "left_anti").groupBy(name).agg(F.count(F.lit(1)).alias("n"))

@@ -13,7 +13,7 @@ from panelstat.plans import sqlgen as S
 from panelstat.plans.registry import r6, register, sql_r6
 from panelstat.plans.views import (HOUSEHOLD_RAW_SQL, WEIGHT_SQL, household_raw, households, persons,
                                    with_views)
-from panelstat.sources.codebooks import AGE_BANDS, STATUS, status_codebook
+from panelstat.sources.codebooks import AGE_BANDS, STATUS, bounded, status_codebook
 
 HH_KEYS = ["state", "sector"]
 STATUS_SQL = S.values_table([(c, cat) for c, _, cat in STATUS], ["code", "category"], "sc")
@@ -31,7 +31,7 @@ def industry_codebook(spark):
     """Two-digit division codes with labels; divisions ending in 4 have none."""
     ids = spark.range(1, 100).where(F.col("id") % 10 != 4)
     code = F.lpad(F.col("id").cast("string"), 2, "0")
-    return ids.select(code.alias("code"), F.concat(F.lit("industry division "), code).alias("label"))
+    return bounded(ids.select(code.alias("code"), F.concat(F.lit("industry division "), code).alias("label")), 99)
 
 
 INDUSTRY_SQL = ("(SELECT lpad(CAST(i AS VARCHAR), 2, '0') AS code, 'industry division ' || lpad(CAST(i AS VARCHAR), 2, '0') AS label "
@@ -42,7 +42,7 @@ def occupation_codebook(spark):
     """Three-digit occupation groups; multiples of 7 have no label."""
     ids = spark.range(100, 1000).where(F.col("id") % 7 != 0)
     code = F.col("id").cast("string")
-    return ids.select(code.alias("code"), F.concat(F.lit("occupation group "), code).alias("label"))
+    return bounded(ids.select(code.alias("code"), F.concat(F.lit("occupation group "), code).alias("label")), 900)
 
 
 OCCUPATION_SQL = ("(SELECT CAST(i AS VARCHAR) AS code, 'occupation group ' || CAST(i AS VARCHAR) AS label "

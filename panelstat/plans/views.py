@@ -42,9 +42,17 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     return df.repartition(target) if df.rdd.getNumPartitions() < target else df
 
 
+_TABLES: dict[tuple, DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in SPREAD_TABLES else df
+    """A source table, opened once per session (file listing and footer
+    schema are read once; every query still scans the files)."""
+    key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _TABLES:
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        _TABLES[key] = spread(df) if name in SPREAD_TABLES else df
+    return _TABLES[key]
 
 
 def _case_mod(key: Column, values: list[str]) -> Column:

@@ -76,7 +76,14 @@ def literal_table(spark: SparkSession, rows, names: list[str]) -> DataFrame:
     """A small constant table built JVM-side (``inline`` of a literal array),
     so no Python worker is involved and its size is fixed by construction."""
     structs = [F.struct(*[F.lit(v).alias(n) for v, n in zip(r, names)]) for r in rows]
-    return spark.range(1).select(F.inline(F.array(*structs)))
+    return bounded(spark.range(1).select(F.inline(F.array(*structs))), len(rows))
+
+
+def bounded(df: DataFrame, max_rows: int) -> DataFrame:
+    """Mark a DataFrame whose row count is bounded by construction, so lookups
+    may broadcast it without a counting job."""
+    df._panelstat_max_rows = max_rows
+    return df
 
 
 def household_type_codebook(spark: SparkSession) -> DataFrame:
