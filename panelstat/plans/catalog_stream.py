@@ -17,7 +17,7 @@ from panelstat.plans.catalog_survey import INDUSTRY_SQL, industry_codebook
 from panelstat.plans.registry import register
 from panelstat.plans.views import STATUS_CODES, _case_mod, _sql_case_mod
 from panelstat.sources import codebooks as cb
-from panelstat.streaming.decode import decode_stream, run_available
+from panelstat.streaming.decode import decode_stream, run_available, with_progress
 
 _CAT = [(c, cat) for c, _, cat in cb.STATUS]
 
@@ -61,4 +61,4 @@ def q_projection_stream(spark, sf_dir):
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
     proj = sc.select_and_rename(stream, ["l_orderkey", "l_linenumber", "no_such_col", "l_returnflag"],
                                 {"l_orderkey": "hh_id", "l_linenumber": "person_no", "l_returnflag": "flag"})
-    return spark.read.parquet(run_available(proj, "project"))
+    return spark.read.parquet(run_available(with_progress(proj), "project"))

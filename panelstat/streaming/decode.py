@@ -19,6 +19,10 @@ from pyspark.sql import functions as F
 from panelstat.session import checkpoint_dir
 
 
+# observed metrics of each micro-batch of the last run, by stream name (ST3)
+LAST_PROGRESS: dict[str, list] = {}
+
+
 def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """(sink, checkpoint) folders for one run, inside the shared checkpoint dir."""
     base = checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
@@ -43,6 +47,7 @@ def run_available(df: DataFrame, name: str, fmt: str = "parquet", timeout_s: int
         raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
+    LAST_PROGRESS[name] = [p.get("observedMetrics", {}) for p in (q.recentProgress or [])]
     return sink
 
 

@@ -81,3 +81,11 @@ def test_stream_equals_batch(spark):
     stream = entry.queries()["decode_stream"](spark, SMOKE)
     b = batch.groupBy("status_category", "industry").agg(F.count(F.lit(1)).alias("n"), F.count("flag").alias("n_flag"))
     assert sorted(map(repr, b.collect())) == sorted(map(repr, stream.collect()))
+
+
+def test_stream_progress_observed(spark):
+    from panelstat.streaming.decode import LAST_PROGRESS
+    entry.queries()["projection_stream"](spark, SMOKE)
+    batches = LAST_PROGRESS["project"]
+    n = spark.read.parquet(f"{SMOKE}/lineitem.parquet").count()
+    assert sum(b["progress"]["rows"] for b in batches if "progress" in b) == n
