@@ -303,7 +303,9 @@ def describe(df: DataFrame, keys, value: str, approx: bool = False, accuracy: in
         q = q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(DESCRIBE_NAMES)])
     else:
         q = exact_quantiles(base, keys, value, DESCRIBE_PROBS, DESCRIBE_NAMES)
-    return moments.join(q, keys, "left") if keys else moments.crossJoin(q)
+    if not keys:  # one row each side: join on a constant key
+        return moments.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+    return moments.join(q, keys, "left")
 
 
 def unweighted_mean_median(df: DataFrame, keys, value: str) -> DataFrame:
