@@ -75,28 +75,35 @@ def _pad2(x: Column) -> Column:
 
 # --------------------------------------------------------------------------- R4
 
-def normalise_date(col) -> Column:
+def normalise_date(col, strict: bool = False) -> Column:
     """Date text -> DD/MM/YYYY, first matching form wins; otherwise the
-    upper-cased text, stripped. Unknown month names give month 01 (R4)."""
+    upper-cased text, stripped. Unknown or abbreviated month names give month
+    01 (R4); with ``strict=True`` they give null instead, as does text that
+    matches no form."""
     s = F.upper(_c(col))
     months = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
 
     def month_of(name: Column) -> Column:
-        return F.lpad(F.coalesce(F.element_at(months, name), F.lit(1)).cast("string"), 2, "0")
+        m = F.element_at(months, name)
+        return F.lpad((m if strict else F.coalesce(m, F.lit(1))).cast("string"), 2, "0")
 
     def g(p, i):
         return F.regexp_extract(s, p, i)
-    f1 = F.concat_ws("/", _pad2(g(DATE_DAY_MONTH_RE, 1)), month_of(g(DATE_DAY_MONTH_RE, 2)), g(DATE_DAY_MONTH_RE, 3))
-    f2 = F.concat_ws("/", _pad2(g(DATE_MONTH_DAY_RE, 2)), month_of(g(DATE_MONTH_DAY_RE, 1)), g(DATE_MONTH_DAY_RE, 3))
-    f3 = F.concat_ws("/", _pad2(g(DATE_DOTS_RE, 1)), _pad2(g(DATE_DOTS_RE, 2)), g(DATE_DOTS_RE, 3))
-    f4 = F.concat_ws("/", _pad2(g(DATE_SLASH_RE, 1)), _pad2(g(DATE_SLASH_RE, 2)), g(DATE_SLASH_RE, 3))
+
+    def dmy(d, m, y):
+        return F.when(d.isNotNull() & m.isNotNull(), F.concat(d, F.lit("/"), m, F.lit("/"), y))
+    f1 = dmy(_pad2(g(DATE_DAY_MONTH_RE, 1)), month_of(g(DATE_DAY_MONTH_RE, 2)), g(DATE_DAY_MONTH_RE, 3))
+    f2 = dmy(_pad2(g(DATE_MONTH_DAY_RE, 2)), month_of(g(DATE_MONTH_DAY_RE, 1)), g(DATE_MONTH_DAY_RE, 3))
+    f3 = dmy(_pad2(g(DATE_DOTS_RE, 1)), _pad2(g(DATE_DOTS_RE, 2)), g(DATE_DOTS_RE, 3))
+    f4 = dmy(_pad2(g(DATE_SLASH_RE, 1)), _pad2(g(DATE_SLASH_RE, 2)), g(DATE_SLASH_RE, 3))
     return (F.when(s.rlike(DATE_DAY_MONTH_RE), f1).when(s.rlike(DATE_MONTH_DAY_RE), f2)
-            .when(s.rlike(DATE_DOTS_RE), f3).when(s.rlike(DATE_SLASH_RE), f4).otherwise(strip_ws(s)))
+            .when(s.rlike(DATE_DOTS_RE), f3).when(s.rlike(DATE_SLASH_RE), f4)
+            .otherwise(F.lit(None) if strict else strip_ws(s)))
 
 
 def strict_date(col) -> Column:
     """Strict variant: a real date or null (abbreviated/unknown month -> null)."""
-    return F.try_to_date(normalise_date(col), "dd/MM/yyyy")
+    return F.try_to_date(normalise_date(col, strict=True), "dd/MM/yyyy")
 
 
 # --------------------------------------------------------------------------- R11, R12

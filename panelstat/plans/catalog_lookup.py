@@ -283,3 +283,41 @@ SELECT code, arg_max(trim(name), struct_pack(o := n_nationkey, p := pos)) AS nam
   FROM {_LISTING_SQL} l) t GROUP BY code""")
 def q_region_codes(spark, sf_dir):
     return region_codes_from_text(region_listing(spark, sf_dir), "text", "n_nationkey")
+
+
+# --------------------------------------------------------------------------- P5, P8, P10, P12, P13
+
+@register("constant_column", """
+SELECT l_orderkey AS hh_id, l_linenumber AS person_no, 'Revisit Person level 7' AS file_identification
+FROM lineitem""")
+def q_constant_column(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hh_id"), F.col("l_linenumber").alias("person_no"))
+    return sc.with_constant(li, "file_identification", "Revisit Person level 7")
+
+
+@register("normalise_headers", """
+SELECT n_nationkey AS "N_NATIONKEY", n_name AS "N_NAME", n_regionkey AS "N_REGIONKEY" FROM nation""")
+def q_normalise_headers(spark, sf_dir):
+    return sc.normalise_headers(table(spark, sf_dir, "nation"))
+
+
+@register("positional_columns", """
+SELECT c_name, c_nationkey FROM customer""")
+def q_positional_columns(spark, sf_dir):
+    return sc.positional(table(spark, sf_dir, "customer"), 1, 3)
+
+
+@register("source_file", """
+SELECT 'orders.parquet' AS file, count(*) AS n FROM orders""")
+def q_source_file(spark, sf_dir):
+    o = sc.with_source_file(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"))
+    return o.groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("union_panels", with_views("""
+SELECT panel, sector, count(*) AS n, count(regular_earning) AS n_earning FROM person_v GROUP BY panel, sector"""))
+def q_union_panels(spark, sf_dir):
+    p = persons(spark, sf_dir)
+    frames = {name: p.where(F.col("panel") == name).drop("panel") for name in ("first_visit", "revisit")}
+    u = sc.union_panels(frames)
+    return u.groupBy("panel", "sector").agg(F.count(F.lit(1)).alias("n"), F.count("regular_earning").alias("n_earning"))

@@ -79,3 +79,13 @@ SELECT page_id, CAST(pos AS INTEGER) AS pos, tag, heading, FALSE AS well_formed,
   SELECT page_id, 2 AS pos, 'h1' AS tag, trim(regexp_extract(html, '<h1[^>]*>(.*?)</h1>', 1)) AS heading FROM pages) t""")
 def q_headings(spark, sf_dir):
     return rec.headings(table(spark, sf_dir, "pages"))
+
+
+@register("strict_date", """
+SELECT doc_id, CASE WHEN doc_id % 4 = 1 AND doc_id % 8 = 5 AND doc_id % 12 + 1 <> 5 THEN NULL
+                    ELSE make_date(2025, CAST(doc_id % 12 + 1 AS INTEGER), CAST(doc_id % 28 + 1 AS INTEGER)) END AS answered_on
+FROM documents""")
+def q_strict_date(spark, sf_dir):
+    """R4 strict mode: a real date, null for unknown or abbreviated months."""
+    d = record_docs(spark, sf_dir)
+    return d.select("doc_id", rec.strict_date("date_text").alias("answered_on"))
