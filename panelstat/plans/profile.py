@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelstat.operators import estimators as est
 from panelstat.operators.lookups import lookup
+from panelstat.plans.views import spread
 from panelstat.session import materialize
 from panelstat.sources.codebooks import AGE_BANDS
 
@@ -38,7 +39,10 @@ def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeri
                          F.lit(None).cast("double").alias("num")) for m, c in categorical.items()]
                + [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("category"),
                            F.col(c).cast("double").alias("num")) for m, c in numeric.items()])
-    ex = df.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.array(*entries)).alias("_e"))
+    # the explode multiplies rows by the number of metrics: make sure every
+    # core takes part (no-op when the input already has enough partitions)
+    src = spread(df.select(*keys, weight, *{c for c in [*categorical.values(), *numeric.values()]}))
+    ex = src.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.array(*entries)).alias("_e"))
     pre = (ex.groupBy(*keys, F.col("_e.metric").alias("metric"), F.col("_e.category").alias("category"),
                       F.col("_e.num").alias("num"))
            .agg(F.sum("_w").alias("w")))
