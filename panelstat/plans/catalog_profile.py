@@ -77,9 +77,21 @@ def q_profile_left(spark, sf_dir):
     return r6(profile_left(households(spark, sf_dir), persons(spark, sf_dir)))
 
 
-@register("profile_json")
+_JSON_SQL = f"""
+SELECT state, '{{' || string_agg('"' || sector || '":' || j, ',' ORDER BY sector) || '}}' AS profile FROM (
+  SELECT state, sector, '{{' || string_agg('"' || metric || '":' || j, ',' ORDER BY metric) || '}}' AS j FROM (
+    SELECT state, sector, metric,
+      CASE WHEN bool_and(category IS NULL) THEN coalesce(CAST(max(value) AS VARCHAR), 'null')
+           ELSE '{{' || string_agg('"' || category || '":' || CAST(value AS VARCHAR), ',' ORDER BY category) || '}}'
+      END AS j
+    FROM ({sql_r6(PROFILE_SQL, ["value"])}) l GROUP BY state, sector, metric) m
+  GROUP BY state, sector) s
+GROUP BY state"""
+
+
+@register("profile_json", with_views(_JSON_SQL))
 def q_profile_json(spark, sf_dir):
-    """Nested state -> sector -> metric JSON documents (S13); rows-only check."""
+    """Nested state -> sector -> metric JSON documents."""
     long = state_profile(households(spark, sf_dir), persons(spark, sf_dir), industry_codebook(spark),
                          occupation_codebook(spark))
     return profile_json(r6(long))

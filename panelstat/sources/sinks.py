@@ -32,13 +32,15 @@ def profile_json(long: DataFrame, outer: str = "state", inner: str = "sector",
 
     Scalar metrics carry a null category. Each level is a grouped aggregate
     over a bounded number of entries (sectors x metrics x top-n categories),
-    so the nesting runs in parallel per key."""
+    so the nesting runs in parallel per key. Keys are sorted at every level,
+    so the text is deterministic."""
     v = F.col(value).cast("double")
     scalars = (long.where(F.col(category).isNull())
                .select(outer, inner, metric, F.coalesce(v.cast("string"), F.lit("null")).alias("_j")))
     dists = (long.where(F.col(category).isNotNull())
              .groupBy(outer, inner, metric)
-             .agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col(category), v)))).alias("_j")))
+             .agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(category), v)))))
+                  .alias("_j")))
     metrics = scalars.unionByName(dists)
     per_inner = (metrics.groupBy(outer, inner)
                  .agg(_json_object(F.collect_list(F.struct(F.col(metric).alias("k"), F.col("_j").alias("v"))),

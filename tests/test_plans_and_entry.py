@@ -42,10 +42,9 @@ def test_entry_smoke(spark):
     assert {"state", "sector", "total_households"} <= set(df.columns)
 
 
-def test_every_query_has_oracle_or_is_stream():
+def test_every_query_has_an_oracle():
     q, o = entry.queries(), entry.oracle_sql()
-    assert set(o) <= set(q)
-    assert set(q) - set(o) <= {"profile_json"}
+    assert set(o) == set(q)
 
 
 @pytest.mark.parametrize("name", PARITY)
