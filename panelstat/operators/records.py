@@ -114,9 +114,11 @@ def answer_parts(col) -> Column:
     Matches are found once; each match's markers are read from the short match
     text, and the text of a part is what lies between it and the next match."""
     a = _c(col)
-    matches = F.regexp_extract_all(a, F.lit(PART_RE), 0)
+    return _parts_from(F.regexp_extract_all(a, F.lit(PART_RE), 0), F.split(a, PART_RE, -1), a)
+
+
+def _parts_from(matches: Column, pieces: Column, a: Column) -> Column:
     markers = F.transform(matches, lambda m: F.regexp_extract_all(m, F.lit(r"\(([a-z])\)"), 1))
-    pieces = F.split(a, PART_RE, -1)
     texts = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))),
                         lambda t: F.trim(collapse_ws(t)))
     parts = F.transform(F.arrays_zip(markers.alias("markers"), texts.alias("text")),
@@ -279,7 +281,9 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     kept = F.filter(rest, lambda x: (F.lower(remove_ws(x)) != "answer") & (strip_ws(x) != "") & (x != "*****"))
     answer_text = strip_ws(F.array_join(kept, "\n"))
     d = d.select("*", answered_by.alias("answered_by"), answer_text.alias("_ans"))
-    d = d.withColumn("_parts", answer_parts(F.col("_ans")))
+    d = d.withColumns({"_pm": F.regexp_extract_all(F.col("_ans"), F.lit(PART_RE), 0),
+                       "_pp": F.split(F.col("_ans"), PART_RE, -1)})
+    d = d.withColumn("_parts", _parts_from(F.col("_pm"), F.col("_pp"), F.col("_ans")))
     d = d.withColumn("answer", F.when(F.col("_an") >= 0, final_answer(F.col("_parts"), F.col("_ans")))
                      .otherwise(F.lit("")))
 
