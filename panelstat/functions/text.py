@@ -53,8 +53,7 @@ def numeric_prefix(col, n: int) -> Column:
 def split_lines(col) -> Column:
     """Non-blank, stripped lines, split like Python's splitlines."""
     parts = F.split(_c(col), _LINE_BREAKS)
-    stripped = F.transform(parts, lambda s: strip_ws(s))
-    return F.filter(stripped, lambda s: F.length(s) > 0)
+    return F.array_remove(F.transform(parts, lambda s: strip_ws(s)), "")
 
 
 def file_safe(col) -> Column:

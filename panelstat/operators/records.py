@@ -278,7 +278,8 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     # R10 answer lines after the name line, minus bare 'answer' and '*****'
     start = F.when(NI >= 0, NI + 1).otherwise(F.lit(0))
     rest = F.slice(B, start + 1, F.greatest(F.size(B) - start, F.lit(0)))
-    kept = F.filter(rest, lambda x: (F.lower(remove_ws(x)) != "answer") & (strip_ws(x) != "") & (x != "*****"))
+    # lines are already stripped and non-empty (split_lines)
+    kept = F.filter(rest, lambda x: (x != "*****") & (F.lower(remove_ws(x)) != "answer"))
     answer_text = strip_ws(F.array_join(kept, "\n"))
     d = d.select("*", answered_by.alias("answered_by"), answer_text.alias("_ans"))
     d = d.withColumns({"_pm": F.regexp_extract_all(F.col("_ans"), F.lit(PART_RE), 0),
