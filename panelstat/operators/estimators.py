@@ -258,13 +258,14 @@ def weighted_median(df: DataFrame, keys, value: str, weight=None, name: str = "m
 
 
 def exact_quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, count=None) -> DataFrame:
     """Unweighted quantiles with linear interpolation (pandas/`percentile`
     semantics) computed from the distributed cumulative counts, so a hot group
-    needs no single in-memory value map."""
+    needs no single in-memory value map. ``count`` names a column of row
+    counts when ``df`` is already aggregated per value."""
     keys = _keys(keys)
     names = list(names) if names else [f"p{int(round(p * 100))}" for p in probs]
-    cum = _cumulative(df, keys, value, None)  # _cw = count, _cum = running count
+    cum = _cumulative(df, keys, value, count)  # _cw = count, _cum = running count
     # value at 0-based rank k is the first value with _cum > k
     lo_hi = []
     for p, nm in zip(probs, names):

@@ -45,6 +45,16 @@ _BANDS = " UNION ALL ".join(
     f"(SELECT state, sector, {S.bands('age', AGE_BANDS, prefix='b_')} FROM person_v WHERE {_K} GROUP BY state, sector) b"
     for b in AGE_BANDS)
 
+_DESC_COLS = [("count", "CAST(count(expenditure) AS DOUBLE)"), ("mean", "avg(expenditure)"),
+              ("std", "stddev_samp(expenditure)"), ("min", "min(expenditure)"),
+              ("10%", "quantile_cont(expenditure, 0.1)"), ("25%", "quantile_cont(expenditure, 0.25)"),
+              ("50%", "quantile_cont(expenditure, 0.5)"), ("75%", "quantile_cont(expenditure, 0.75)"),
+              ("90%", "quantile_cont(expenditure, 0.9)"), ("max", "max(expenditure)")]
+_DESCRIBE = " UNION ALL ".join(
+    f"SELECT state, sector, 'expenditure_distribution' AS metric, '{k}' AS category, {e} AS value "
+    f"FROM household_v WHERE {_K} GROUP BY state, sector HAVING count(expenditure) > 0"
+    for k, e in _DESC_COLS)
+
 PROFILE_SQL = " UNION ALL ".join([
     _scalar("total_households", "sum(weight)", "household_v"),
     _scalar("avg_household_size", S.wmean("household_size"), "household_v"),
@@ -52,6 +62,7 @@ PROFILE_SQL = " UNION ALL ".join([
     _median("median_monthly_expenditure", "expenditure", "household_v"),
     f"SELECT state, sector, metric, category, CASE WHEN metric = 'household_type' THEN round(share, 3) "
     f"ELSE round(share, 2) END AS value FROM ({_HH_DIST}) d",
+    _DESCRIBE,
     _scalar("avg_years_formal_education", S.wmean("years_formal_education"), "person_v"),
     _scalar("avg_regular_wage_earning", S.wmean("regular_earning"), "person_v"),
     _scalar("avg_self_employed_earning", S.wmean("self_employed_earning"), "person_v"),

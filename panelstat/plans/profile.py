@@ -45,7 +45,7 @@ def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeri
     ex = src.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.array(*entries)).alias("_e"))
     pre = (ex.groupBy(*keys, F.col("_e.metric").alias("metric"), F.col("_e.category").alias("category"),
                       F.col("_e.num").alias("num"))
-           .agg(F.sum("_w").alias("w")))
+           .agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n")))
     # Consumers filter by metric and Catalyst would push those filters below
     # the aggregate, giving each consumer its own scan. Writing this narrow,
     # pre-aggregated table to the shared checkpoint folder keeps it to one
@@ -78,6 +78,31 @@ def _total(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
             .select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("string").alias("category"), "value"))
 
 
+DESCRIBE_NAMES = ["count", "mean", "std", "min", "10%", "25%", "50%", "75%", "90%", "max"]
+
+
+def _describe(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
+    """Unweighted describe (A8) of one numeric metric from the pre-aggregate:
+    row counts per distinct value give count/mean/min/max, a second pass over
+    the distinct values gives the sample std, and the cumulative counts give
+    the interpolated quantiles."""
+    src = pre.where((F.col("metric") == metric) & F.col("num").isNotNull())
+    n, v = F.col("n").cast("double"), F.col("num")
+    mom = src.groupBy(*keys).agg(F.sum(n).alias("count"), F.try_divide(F.sum(v * n), F.sum(n)).alias("mean"),
+                                 F.min(v).alias("min"), F.max(v).alias("max"))
+    dev = (src.join(mom.select(*keys, "mean"), keys)
+           .groupBy(*keys).agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"),
+                               F.sum(n).alias("_n")))
+    std = dev.select(*keys, F.sqrt(F.try_divide(F.col("_ss"), F.when(F.col("_n") > 1, F.col("_n") - 1))).alias("std"))
+    q = est.exact_quantiles(src, keys, "num", est.DESCRIBE_PROBS, ["q10", "q25", "q50", "q75", "q90"], count="n")
+    wide = mom.join(std, keys, "left").join(q, keys, "left")
+    cols = {"count": "count", "mean": "mean", "std": "std", "min": "min", "10%": "q10", "25%": "q25",
+            "50%": "q50", "75%": "q75", "90%": "q90", "max": "max"}
+    pairs = ", ".join(f"'{k}', CAST(`{c}` AS DOUBLE)" for k, c in cols.items())
+    return wide.select(*keys, F.lit(name).alias("metric"),
+                       F.expr(f"stack({len(cols)}, {pairs}) AS (category, value)"))
+
+
 def household_metrics(hh: DataFrame) -> DataFrame:
     hh = est._drop_null_keys(hh, KEYS)
     pre = metric_preaggregate(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()},
@@ -90,8 +115,10 @@ def household_metrics(hh: DataFrame) -> DataFrame:
     dist = dist.select(*KEYS, "metric", "category",
                        F.when(F.col("metric") == "household_type", F.round("share", 3))
                        .otherwise(F.round("share", 2)).alias("value"))
+    desc = _describe(pre, KEYS, "expenditure", "expenditure_distribution")
     cols = [*KEYS, "metric", "category", "value"]
-    return total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
+    return (total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
+            .unionByName(desc.select(cols)))
 
 
 def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame) -> DataFrame:
