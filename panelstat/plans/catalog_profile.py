@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from panelstat.plans import sqlgen as S
 from panelstat.plans.catalog_survey import INDUSTRY_SQL, OCCUPATION_SQL, industry_codebook, occupation_codebook
-from panelstat.plans.profile import HH_DISTS, PER_DISTS, profile_left, state_profile
+from panelstat.plans.profile import HH_DISTS, PER_DISTS, profile_left, state_profile, state_profile_v2
 from panelstat.plans.registry import r6, register, sql_r6
 from panelstat.plans.views import households, persons, with_views
-from panelstat.sources.codebooks import AGE_BANDS
+from panelstat.sources.codebooks import AGE_BANDS, STATUS, status_codebook
 from panelstat.sources.sinks import profile_json
 
 _K = "state IS NOT NULL AND sector IS NOT NULL"
@@ -106,3 +106,31 @@ def q_profile_json(spark, sf_dir):
     long = state_profile(households(spark, sf_dir), persons(spark, sf_dir), industry_codebook(spark),
                          occupation_codebook(spark))
     return profile_json(r6(long))
+
+
+_HH2 = "(SELECT * REPLACE (multiplier AS weight) FROM household_v)"
+_PER2 = (f"(SELECT p.* REPLACE (p.multiplier AS weight), st.label AS _status FROM person_v p "
+         f"LEFT JOIN {S.values_table([(c, l) for c, l, _ in STATUS], ['code', 'label'], 'st')} ON st.code = p.status_code)")
+_BANDS2 = " UNION ALL ".join(
+    f"SELECT state, sector, 'age_distribution' AS metric, '{b[0]}' AS category, \"b_{b[0]}\" AS value FROM "
+    f"(SELECT state, sector, {S.bands('age', AGE_BANDS, prefix='b_')} FROM {_PER2} s WHERE {_K} GROUP BY state, sector) b"
+    for b in AGE_BANDS)
+PROFILE_V2_SQL = " UNION ALL ".join([
+    _scalar("total_households", "sum(weight)", _HH2),
+    _scalar("population_estimate", "sum(household_size * weight)", _HH2),
+    _scalar("avg_household_size", S.wmean("household_size"), _HH2),
+    _scalar("avg_monthly_expenditure", S.wmean("expenditure"), _HH2),
+    _median("median_monthly_expenditure", "expenditure", _HH2),
+    f"SELECT state, sector, metric, category, share AS value FROM "
+    f"({S.wdist(_unpivot_sql(_HH2, {m: c for m, (c, _) in HH_DISTS.items()}), ['state', 'sector', 'metric'], 'value', top_n=5)}) d",
+    _scalar("total_population", "sum(weight)", _PER2),
+    _BANDS2,
+    f"SELECT state, sector, metric, category, share AS value FROM "
+    f"({S.wdist(_unpivot_sql(_PER2, {'gender_ratio': 'gender', 'principal_activity_status': '_status'}), ['state', 'sector', 'metric'], 'value', top_n=5)}) d",
+])
+
+
+@register("profile_v2", with_views(sql_r6(PROFILE_V2_SQL, ["value"])))
+def q_profile_v2(spark, sf_dir):
+    """Older profile variant: raw multipliers, population estimate, top-5 unrounded shares, activity status."""
+    return r6(state_profile_v2(households(spark, sf_dir), persons(spark, sf_dir), status_codebook(spark)))

@@ -158,3 +158,40 @@ def profile_left(hh: DataFrame, per: DataFrame) -> DataFrame:
     h = est._drop_null_keys(hh, ["state"]).groupBy("state").agg(F.sum("weight").alias("total_households"))
     p = est._drop_null_keys(per, ["state"]).groupBy("state").agg(F.sum("weight").alias("total_population"))
     return h.join(p, "state", "left")
+
+
+def _weighted_sum(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
+    """Sum of value x weight of one numeric metric (A7 population estimate)."""
+    return (pre.where(F.col("metric") == metric).groupBy(*keys).agg(F.sum(F.col("num") * F.col("w")).alias("value"))
+            .select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("string").alias("category"), "value"))
+
+
+def state_profile_v2(hh: DataFrame, per: DataFrame, statuses: DataFrame) -> DataFrame:
+    """The older profile variant: raw multipliers as weights (A2), population
+    estimate (A7), top-5 unrounded distributions, total population and the
+    principal activity status distribution, same single-pass layout."""
+    hh = est._drop_null_keys(hh, KEYS).withColumn("weight", F.col("multiplier").cast("double"))
+    pre = metric_preaggregate(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()},
+                              {"household_size": "household_size", "expenditure": "expenditure"})
+    parts = [_total(pre, KEYS, "household_size", "total_households"),
+             _weighted_sum(pre, KEYS, "household_size", "population_estimate"),
+             _means(pre, KEYS, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"}),
+             _medians(pre, KEYS, {"median_monthly_expenditure": "expenditure"}),
+             est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*KEYS, "metric"], "category",
+                                       "w", top_n=5).withColumnRenamed("share", "value")]
+    per = est._drop_null_keys(per, KEYS).withColumn("weight", F.col("multiplier").cast("double"))
+    per = lookup(per, statuses, {"code": F.col("status_code")}, out="_status")
+    ppre = metric_preaggregate(per, KEYS, {"gender_ratio": "gender", "principal_activity_status": "_status"},
+                               {"age": "age"})
+    ages = ppre.where(F.col("metric") == "age").groupBy(*KEYS).agg(*est.band_exprs("num", AGE_BANDS, "w", prefix="age_"))
+    band_pairs = ", ".join(f"'{b[0]}', `age_{b[0]}`" for b in AGE_BANDS)
+    parts += [_total(ppre, KEYS, "age", "total_population"),
+              ages.select(*KEYS, F.lit("age_distribution").alias("metric"),
+                          F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)")),
+              est.weighted_distribution(ppre.where(F.col("metric") != "age"), [*KEYS, "metric"], "category", "w",
+                                        top_n=5).withColumnRenamed("share", "value")]
+    cols = [*KEYS, "metric", "category", "value"]
+    out = parts[0].select(cols)
+    for p in parts[1:]:
+        out = out.unionByName(p.select(cols))
+    return out
