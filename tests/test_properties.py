@@ -87,3 +87,21 @@ def test_unit_weights_equal_unweighted_without_nulls(spark, rows):
     a = {(r["g"], r["category"]): r["share"] for r in est.weighted_distribution(df, ["g"], "v", "w", top_n=None).collect()}
     b = {(r["g"], r["category"]): r["share"] for r in est.distribution(df, ["g"], "v").collect()}
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
+
+
+@SETTINGS
+@given(rows=NUMS)
+def test_exact_quantiles_match_numpy(spark, rows):
+    import numpy as np
+    df = spark.createDataFrame(rows, "g string, v double, w double")
+    probs = [0.1, 0.25, 0.5, 0.75, 0.9]
+    got = {r["g"]: [r[f"p{int(round(p * 100))}"] for p in probs]
+           for r in est.exact_quantiles(df, ["g"], "v", probs).collect()}
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        vals = [v for gg, v, _ in rows if gg == g and v is not None]
+        if vals:
+            want[g] = list(np.percentile(vals, [p * 100 for p in probs]))
+    assert set(got) == set(want)
+    for g in want:
+        assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
