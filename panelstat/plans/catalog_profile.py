@@ -27,50 +27,70 @@ def _unpivot_sql(src: str, cols: dict[str, str]) -> str:
         for m, c in cols.items()) + ")"
 
 
-def _scalar(metric: str, expr: str, src: str) -> str:
-    return (f"SELECT state, sector, '{metric}' AS metric, CAST(NULL AS VARCHAR) AS category, {expr} AS value "
-            f"FROM {src} s WHERE {_K} GROUP BY state, sector")
+def _kc(keys) -> tuple[str, str]:
+    return ", ".join(keys), " AND ".join(f"{k} IS NOT NULL" for k in keys)
 
 
-def _median(metric: str, col: str, src: str) -> str:
-    return (f"SELECT state, sector, '{metric}' AS metric, CAST(NULL AS VARCHAR) AS category, median AS value "
-            f"FROM ({S.wmedian(src, ['state', 'sector'], col)}) m")
+def _scalar(metric: str, expr: str, src: str, keys=("state", "sector")) -> str:
+    ks, cond = _kc(keys)
+    return (f"SELECT {ks}, '{metric}' AS metric, CAST(NULL AS VARCHAR) AS category, {expr} AS value "
+            f"FROM {src} s WHERE {cond} GROUP BY {ks}")
 
 
-_HH_DIST = S.wdist(_unpivot_sql("household_v", {m: c for m, (c, _) in HH_DISTS.items()}),
-                   ["state", "sector", "metric"], "value", top_n=100)
-_PER_DIST = S.wdist(_unpivot_sql(_PER_SRC, PER_DISTS), ["state", "sector", "metric"], "value", top_n=5, digits=2)
-_BANDS = " UNION ALL ".join(
-    f"SELECT state, sector, 'age_distribution' AS metric, '{b[0]}' AS category, \"b_{b[0]}\" AS value FROM "
-    f"(SELECT state, sector, {S.bands('age', AGE_BANDS, prefix='b_')} FROM person_v WHERE {_K} GROUP BY state, sector) b"
-    for b in AGE_BANDS)
+def _median(metric: str, col: str, src: str, keys=("state", "sector")) -> str:
+    ks, _ = _kc(keys)
+    return (f"SELECT {ks}, '{metric}' AS metric, CAST(NULL AS VARCHAR) AS category, median AS value "
+            f"FROM ({S.wmedian(src, list(keys), col)}) m")
+
+
+def _unpivot_k(src: str, cols: dict[str, str], keys) -> str:
+    ks, _ = _kc(keys)
+    return "(" + " UNION ALL ".join(
+        f"SELECT {ks}, weight, '{m}' AS metric, CAST({c} AS VARCHAR) AS value FROM {src} s"
+        for m, c in cols.items()) + ")"
+
+
+def profile_sql(keys=("state", "sector"), rounded: bool = True) -> str:
+    """Oracle text of ``state_profile(keys, rounded)``."""
+    keys = list(keys)
+    ks, cond = _kc(keys)
+    hh_dist = S.wdist(_unpivot_k("household_v", {m: c for m, (c, _) in HH_DISTS.items()}, keys),
+                      [*keys, "metric"], "value", top_n=100)
+    per_dist = S.wdist(_unpivot_k(_PER_SRC, PER_DISTS, keys), [*keys, "metric"], "value", top_n=5,
+                       digits=2 if rounded else None)
+    hh_value = ("CASE WHEN metric = 'household_type' THEN round(share, 3) ELSE round(share, 2) END"
+                if rounded else "share")
+    bands = " UNION ALL ".join(
+        f"SELECT {ks}, 'age_distribution' AS metric, '{b[0]}' AS category, \"b_{b[0]}\" AS value FROM "
+        f"(SELECT {ks}, {S.bands('age', AGE_BANDS, prefix='b_')} FROM person_v WHERE {cond} GROUP BY {ks}) b"
+        for b in AGE_BANDS)
+    describe = " UNION ALL ".join(
+        f"SELECT {ks}, 'expenditure_distribution' AS metric, '{k}' AS category, {e} AS value "
+        f"FROM household_v WHERE {cond} GROUP BY {ks} HAVING count(expenditure) > 0"
+        for k, e in _DESC_COLS)
+    return " UNION ALL ".join([
+        _scalar("total_households", "sum(weight)", "household_v", keys),
+        _scalar("avg_household_size", S.wmean("household_size"), "household_v", keys),
+        _scalar("avg_monthly_expenditure", S.wmean("expenditure"), "household_v", keys),
+        _median("median_monthly_expenditure", "expenditure", "household_v", keys),
+        f"SELECT {ks}, metric, category, {hh_value} AS value FROM ({hh_dist}) d",
+        describe,
+        _scalar("avg_years_formal_education", S.wmean("years_formal_education"), "person_v", keys),
+        _scalar("avg_regular_wage_earning", S.wmean("regular_earning"), "person_v", keys),
+        _scalar("avg_self_employed_earning", S.wmean("self_employed_earning"), "person_v", keys),
+        bands,
+        _median("median_regular_wage_earning", "regular_earning", "person_v", keys),
+        _median("median_self_employed_earning", "self_employed_earning", "person_v", keys),
+        f"SELECT {ks}, metric, category, share AS value FROM ({per_dist}) d",
+    ])
+
 
 _DESC_COLS = [("count", "CAST(count(expenditure) AS DOUBLE)"), ("mean", "avg(expenditure)"),
               ("std", "stddev_samp(expenditure)"), ("min", "min(expenditure)"),
               ("10%", "quantile_cont(expenditure, 0.1)"), ("25%", "quantile_cont(expenditure, 0.25)"),
               ("50%", "quantile_cont(expenditure, 0.5)"), ("75%", "quantile_cont(expenditure, 0.75)"),
               ("90%", "quantile_cont(expenditure, 0.9)"), ("max", "max(expenditure)")]
-_DESCRIBE = " UNION ALL ".join(
-    f"SELECT state, sector, 'expenditure_distribution' AS metric, '{k}' AS category, {e} AS value "
-    f"FROM household_v WHERE {_K} GROUP BY state, sector HAVING count(expenditure) > 0"
-    for k, e in _DESC_COLS)
-
-PROFILE_SQL = " UNION ALL ".join([
-    _scalar("total_households", "sum(weight)", "household_v"),
-    _scalar("avg_household_size", S.wmean("household_size"), "household_v"),
-    _scalar("avg_monthly_expenditure", S.wmean("expenditure"), "household_v"),
-    _median("median_monthly_expenditure", "expenditure", "household_v"),
-    f"SELECT state, sector, metric, category, CASE WHEN metric = 'household_type' THEN round(share, 3) "
-    f"ELSE round(share, 2) END AS value FROM ({_HH_DIST}) d",
-    _DESCRIBE,
-    _scalar("avg_years_formal_education", S.wmean("years_formal_education"), "person_v"),
-    _scalar("avg_regular_wage_earning", S.wmean("regular_earning"), "person_v"),
-    _scalar("avg_self_employed_earning", S.wmean("self_employed_earning"), "person_v"),
-    _BANDS,
-    _median("median_regular_wage_earning", "regular_earning", "person_v"),
-    _median("median_self_employed_earning", "self_employed_earning", "person_v"),
-    f"SELECT state, sector, metric, category, share AS value FROM ({_PER_DIST}) d",
-])
+PROFILE_SQL = profile_sql()
 
 
 @register("profile_urban_rural", with_views(sql_r6(PROFILE_SQL, ["value"])))
@@ -134,3 +154,10 @@ PROFILE_V2_SQL = " UNION ALL ".join([
 def q_profile_v2(spark, sf_dir):
     """Older profile variant: raw multipliers, population estimate, top-5 unrounded shares, activity status."""
     return r6(state_profile_v2(households(spark, sf_dir), persons(spark, sf_dir), status_codebook(spark)))
+
+
+@register("profile_by_state", with_views(sql_r6(profile_sql(["state"], rounded=False), ["value"])))
+def q_profile_by_state(spark, sf_dir):
+    """Profile without the sector split and without rounded shares."""
+    return r6(state_profile(households(spark, sf_dir), persons(spark, sf_dir), industry_codebook(spark),
+                            occupation_codebook(spark), keys=["state"], rounded=False))

@@ -103,54 +103,58 @@ def _describe(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
                        F.expr(f"stack({len(cols)}, {pairs}) AS (category, value)"))
 
 
-def household_metrics(hh: DataFrame) -> DataFrame:
-    hh = est._drop_null_keys(hh, KEYS)
-    pre = metric_preaggregate(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()},
+def household_metrics(hh: DataFrame, keys=KEYS, rounded: bool = True) -> DataFrame:
+    hh = est._drop_null_keys(hh, keys)
+    pre = metric_preaggregate(hh, keys, {m: c for m, (c, _) in HH_DISTS.items()},
                               {"household_size": "household_size", "expenditure": "expenditure"})
-    total = _total(pre, KEYS, "household_size", "total_households")
-    means = _means(pre, KEYS, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"})
-    med = _medians(pre, KEYS, {"median_monthly_expenditure": "expenditure"})
-    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*KEYS, "metric"], "category",
+    total = _total(pre, keys, "household_size", "total_households")
+    means = _means(pre, keys, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"})
+    med = _medians(pre, keys, {"median_monthly_expenditure": "expenditure"})
+    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*keys, "metric"], "category",
                                      "w", top_n=100)
-    dist = dist.select(*KEYS, "metric", "category",
-                       F.when(F.col("metric") == "household_type", F.round("share", 3))
-                       .otherwise(F.round("share", 2)).alias("value"))
-    desc = _describe(pre, KEYS, "expenditure", "expenditure_distribution")
-    cols = [*KEYS, "metric", "category", "value"]
+    value = (F.when(F.col("metric") == "household_type", F.round("share", 3)).otherwise(F.round("share", 2))
+             if rounded else F.col("share"))
+    dist = dist.select(*keys, "metric", "category", value.alias("value"))
+    desc = _describe(pre, keys, "expenditure", "expenditure_distribution")
+    cols = [*keys, "metric", "category", "value"]
     return (total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
             .unionByName(desc.select(cols)))
 
 
-def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame) -> DataFrame:
-    per = est._drop_null_keys(per, KEYS)
+def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame, keys=KEYS,
+                   rounded: bool = True) -> DataFrame:
+    per = est._drop_null_keys(per, keys)
     per = per.withColumn("_voc", est.yes_no("vocational_training"))
     per = lookup(per.withColumn("_ipfx", F.substring("industry_code", 1, 2)), industry, {"code": F.col("_ipfx")},
                  out="_ind")
     per = lookup(per.withColumn("_opfx", F.substring("occupation_code", 1, 3)), occupation,
                  {"code": F.col("_opfx")}, out="_occ")
     per = per.withColumns({"_ind": F.coalesce("_ind", "_ipfx"), "_occ": F.coalesce("_occ", "_opfx")})
-    pre = metric_preaggregate(per, KEYS, PER_DISTS,
+    pre = metric_preaggregate(per, keys, PER_DISTS,
                               {"years_formal_education": "years_formal_education", "regular_earning": "regular_earning",
                                "self_employed_earning": "self_employed_earning", "age": "age"})
-    means = _means(pre, KEYS, {"avg_years_formal_education": "years_formal_education",
+    means = _means(pre, keys, {"avg_years_formal_education": "years_formal_education",
                                "avg_regular_wage_earning": "regular_earning",
                                "avg_self_employed_earning": "self_employed_earning"})
-    ages = pre.where(F.col("metric") == "age").groupBy(*KEYS).agg(*est.band_exprs("num", AGE_BANDS, "w", prefix="age_"))
+    ages = pre.where(F.col("metric") == "age").groupBy(*keys).agg(*est.band_exprs("num", AGE_BANDS, "w", prefix="age_"))
     band_pairs = ", ".join(f"'{b[0]}', `age_{b[0]}`" for b in AGE_BANDS)
-    bands = ages.select(*KEYS, F.lit("age_distribution").alias("metric"),
+    bands = ages.select(*keys, F.lit("age_distribution").alias("metric"),
                         F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)"))
-    med = _medians(pre, KEYS, {"median_regular_wage_earning": "regular_earning",
+    med = _medians(pre, keys, {"median_regular_wage_earning": "regular_earning",
                                "median_self_employed_earning": "self_employed_earning"})
-    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*PER_DISTS)), [*KEYS, "metric"], "category",
-                                     "w", top_n=5, digits=2).withColumnRenamed("share", "value")
-    cols = [*KEYS, "metric", "category", "value"]
+    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*PER_DISTS)), [*keys, "metric"], "category",
+                                     "w", top_n=5, digits=2 if rounded else None).withColumnRenamed("share", "value")
+    cols = [*keys, "metric", "category", "value"]
     return (means.select(cols).unionByName(bands.select(cols)).unionByName(med.select(cols))
             .unionByName(dist.select(cols)))
 
 
-def state_profile(hh: DataFrame, per: DataFrame, industry: DataFrame, occupation: DataFrame) -> DataFrame:
-    """All metrics, both sides, long form (A19 + J9 full-outer merge by union)."""
-    return household_metrics(hh).unionByName(person_metrics(per, industry, occupation))
+def state_profile(hh: DataFrame, per: DataFrame, industry: DataFrame, occupation: DataFrame, keys=KEYS,
+                  rounded: bool = True) -> DataFrame:
+    """All metrics, both sides, long form (A19 + J9 full-outer merge by union).
+    ``keys=["state"]``, ``rounded=False`` gives the variant without the sector
+    split and without rounded shares."""
+    return household_metrics(hh, keys, rounded).unionByName(person_metrics(per, industry, occupation, keys, rounded))
 
 
 def profile_left(hh: DataFrame, per: DataFrame) -> DataFrame:
