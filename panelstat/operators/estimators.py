@@ -216,7 +216,7 @@ def yes_no(col) -> Column:
 # ------------------------------------------------------------- cumulative
 
 
-def _cumulative(df: DataFrame, keys: list[str], value: str, weight) -> DataFrame:
+def _cumulative(df: DataFrame, keys: list[str], value: str, weight, count_col: str | None = None) -> DataFrame:
     """Rows ``keys, _v, _cw, _cum, _tot``: weight per distinct value and the
     running weight up to and including it, in value order within each group.
 
@@ -226,25 +226,32 @@ def _cumulative(df: DataFrame, keys: list[str], value: str, weight) -> DataFrame
     written out with the rows (a Parquet table in the shared checkpoint
     folder), so the ids used for the offsets are the ones the rows keep if a
     task is retried.
+
+    With ``count_col`` a second running sum of that column (row counts) is
+    carried in the same pass as ``_cn, _ncum, _ntot``, so a weighted median
+    and count-based quantiles share one range partitioning.
     """
     spark = df.sparkSession
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    sums = [F.sum(_w(weight)).alias("_cw")] + ([F.sum(F.col(count_col)).alias("_cn")] if count_col else [])
     pre = (_drop_null_keys(df, keys).where(_c(value).isNotNull())
-           .groupBy(*keys, _c(value).alias("_v")).agg(F.sum(_w(weight)).alias("_cw")))
+           .groupBy(*keys, _c(value).alias("_v")).agg(*sums))
     ranged = (pre.repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col("_v"))
               .withColumn("_pid", F.spark_partition_id()))
     from panelstat.session import materialize
     ranged = materialize(ranged, "cumulative")
-    part = ranged.groupBy(*keys, "_pid").agg(F.sum("_cw").alias("_ps"))
+    cols = [("_cw", "_cum", "_tot")] + ([("_cn", "_ncum", "_ntot")] if count_col else [])
+    part = ranged.groupBy(*keys, "_pid").agg(*[F.sum(c).alias(f"_ps{c}") for c, _, _ in cols])
     gw = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    offsets = part.select(*keys, "_pid",
-                          (F.sum("_ps").over(gw.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0))
-                           - F.col("_ps")).alias("_off"),
-                          F.sum("_ps").over(gw).alias("_tot"))
+    running = gw.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
+    offsets = part.select(*keys, "_pid", *[x for c, _, tot in cols for x in (
+        (F.sum(f"_ps{c}").over(running) - F.col(f"_ps{c}")).alias(f"_off{c}"),
+        F.sum(f"_ps{c}").over(gw).alias(tot))])
     within = Window.partitionBy(*keys, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumn("_lcum", F.sum("_cw").over(within))
+    local = ranged.withColumns({f"_l{c}": F.sum(c).over(within) for c, _, _ in cols})
     return (local.join(offsets, [*keys, "_pid"])
-            .select(*keys, "_v", "_cw", (F.col("_lcum") + F.col("_off")).alias("_cum"), "_tot"))
+            .select(*keys, "_v", *[x for c, cum, tot in cols for x in (
+                F.col(c), (F.col(f"_l{c}") + F.col(f"_off{c}")).alias(cum), F.col(tot))]))
 
 
 def weighted_median(df: DataFrame, keys, value: str, weight=None, name: str = "median") -> DataFrame:
@@ -266,15 +273,22 @@ def exact_quantiles(df: DataFrame, keys, value: str, probs: Sequence[float],
     keys = _keys(keys)
     names = list(names) if names else [f"p{int(round(p * 100))}" for p in probs]
     cum = _cumulative(df, keys, value, count)  # _cw = count, _cum = running count
-    # value at 0-based rank k is the first value with _cum > k
+    return quantiles_from_cumulative(cum, keys, probs, names)
+
+
+def quantiles_from_cumulative(cum: DataFrame, keys, probs: Sequence[float], names: Sequence[str],
+                              cum_col: str = "_cum", tot_col: str = "_tot") -> DataFrame:
+    """Interpolated quantiles from running row counts (see ``_cumulative``)."""
+    keys = _keys(keys)
+    # value at 0-based rank k is the first value with running count > k
     lo_hi = []
     for p, nm in zip(probs, names):
-        pos = (F.col("_tot") - 1) * F.lit(float(p))
+        pos = (F.col(tot_col) - 1) * F.lit(float(p))
         lo_hi += [
-            F.min(F.when(F.col("_cum") > F.floor(pos), F.col("_v"))).alias(f"{nm}__lo"),
-            F.min(F.when(F.col("_cum") > F.ceil(pos), F.col("_v"))).alias(f"{nm}__hi"),
+            F.min(F.when(F.col(cum_col) > F.floor(pos), F.col("_v"))).alias(f"{nm}__lo"),
+            F.min(F.when(F.col(cum_col) > F.ceil(pos), F.col("_v"))).alias(f"{nm}__hi"),
         ]
-    agg = cum.groupBy(*keys).agg(F.max("_tot").alias("_n"), *lo_hi)
+    agg = cum.groupBy(*keys).agg(F.max(tot_col).alias("_n"), *lo_hi)
     outs = []
     for p, nm in zip(probs, names):
         pos = (F.col("_n") - 1) * F.lit(float(p))

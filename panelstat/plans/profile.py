@@ -81,7 +81,7 @@ def _total(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
 DESCRIBE_NAMES = ["count", "mean", "std", "min", "10%", "25%", "50%", "75%", "90%", "max"]
 
 
-def _describe(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
+def _describe(pre: DataFrame, keys, metric: str, name: str, cum: DataFrame | None = None) -> DataFrame:
     """Unweighted describe (A8) of one numeric metric from the pre-aggregate:
     row counts per distinct value give count/mean/min/max, a second pass over
     the distinct values gives the sample std, and the cumulative counts give
@@ -94,7 +94,9 @@ def _describe(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
            .groupBy(*keys).agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"),
                                F.sum(n).alias("_n")))
     std = dev.select(*keys, F.sqrt(F.try_divide(F.col("_ss"), F.when(F.col("_n") > 1, F.col("_n") - 1))).alias("std"))
-    q = est.exact_quantiles(src, keys, "num", est.DESCRIBE_PROBS, ["q10", "q25", "q50", "q75", "q90"], count="n")
+    qnames = ["q10", "q25", "q50", "q75", "q90"]
+    q = (est.quantiles_from_cumulative(cum, keys, est.DESCRIBE_PROBS, qnames, "_ncum", "_ntot") if cum is not None
+         else est.exact_quantiles(src, keys, "num", est.DESCRIBE_PROBS, qnames, count="n"))
     wide = mom.join(std, keys, "left").join(q, keys, "left")
     cols = {"count": "count", "mean": "mean", "std": "std", "min": "min", "10%": "q10", "25%": "q25",
             "50%": "q50", "75%": "q75", "90%": "q90", "max": "max"}
@@ -109,13 +111,20 @@ def household_metrics(hh: DataFrame, keys=KEYS, rounded: bool = True) -> DataFra
                               {"household_size": "household_size", "expenditure": "expenditure"})
     total = _total(pre, keys, "household_size", "total_households")
     means = _means(pre, keys, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"})
-    med = _medians(pre, keys, {"median_monthly_expenditure": "expenditure"})
+    # one cumulative pass over expenditure serves the weighted median and the
+    # count-based describe quantiles
+    exp = pre.where(F.col("metric") == "expenditure")
+    cum = est._cumulative(exp, keys, "num", "w", count_col="n")
+    med = (cum.where(F.col("_cum") >= F.col("_tot") / 2).groupBy(*keys)
+           .agg(F.min("_v").cast("double").alias("value"))
+           .select(*keys, F.lit("median_monthly_expenditure").alias("metric"),
+                   F.lit(None).cast("string").alias("category"), "value"))
     dist = est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*keys, "metric"], "category",
                                      "w", top_n=100)
     value = (F.when(F.col("metric") == "household_type", F.round("share", 3)).otherwise(F.round("share", 2))
              if rounded else F.col("share"))
     dist = dist.select(*keys, "metric", "category", value.alias("value"))
-    desc = _describe(pre, keys, "expenditure", "expenditure_distribution")
+    desc = _describe(pre, keys, "expenditure", "expenditure_distribution", cum)
     cols = [*keys, "metric", "category", "value"]
     return (total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
             .unionByName(desc.select(cols)))
