@@ -2,14 +2,15 @@
 
 On a cluster the session comes from the platform and already names a shared
 ``spark.checkpoint.dir``; we only read it. A private folder is created only when
-the setting is missing (local runs and tests).
+the setting is missing and the session runs in this process (local runs, tests).
 """
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _CKPT_KEY = "spark.checkpoint.dir"
 
@@ -39,25 +40,32 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared checkpoint folder named by the cluster; set a local one only if unset."""
-    current = spark.conf.get(_CKPT_KEY, None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    """Shared checkpoint folder named by the cluster. A folder of this machine
+    takes its place only where driver and executors are one process."""
+    context = spark.sparkContext
+    current = spark.conf.get(_CKPT_KEY, None) or context.getCheckpointDir()
     if not current:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {_CKPT_KEY} to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="panelstat-ckpt-")
         spark.conf.set(_CKPT_KEY, current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(current)
     return current
 
 
-def materialize(df, name: str = "table"):
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder, deleted when the session's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
+    return path
+
+
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Cut lineage by writing ``df`` as Parquet under the shared checkpoint
     folder and reading it back: one job, columnar and compressed, and the
     result survives executor loss (unlike caching or local checkpoints)."""
-    import uuid
-
-    spark = df.sparkSession
-    path = checkpoint_dir(spark).rstrip("/") + f"/tables/{name}-{uuid.uuid4().hex}"
+    path = shared_path(df.sparkSession, name)
     df.write.mode("error").parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
