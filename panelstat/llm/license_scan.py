@@ -166,11 +166,11 @@ def _oracle() -> str:
 
     def words(col: str) -> str:
         return (f"list_filter(string_split(regexp_replace({col}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'), ' '),"
-                " x -> x <> '')")
+                " lambda x: x <> '')")
 
     def starts(phrase: str) -> str:
         test = " AND ".join(f"words[i + {k}] = '{w}'" for k, w in enumerate(phrase.split(), 1))
-        return f"list_filter(range(len(words)), i -> {test})"
+        return f"list_filter(range(len(words)), lambda i: {test})"
 
     def quoted(items: list[str]) -> str:
         return "[" + ", ".join(f"'{x}'" for x in items) + "]"
@@ -183,7 +183,7 @@ WITH d AS (SELECT doc_id, {lower} AS lowered FROM documents),
 w AS (SELECT doc_id, lowered, {words('lowered')} AS words FROM d),
 p AS (SELECT doc_id, lowered, len(words) AS n_words, {', '.join(f'{starts(p)} AS at_{k}' for k, (p, _) in enumerate(PHRASES))} FROM w),
 q AS (SELECT doc_id, lowered, n_words, {' || '.join(f'at_{k}' for k in range(len(PHRASES)))} AS hits,
-      list_filter([{named}], x -> x IS NOT NULL) AS named FROM p),
+      list_filter([{named}], lambda x: x IS NOT NULL) AS named FROM p),
 lines AS (SELECT doc_id, unnest(string_split(lowered, chr(10))) AS line FROM d),
 b AS (SELECT doc_id, {words('line')} AS block FROM lines),
 t AS (SELECT * FROM (VALUES {rows}) v(label, tokens, size, need)),

@@ -2,10 +2,13 @@
 
 from panelstat.llm import exact_dedup, license_scan
 from panelstat.llm.exact_dedup import op7_exact_dedup
+from panelstat.llm.jaccard_join import op3_jaccard_join
 from panelstat.llm.license_scan import op10_license_scan
+from panelstat.llm.quality import op1_quality_classifier
 from panelstat.llm.secret_scan import op9_secret_scan
 from panelstat.llm.token_files import op2_token_files
 
-QUERIES = {f.__name__: f for f in (op2_token_files, op7_exact_dedup, op9_secret_scan, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_classifier, op2_token_files, op3_jaccard_join, op7_exact_dedup, op9_secret_scan, op10_license_scan)}
 
 ORACLE = {"op7_exact_dedup": exact_dedup.ORACLE, "op10_license_scan": license_scan.ORACLE}
