@@ -1,31 +1,67 @@
 """Corpus pipeline: five stages over ``documents``, each by one operator.
 
-Every stage reads what its predecessor kept, as Parquet, and all but the last
-return the columns of ``documents``.
+Every stage works on all that its predecessor kept, written as Parquet and read
+again, and all but the last return the columns of ``documents`` (extra columns are
+carried along). Nulls, empty texts, ties and empty tables: see the operators'
+docstrings.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelstat.llm.common import read_table
 from panelstat.llm.exact_dedup import drop_exact_copies
+from panelstat.llm.jaccard_join import drop_near_copies
+from panelstat.llm.mixing import mixed
+from panelstat.llm.piece_transducer import with_pieces
+from panelstat.llm.quality import fit, keep_quality
 from panelstat.session import materialize
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_quality(docs, fit(docs, read_table(spark, sf_dir, "labels")))
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts (A-Z lower-cased) the row with the largest doc_id stays."""
     return drop_exact_copies(docs)
 
 
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near copies (five-word shingles, Jaccard similarity
+    0.8 or more) the row with the smallest doc_id stays."""
+    return drop_near_copies(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, in the order that interleaves the sources at their target weights."""
+    return mixed(docs)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' columns and their piece ids (packed unsigned 32-bit
+    numbers), counts, digest and round-trip check, named ``sp_...``."""
+    import public_tokenizers
+
+    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), prefix="sp_")
+
+
 STAGES = [
-    ("exact_dedup", exact_copies),
+    ("quality", quality),
+    ("exact_copies", exact_copies),
+    ("near_copies", near_copies),
+    ("mix", mix),
+    ("pieces", pieces),
 ]
 
+# The classifier's decisions are learned, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = read_table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs
