@@ -66,9 +66,15 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a row whose id repeats with another text stays if that id stays with
     either; rows equal in id and text are one."""
     kept = (exact_groups(df, id_col, text_col, salts).where("kept")
-            .select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha")).distinct())
+            .groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
+            .agg(F.count(F.lit(1)).alias("times")))
     digest = sha256_hex(ascii_lower(F.coalesce(df[text_col], F.lit(""))))
-    return df.join(kept, df[id_col].eqNullSafe(F.col("kept_id")) & (digest == F.col("kept_sha")), "left_semi")
+
+    def found(which: DataFrame) -> DataFrame:
+        return df.join(which, df[id_col].eqNullSafe(which["kept_id"]) & (digest == which["kept_sha"]), "left_semi")
+
+    repeated = found(kept.where("times > 1")).withColumn("__sha__", digest).dropDuplicates([id_col, "__sha__"])
+    return found(kept.where("times = 1")).unionByName(repeated.drop("__sha__"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -274,8 +274,8 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return ids.map(lambda x: bool(table[x % len(table)]))
 
     flagged = F.col(id_col).isNotNull() & maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
-    sure = df.where(~flagged)
-    return sure.unionByName(df.where(flagged).join(dropped, F.col(id_col) == F.col("key"), "left_anti"))
+    unsure = df.where(flagged)
+    return df.where(~flagged).unionByName(unsure.join(dropped, unsure[id_col] == dropped["key"], "left_anti"))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,9 +85,9 @@ def attribute(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarr
     if rule == "start":
         own = (lo[section] <= starts[token])
     else:
-        order = np.lexsort((section, -overlap, token))
+        order = np.lexsort((section, -overlap, token))  # each token's best section comes first
         own = np.zeros(len(token), dtype=bool)
-        own[order[np.concatenate([[True], np.diff(token[order]) > 0])]] = True if len(token) else False
+        own[order[np.unique(token[order], return_index=True)[1]]] = True
     counts += np.bincount(section[own], minlength=m)
     return counts, crossing, float(len(starts) - np.count_nonzero(own))
 
