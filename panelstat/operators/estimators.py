@@ -36,6 +36,20 @@ def _w(weight) -> Column:
     return F.lit(1.0) if weight is None else _c(weight).cast("double")
 
 
+# Weights are added up as decimals wherever sums are compared or ranked: sums of
+# doubles depend on the order of the rows, and so on the partitions.
+WEIGHT_TYPE, SUM_TYPE = "decimal(26,12)", "decimal(36,12)"
+
+
+def _exact(weight) -> Column:
+    return F.lit(1).cast(WEIGHT_TYPE) if weight is None else _c(weight).cast(WEIGHT_TYPE)
+
+
+def _sum(col: Column | str) -> Column:
+    """An exact sum of weights or of sums of weights."""
+    return F.sum(col).cast(SUM_TYPE)
+
+
 def _drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     cond = None
     for k in keys:
@@ -45,13 +59,18 @@ def _drop_null_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def _ratio(num: Column, den: Column) -> Column:
-    return F.try_divide(num, den)
+    return F.try_divide(num.cast("double"), den.cast("double"))
 
 
 def _round(c: Column, digits: int | None) -> Column:
     return c if digits is None else F.round(c, digits)
 
 
+def _wsum(col: Column, window) -> Column:
+    """An exact sum of weight sums over a window."""
+    return F.sum(col.cast(SUM_TYPE)).over(window).cast(SUM_TYPE)
+
+
 # --------------------------------------------------------------------------- A3
 
 
@@ -69,49 +88,53 @@ def weighted_distribution(df: DataFrame, keys, value: str, weight=None, top_n: i
     """
     keys = _keys(keys)
     base = _drop_null_keys(df, keys).select(*keys, _c(value).cast("string").alias("category"),
-                                            _w(weight).alias("_wt"))
+                                            _exact(weight).alias("_wt"))
     # weight per category, null values kept as a null category for the
     # all-rows denominator
-    per_cat = base.groupBy(*keys, "category").agg(F.sum("_wt").alias("_cw"))
+    per_cat = base.groupBy(*keys, "category").agg(_sum("_wt").alias("_cw"))
     kw = Window.partitionBy(*keys)
     order = [F.col("_cw").desc(), F.col("category")]
 
-    if top_n is None or denominator == "all":
-        tot = F.sum(F.when(F.col("category").isNotNull() | F.lit(denominator == "all"), F.col("_cw"))).over(kw)
-        ranked = (per_cat.withColumn("_tot", tot).where(F.col("category").isNotNull())
-                  .withColumn("rank", F.row_number().over(kw.orderBy(*order))))
-        if top_n is None:
-            return ranked.select(*keys, "category", "rank",
-                                 _round(_ratio(F.col("_cw"), F.col("_tot")), digits).alias("share"))
-        folded = ranked.withColumn("_top", F.col("rank") <= top_n)
-    else:
-        # Top-n in two steps so no task holds every category of a hot group:
-        # each (keys, hash bucket) keeps its best n categories plus one
-        # remainder row; one window over keys then ranks at most
-        # buckets x (n + 1) rows and totals the weight. Each step reuses the
-        # previous partitioning, so the source is scanned once.
-        nonnull = per_cat.where(F.col("category").isNotNull())
-        bucketed = nonnull.withColumn("_b", F.pmod(F.xxhash64("category"), F.lit(_TOPN_BUCKETS)))
-        r = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order))
-        marked = bucketed.withColumn("_r", r)
-        cand = F.struct(F.col("_cw").alias("w"), F.col("category").alias("c"))
-        buckets = marked.groupBy(*keys, "_b").agg(
-            F.collect_list(F.when(F.col("_r") <= top_n, cand)).alias("_cands"),
-            F.sum(F.when(F.col("_r") > top_n, F.col("_cw"))).alias("_rem"))
-        rows_ = F.concat(F.col("_cands"), F.array(F.struct(F.coalesce(F.col("_rem"), F.lit(0.0)).alias("w"),
-                                                            F.lit(None).cast("string").alias("c"))))
-        ex = buckets.select(*keys, F.explode(rows_).alias("_e")).select(
-            *keys, F.col("_e.c").alias("category"), F.col("_e.w").alias("_cw"))
-        rank_order = [F.col("category").isNull(), *order]
-        folded = (ex.withColumn("_tot", F.sum("_cw").over(kw))
-                  .withColumn("rank", F.row_number().over(kw.orderBy(*rank_order)))
-                  .withColumn("_top", F.col("category").isNotNull() & (F.col("rank") <= top_n)))
+    if top_n is None:
+        # a rank for every category: range partitions and offsets, as for medians
+        totals = per_cat.groupBy(*keys).agg(
+            _sum(F.when(F.col("category").isNotNull() | F.lit(denominator == "all"), F.col("_cw"))).alias("_tot"))
+        ranked = _running(per_cat.where(F.col("category").isNotNull()).withColumn("_one", F.lit(1)), keys, order,
+                          {"_one": ("rank", "_all")})
+        joined = (ranked.join(totals, keys) if keys else ranked.withColumn("_k", F.lit(0))
+                  .join(totals.withColumn("_k", F.lit(0)), "_k"))
+        return joined.select(*keys, "category", F.col("rank").cast("int").alias("rank"),
+                             _round(_ratio(F.col("_cw"), F.col("_tot")), digits).alias("share"))
+
+    # Top-n in two steps so no task holds every category of a hot group:
+    # each (keys, hash bucket) keeps its best n categories plus one
+    # remainder row; one window over keys then ranks at most
+    # buckets x (n + 2) rows and totals the weight. Each step reuses the
+    # previous partitioning, so the source is scanned once. The weight of
+    # null values rides along for the all-rows denominator.
+    bucketed = per_cat.withColumn("_b", F.pmod(F.xxhash64("category"), F.lit(_TOPN_BUCKETS)))
+    r = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.col("category").isNull(), *order))
+    marked = bucketed.withColumn("_r", F.when(F.col("category").isNotNull(), r))
+    cand = F.struct(F.col("_cw").alias("w"), F.col("category").alias("c"))
+    zero = F.lit(0).cast(SUM_TYPE)
+    buckets = marked.groupBy(*keys, "_b").agg(
+        F.collect_list(F.when(F.col("_r") <= top_n, cand)).alias("_cands"),
+        F.coalesce(_sum(F.when(F.col("_r") > top_n, F.col("_cw"))), zero).alias("_rem"),
+        F.coalesce(_sum(F.when(F.col("category").isNull(), F.col("_cw"))), zero).alias("_nul"))
+    rows_ = F.concat(F.col("_cands"), F.array(F.struct(F.col("_rem").alias("w"), F.lit(None).cast("string").alias("c"))))
+    ex = buckets.select(*keys, F.posexplode(rows_).alias("_i", "_e"), "_nul").select(
+        *keys, F.col("_e.c").alias("category"), F.col("_e.w").alias("_cw"),
+        F.when((F.col("_i") == 0) & F.lit(denominator == "all"), F.col("_nul")).otherwise(zero).alias("_extra"))
+    rank_order = [F.col("category").isNull(), *order]
+    folded = (ex.withColumn("_tot", _wsum(F.col("_cw") + F.col("_extra"), kw))
+              .withColumn("rank", F.row_number().over(kw.orderBy(*rank_order)))
+              .withColumn("_top", F.col("category").isNotNull() & (F.col("rank") <= top_n)))
 
     # top rows keep their category, everything else folds into one 'other'
     # row; the data is already partitioned by keys, so no shuffle here
     cat = F.when(F.col("_top"), F.col("category")).otherwise(F.lit(other_label))
     out = (folded.groupBy(*keys, "_top", cat.alias("_cat"))
-           .agg(F.sum("_cw").alias("_cw"), F.max("_tot").alias("_tot"), F.min("rank").alias("_rk"))
+           .agg(_sum("_cw").alias("_cw"), F.max("_tot").alias("_tot"), F.min("rank").alias("_rk"))
            .where(F.col("_top") | (F.col("_cw") > 0)))
     rank = F.when(F.col("_top"), F.col("_rk")).otherwise(F.lit(top_n + 1)).cast("int")
     return out.select(*keys, F.col("_cat").alias("category"), rank.alias("rank"),
@@ -216,42 +239,54 @@ def yes_no(col) -> Column:
 # ------------------------------------------------------------- cumulative
 
 
-def _cumulative(df: DataFrame, keys: list[str], value: str, weight, count_col: str | None = None) -> DataFrame:
-    """Rows ``keys, _v, _cw, _cum, _tot``: weight per distinct value and the
-    running weight up to and including it, in value order within each group.
+def _running(rows: DataFrame, keys: list[str], order: list[Column], sums: dict[str, tuple[str, str]]) -> DataFrame:
+    """Adds running sums in ``order`` within each group, and the groups'
+    totals: ``sums`` maps a column of exact numbers to the names of both.
 
-    Distinct values are range-partitioned on (keys, value), so a hot group is
+    The rows are range-partitioned on (keys, order), so a hot group is
     spread across partitions; each partition's running sum is offset by the
-    weight of the earlier partitions of the same group. The partition id is
+    sums of the earlier partitions of the same group. The partition id is
     written out with the rows (a Parquet table in the shared checkpoint
     folder), so the ids used for the offsets are the ones the rows keep if a
-    task is retried.
+    task is retried."""
+    from panelstat.session import materialize
+
+    spark = rows.sparkSession
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    ranged = materialize(rows.repartitionByRange(n_parts, *[F.col(k) for k in keys], *order)
+                         .withColumn("_pid", F.spark_partition_id()), "running")
+    kinds = dict(ranged.dtypes)
+    part = ranged.groupBy(*keys, "_pid").agg(*[F.sum(c).cast(_sum_type(kinds[c])).alias(f"_ps{c}") for c in sums])
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    earlier = group.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = part.select(*keys, "_pid", *[x for c, (_, total) in sums.items() for x in (
+        F.coalesce(F.sum(f"_ps{c}").over(earlier).cast(_sum_type(kinds[c])), F.lit(0).cast(_sum_type(kinds[c]))).alias(f"_off{c}"),
+        F.sum(f"_ps{c}").over(group).cast(_sum_type(kinds[c])).alias(total))])
+    within = Window.partitionBy(*keys, "_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranged.withColumns({name: F.sum(c).over(within).cast(_sum_type(kinds[c])) for c, (name, _) in sums.items()})
+    joined = local.join(offsets, [*keys, "_pid"])
+    return joined.withColumns({name: (F.col(name) + F.col(f"_off{c}")).cast(_sum_type(kinds[c]))
+                               for c, (name, _) in sums.items()}).drop("_pid", *[f"_off{c}" for c in sums])
+
+
+def _sum_type(kind: str) -> str:
+    return SUM_TYPE if kind.startswith("decimal") else "bigint"
+
+
+def _cumulative(df: DataFrame, keys: list[str], value: str, weight, count_col: str | None = None) -> DataFrame:
+    """Rows ``keys, _v, _cw, _cum, _tot``: weight per distinct value and the
+    running weight up to and including it, in value order within each group
+    (see ``_running``), as exact decimals.
 
     With ``count_col`` a second running sum of that column (row counts) is
     carried in the same pass as ``_cn, _ncum, _ntot``, so a weighted median
     and count-based quantiles share one range partitioning.
     """
-    spark = df.sparkSession
-    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    sums = [F.sum(_w(weight)).alias("_cw")] + ([F.sum(F.col(count_col)).alias("_cn")] if count_col else [])
+    sums = [_sum(_exact(weight)).alias("_cw")] + (
+        [F.sum(F.col(count_col).cast("bigint")).alias("_cn")] if count_col else [])
     pre = (_drop_null_keys(df, keys).where(_c(value).isNotNull())
            .groupBy(*keys, _c(value).alias("_v")).agg(*sums))
-    ranged = (pre.repartitionByRange(n_parts, *[F.col(k) for k in keys], F.col("_v"))
-              .withColumn("_pid", F.spark_partition_id()))
-    from panelstat.session import materialize
-    ranged = materialize(ranged, "cumulative")
-    cols = [("_cw", "_cum", "_tot")] + ([("_cn", "_ncum", "_ntot")] if count_col else [])
-    part = ranged.groupBy(*keys, "_pid").agg(*[F.sum(c).alias(f"_ps{c}") for c, _, _ in cols])
-    gw = Window.partitionBy(*keys) if keys else Window.partitionBy()
-    running = gw.orderBy("_pid").rowsBetween(Window.unboundedPreceding, 0)
-    offsets = part.select(*keys, "_pid", *[x for c, _, tot in cols for x in (
-        (F.sum(f"_ps{c}").over(running) - F.col(f"_ps{c}")).alias(f"_off{c}"),
-        F.sum(f"_ps{c}").over(gw).alias(tot))])
-    within = Window.partitionBy(*keys, "_pid").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    local = ranged.withColumns({f"_l{c}": F.sum(c).over(within) for c, _, _ in cols})
-    return (local.join(offsets, [*keys, "_pid"])
-            .select(*keys, "_v", *[x for c, cum, tot in cols for x in (
-                F.col(c), (F.col(f"_l{c}") + F.col(f"_off{c}")).alias(cum), F.col(tot))]))
+    return _running(pre, keys, [F.col("_v")], {"_cw": ("_cum", "_tot"), **({"_cn": ("_ncum", "_ntot")} if count_col else {})})
 
 
 def weighted_median(df: DataFrame, keys, value: str, weight=None, name: str = "median") -> DataFrame:
@@ -260,7 +295,7 @@ def weighted_median(df: DataFrame, keys, value: str, weight=None, name: str = "m
     value produce no row."""
     keys = _keys(keys)
     cum = _cumulative(df, keys, value, weight)
-    return (cum.where(F.col("_cum") >= F.col("_tot") / 2)
+    return (cum.where(F.col("_cum") + F.col("_cum") >= F.col("_tot"))
             .groupBy(*keys).agg(F.min("_v").cast("double").alias(name)))
 
 
@@ -283,7 +318,7 @@ def quantiles_from_cumulative(cum: DataFrame, keys, probs: Sequence[float], name
     # value at 0-based rank k is the first value with running count > k
     lo_hi = []
     for p, nm in zip(probs, names):
-        pos = (F.col(tot_col) - 1) * F.lit(float(p))
+        pos = (F.col(tot_col).cast("double") - 1) * F.lit(float(p))
         lo_hi += [
             F.min(F.when(F.col(cum_col) > F.floor(pos), F.col("_v"))).alias(f"{nm}__lo"),
             F.min(F.when(F.col(cum_col) > F.ceil(pos), F.col("_v"))).alias(f"{nm}__hi"),
@@ -291,7 +326,7 @@ def quantiles_from_cumulative(cum: DataFrame, keys, probs: Sequence[float], name
     agg = cum.groupBy(*keys).agg(F.max(tot_col).alias("_n"), *lo_hi)
     outs = []
     for p, nm in zip(probs, names):
-        pos = (F.col("_n") - 1) * F.lit(float(p))
+        pos = (F.col("_n").cast("double") - 1) * F.lit(float(p))
         frac = pos - F.floor(pos)
         lo = F.col(f"{nm}__lo").cast("double")
         hi = F.col(f"{nm}__hi").cast("double")
@@ -303,30 +338,56 @@ DESCRIBE_PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
 DESCRIBE_NAMES = ("p10", "p25", "p50", "p75", "p90")
 
 
+def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, _v, _n``: non-null values and how many rows hold them, written
+    once; moments and quantiles both follow from it."""
+    from panelstat.session import materialize
+
+    base = _drop_null_keys(df, keys).where(F.col(value).isNotNull())
+    return materialize(base.groupBy(*keys, F.col(value).cast("double").alias("_v"))
+                       .agg(F.count(F.lit(1)).alias("_n")), "value_counts")
+
+
+def moments(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, count, mean, std, min, max`` of value counts."""
+    n, v = F.col("_n").cast("double"), F.col("_v")
+    first = counts.groupBy(*keys).agg(F.sum("_n").alias("count"), (F.sum(v * n) / F.sum(n)).alias("mean"),
+                                      F.min("_v").alias("min"), F.max("_v").alias("max"))
+    about = _join(counts, first.select(*keys, "mean"), keys, "inner")
+    spread = about.groupBy(*keys).agg(F.sum(n * (v - F.col("mean")) * (v - F.col("mean"))).alias("_ss"))
+    std = F.when(F.col("count") > 1, F.sqrt(F.try_divide(F.col("_ss"), F.col("count") - 1)))
+    return _join(first, spread, keys, "left").select(*keys, "count", "mean", std.alias("std"), "min", "max")
+
+
+def _join(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Joins per group; without keys, a right side of one row to every row."""
+    if keys:
+        return left.join(right, keys, how)
+    return left.withColumn("_k", F.lit(0)).join(right.withColumn("_k", F.lit(0)), "_k", how).drop("_k")
+
+
 def describe(df: DataFrame, keys, value: str, approx: bool = False, accuracy: int = 10000) -> DataFrame:
-    """Unweighted count, mean, sample std, min, 10/25/50/75/90 %, max.
+    """Unweighted count, mean, sample std, min, 10/25/50/75/90 %, max (A8), all
+    from one pass over the source. Groups without a non-null value give no row.
 
     ``approx=True`` uses ``percentile_approx`` (bounded sketch per group)."""
     keys = _keys(keys)
     base = _drop_null_keys(df, keys)
-    v = F.col(value).cast("double")
-    moments = base.groupBy(*keys).agg(
-        F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"), F.max(v).alias("max"))
     if approx:
-        q = base.groupBy(*keys).agg(F.percentile_approx(v, list(DESCRIBE_PROBS), accuracy).alias("_q"))
-        q = q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(DESCRIBE_NAMES)])
-    else:
-        q = exact_quantiles(base, keys, value, DESCRIBE_PROBS, DESCRIBE_NAMES)
-    if not keys:  # one row each side: join on a constant key
-        return moments.withColumn("_k", F.lit(0)).join(q.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
-    return moments.join(q, keys, "left")
+        v = F.col(value).cast("double")
+        q = base.groupBy(*keys).agg(
+            F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).alias("min"),
+            F.max(v).alias("max"), F.percentile_approx(v, list(DESCRIBE_PROBS), accuracy).alias("_q"))
+        return q.select(*keys, "count", "mean", "std", "min", "max",
+                        *[F.col("_q")[i].alias(n) for i, n in enumerate(DESCRIBE_NAMES)])
+    counts = value_counts(df, keys, value)
+    q = exact_quantiles(counts, keys, "_v", DESCRIBE_PROBS, DESCRIBE_NAMES, count="_n")
+    return _join(moments(counts, keys), q, keys, "left")
 
 
 def unweighted_mean_median(df: DataFrame, keys, value: str) -> DataFrame:
-    """Mean (A11) and interpolating median."""
+    """Mean (A11) and interpolating median (A12) from one pass over the source."""
     keys = _keys(keys)
-    base = _drop_null_keys(df, keys)
-    mean = base.groupBy(*keys).agg(F.avg(F.col(value).cast("double")).alias("mean"))
-    med = exact_quantiles(base, keys, value, [0.5], ["median"])
-    return mean.join(med, keys, "left")
+    counts = value_counts(df, keys, value)
+    med = exact_quantiles(counts, keys, "_v", [0.5], ["median"], count="_n")
+    return _join(moments(counts, keys).select(*keys, "mean"), med, keys, "left")

@@ -18,43 +18,66 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from panelstat.functions.scoring import first_number, numeric_score, parse_score, text_score, truth_number
 from panelstat.functions.text import file_safe
-from panelstat.operators.estimators import exact_quantiles
+from panelstat.operators.estimators import exact_quantiles, moments, value_counts
 from panelstat.operators.quality import require_columns
 
 SYSTEM_PROMPT = "Answer with a single number or a short phrase."
+FAMILIES = ("gemini", "gpt", "qwen", "llama", "llamma")
+# What some families are told besides, behind the query.
+FAMILY_HINTS = {"gpt": "Use the latest data that you know and do not answer with a question."}
 
 
-def build_requests(queries: DataFrame, models: Sequence[str], query: str = "query") -> DataFrame:
+def build_requests(queries: DataFrame, models: Sequence[str], query: str = "query",
+                   hints: dict[str, str] = FAMILY_HINTS) -> DataFrame:
     """Every query for every model, with the prompt text for the model
-    family (E1). ``models`` is a bounded list, so each query row fans out in
-    place - no join."""
+    family (E1): the known families get the system prompt, those with a hint
+    also that behind the query, any other the bare query. ``models`` is a bounded list, so each
+    query row fans out in place - no join."""
     require_columns(queries, [query])
     out = queries.withColumn("model", F.explode(F.array(*[F.lit(m) for m in models])))
     family = F.lower(F.split("model", "[-/:]")[0])
-    prompt = (F.when(family.isin("gemini", "gpt", "qwen", "llama", "llamma"),
-                     F.concat(F.lit(SYSTEM_PROMPT + "\n"), F.col(query)))
+    hint = F.lit("")
+    for name, text in hints.items():
+        hint = F.when(family == name, F.lit("\n" + text)).otherwise(hint)
+    prompt = (F.when(family.isin(*FAMILIES), F.concat(F.lit(SYSTEM_PROMPT + "\n"), F.col(query), hint))
               .otherwise(F.col(query)))
     return out.withColumn("prompt", prompt)
 
 
-def run_batch(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series],
-              partition_by: str | None = None) -> DataFrame:
-    """Call ``answer_fn`` on Arrow batches of requests (E2). A failing batch
-    does not fail the job: its rows get a null response and the error text."""
+def run_batch(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+    """Call ``answer_fn`` on Arrow batches of requests (E2). Where a batch
+    fails, its rows are asked one by one, so that only the rows that fail by
+    themselves get a null response and the error text."""
     schema = StructType(list(requests.schema.fields) + [StructField("response", StringType()),
                                                         StructField("error", StringType())])
-    src = requests.repartition(partition_by) if partition_by else requests
+
+    def ask(pdf: pd.DataFrame) -> tuple[list, list]:
+        answers = answer_fn(pdf)
+        if len(answers) != len(pdf):
+            raise ValueError(f"{len(answers)} answers to {len(pdf)} requests")
+        return list(pd.Series(answers).astype("string")), [None] * len(pdf)
+
+    def one_by_one(pdf: pd.DataFrame) -> tuple[list, list]:
+        responses, errors = [], []
+        for k in range(len(pdf)):
+            try:
+                (answer,), _ = ask(pdf.iloc[k:k + 1])
+                responses.append(answer)
+                errors.append(None)
+            except Exception as e:  # noqa: BLE001 - failure becomes data
+                responses.append(None)
+                errors.append(f"{type(e).__name__}: {e}")
+        return responses, errors
 
     def call(batches):
         for pdf in batches:
             try:
-                resp = answer_fn(pdf).astype("string")
-                pdf = pdf.assign(response=resp, error=pd.Series([None] * len(pdf), dtype="string"))
-            except Exception as e:  # noqa: BLE001 - failure becomes data
-                pdf = pdf.assign(response=pd.Series([None] * len(pdf), dtype="string"),
-                                 error=pd.Series([f"{type(e).__name__}: {e}"] * len(pdf), dtype="string"))
-            yield pdf
-    return src.mapInPandas(call, schema)
+                responses, errors = ask(pdf)
+            except Exception:  # noqa: BLE001 - the rows that fail say why
+                responses, errors = one_by_one(pdf)
+            yield pdf.assign(response=pd.Series(responses, dtype="string", index=pdf.index),
+                             error=pd.Series(errors, dtype="string", index=pdf.index))
+    return requests.mapInPandas(call, schema)
 
 
 def score_responses(df: DataFrame, response: str = "response", truth: str = "ground_truth") -> DataFrame:
@@ -86,11 +109,13 @@ def split_scored(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 def leaderboard(scores: DataFrame, model: str = "model", score: str = "score") -> DataFrame:
     """Per model: items, mean, median, exact (1.0) and zero counts."""
     base = scores.where(F.col(score).isNotNull())
-    agg = base.groupBy(model).agg(
-        F.count(F.lit(1)).alias("items"), F.avg(score).alias("mean_score"),
-        F.count_if(F.col(score) == 1.0).alias("exact"), F.count_if(F.col(score) == 0.0).alias("zero"))
-    med = exact_quantiles(base, [model], score, [0.5], ["median_score"])
-    return agg.join(med, model, "left")
+    counts = value_counts(base, [model], score)
+    n = F.col("_n")
+    rows = counts.groupBy(model).agg(F.sum(F.when(F.col("_v") == 1.0, n).otherwise(0)).alias("exact"),
+                                     F.sum(F.when(F.col("_v") == 0.0, n).otherwise(0)).alias("zero"))
+    med = exact_quantiles(counts, [model], "_v", [0.5], ["median_score"], count="_n")
+    return (moments(counts, [model]).join(rows, model).join(med, model, "left")
+            .select(model, F.col("count").alias("items"), F.col("mean").alias("mean_score"), "exact", "zero", "median_score"))
 
 
 def unscored(items: DataFrame, scored: DataFrame, keys: Sequence[str] = ("model", "query")) -> DataFrame:

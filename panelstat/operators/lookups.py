@@ -20,7 +20,6 @@ from panelstat.sources.codebooks import (HOUSEHOLD_TYPE_DEFAULT, STATUS_DEFAULT_
                                          UNKNOWN_DISTRICT, map_literal)
 
 BROADCAST_MAX_ROWS = 100_000
-MAP_LITERAL_MAX_ENTRIES = 10_000
 
 
 def bounded_broadcast(cb: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, known_rows: int | None = None) -> DataFrame:
@@ -104,23 +103,20 @@ def status_category(df: DataFrame, statuses: DataFrame, code: str = "status_code
                   out=out, default=STATUS_DEFAULT_CATEGORY)
 
 
-def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Sequence[str] | None = None,
-                       max_rows: int = MAP_LITERAL_MAX_ENTRIES) -> DataFrame:
-    """Replace codes by labels for many columns at once.
-
-    ``labels`` has ``column, code, label``. The label sets are small, so they
-    are gathered once (bounded by ``max_rows``) into one map literal per
-    column and applied in a single projection - no join per column. Codes
-    without a label pass through."""
-    n = labels.limit(max_rows + 1).count()
-    if n > max_rows:
-        raise ValueError("value-label table too large for a map literal; use lookup()")
-    rows = labels.select("column", F.col("code").cast("string"), "label").collect()
-    by_col: dict[str, list] = {}
-    for r in rows:
-        by_col.setdefault(r["column"], []).append((r["code"], r["label"]))
-    targets = [c for c in (columns or by_col) if c in df.columns and c in by_col]
-    return df.withColumns({c: enum_passthrough(F.col(c).cast("string"), by_col[c]) for c in targets})
+def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Replace codes by labels in each of ``columns``.
+
+    ``labels`` has ``column, code, label``, one label per column and code. Every
+    column is one left join with its part of the table, whatever its size; the
+    planner broadcasts the parts that it knows to be small. Codes without a
+    label pass through."""
+    for c in [c for c in columns if c in df.columns]:
+        part = labels.where(F.col("column") == c).select(F.col("code").cast("string").alias("__code"),
+                                                         F.col("label").alias("__label"))
+        code = df[c].cast("string")
+        df = (df.join(part, code == part["__code"], "left")
+              .withColumn(c, F.coalesce(F.col("__label"), code)).drop("__code", "__label"))
+    return df
 
 
 def unmatched_codes(df: DataFrame, codebook: DataFrame, key: Column, name: str = "code") -> DataFrame:

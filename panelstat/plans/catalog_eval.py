@@ -1,6 +1,6 @@
 """Registered evaluation queries (E1-E7, A22, J12, X8-X10, X14) and oracle SQL.
 
-``eval_v`` binds documents ⋈ labels to evaluation items: the question asks
+``eval_v`` binds documents to evaluation items: the question asks
 for a document's length, the truth is ``n_chars`` written with thousands
 commas, the model is the document's ``source`` and the response is free text
 around a perturbed number (or no number at all). ``judge_text`` holds judge
@@ -17,7 +17,7 @@ from panelstat.functions.scoring import first_number, numeric_score, parse_score
 from panelstat.plans.registry import r6, register, sql_r6
 from panelstat.plans.views import table
 
-MODELS = ["gpt-4o", "gemini-1.5", "qwen-2", "llama-3"]
+MODELS = ["gpt-4o", "gemini-1.5", "qwen-2", "llama-3", "other-7b"]
 
 
 def _commas(n):
@@ -31,9 +31,7 @@ def _commas_sql(n: str) -> str:
 
 
 def eval_items(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
-    j = d.join(lab, "doc_id")
+    j = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     did, n = F.col("doc_id"), F.col("n_chars")
     k = did % 5
     response = (F.when(k == 0, (n + did % 50).cast("string"))
@@ -48,8 +46,7 @@ def eval_items(spark, sf_dir):
              .otherwise(F.lit("none")))
     return j.select("doc_id", F.col("source").alias("model"),
                     F.concat(F.lit("How many characters does document "), did.cast("string"), F.lit(" have?")).alias("query"),
-                    _commas(n).alias("ground_truth"), response.alias("response"), judge.alias("judge_text"),
-                    "quality", "toxic")
+                    _commas(n).alias("ground_truth"), response.alias("response"), judge.alias("judge_text"))
 
 
 EVAL_SQL = f"""
@@ -65,9 +62,8 @@ SELECT d.doc_id, d.source AS model,
   CASE d.doc_id % 8
     WHEN 0 THEN 'Score: 0.' || lpad(CAST(d.doc_id % 100 AS VARCHAR), 2, '0')
     WHEN 1 THEN '-1' WHEN 2 THEN '85%' WHEN 3 THEN '.5' WHEN 4 THEN '1/2' WHEN 5 THEN '-0.5' WHEN 6 THEN '10'
-    ELSE 'none' END AS judge_text,
-  l.quality, l.toxic
-FROM documents d JOIN labels l ON d.doc_id = l.doc_id
+    ELSE 'none' END AS judge_text
+FROM documents d
 """
 
 FIRST_NUMBER_SQL = ("TRY_CAST(nullif(regexp_extract(regexp_replace(response, '(\\d),(\\d)', '\\1\\2', 'g'), "
@@ -100,27 +96,35 @@ FROM (SELECT *, {FIRST_NUMBER_SQL} AS predicted, {TRUTH_SQL} AS truth_value FROM
 """
 
 
+PROMPT_SQL = f"""CASE split_part(m.model, '-', 1)
+  WHEN 'gpt' THEN '{ev.SYSTEM_PROMPT}' || chr(10) || e.query || chr(10) || '{ev.FAMILY_HINTS["gpt"]}'
+  WHEN 'other' THEN e.query ELSE '{ev.SYSTEM_PROMPT}' || chr(10) || e.query END"""
+MODELS_SQL = f"(VALUES {', '.join(f"('{m}')" for m in MODELS)}) AS m(model)"
+
+
 @register("build_requests", f"""
-SELECT e.doc_id, m.model, '{ev.SYSTEM_PROMPT}' || chr(10) || e.query AS prompt
-FROM ({EVAL_SQL}) e, (VALUES {", ".join(f"('{m}')" for m in MODELS)}) AS m(model)""")
+SELECT e.doc_id, m.model, {PROMPT_SQL} AS prompt FROM ({EVAL_SQL}) e, {MODELS_SQL}""")
 def q_build_requests(spark, sf_dir):
     items = eval_items(spark, sf_dir).select("doc_id", "query")
     return ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
 
 
 def _length_answer(pdf: pd.DataFrame) -> pd.Series:
-    """Deterministic stand-in model: reports the prompt length."""
+    """Deterministic stand-in model: reports the prompt length, and fails on
+    every request about a document whose number ends in 7."""
+    if (pdf["doc_id"] % 10 == 7).any():
+        raise ValueError("no answer")
     return "len:" + pdf["prompt"].str.len().astype(str)
 
 
 @register("run_batch", f"""
-SELECT e.doc_id, m.model, 'len:' || CAST(length('{ev.SYSTEM_PROMPT}' || chr(10) || e.query) AS VARCHAR) AS response,
-  CAST(NULL AS VARCHAR) AS error
-FROM ({EVAL_SQL}) e, (VALUES {", ".join(f"('{m}')" for m in MODELS)}) AS m(model)""")
+SELECT e.doc_id, m.model, CASE WHEN e.doc_id % 10 <> 7 THEN 'len:' || CAST(length({PROMPT_SQL}) AS VARCHAR) END AS response,
+  CASE WHEN e.doc_id % 10 = 7 THEN 'ValueError: no answer' END AS error
+FROM ({EVAL_SQL}) e, {MODELS_SQL}""")
 def q_run_batch(spark, sf_dir):
     items = eval_items(spark, sf_dir).select("doc_id", "query")
     reqs = ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
-    return ev.run_batch(reqs, _length_answer, partition_by=None).select("doc_id", "model", "response", "error")
+    return ev.run_batch(reqs, _length_answer).select("doc_id", "model", "response", "error")
 
 
 @register("parse_score", sql_r6(f"""

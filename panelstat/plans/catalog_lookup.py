@@ -129,7 +129,7 @@ def q_value_labels(spark, sf_dir):
     rows = ([("quarter", k, v) for k, v in cb.QUARTER] + [("visit", k, v) for k, v in cb.VISIT]
             + [("social_group", "others", "general")])
     labels = cb.literal_table(spark, rows, ["column", "code", "label"])
-    hh = lk.apply_value_labels(household_raw(spark, sf_dir), labels)
+    hh = lk.apply_value_labels(household_raw(spark, sf_dir), labels, ["quarter", "visit", "social_group"])
     return hh.groupBy("quarter", "visit", "social_group").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -17,6 +17,9 @@ from panelstat.plans.catalog_survey import INDUSTRY_SQL, industry_codebook
 from panelstat.plans.registry import register
 from panelstat.plans.views import STATUS_CODES, _case_mod, _sql_case_mod
 from panelstat.sources import codebooks as cb
+from panelstat.session import shared_path
+from panelstat.sources.readers import read_stream_records
+from panelstat.sources.sinks import write_records
 from panelstat.streaming.decode import decode_stream, run_available, with_progress
 
 _CAT = [(c, cat) for c, _, cat in cb.STATUS]
@@ -43,22 +46,30 @@ SELECT coalesce(CASE {_sql_case_mod('l_partkey', STATUS_CODES)} {" ".join(f"WHEN
 FROM lineitem l LEFT JOIN {INDUSTRY_SQL} i ON i.code = lpad(CAST(l_suppkey % 99 + 1 AS VARCHAR), 2, '0')
 GROUP BY 1, 2""")
 def q_decode_stream(spark, sf_dir):
-    src_path = f"{sf_dir}/lineitem.parquet"
-    schema = spark.read.parquet(src_path).schema
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-              .option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir))
-    sink = run_available(decode_stream(stream, lambda d: decode_persons(d, industry_codebook(spark))), "decode")
-    out = spark.read.parquet(sink)
+    """The rows land as JSON lines, as many files as the scan has tasks; the
+    stream reads them a few files at a time."""
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag")
+    landed = shared_path(spark, "landed-lineitem")
+    write_records(rows, landed)
+    stream = read_stream_records(spark, landed, rows.schema, max_files=64)
+    decoded = decode_stream(stream, lambda d: decode_persons(d, industry_codebook(spark)))
+    out = spark.read.schema(decoded.schema).parquet(run_available(decoded, "decode"))
     return out.groupBy("status_category", "industry").agg(F.count(F.lit(1)).alias("n"),
                                                            F.count("flag").alias("n_flag"))
 
 
+def stream_table(spark, sf_dir, name):
+    """A stream of the table's files, be it one file or a folder of parts: the
+    pattern matches either, and a folder is listed."""
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 @register("projection_stream", """
 SELECT l_orderkey AS hh_id, l_linenumber AS person_no, l_returnflag AS flag FROM lineitem""")
 def q_projection_stream(spark, sf_dir):
-    src_path = f"{sf_dir}/lineitem.parquet"
-    schema = spark.read.parquet(src_path).schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
+    stream = stream_table(spark, sf_dir, "lineitem")
     proj = sc.select_and_rename(stream, ["l_orderkey", "l_linenumber", "no_such_col", "l_returnflag"],
                                 {"l_orderkey": "hh_id", "l_linenumber": "person_no", "l_returnflag": "flag"})
-    return spark.read.parquet(run_available(with_progress(proj), "project"))
+    return spark.read.schema(proj.schema).parquet(run_available(with_progress(proj), "project"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from panelstat.operators import estimators as est
 from panelstat.operators.lookups import lookup
-from panelstat.plans.views import spread
 from panelstat.session import materialize
 from panelstat.sources.codebooks import AGE_BANDS
 
@@ -28,6 +27,10 @@ PER_DISTS = {"gender_ratio": "gender", "marital_status": "marital_status", "educ
              "occupation": "_occ", "industry": "_ind"}
 
 
+BANDED = ("age",)
+ALL_ROWS = "*"  # the metric of the entry that every row has
+
+
 def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeric: dict[str, str],
                         weight: str = "weight") -> DataFrame:
     """One pass over the rows: every metric input becomes an entry
@@ -39,13 +42,16 @@ def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeri
                          F.lit(None).cast("double").alias("num")) for m, c in categorical.items()]
                + [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("category"),
                            F.col(c).cast("double").alias("num")) for m, c in numeric.items()])
-    # the explode multiplies rows by the number of metrics: make sure every
-    # core takes part (no-op when the input already has enough partitions)
-    src = spread(df.select(*keys, weight, *{c for c in [*categorical.values(), *numeric.values()]}))
-    ex = src.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.array(*entries)).alias("_e"))
+    # null values count in no metric but the bands, whose denominator is every row; every row counts in ALL_ROWS
+    told = F.filter(F.array(*entries), lambda e: e["category"].isNotNull() | e["num"].isNotNull()
+                    | e["metric"].isin(*BANDED))
+    every = F.array(F.struct(F.lit(ALL_ROWS).alias("metric"), F.lit(None).cast("string").alias("category"),
+                             F.lit(None).cast("double").alias("num")))
+    ex = df.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.concat(told, every)).alias("_e"))
     pre = (ex.groupBy(*keys, F.col("_e.metric").alias("metric"), F.col("_e.category").alias("category"),
                       F.col("_e.num").alias("num"))
-           .agg(F.sum("_w").alias("w"), F.count(F.lit(1)).alias("n")))
+           .agg(F.sum(F.col("_w").cast(est.WEIGHT_TYPE)).alias("w"), F.sum("_w").alias("x"),
+                F.count(F.lit(1)).alias("n")))  # w: exact, for ranks and medians; x: for ratios
     # Consumers filter by metric and Catalyst would push those filters below
     # the aggregate, giving each consumer its own scan. Writing this narrow,
     # pre-aggregated table to the shared checkpoint folder keeps it to one
@@ -56,7 +62,7 @@ def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeri
 def _means(pre: DataFrame, keys, metrics: dict[str, str]) -> DataFrame:
     """Weighted means from the pre-aggregate: out-name -> input metric."""
     src = pre.where(F.col("metric").isin(*metrics.values()))
-    m = src.groupBy(*keys, "metric").agg(est.weighted_mean_expr("num", "w").alias("value"))
+    m = src.groupBy(*keys, "metric").agg(est.weighted_mean_expr("num", "x").alias("value"))
     rename = F.lit(None).cast("string")
     for out, inp in metrics.items():
         rename = F.when(F.col("metric") == inp, F.lit(out)).otherwise(rename)
@@ -72,9 +78,9 @@ def _medians(pre: DataFrame, keys, metrics: dict[str, str]) -> DataFrame:
     return med.select(*keys, rename.alias("metric"), F.lit(None).cast("string").alias("category"), "value")
 
 
-def _total(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
-    """Sum of all weights, read from one metric's entries (every row emits one)."""
-    return (pre.where(F.col("metric") == metric).groupBy(*keys).agg(F.sum("w").alias("value"))
+def _total(pre: DataFrame, keys, name: str) -> DataFrame:
+    """Sum of the weights of all rows."""
+    return (pre.where(F.col("metric") == ALL_ROWS).groupBy(*keys).agg(F.sum("x").alias("value"))
             .select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("string").alias("category"), "value"))
 
 
@@ -109,13 +115,13 @@ def household_metrics(hh: DataFrame, keys=KEYS, rounded: bool = True) -> DataFra
     hh = est._drop_null_keys(hh, keys)
     pre = metric_preaggregate(hh, keys, {m: c for m, (c, _) in HH_DISTS.items()},
                               {"household_size": "household_size", "expenditure": "expenditure"})
-    total = _total(pre, keys, "household_size", "total_households")
+    total = _total(pre, keys, "total_households")
     means = _means(pre, keys, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"})
     # one cumulative pass over expenditure serves the weighted median and the
     # count-based describe quantiles
     exp = pre.where(F.col("metric") == "expenditure")
     cum = est._cumulative(exp, keys, "num", "w", count_col="n")
-    med = (cum.where(F.col("_cum") >= F.col("_tot") / 2).groupBy(*keys)
+    med = (cum.where(F.col("_cum") + F.col("_cum") >= F.col("_tot")).groupBy(*keys)
            .agg(F.min("_v").cast("double").alias("value"))
            .select(*keys, F.lit("median_monthly_expenditure").alias("metric"),
                    F.lit(None).cast("string").alias("category"), "value"))
@@ -145,7 +151,7 @@ def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame, k
     means = _means(pre, keys, {"avg_years_formal_education": "years_formal_education",
                                "avg_regular_wage_earning": "regular_earning",
                                "avg_self_employed_earning": "self_employed_earning"})
-    ages = pre.where(F.col("metric") == "age").groupBy(*keys).agg(*est.band_exprs("num", AGE_BANDS, "w", prefix="age_"))
+    ages = pre.where(F.col("metric") == "age").groupBy(*keys).agg(*est.band_exprs("num", AGE_BANDS, "x", prefix="age_"))
     band_pairs = ", ".join(f"'{b[0]}', `age_{b[0]}`" for b in AGE_BANDS)
     bands = ages.select(*keys, F.lit("age_distribution").alias("metric"),
                         F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)"))
@@ -175,7 +181,7 @@ def profile_left(hh: DataFrame, per: DataFrame) -> DataFrame:
 
 def _weighted_sum(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
     """Sum of value x weight of one numeric metric (A7 population estimate)."""
-    return (pre.where(F.col("metric") == metric).groupBy(*keys).agg(F.sum(F.col("num") * F.col("w")).alias("value"))
+    return (pre.where(F.col("metric") == metric).groupBy(*keys).agg(F.sum(F.col("num") * F.col("x")).alias("value"))
             .select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("string").alias("category"), "value"))
 
 
@@ -186,7 +192,7 @@ def state_profile_v2(hh: DataFrame, per: DataFrame, statuses: DataFrame) -> Data
     hh = est._drop_null_keys(hh, KEYS).withColumn("weight", F.col("multiplier").cast("double"))
     pre = metric_preaggregate(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()},
                               {"household_size": "household_size", "expenditure": "expenditure"})
-    parts = [_total(pre, KEYS, "household_size", "total_households"),
+    parts = [_total(pre, KEYS, "total_households"),
              _weighted_sum(pre, KEYS, "household_size", "population_estimate"),
              _means(pre, KEYS, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"}),
              _medians(pre, KEYS, {"median_monthly_expenditure": "expenditure"}),
@@ -196,9 +202,9 @@ def state_profile_v2(hh: DataFrame, per: DataFrame, statuses: DataFrame) -> Data
     per = lookup(per, statuses, {"code": F.col("status_code")}, out="_status")
     ppre = metric_preaggregate(per, KEYS, {"gender_ratio": "gender", "principal_activity_status": "_status"},
                                {"age": "age"})
-    ages = ppre.where(F.col("metric") == "age").groupBy(*KEYS).agg(*est.band_exprs("num", AGE_BANDS, "w", prefix="age_"))
+    ages = ppre.where(F.col("metric") == "age").groupBy(*KEYS).agg(*est.band_exprs("num", AGE_BANDS, "x", prefix="age_"))
     band_pairs = ", ".join(f"'{b[0]}', `age_{b[0]}`" for b in AGE_BANDS)
-    parts += [_total(ppre, KEYS, "age", "total_population"),
+    parts += [_total(ppre, KEYS, "total_population"),
               ages.select(*KEYS, F.lit("age_distribution").alias("metric"),
                           F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)")),
               est.weighted_distribution(ppre.where(F.col("metric") != "age"), [*KEYS, "metric"], "category", "w",

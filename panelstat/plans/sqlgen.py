@@ -18,7 +18,7 @@ def _notnull(keys):
 def wdist(src: str, keys: list[str], value: str, weight: str | None = "weight", top_n: int | None = 5,
           digits: int | None = None, where: str = "TRUE", denominator: str = "nonnull") -> str:
     k = _k(keys)
-    w = "1.0" if weight is None else f"CAST({weight} AS DOUBLE)"
+    w = f"CAST({'1' if weight is None else weight} AS DECIMAL(26, 12))"
     share = "_cw / nullif(_tot, 0)"
     share = share if digits is None else f"round({share}, {digits})"
     totals = ("SELECT {k}, sum(_cw) AS _tot FROM per_cat GROUP BY {k}" if denominator == "nonnull"
@@ -46,7 +46,7 @@ def wmean(value: str, weight: str = "weight") -> str:
 def cumulative(src: str, keys: list[str], value: str, weight: str | None = "weight", where: str = "TRUE") -> str:
     """keys, _v, _cw, _cum, _tot as in estimators._cumulative."""
     k = _k(keys)
-    w = "1.0" if weight is None else weight
+    w = f"CAST({'1' if weight is None else weight} AS DECIMAL(26, 12))"
     part = f"PARTITION BY {k}" if keys else ""
     sel = f"{k}, " if keys else ""
     return f"""SELECT {sel}_v, _cw,
@@ -60,7 +60,7 @@ def wmedian(src: str, keys: list[str], value: str, weight: str = "weight", name:
             where: str = "TRUE") -> str:
     k = _k(keys)
     return (f"SELECT {k}, CAST(min(_v) AS DOUBLE) AS {name} FROM ({cumulative(src, keys, value, weight, where)}) AS _c "
-            f"WHERE _cum >= _tot / 2 GROUP BY {k}")
+            f"WHERE _cum + _cum >= _tot GROUP BY {k}")
 
 
 def quantile_cols(value: str, probs, names) -> str:

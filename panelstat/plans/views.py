@@ -29,19 +29,6 @@ SOCIAL = {"F": "others", "O": "other backward class"}
 SOCIAL_ELSE = "scheduled caste"
 
 
-# Tables whose rows carry whole texts: per-row work heavy enough to need every core.
-SPREAD_TABLES = ("documents", "pages")
-
-
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition only when a scan yields fewer partitions than
-    the cluster can run at once (e.g. a file with a single row group). On a
-    large input the scan already has many splits and this is a no-op, so no
-    shuffle is added at scale."""
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(target) if df.rdd.getNumPartitions() < target else df
-
-
 _TABLES: dict[tuple, DataFrame] = {}
 
 
@@ -50,8 +37,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     schema are read once; every query still scans the files)."""
     key = (id(spark), spark.sparkContext.applicationId, sf_dir, name)
     if key not in _TABLES:
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        _TABLES[key] = spread(df) if name in SPREAD_TABLES else df
+        _TABLES[key] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return _TABLES[key]
 
 

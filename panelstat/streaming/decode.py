@@ -16,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelstat.session import checkpoint_dir
+from panelstat.session import shared_path
 
 
 # observed metrics of each micro-batch of the last run, by stream name (ST3)
@@ -25,7 +25,7 @@ LAST_PROGRESS: dict[str, list] = {}
 
 def stream_paths(spark: SparkSession, name: str) -> tuple[str, str]:
     """(sink, checkpoint) folders for one run, inside the shared checkpoint dir."""
-    base = checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex[:12]}"
+    base = shared_path(spark, f"stream-{name}")
     return base + "/sink", base + "/checkpoint"
 
 
@@ -34,19 +34,14 @@ def with_progress(df: DataFrame, name: str = "progress") -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
 
 
-def run_available(df: DataFrame, name: str, fmt: str = "parquet", timeout_s: int = 600) -> str:
+def run_available(df: DataFrame, name: str, fmt: str = "parquet") -> str:
     """Run a streaming DataFrame over everything available, then stop (ST1).
     Returns the sink path, readable as a batch table."""
     spark = df.sparkSession
     sink, chk = stream_paths(spark, name)
     q = (df.writeStream.format(fmt).option("path", sink).option("checkpointLocation", chk)
          .trigger(availableNow=True).queryName(f"{name}_{uuid.uuid4().hex[:6]}").start())
-    finished = q.awaitTermination(timeout_s)
-    if not finished:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    q.awaitTermination()  # availableNow ends by itself; a failure is raised here
     LAST_PROGRESS[name] = [p.get("observedMetrics", {}) for p in (q.recentProgress or [])]
     return sink
 
