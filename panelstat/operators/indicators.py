@@ -11,6 +11,7 @@ from panelstat.functions import _c
 from panelstat.functions.text import numeric_prefix
 from panelstat.operators.estimators import _drop_null_keys, _keys, _w, weighted_distribution
 from panelstat.operators.lookups import lookup
+from panelstat.sources.codebooks import CASUAL_CODES, REGULAR_CODES, SELF_EMPLOYED_CODES
 
 ALL = "all"
 
@@ -89,6 +90,20 @@ def mean_sums(values: dict[str, str], weight="weight") -> tuple[dict, dict]:
     return sums, finish
 
 
+def status_shares(workers: DataFrame, keys: Sequence[str], code: str = "status_code", weight="weight") -> DataFrame:
+    """Shares of self-employed, regular and casual workers per group (I5-I8);
+    rows with a null key are in no group."""
+    w, status = _w(weight), F.col(code)
+
+    def share(codes, name: str) -> Column:
+        return F.try_divide(F.sum(F.when(status.isin(*codes), w).otherwise(0.0)), F.sum(w)).alias(name)
+    kept = workers
+    for k in keys:
+        kept = kept.where(F.col(k).isNotNull())
+    return kept.groupBy(*keys).agg(share(SELF_EMPLOYED_CODES, "self_employed"), share(REGULAR_CODES, "regular"),
+                                   share(CASUAL_CODES, "casual"))
+
+
 def arg_extreme(df: DataFrame, value: str, key: str = "state", by: Sequence[str] = (),
                 largest: bool = True, name: str | None = None) -> DataFrame:
     """Key with the largest (or smallest) value per ``by`` group; null values

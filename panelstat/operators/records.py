@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.functions import _c
-from panelstat.functions.text import collapse_ws, remove_ws, split_lines, strip_ws
+from panelstat.functions.text import collapse_ws, heading_parts, remove_ws, split_lines, strip_ws
+from panelstat.operators.quality import well_formed_heading
 from panelstat.sources.codebooks import DEFAULT_MINISTRY
 
 # ---------------------------------------------------------------------------
@@ -21,17 +22,19 @@ HONORIFICS = ["SHRI", "SMT", "DR", "THIRU", "MR", "PROF", "MS", "COM"]
 MONTHS = ["JANUARY", "FEBRUARY", "MARCH", "APRIL", "MAY", "JUNE", "JULY", "AUGUST", "SEPTEMBER",
           "OCTOBER", "NOVEMBER", "DECEMBER"]
 GOVERNMENT = "GOVERNMENT OF INDIA"
-QUESTION_NO_RE = r"(?i)(?:STARRED|UNSTARRED)?\s*QUESTION\s*NO\s*[^0-9\n]*(\d+)"
-MINISTRY_RE = r"(?i)((?:MINISTRY|DEPARTMENT) OF .+)"
-DATE_DAY_MONTH_RE = r"(\d{1,2})[A-Z]*\s+([A-Z]+)\s*,\s*(\d{4})"
-DATE_MONTH_DAY_RE = r"(?:[A-Z]+,\s*)?([A-Z]+)\s+(\d{1,2}),\s*(\d{4})"
-DATE_DOTS_RE = r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
-DATE_SLASH_RE = r"(\d{1,2})/(\d{1,2})/(\d{4})"
-PART_START_RE = r"^\s*(?:ans)?\s*(?:\([a-z]\)|[a-z]\))"
-NAME_RE = r"(?i)[\[\(\{]\s*(?:(SHRI|SMT\.?|SHRIMATI|DR\.?|SUSHRI)\s+)?([A-Z\s.-]+)[\)\]\}]"
-PART_RE = (r"(?:[Aa]ns)?\s*\(([a-z])\)(?:\s*&\s*(?:[Aa]ns)?\s*\(([a-z])\))?\s*:?"
+UNICODE = "(?U)"  # \\s, \\d and \\b of all scripts: extracted text is full of no-break spaces
+QUESTION_NO_RE = UNICODE + r"(?i)(?:STARRED|UNSTARRED)?\s*QUESTION\s*NO\s*[^0-9\n]*(\d+)"
+MINISTRY_RE = r"(?i)(?:MINISTRY|DEPARTMENT) OF .+"
+DATE_DAY_MONTH_RE = UNICODE + r"(\d{1,2})[A-Z]*\s+([A-Z]+)\s*,\s*(\d{4})"
+DATE_MONTH_DAY_RE = UNICODE + r"(?:[A-Z]+,\s*)?([A-Z]+)\s+(\d{1,2}),\s*(\d{4})"
+DATE_DOTS_RE = UNICODE + r"(\d{1,2})\.(\d{1,2})\.(\d{4})"
+DATE_SLASH_RE = UNICODE + r"(\d{1,2})/(\d{1,2})/(\d{4})"
+PART_START_RE = UNICODE + r"^\s*(?:ans)?\s*(?:\([a-z]\)|[a-z]\))"
+NAME_RE = UNICODE + r"(?i)[\[\(\{]\s*(?:(SHRI|SMT\.?|SHRIMATI|DR\.?|SUSHRI)\s+)?([A-Z\s.-]+)[\)\]\}]"
+PART_RE = (UNICODE + r"(?:[Aa]ns)?\s*\(([a-z])\)(?:\s*&\s*(?:[Aa]ns)?\s*\(([a-z])\))?\s*:?"
            r"|(?:[Aa]ns)?\s*\(([a-z])\)\s*to\s*(?:[Aa]ns)?\s*\(([a-z])\)\s*:?")
 QUESTION_START = ["will the minister", "wil the minister"]
+IRREGULAR_QUESTIONS = [64, 113, 123, 215]
 NA = "N/A"
 # ---------------------------------------------------------------------------
 
@@ -84,7 +87,8 @@ def normalise_date(col, strict: bool = False) -> Column:
     months = F.create_map(*[x for i, m in enumerate(MONTHS, 1) for x in (F.lit(m), F.lit(i))])
 
     def month_of(name: Column) -> Column:
-        m = F.element_at(months, name)
+        # a word that only begins with a month's whole name counts if that has three letters
+        m = F.coalesce(F.element_at(months, name), F.lit(None) if strict else F.element_at(months, F.substring(name, 1, 3)))
         return F.lpad((m if strict else F.coalesce(m, F.lit(1))).cast("string"), 2, "0")
 
     def g(p, i):
@@ -139,21 +143,20 @@ def final_answer(parts: Column, raw: Column) -> Column:
 
 # --------------------------------------------------------------------------- R14
 
-IRREGULAR_QUESTIONS = [64, 113, 123, 215]
-
-
-def question_files(col) -> Column:
+def question_files(col, strict: bool = True) -> Column:
     """Question number -> array of file numbers (R14). 1-375: one file for the
     irregular numbers, two otherwise, counting down from 4371; 376-4000:
-    4001 - q; anything else raises."""
-    q = _c(col).cast("int")
+    4001 - q; anything else raises, or gives null unless ``strict``, for a
+    quarantine."""
+    q = _c(col).cast("string").try_cast("int") if not strict else _c(col).cast("int")
     irregular = F.array(*[F.lit(x) for x in IRREGULAR_QUESTIONS])
     before = F.size(F.filter(irregular, lambda x: x < q))
     top = F.lit(4372) - (q - 1) * 2 + before  # counter before q
     low = F.when(F.array_contains(irregular, q), F.array(top - 1)).otherwise(F.array(top - 2, top - 1))
     return (F.when((q >= 1) & (q <= 375), low)
             .when((q >= 376) & (q <= 4000), F.array(F.lit(4001) - q))
-            .otherwise(F.raise_error(F.concat(F.lit("Question number out of range (1-4000): "), q.cast("string")))))
+            .otherwise(F.raise_error(F.concat(F.lit("Question number out of range (1-4000): "), q.cast("string")))
+                       if strict else F.lit(None)))
 
 
 # --------------------------------------------------------------------------- R1-R10, R13
@@ -171,7 +174,7 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     gi = _first_index(L, lambda x, i: F.upper(x).contains(GOVERNMENT))
     p1 = F.when((gi >= 0) & (gi + 1 < n), F.get(L, gi + 1))
     m_line = F.get(L, F.col("_mi"))
-    p2 = F.regexp_replace(F.regexp_replace(F.regexp_extract(m_line, MINISTRY_RE, 1), "(?i)ministry", "Ministry"),
+    p2 = F.regexp_replace(F.regexp_replace(F.regexp_extract(m_line, MINISTRY_RE, 0), "(?i)ministry", "Ministry"),
                           "(?i)department", "Department")
     ministry = F.coalesce(p1, F.when(m_line.isNotNull(), p2), F.lit(DEFAULT_MINISTRY))
 
@@ -181,10 +184,6 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
 
     # R3 date line, R5 title
     di = _first_index(L, lambda x, i: F.upper(x).contains("ANSWERED ON") | F.upper(x).contains("ANSWER ON"))
-    date_part = strip_ws(F.element_at(F.split(F.get(L, di), "ANSWERED ON", -1), -1))
-    answered_date = F.when(di >= 0, normalise_date(date_part)).otherwise(F.lit(NA))
-    title = F.when((di >= 0) & (di + 1 < n), F.get(L, di + 1)).otherwise(F.lit(NA))
-
     d = d.withColumns({"_mi": _first_index(L, lambda x, i: x.rlike(MINISTRY_RE)),
                        "_qi": _first_index(L, lambda x, i: x.rlike(QUESTION_NO_RE)), "_di": di})
     di = F.col("_di")
@@ -229,8 +228,8 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     # R8 fallback: the first numbered line naming a member, then later member lines
     search_end = F.when(QS >= 0, QS).otherwise(n)
     QN = F.col("question_no")
-    num_re = F.concat(F.lit("\\b"), QN, F.lit("\\b"))
-    strip_num = F.concat(F.lit("^.*?"), QN, F.lit("[.:]*\\s*"))
+    num_re = F.concat(F.lit(UNICODE + "\\b"), QN, F.lit("\\b"))
+    strip_num = F.concat(F.lit(UNICODE + "^.*?"), QN, F.lit("[.:]*\\s*"))
 
     def potential(x):
         return _strip_chars(F.regexp_replace(x, strip_num, F.lit("")), ": ")
@@ -288,13 +287,14 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     d = d.withColumn("answer", F.when(F.col("_an") >= 0, final_answer(F.col("_parts"), F.col("_ans")))
                      .otherwise(F.lit("")))
 
-    # R13 unusable documents become error rows instead of failures
-    empty = F.col(text).isNull() | (F.size(L) == 0)
-    status = F.when(empty, F.lit("Error"))
-    detail = F.when(F.col(text).isNull(), F.lit("no text")).when(F.size(L) == 0, F.lit("empty document"))
+    # R13 documents whose text could not be read become error rows instead of
+    # failures; an empty text is a document in which nothing was found
+    unread = F.col(text).isNull()
+    status = F.when(unread, F.lit("Error"))
+    detail = F.when(unread, F.lit("no text"))
     fields = ["ministry", "question_no", "title", "asked_by", "question", "answered_date", "answered_by", "answer"]
     keep = [c for c in docs.columns if c != text]
-    return d.select(*keep, *[F.when(~empty, F.col(c)).alias(c) for c in fields],
+    return d.select(*keep, *[F.when(~unread, F.col(c)).alias(c) for c in fields],
                     status.alias("status"), detail.alias("detail"))
 
 
@@ -319,9 +319,8 @@ def headings(pages: DataFrame, html: str = "html", key: str = "page_id") -> Data
     pairs = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.get(texts, i).alias("heading")))
     z = pages.select(key, F.posexplode(pairs).alias("pos", "h"))
     h = F.col("h.heading")
-    ok = h.rlike(r"\(.*\)")
-    var = F.regexp_extract(h, r"\(([^()]*)\)[^()]*$", 1)
-    label = F.regexp_extract(h, r"^(.*)\([^()]*\)[^()]*$", 1)
+    ok = well_formed_heading(h)
+    parts = heading_parts(h)
     return z.select(key, (F.col("pos") + 1).alias("pos"), F.lower(F.col("h.tag")).alias("tag"),
                     strip_ws(h).alias("heading"), ok.alias("well_formed"),
-                    F.when(ok, strip_ws(label)).alias("label"), F.when(ok, strip_ws(var)).alias("variable"))
+                    F.when(ok, parts["label"]).alias("label"), F.when(ok, parts["variable"]).alias("variable"))

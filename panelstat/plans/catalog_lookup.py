@@ -112,12 +112,18 @@ def q_enum_passthrough(spark, sf_dir):
     return hh.groupBy("quarter", "visit").agg(F.count(F.lit(1)).alias("n"))
 
 
+_STATUS_OR_NEW = "CASE WHEN p.person_no = 5 THEN '99' ELSE p.status_code END"
+
+
 @register("status_category", f"""
-SELECT p.status_code, coalesce(sc.category, 'unknown') AS status_category, count(*) AS n
-FROM ({PERSON_RAW_SQL}) p LEFT JOIN {STATUS_SQL} ON sc.code = p.status_code
-GROUP BY p.status_code, status_category""")
+SELECT {_STATUS_OR_NEW} AS status_code, coalesce(sc.category, 'unknown') AS status_category, count(*) AS n
+FROM ({PERSON_RAW_SQL}) p LEFT JOIN {STATUS_SQL} ON sc.code = {_STATUS_OR_NEW}
+GROUP BY 1, 2""")
 def q_status_category(spark, sf_dir):
-    p = lk.status_category(person_raw(spark, sf_dir), cb.status_codebook(spark))
+    """One person in each household has a code that the codebook lacks."""
+    p = person_raw(spark, sf_dir)
+    p = p.withColumn("status_code", F.when(F.col("person_no") == 5, F.lit("99")).otherwise(F.col("status_code")))
+    p = lk.status_category(p, cb.status_codebook(spark))
     return p.groupBy("status_code", "status_category").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -226,9 +232,12 @@ def q_quarantine(spark, sf_dir):
 
 
 @register("url_filter", """
-SELECT page_id, url FROM pages WHERE starts_with(url, 'http')""")
+SELECT page_id, url FROM pages WHERE page_id % 4 NOT IN (0, 1)""")
 def q_url_filter(spark, sf_dir):
-    return table(spark, sf_dir, "pages").where(qa.url_ok("url")).select("page_id", "url")
+    """Half of the addresses are made unusable: one without a scheme, one null."""
+    page = F.col("page_id")
+    url = F.when(page % 4 == 0, F.regexp_replace("url", "^https?://", "")).when(page % 4 != 1, F.col("url"))
+    return table(spark, sf_dir, "pages").select("page_id", url.alias("url")).where(qa.url_ok("url"))
 
 
 @register("prefix_filter", """

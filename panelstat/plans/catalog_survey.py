@@ -78,10 +78,14 @@ def q_design_weight(spark, sf_dir):
 
 
 @register("raw_weight", with_views(sql_r6("""
-SELECT state, sum(multiplier) AS raw_total, count(*) AS n FROM household_v GROUP BY state""", ["raw_total"])))
+SELECT state, sum(multiplier) AS raw_total, CAST(count(*) AS DOUBLE) AS fallback_total, count(*) AS n
+FROM household_v GROUP BY state""", ["raw_total"])))
 def q_raw_weight(spark, sf_dir):
+    """The multiplier, and 1.0 where the column is absent."""
     hh = with_raw_weight(households(spark, sf_dir), "multiplier", out="raw_w")
-    return r6(hh.groupBy("state").agg(F.sum("raw_w").alias("raw_total"), F.count(F.lit(1)).alias("n")))
+    hh = with_raw_weight(hh, "no_such_column", out="fallback_w")
+    return r6(hh.groupBy("state").agg(F.sum("raw_w").alias("raw_total"), F.sum("fallback_w").alias("fallback_total"),
+                                      F.count(F.lit(1)).alias("n")))
 
 
 @register("valid_households", with_views("""
@@ -143,6 +147,18 @@ def q_population(spark, sf_dir):
                                  name="population"))
 
 
+@register("wmedian_ties", with_views("""
+SELECT state, sector, CAST(min(age) AS DOUBLE) AS median FROM (
+  SELECT state, sector, age, row_number() OVER (PARTITION BY state, sector ORDER BY age) AS r,
+    count(*) OVER (PARTITION BY state, sector) AS n
+  FROM person_v WHERE state IS NOT NULL AND sector IS NOT NULL AND age IS NOT NULL) t
+WHERE 2 * r >= n GROUP BY state, sector"""))
+def q_wmedian_ties(spark, sf_dir):
+    """All weights are a third: half of the total is reached exactly, in any order of adding up."""
+    p = persons(spark, sf_dir).withColumn("third", F.lit(1.0) / 3)
+    return est.weighted_median(p, HH_KEYS, "age", "third")
+
+
 # --------------------------------------------------------------------------- A8
 
 @register("describe", with_views(sql_r6(f"""
@@ -336,17 +352,8 @@ GROUP BY state, sector"""
 
 @register("status_share", with_views(sql_r6(_status_share_sql(), ["self_employed", "regular", "casual"])))
 def q_status_share(spark, sf_dir):
-    from panelstat.sources.codebooks import CASUAL_CODES, REGULAR_CODES, SELF_EMPLOYED_CODES
     workers = persons_with_status(spark, sf_dir).where(F.col("status_category") == "employed")
-    sc = F.col("status_code")
-    w = F.col("weight")
-
-    def share(cond, name):
-        return F.try_divide(F.sum(F.when(cond, w).otherwise(0.0)), F.sum(w)).alias(name)
-    out = est._drop_null_keys(workers, HH_KEYS).groupBy(*HH_KEYS).agg(
-        share(sc.isin(*SELF_EMPLOYED_CODES), "self_employed"), share(sc.isin(*REGULAR_CODES), "regular"),
-        share(sc.isin(*CASUAL_CODES), "casual"))
-    return r6(out)
+    return r6(ind.status_shares(workers, HH_KEYS))
 
 
 @register("sex_ratio", with_views(sql_r6("""

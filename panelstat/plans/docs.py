@@ -22,7 +22,8 @@ from panelstat.plans.views import table
 WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
 
 
-def record_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def record_docs(spark: SparkSession, sf_dir: str, unread: bool = True) -> DataFrame:
+    """The records; with ``unread`` some have no text (null) or an empty one."""
     d = table(spark, sf_dir, "documents")
     did = F.col("doc_id")
     q = (did % 4000 + 1).cast("string")
@@ -31,10 +32,12 @@ def record_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = (did % 28 + 1).cast("string")
     month_no = (did % 12 + 1).cast("int")
     month = F.element_at(F.array(*[F.lit(m) for m in MONTHS]), month_no)
-    month_or_abbr = F.when(did % 8 == 5, F.substring(month, 1, 3)).otherwise(month)
+    month_or_abbr = (F.when(did % 16 == 13, F.concat(F.substring(month, 1, 3), F.lit("X")))
+                     .when(did % 8 == 5, F.substring(month, 1, 3)).otherwise(month))
+    gap = F.when(did % 6 == 1, F.lit("\u00a0")).otherwise(F.lit(" "))  # as extracted from page layouts
     weekday = F.element_at(F.array(*[F.lit(w) for w in WEEKDAYS]), (did % 7 + 1).cast("int"))
     date_text = (F.when(did % 4 == 0, F.concat(day, F.lit("."), month_no.cast("string"), F.lit(".2025")))
-                 .when(did % 4 == 1, F.concat(F.lit("THE "), day, F.lit("TH "), month_or_abbr, F.lit(", 2025")))
+                 .when(did % 4 == 1, F.concat(F.lit("THE "), day, F.lit("TH"), gap, month_or_abbr, F.lit(","), gap, F.lit("2025")))
                  .when(did % 4 == 2, F.concat(weekday, F.lit(", "), month, F.lit(" "), day, F.lit(", 2025")))
                  .otherwise(F.concat(day, F.lit("/"), month_no.cast("string"), F.lit("/2025"))))
     v = did % 3
@@ -44,17 +47,19 @@ def record_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(v == 2, F.concat(F.lit("PROF. "), lg, F.lit(" IYER:"))))
     t = did % 5
     minister_name = (F.when(t == 0, F.concat(F.lit("(SHRI "), lg, F.lit(" KUMAR)")))
-                     .when(t == 1, F.concat(F.lit("(SMT. "), lg, F.lit(" KUMAR)")))
+                     .when(t == 1, F.concat(F.lit("(SMT."), gap, lg, gap, F.lit("KUMAR)")))
                      .when(t == 2, F.concat(F.lit("(DR. "), lg, F.lit(" KUMAR)")))
                      .when(t == 3, F.concat(F.lit("(SHRIMATI "), lg, F.lit(" KUMAR)")))
                      .otherwise(F.concat(F.lit("("), lg, F.lit(" KUMAR)"))))
-    second = F.when(did % 2 == 0, F.lit("(b) & (c) : Details are given.")).otherwise(F.lit("(b) : Details are given."))
+    amp = F.when(did % 6 == 4, F.lit("\u00a0")).otherwise(F.lit(" "))
+    second = (F.when(did % 2 == 0, F.concat(F.lit("(b)"), amp, F.lit("&"), amp, F.lit("(c) : Details are given.")))
+              .otherwise(F.lit("(b) : Details are given.")))
     record = F.concat_ws(
         "\n",
         F.when(did % 5 != 0, F.lit("GOVERNMENT OF INDIA")),
         F.when(did % 10 != 0, F.concat(F.lit("MINISTRY OF "), src)),
         F.lit("LOK SABHA"),
-        F.when(did % 7 != 0, F.concat(F.lit("UNSTARRED QUESTION NO. "), q)).otherwise(F.lit("UNSTARRED QUESTION")),
+        F.when(did % 7 != 0, F.concat(F.lit("UNSTARRED"), gap, F.lit("QUESTION"), gap, F.lit("NO."), gap, q)).otherwise(F.lit("UNSTARRED QUESTION")),
         F.concat(F.lit("ANSWERED ON "), date_text),
         F.concat(lg, F.lit(" POLICY REVIEW "), did.cast("string")),
         ask1, ask2,
@@ -68,6 +73,8 @@ def record_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         second,
         F.lit("*****"),
     )
+    if unread:
+        record = F.when(did % 97 == 5, F.lit(None)).when(did % 97 == 6, F.lit("")).otherwise(record)
     return d.select("doc_id", F.concat(F.lit("doc_"), did.cast("string"), F.lit(".txt")).alias("file"),
                     record.alias("text"), date_text.alias("date_text"))
 
@@ -104,11 +111,22 @@ FROM documents
 DATE_TEXT_SQL = f"""
 CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id % 28 + 1 AS VARCHAR) || '.' || CAST(doc_id % 12 + 1 AS VARCHAR) || '.2025'
      WHEN doc_id % 4 = 1 THEN 'THE ' || CAST(doc_id % 28 + 1 AS VARCHAR) || 'TH ' ||
-          CASE WHEN doc_id % 8 = 5 THEN substr({_SQL_MONTHS}[doc_id % 12 + 1], 1, 3) ELSE {_SQL_MONTHS}[doc_id % 12 + 1] END || ', 2025'
+          CASE WHEN doc_id % 16 = 13 THEN substr({_SQL_MONTHS}[doc_id % 12 + 1], 1, 3) || 'X'
+              WHEN doc_id % 8 = 5 THEN substr({_SQL_MONTHS}[doc_id % 12 + 1], 1, 3) ELSE {_SQL_MONTHS}[doc_id % 12 + 1] END || ', 2025'
      WHEN doc_id % 4 = 2 THEN {_SQL_WEEKDAYS}[doc_id % 7 + 1] || ', ' || {_SQL_MONTHS}[doc_id % 12 + 1] || ' '
           || CAST(doc_id % 28 + 1 AS VARCHAR) || ', 2025'
      ELSE CAST(doc_id % 28 + 1 AS VARCHAR) || '/' || CAST(doc_id % 12 + 1 AS VARCHAR) || '/2025' END"""
 
 
-def expected(cols: str) -> str:
-    return f"SELECT {cols} FROM ({EXPECTED_SQL}) AS e"
+# What an unread text (null) and an empty one give instead.
+_EMPTY = {"ministry": "Ministry of Power", **{c: "N/A" for c in (
+    "question_no", "title", "asked_by", "question", "answered_date", "answered_by")}, "answer": ""}
+_UNREAD = ", ".join(f"CASE doc_id % 97 WHEN 5 THEN NULL WHEN 6 THEN '{v}' ELSE {c} END AS {c}" for c, v in _EMPTY.items())
+
+
+def expected(cols: str, unread: bool = True) -> str:
+    if not unread:
+        return f"SELECT {cols} FROM ({EXPECTED_SQL}) AS e"
+    return f"""SELECT {cols} FROM (SELECT doc_id, file, {_UNREAD},
+  CASE WHEN doc_id % 97 = 5 THEN 'Error' END AS status, CASE WHEN doc_id % 97 = 5 THEN 'no text' END AS detail
+  FROM ({EXPECTED_SQL}) AS i) AS e"""

@@ -1,14 +1,16 @@
-"""Readers (S1-S11). All return lazy DataFrames; nothing is read on the driver
-except the first bytes of one file when the JSON layout must be sniffed."""
+"""Readers (S1-S11). All return lazy DataFrames; the driver only learns, from the
+first line that is not blank, how a JSON file is laid out."""
 
 from __future__ import annotations
 
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+from panelstat.functions.text import strip_ws
 
 
 def read_records(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -20,19 +22,18 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str | None
     return r.json(path)
 
 
-def _first_byte(spark: SparkSession, path: str) -> str:
-    head = (spark.read.format("binaryFile").load(path).select(F.substring("content", 1, 4096).alias("h"))
-            .limit(1).collect())
-    if not head:
-        return ""
-    text = bytes(head[0]["h"]).decode("utf-8", "ignore").lstrip()
-    return text[:1]
+def _one_record_per_line(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a whole JSON object."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    whole = F.trim("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull()
+    first = lines.select(whole.alias("whole")).head(1)
+    return bool(first and first[0]["whole"])
 
 
 def read_records_auto(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON-lines unless the content starts with '[' (S2)."""
-    multi = _first_byte(spark, path) == "["
-    r = spark.read.option("multiLine", multi)
+    """JSON lines if the first line is a record by itself; else one array or
+    one object that spans lines (S2)."""
+    r = spark.read.option("multiLine", not _one_record_per_line(spark, path))
     if schema is not None:
         r = r.schema(schema)
     return r.json(path)
@@ -49,39 +50,48 @@ def read_stream_records(spark: SparkSession, path: str, schema: StructType | str
 
 def read_csv_records(spark: SparkSession, path: str, required: Sequence[str], schema=None,
                      tolerant: bool = False) -> DataFrame:
-    """Header CSV keeping only required columns (S4); ``tolerant`` drops
-    malformed lines (S5)."""
-    r = spark.read.option("header", True)
-    if schema is not None:
-        r = r.schema(schema)
-    if tolerant:
-        r = r.option("mode", "DROPMALFORMED")
-    df = r.csv(path)
-    missing = [c for c in required if c not in df.columns]
+    """Header CSV keeping only required columns (S4). ``tolerant`` drops lines
+    with too many cells and pads those with too few (S5), whichever columns
+    are asked for."""
+    columns = schema if schema is not None else spark.read.option("header", True).csv(path).schema
+    if isinstance(columns, str):
+        columns = StructType.fromDDL(columns)
+    names = [f.name for f in columns.fields]
+    missing = [c for c in required if c not in names]
     if missing:
         raise ValueError(f"CSV missing required columns: {missing}")
-    return df.select(*[F.col(f"`{c}`") for c in required])
-
-
-def codebook_from_rows(df: DataFrame, code: str = "_c0", label: str = "_c1", order: str | None = None) -> DataFrame:
-    """Rows with both cells -> (code, label), the last duplicate wins.
-
-    ``order`` is a column giving file order; without it the physical order of
-    a single-file read is used (``monotonically_increasing_id``)."""
-    o = F.col(order) if order else F.monotonically_increasing_id()
-    rows = df.select(F.col(code).alias("code"), F.col(label).alias("label"), o.alias("_o")) \
-             .where(F.col("code").isNotNull() & F.col("label").isNotNull())
+    r = spark.read.option("header", True)
+    if not tolerant:
+        return r.schema(columns).csv(path).select(*[F.col(f"`{c}`") for c in required])
+    # whole lines that do not fit come along; a cell behind the last column drops them
+    line = "_line"
+    df = r.schema(StructType(columns.fields + [StructField(line, StringType())])).option(
+        "columnNameOfCorruptRecord", line).csv(path)
+    wide = ", ".join(f"c{k} string" for k in range(len(names) + 1))
+    more = F.from_csv(line, wide, {"nullValue": "\u0000", "mode": "PERMISSIVE"})[f"c{len(names)}"].isNotNull()
+    return df.where(F.col(line).isNull() | ~more).select(*[F.col(f"`{c}`") for c in required])
+
+
+def codebook_from_rows(df: DataFrame, code: str = "_c0", label: str = "_c1", order: str | Column | None = None) -> DataFrame:
+    """Rows with both cells -> (code, label), codes without the blanks around
+    them; the last duplicate wins (S6, U4).
+
+    ``order`` gives file order; without it the order of a read of one split is
+    used (``monotonically_increasing_id``)."""
+    o = F.monotonically_increasing_id() if order is None else F.col(order) if isinstance(order, str) else order
+    rows = df.select(strip_ws(F.col(code)).alias("code"), F.col(label).alias("label"), o.alias("_o")) \
+             .where((F.col("code") != "") & F.col("label").isNotNull())
     return rows.groupBy("code").agg(F.max_by("label", "_o").alias("label"))
 
 
 def read_codebook_csv(spark: SparkSession, path: str, numeric_code: bool = True) -> DataFrame:
     """Headerless two-column codebook CSV (S6). Banner/header rows are dropped
-    by predicate - the code must look like a code - not by position (S7)."""
+    by predicate - the code must look like a code - not by position (S7).
+    Later lines win, of several files those of the last by name."""
     df = spark.read.option("header", False).csv(path)
-    cb = codebook_from_rows(df)
-    if numeric_code:
-        cb = cb.where(F.col("code").rlike(r"^\s*\d+\s*$"))
-    return cb.select(F.trim("code").alias("code"), "label")
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    cb = codebook_from_rows(df.select("_c0", "_c1", order.alias("_at")), order="_at")
+    return cb.where(F.col("code").rlike(r"^\d+$")) if numeric_code else cb
 
 
 def read_codebook_json(spark: SparkSession, path: str) -> DataFrame:
@@ -111,10 +121,19 @@ def read_documents(spark: SparkSession, directory: str, glob: str = "*.txt") ->
 
 
 def valid_files(spark: SparkSession, directory: str, glob: str = "*.pdf", magic: bytes = b"%PDF") -> DataFrame:
-    """Files whose content begins with the signature (S11): path, ok."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-    head = F.substring("content", 1, len(magic))
-    return df.select("path", (F.hex(head) == magic.hex().upper()).alias("ok"))
+    """Files whose content begins with the (ASCII) signature (S11): path, ok.
+
+    The names come from a listing; the first bytes from the first line of each
+    file's first split, as text, so that no file is held whole."""
+    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
+             .select(F.col("path")))
+    lines = (spark.read.option("pathGlobFilter", glob).text(directory)
+             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+                     F.substring("value", 1, len(magic)).alias("_head"), F.monotonically_increasing_id().alias("_at"))
+             .where("_start = 0"))
+    heads = lines.groupBy("path").agg(F.min_by("_head", "_at").alias("_head"))
+    ok = F.coalesce(F.col("_head") == magic.decode("ascii"), F.lit(False))
+    return files.join(heads, "path", "left").select("path", ok.alias("ok"))
 
 
 def file_order(df: DataFrame, col: str = "file") -> DataFrame:
@@ -130,7 +149,7 @@ def last_per_key(df: DataFrame, key: str, value: str, order) -> DataFrame:
 
 # Fixed pattern: a three-digit region code, its name, then a "Word (digits)"
 # that follows it in the survey's region listing.
-REGION_LINE_RE = r"(\d{3})\s+([A-Za-z\-\&\. ]+?)\s+(?=[A-Za-z]+\s*\(\d+\))"
+REGION_LINE_RE = r"(?U)(\d{3})\s+([A-Za-z\-\&\. ]+?)\s+(?=[A-Za-z]+\s*\(\d+\))"
 
 
 def region_codes_from_text(df: DataFrame, text: str, order: str) -> DataFrame:

@@ -50,8 +50,12 @@ def profile_json(long: DataFrame, outer: str = "state", inner: str = "sector",
                               "k", "v").alias("profile")))
 
 
-def write_profile(long: DataFrame, path: str, **kw) -> None:
-    profile_json(long, **kw).write.mode("overwrite").json(path)
+def write_profile(long: DataFrame, path: str, outer: str = "state", **kw) -> None:
+    """One JSON line per ``outer`` key with the nested object itself."""
+    docs = profile_json(long, outer, **kw)
+    line = F.concat(F.lit("{"), _json_key(F.lit(outer)), F.lit(":"), _json_key(F.col(outer).cast("string")),
+                    F.lit(',"profile":'), F.col("profile"), F.lit("}"))
+    docs.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
 def write_csv(df: DataFrame, path: str) -> None:
