@@ -63,13 +63,15 @@ def read_csv_records(spark: SparkSession, path: str, required: Sequence[str], sc
     r = spark.read.option("header", True)
     if not tolerant:
         return r.schema(columns).csv(path).select(*[F.col(f"`{c}`") for c in required])
-    # whole lines that do not fit come along; a cell behind the last column drops them
-    line = "_line"
+    # whole lines that do not fit come along; a mark behind their last cell tells how many cells there are
+    line, mark = "_line", "\u0001end"
     df = r.schema(StructType(columns.fields + [StructField(line, StringType())])).option(
-        "columnNameOfCorruptRecord", line).csv(path)
-    wide = ", ".join(f"c{k} string" for k in range(len(names) + 1))
-    more = F.from_csv(line, wide, {"nullValue": "\u0000", "mode": "PERMISSIVE"})[f"c{len(names)}"].isNotNull()
-    return df.where(F.col(line).isNull() | ~more).select(*[F.col(f"`{c}`") for c in required])
+        "columnNameOfCorruptRecord", line).option("columnPruning", False).csv(path)
+    cells = F.from_csv(F.concat(F.col(line), F.lit("," + mark)), ", ".join(f"c{k} string" for k in range(len(names) + 1)))
+    fits = F.col(line).isNull()
+    for k in range(len(names) + 1):
+        fits = fits | F.coalesce(cells[f"c{k}"] == mark, F.lit(False))
+    return df.where(fits).select(*[F.col(f"`{c}`") for c in required])
 
 
 def codebook_from_rows(df: DataFrame, code: str = "_c0", label: str = "_c1", order: str | Column | None = None) -> DataFrame:
@@ -122,6 +124,7 @@ def read_documents(spark: SparkSession, directory: str, glob: str = "*.txt") ->
 
 def valid_files(spark: SparkSession, directory: str, glob: str = "*.pdf", magic: bytes = b"%PDF") -> DataFrame:
     """Files whose content begins with the (ASCII) signature (S11): path, ok.
+    Empty files have no row, as Spark does not list them.
 
     The names come from a listing; the first bytes from the first line of each
     file's first split, as text, so that no file is held whole."""
