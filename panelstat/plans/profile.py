@@ -27,6 +27,7 @@ PER_DISTS = {"gender_ratio": "gender", "marital_status": "marital_status", "educ
              "occupation": "_occ", "industry": "_ind"}
 
 
+TRAINED = "vocational_training_percentage"
 BANDED = ("age",)
 ALL_ROWS = "*"  # the metric of the entry that every row has
 
@@ -61,12 +62,13 @@ def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeri
 
 def _means(pre: DataFrame, keys, metrics: dict[str, str]) -> DataFrame:
     """Weighted means from the pre-aggregate: out-name -> input metric."""
-    src = pre.where(F.col("metric").isin(*metrics.values()))
-    m = src.groupBy(*keys, "metric").agg(est.weighted_mean_expr("num", "x").alias("value"))
-    rename = F.lit(None).cast("string")
-    for out, inp in metrics.items():
-        rename = F.when(F.col("metric") == inp, F.lit(out)).otherwise(rename)
-    return m.select(*keys, rename.alias("metric"), F.lit(None).cast("string").alias("category"), "value")
+    # one aggregate for all; groups without a value keep a null mean
+    v = {out: F.when(F.col("metric") == inp, F.col("num")) for out, inp in metrics.items()}
+    wide = pre.groupBy(*keys).agg(*[est._ratio(F.sum(c * F.col("x")), F.sum(F.when(c.isNotNull(), F.col("x")))).alias(out)
+                                    for out, c in v.items()])
+    pairs = ", ".join(f"'{out}', `{out}`" for out in metrics)
+    return wide.select(*keys, F.expr(f"stack({len(metrics)}, {pairs}) AS (metric, value)")).select(
+        *keys, "metric", F.lit(None).cast("string").alias("category"), "value")
 
 
 def _medians(pre: DataFrame, keys, metrics: dict[str, str]) -> DataFrame:
@@ -111,7 +113,11 @@ def _describe(pre: DataFrame, keys, metric: str, name: str, cum: DataFrame | Non
                        F.expr(f"stack({len(cols)}, {pairs}) AS (category, value)"))
 
 
-def household_metrics(hh: DataFrame, keys=KEYS, rounded: bool = True) -> DataFrame:
+def household_metrics(hh: DataFrame, keys=KEYS, rounded: bool = True, top_n: int = 100,
+                      population: bool = False) -> DataFrame:
+    """Household metrics per key; ``population`` adds the estimate from the
+    household sizes (A7)."""
+    keys = list(keys)
     hh = est._drop_null_keys(hh, keys)
     pre = metric_preaggregate(hh, keys, {m: c for m, (c, _) in HH_DISTS.items()},
                               {"household_size": "household_size", "expenditure": "expenditure"})
@@ -126,26 +132,40 @@ def household_metrics(hh: DataFrame, keys=KEYS, rounded: bool = True) -> DataFra
            .select(*keys, F.lit("median_monthly_expenditure").alias("metric"),
                    F.lit(None).cast("string").alias("category"), "value"))
     dist = est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*keys, "metric"], "category",
-                                     "w", top_n=100)
+                                     "w", top_n=top_n)
     value = (F.when(F.col("metric") == "household_type", F.round("share", 3)).otherwise(F.round("share", 2))
              if rounded else F.col("share"))
     dist = dist.select(*keys, "metric", "category", value.alias("value"))
     desc = _describe(pre, keys, "expenditure", "expenditure_distribution", cum)
     cols = [*keys, "metric", "category", "value"]
-    return (total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
-            .unionByName(desc.select(cols)))
+    out = (total.select(cols).unionByName(means.select(cols)).unionByName(med.select(cols)).unionByName(dist)
+           .unionByName(desc.select(cols)))
+    return out.unionByName(_weighted_sum(pre, keys, "household_size", "population_estimate")) if population else out
 
 
-def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame, keys=KEYS,
-                   rounded: bool = True) -> DataFrame:
-    per = est._drop_null_keys(per, keys)
+def _decoded_persons(per: DataFrame, industry: DataFrame, occupation: DataFrame) -> DataFrame:
     per = per.withColumn("_voc", est.yes_no("vocational_training"))
     per = lookup(per.withColumn("_ipfx", F.substring("industry_code", 1, 2)), industry, {"code": F.col("_ipfx")},
                  out="_ind")
     per = lookup(per.withColumn("_opfx", F.substring("occupation_code", 1, 3)), occupation,
                  {"code": F.col("_opfx")}, out="_occ")
-    per = per.withColumns({"_ind": F.coalesce("_ind", "_ipfx"), "_occ": F.coalesce("_occ", "_opfx")})
-    pre = metric_preaggregate(per, keys, PER_DISTS,
+    return per.withColumns({"_ind": F.coalesce("_ind", "_ipfx"), "_occ": F.coalesce("_occ", "_opfx")})
+
+
+def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame, keys=KEYS, rounded: bool = True,
+                   statuses: DataFrame | None = None) -> DataFrame:
+    """Person metrics per key; with ``statuses`` also the older draft's total
+    population, shares of the principal activity statuses and of the persons
+    with vocational training (null counts as without, A15)."""
+    keys = list(keys)
+    per = _decoded_persons(est._drop_null_keys(per, keys), industry, occupation)
+    dists = dict(PER_DISTS)
+    if statuses is not None:
+        per = lookup(per, statuses, {"code": F.col("status_code")}, out="_status")
+        per = per.withColumn("_trained", F.when(F.col("_voc") == "yes", F.lit("yes")).otherwise(F.lit("no")))
+        dists = {**{m: c for m, c in dists.items() if m != "vocational_training"},
+                 "principal_activity_status": "_status", TRAINED: "_trained"}
+    pre = metric_preaggregate(per, keys, dists,
                               {"years_formal_education": "years_formal_education", "regular_earning": "regular_earning",
                                "self_employed_earning": "self_employed_earning", "age": "age"})
     means = _means(pre, keys, {"avg_years_formal_education": "years_formal_education",
@@ -157,11 +177,17 @@ def person_metrics(per: DataFrame, industry: DataFrame, occupation: DataFrame, k
                         F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)"))
     med = _medians(pre, keys, {"median_regular_wage_earning": "regular_earning",
                                "median_self_employed_earning": "self_employed_earning"})
-    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*PER_DISTS)), [*keys, "metric"], "category",
+    dist = est.weighted_distribution(pre.where(F.col("metric").isin(*dists)), [*keys, "metric"], "category",
                                      "w", top_n=5, digits=2 if rounded else None).withColumnRenamed("share", "value")
     cols = [*keys, "metric", "category", "value"]
-    return (means.select(cols).unionByName(bands.select(cols)).unionByName(med.select(cols))
-            .unionByName(dist.select(cols)))
+    out = (means.select(cols).unionByName(bands.select(cols)).unionByName(med.select(cols))
+           .unionByName(dist.where(F.col("metric") != TRAINED).select(cols)))
+    if statuses is None:
+        return out
+    trained = pre.where(F.col("metric") == TRAINED).groupBy(*keys).agg(est._ratio(
+        F.sum(F.when(F.col("category") == "yes", F.col("x")).otherwise(0.0)), F.sum("x")).alias("value"))
+    trained = trained.select(*keys, F.lit(TRAINED).alias("metric"), F.lit(None).cast("string").alias("category"), "value")
+    return out.unionByName(_total(pre, keys, "total_population")).unionByName(trained)
 
 
 def state_profile(hh: DataFrame, per: DataFrame, industry: DataFrame, occupation: DataFrame, keys=KEYS,
@@ -172,11 +198,11 @@ def state_profile(hh: DataFrame, per: DataFrame, industry: DataFrame, occupation
     return household_metrics(hh, keys, rounded).unionByName(person_metrics(per, industry, occupation, keys, rounded))
 
 
-def profile_left(hh: DataFrame, per: DataFrame) -> DataFrame:
-    """Household states only, person totals attached where present."""
-    h = est._drop_null_keys(hh, ["state"]).groupBy("state").agg(F.sum("weight").alias("total_households"))
-    p = est._drop_null_keys(per, ["state"]).groupBy("state").agg(F.sum("weight").alias("total_population"))
-    return h.join(p, "state", "left")
+def attach_left(households: DataFrame, persons: DataFrame, keys) -> DataFrame:
+    """Person metrics beside household metrics, for the keys that have
+    household metrics (J10); in long form a left merge is a union."""
+    known = households.select(*keys).distinct()
+    return households.unionByName(persons.join(known, list(keys), "left_semi"))
 
 
 def _weighted_sum(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
@@ -185,32 +211,66 @@ def _weighted_sum(pre: DataFrame, keys, metric: str, name: str) -> DataFrame:
             .select(*keys, F.lit(name).alias("metric"), F.lit(None).cast("string").alias("category"), "value"))
 
 
-def state_profile_v2(hh: DataFrame, per: DataFrame, statuses: DataFrame) -> DataFrame:
-    """The older profile variant: raw multipliers as weights (A2), population
-    estimate (A7), top-5 unrounded distributions, total population and the
-    principal activity status distribution, same single-pass layout."""
-    hh = est._drop_null_keys(hh, KEYS).withColumn("weight", F.col("multiplier").cast("double"))
-    pre = metric_preaggregate(hh, KEYS, {m: c for m, (c, _) in HH_DISTS.items()},
-                              {"household_size": "household_size", "expenditure": "expenditure"})
-    parts = [_total(pre, KEYS, "total_households"),
-             _weighted_sum(pre, KEYS, "household_size", "population_estimate"),
-             _means(pre, KEYS, {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"}),
-             _medians(pre, KEYS, {"median_monthly_expenditure": "expenditure"}),
-             est.weighted_distribution(pre.where(F.col("metric").isin(*HH_DISTS)), [*KEYS, "metric"], "category",
-                                       "w", top_n=5).withColumnRenamed("share", "value")]
-    per = est._drop_null_keys(per, KEYS).withColumn("weight", F.col("multiplier").cast("double"))
+def state_profile_v2(hh: DataFrame, per: DataFrame, industry: DataFrame, occupation: DataFrame,
+                     statuses: DataFrame, keys=("state",)) -> DataFrame:
+    """The older draft: raw multipliers as weights (A2), per state, top-5
+    unrounded shares, population estimate, activity statuses; person metrics
+    for states with households only."""
+    hh = hh.withColumn("weight", F.col("multiplier").cast("double"))
+    per = per.withColumn("weight", F.col("multiplier").cast("double"))
+    return attach_left(household_metrics(hh, keys, rounded=False, top_n=5, population=True),
+                       person_metrics(per, industry, occupation, keys, rounded=False, statuses=statuses), keys)
+
+
+def _unweighted(df: DataFrame, keys, categorical: dict[str, str], numeric: dict[str, str], means: dict[str, str],
+                medians: dict[str, str], total: str) -> tuple[DataFrame, DataFrame]:
+    """(metrics, the pre-aggregate) of the unweighted draft: counts, means,
+    interpolating medians, and shares over all rows."""
+    pre = metric_preaggregate(df.withColumn("weight", F.lit(1.0)), keys, categorical, numeric)
+    cols = [*keys, "metric", "category", "value"]
+    rows = pre.where(F.col("metric") == ALL_ROWS).groupBy(*keys).agg(F.sum("n").cast("double").alias("rows"))
+    totals = rows.select(*keys, F.lit(total).alias("metric"), F.lit(None).cast("string").alias("category"),
+                         F.col("rows").alias("value"))
+    counted = pre.where(F.col("metric").isin(*categorical)).groupBy(*keys, "metric", "category").agg(F.sum("n").alias("n"))
+    shares = counted.join(rows, list(keys)).select(*keys, "metric", "category",
+                                                   (F.col("n") / F.col("rows")).alias("value"))
+    names = F.create_map(*[F.lit(x) for out, inp in medians.items() for x in (inp, out)])
+    mid = est.exact_quantiles(pre.where(F.col("metric").isin(*medians.values())), [*keys, "metric"], "num", [0.5],
+                              ["value"], count="n")
+    mid = mid.select(*keys, F.element_at(names, F.col("metric")).alias("metric"),
+                     F.lit(None).cast("string").alias("category"), "value")
+    return totals.select(cols).unionByName(shares).unionByName(_means(pre, keys, means).select(cols)).unionByName(mid), pre
+
+
+def state_profile_unweighted(hh: DataFrame, per: DataFrame, industry: DataFrame, occupation: DataFrame,
+                             statuses: DataFrame, keys=("state",)) -> DataFrame:
+    """The first draft: every row counts once, shares over all rows of the
+    group, person metrics for states with households only."""
+    keys = list(keys)
+    hh = est._drop_null_keys(hh, keys)
+    house, pre = _unweighted(hh, keys, {m: c for m, (c, _) in HH_DISTS.items()},
+                             {"household_size": "household_size", "expenditure": "expenditure"},
+                             {"avg_household_size": "household_size", "avg_monthly_expenditure": "expenditure"},
+                             {"median_monthly_expenditure": "expenditure"}, "total_households")
+    house = house.unionByName(_describe(pre, keys, "expenditure", "expenditure_distribution"))
+    per = _decoded_persons(est._drop_null_keys(per, keys), industry, occupation)
     per = lookup(per, statuses, {"code": F.col("status_code")}, out="_status")
-    ppre = metric_preaggregate(per, KEYS, {"gender_ratio": "gender", "principal_activity_status": "_status"},
-                               {"age": "age"})
-    ages = ppre.where(F.col("metric") == "age").groupBy(*KEYS).agg(*est.band_exprs("num", AGE_BANDS, "x", prefix="age_"))
-    band_pairs = ", ".join(f"'{b[0]}', `age_{b[0]}`" for b in AGE_BANDS)
-    parts += [_total(ppre, KEYS, "total_population"),
-              ages.select(*KEYS, F.lit("age_distribution").alias("metric"),
-                          F.expr(f"stack({len(AGE_BANDS)}, {band_pairs}) AS (category, value)")),
-              est.weighted_distribution(ppre.where(F.col("metric") != "age"), [*KEYS, "metric"], "category", "w",
-                                        top_n=5).withColumnRenamed("share", "value")]
-    cols = [*KEYS, "metric", "category", "value"]
-    out = parts[0].select(cols)
-    for p in parts[1:]:
-        out = out.unionByName(p.select(cols))
-    return out
+    trained = F.when(F.col("_voc") == "yes", F.lit("yes"))
+    bands = {f"_age_{n}": F.when((F.coalesce(F.col("age") >= (lo or 0), F.lit(False)) if lo is not None else F.col("age").isNotNull())
+                                 & (F.coalesce(F.col("age") < hi, F.lit(False)) if hi is not None else F.lit(True)), F.lit("in"))
+             for n, lo, hi in AGE_BANDS}
+    per = per.withColumns({"_trained": trained, **bands})
+    dists = {**{m: c for m, c in PER_DISTS.items() if m != "vocational_training"},
+             "principal_activity_status": "_status", TRAINED: "_trained", **{c: c for c in bands}}
+    earned = {"regular_wage_earning": "regular_earning", "self_employed_earning": "self_employed_earning"}
+    people, _ = _unweighted(per, keys, dists, {"years_formal_education": "years_formal_education",
+                                               **{c: c for c in earned.values()}},
+                            {"avg_years_formal_education": "years_formal_education",
+                             **{f"avg_{m}": c for m, c in earned.items()}},
+                            {f"median_{m}": c for m, c in earned.items()}, "total_population")
+    # shares of single conditions: bands become categories of one metric, the trained a plain number
+    metric = F.when(F.col("metric").startswith("_age_"), F.lit("age_distribution")).otherwise(F.col("metric"))
+    category = (F.when(F.col("metric").startswith("_age_"), F.substring(F.col("metric"), 6, 100))
+                .when(F.col("metric") != TRAINED, F.col("category")))
+    people = people.select(*keys, metric.alias("metric"), category.alias("category"), "value")
+    return attach_left(house, people, keys)

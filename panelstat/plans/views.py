@@ -89,6 +89,7 @@ def household_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
         (ok % 4 + 1).alias("quarters"),
         F.concat(F.lit("Q"), (ok % 5 + 1).cast("string")).alias("quarter"),
         F.concat(F.lit("V"), (ck % 5 + 1).cast("string")).alias("visit"),
+        F.when(ok % 4 < 2, "first_visit").otherwise("revisit").alias("panel"),
     )
 
 
@@ -112,7 +113,8 @@ SELECT o.o_orderkey AS hh_id, n.n_name AS state,
   o.o_custkey % 3 + 1 AS nsc,
   o.o_orderkey % 4 + 1 AS quarters,
   'Q' || CAST(o.o_orderkey % 5 + 1 AS VARCHAR) AS quarter,
-  'V' || CAST(o.o_custkey % 5 + 1 AS VARCHAR) AS visit
+  'V' || CAST(o.o_custkey % 5 + 1 AS VARCHAR) AS visit,
+  CASE WHEN o.o_orderkey % 4 < 2 THEN 'first_visit' ELSE 'revisit' END AS panel
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
 
@@ -231,6 +233,19 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return person_raw(spark, sf_dir).withColumn("weight", design_weight_expr())
 
 
-def with_views(sql: str) -> str:
+def by_panel(df: DataFrame, panels: dict[str, str]) -> DataFrame:
+    """The rows of one panel per sector."""
+    keep = F.lit(False)
+    for sector, panel in panels.items():
+        keep = keep | ((F.col("sector") == sector) & (F.col("panel") == panel))
+    return df.where(keep)
+
+
+def panel_sql(panels: dict[str, str]) -> str:
+    return " OR ".join(f"(sector = '{s}' AND panel = '{p}')" for s, p in panels.items())
+
+
+def with_views(sql: str, households_where: str = "TRUE", persons_where: str = "TRUE") -> str:
     """Prefix an oracle query with the household/person CTEs."""
-    return f"WITH household_v AS ({HOUSEHOLD_SQL}), person_v AS ({PERSON_SQL})\n{sql}"
+    return (f"WITH household_v AS (SELECT * FROM ({HOUSEHOLD_SQL}) hv WHERE {households_where}),\n"
+            f"person_v AS (SELECT * FROM ({PERSON_SQL}) pv WHERE {persons_where})\n{sql}")
