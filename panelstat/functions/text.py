@@ -37,10 +37,6 @@ def remove_ws(col) -> Column:
     return F.translate(_c(col), WS_CHARS, "")
 
 
-def canonical_text(col) -> Column:
-    """Category text of a value."""
-    return _c(col).cast("string")
-
 
 def numeric_prefix(col, n: int) -> Column:
     """First ``n`` characters of the integer part of a numeric code; non-numeric

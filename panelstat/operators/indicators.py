@@ -118,18 +118,12 @@ def arg_extreme(df: DataFrame, value: str, key: str = "state", by: Sequence[str]
     return out.select(*by, F.col("_b.k").alias(name), F.col("_b.v").alias(value))
 
 
-def top_k(df: DataFrame, value: str, k: int, key: str = "state", by: Sequence[str] = (),
-          ascending: bool = False) -> DataFrame:
-    """Top-k rows by value (ties by key) per ``by`` group (T3). Without ``by``
-    this plans as TakeOrderedAndProject (a bounded per-task heap)."""
-    by = list(by)
+def top_k(df: DataFrame, value: str, k: int, key: str = "state", ascending: bool = False) -> DataFrame:
+    """Top-k rows by value (ties by key) (T3); plans as TakeOrderedAndProject,
+    a bounded heap per task."""
     order = [F.col(value).asc() if ascending else F.col(value).desc(), F.col(key)]
-    base = df.where(F.col(value).isNotNull())
-    if not by:
-        ranked = base.orderBy(*order).limit(k)
-        return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
-    w = Window.partitionBy(*by).orderBy(*order)
-    return base.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = df.where(F.col(value).isNotNull()).orderBy(*order).limit(k)
+    return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def coded_distribution(df: DataFrame, keys, code: str, codebook: DataFrame, prefix_len: int,

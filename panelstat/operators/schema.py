@@ -109,7 +109,3 @@ def positional(df: DataFrame, start: int, stop: int | None = None) -> DataFrame:
 def with_source_file(df: DataFrame, name: str = "file") -> DataFrame:
     """File name of each record from the scan metadata."""
     return df.withColumn(name, F.col("_metadata.file_name"))
-
-
-def strip_upper(col) -> Column:
-    return F.upper(strip_ws(col))

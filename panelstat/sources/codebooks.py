@@ -94,10 +94,6 @@ def status_codebook(spark: SparkSession) -> DataFrame:
     return literal_table(spark, STATUS, ["code", "label", "category"])
 
 
-def pairs_codebook(spark: SparkSession, pairs) -> DataFrame:
-    return literal_table(spark, list(pairs), ["code", "label"])
-
-
 def map_literal(pairs) -> "F.Column":
     """A ``map<string,string>`` literal for a bounded code list (no join at all)."""
     flat = []

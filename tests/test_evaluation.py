@@ -54,6 +54,17 @@ def test_leaderboard_and_unscored(spark):
     assert [tuple(r) for r in ev.unscored(df.select("model", "query"), scored).collect()] == [("m-2", "q1")]
 
 
+def test_scores_of_worked_examples(spark):
+    """(truth, response, score) worked out by hand from the rules of E4 and E5."""
+    cases = [("15,839", "17000", 1 - 1161 / 15839), ("100", "250", 0.0), ("0.5", "0", 0.5), ("42%", "42", 1.0),
+             ("Kerala", "kerala", 1.0), ("Tamil Nadu", "nadu", 0.5), ("Kerala", "Goa", 0.0), ("Rs. 1,200", "₹1,200", 1.0),
+             ("7", None, None)]
+    df = spark.createDataFrame([(i, t, r) for i, (t, r, _) in enumerate(cases)], "i int, ground_truth string, response string")
+    got = {r["i"]: r["score"] for r in ev.score_responses(df).collect()}
+    for i, (_, _, want) in enumerate(cases):
+        assert got[i] == (want if want is None else pytest.approx(want, abs=1e-9)), cases[i]
+
+
 @pytest.mark.skipif(not os.path.isdir(REF_SCORES), reason="published score files not present")
 def test_published_score_means(spark):
     rows = []
