@@ -37,7 +37,6 @@ def remove_ws(col) -> Column:
     return F.translate(_c(col), WS_CHARS, "")
 
 
-
 def numeric_prefix(col, n: int) -> Column:
     """First ``n`` characters of the integer part of a numeric code; non-numeric
     codes pass unchanged (X5)."""
