@@ -339,13 +339,11 @@ DESCRIBE_NAMES = ("p10", "p25", "p50", "p75", "p90")
 
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, _v, _n``: non-null values and how many rows hold them, written
-    once; moments and quantiles both follow from it."""
-    from panelstat.session import materialize
-
-    base = _drop_null_keys(df, keys).where(F.col(value).isNotNull())
-    return materialize(base.groupBy(*keys, F.col(value).cast("double").alias("_v"))
-                       .agg(F.count(F.lit(1)).alias("_n")), "value_counts")
+    """``keys, _v, _n, _cum, _tot``: non-null values, how many rows hold them
+    and the running counts; the source is read once, for the table that
+    ``_running`` writes, and moments and quantiles both follow from it."""
+    cum = _cumulative(df.withColumn("_value", F.col(value).cast("double")), keys, "_value", None)
+    return cum.select(*keys, "_v", *[F.col(c).cast("long").alias(n) for c, n in (("_cw", "_n"), ("_cum", "_cum"), ("_tot", "_tot"))])
 
 
 def moments(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -381,7 +379,7 @@ def describe(df: DataFrame, keys, value: str, approx: bool = False, accuracy: in
         return q.select(*keys, "count", "mean", "std", "min", "max",
                         *[F.col("_q")[i].alias(n) for i, n in enumerate(DESCRIBE_NAMES)])
     counts = value_counts(df, keys, value)
-    q = exact_quantiles(counts, keys, "_v", DESCRIBE_PROBS, DESCRIBE_NAMES, count="_n")
+    q = quantiles_from_cumulative(counts, keys, DESCRIBE_PROBS, DESCRIBE_NAMES)
     return _join(moments(counts, keys), q, keys, "left")
 
 
@@ -389,5 +387,5 @@ def unweighted_mean_median(df: DataFrame, keys, value: str) -> DataFrame:
     """Mean (A11) and interpolating median (A12) from one pass over the source."""
     keys = _keys(keys)
     counts = value_counts(df, keys, value)
-    med = exact_quantiles(counts, keys, "_v", [0.5], ["median"], count="_n")
+    med = quantiles_from_cumulative(counts, keys, [0.5], ["median"])
     return _join(moments(counts, keys).select(*keys, "mean"), med, keys, "left")

@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from panelstat.functions.scoring import first_number, numeric_score, parse_score, text_score, truth_number
 from panelstat.functions.text import file_safe
-from panelstat.operators.estimators import exact_quantiles, moments, value_counts
+from panelstat.operators.estimators import moments, quantiles_from_cumulative, value_counts
 from panelstat.operators.quality import require_columns
 
 SYSTEM_PROMPT = "Answer with a single number or a short phrase."
@@ -113,7 +113,7 @@ def leaderboard(scores: DataFrame, model: str = "model", score: str = "score") -
     n = F.col("_n")
     rows = counts.groupBy(model).agg(F.sum(F.when(F.col("_v") == 1.0, n).otherwise(0)).alias("exact"),
                                      F.sum(F.when(F.col("_v") == 0.0, n).otherwise(0)).alias("zero"))
-    med = exact_quantiles(counts, [model], "_v", [0.5], ["median_score"], count="_n")
+    med = quantiles_from_cumulative(counts, [model], [0.5], ["median_score"])
     return (moments(counts, [model]).join(rows, model).join(med, model, "left")
             .select(model, F.col("count").alias("items"), F.col("mean").alias("mean_score"), "exact", "zero", "median_score"))
 
