@@ -18,7 +18,11 @@ Jaccard similarity of t. It lacks at most d = n - ceil(t n) of its own tokens th
   pair of common tokens is adjacent in both sets.
 
 So a link always has a signature in common, while a pair of frequent tokens is
-far rarer than either. The table's noise changes how many candidates there
+far rarer than either. Positions bound the mismatches of a candidate from below: those
+before and those behind the signature, in the whole sets for a single token; for
+a pair, in the frequent tokens, and all rare tokens of both sets on top, since
+sets that share a rare token also meet there. Candidates with more
+mismatches than the threshold allows go before their sets are read. The table's noise changes how many candidates there
 are, never which links are found.
 
 Candidates. Equal sets are one node. Every signature's sets are first compared
@@ -80,9 +84,10 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     return np.unique(mix64(grams))
 
 
-def signatures(tokens: np.ndarray, counts: np.ndarray, cut: int, percent: int) -> np.ndarray:
-    """Single rare tokens and pairs of neighbouring frequent tokens of the
-    (extended) prefix, hashed; ``counts`` is the counter table."""
+def signatures(tokens: np.ndarray, counts: np.ndarray, cut: int, percent: int) -> tuple[np.ndarray, int, int]:
+    """Single rare tokens and then pairs of neighbouring frequent tokens of the
+    (extended) prefix, hashed; the number of singles; the number of rare
+    tokens. ``counts`` is the counter table."""
     n = len(tokens)
     seen = counts[(tokens >> np.uint64(44)).astype(np.int64)]
     order = np.lexsort((tokens, seen))
@@ -90,10 +95,10 @@ def signatures(tokens: np.ndarray, counts: np.ndarray, cut: int, percent: int) -
     lacking = n - -(-percent * n // 100)
     singles = ordered[:min(lacking + 1, rare)]
     if rare > lacking:
-        return singles
+        return singles, len(singles), rare
     mismatches = max(0, n * (100 - percent) // percent - rare)
     prefix = ordered[rare:rare + (lacking - rare) + mismatches + 2]
-    return np.concatenate([singles, mix64(prefix[:-1] * _FACTOR + prefix[1:])])
+    return np.concatenate([singles, mix64(prefix[:-1] * _FACTOR + prefix[1:])]), len(singles), rare
 
 
 def token_counts(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray, int]:
@@ -115,18 +120,24 @@ def token_counts(docs: DataFrame, size: int, text_col: str) -> tuple[np.ndarray,
 
 
 def _bitmap(keys: DataFrame) -> np.ndarray:
-    """Bits of the column ``key`` modulo a power of two of at most BITS_MOST;
-    the driver receives an eighth of a byte per bit, whatever the input."""
+    """Packed bits of the column ``key`` modulo a power of two of at most
+    BITS_MOST; the driver receives a number per 64 bits, whatever the input."""
     rows = keys.count()
     bits = 1 << 16
     while bits < 16 * rows and bits < BITS_MOST:
         bits *= 2
     cell = F.pmod(F.col("key"), F.lit(bits))
     words = (keys.groupBy(F.shiftright(cell, 6).alias("word"))
-             .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 64) as int))")).alias("mask")).toPandas())
+             .agg(F.bit_or(F.expr("shiftleft(1L, cast(pmod(key, 64) as int))")).alias("mask")).toArrow())
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["mask"].to_numpy(dtype=np.int64)
-    return np.unpackbits(out.view(np.uint8), bitorder="little")
+    out[words["word"].to_numpy()] = words["mask"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys may be in a bitmap; none that is fails."""
+    cell = keys & (8 * len(bits) - 1)
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -140,8 +151,7 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, perce
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = shared.value
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array(bits[ids % len(bits)] == 1))
+            batch = batch.filter(pa.array(_marked(bits, batch.column(0).to_numpy(zero_copy_only=False))))
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 found = [shingle_set(t.as_py(), size) for t in part.column(1)]
@@ -154,7 +164,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, perce
     left = tokens.select(F.col("sid").alias("u"), F.col("tokens").alias("a"))
     right = tokens.select(F.col("sid").alias("v"), F.col("tokens").alias("b"))
     both = F.size(F.array_intersect("a", "b")).cast("long")
-    return (pairs.join(left, "u").join(right, "v").withColumn("both", both)
+    # sets are shuffled whatever their number: the plan is the same at every size
+    return (pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("both", both)
             .where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent).select("u", "v"))
 
 
@@ -166,8 +177,17 @@ def _set_keys(tokens: np.ndarray) -> tuple[int, int]:
     return int(first.view(np.int64)), int(second.view(np.int64))
 
 
-def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _may_link(percent: int) -> Column:
+    """Whether the mismatches that sizes and positions prove of the sets of a
+    row (n, apart, place) and of another (o_...) leave room for a link.
+    ``apart``: rare tokens that a pair of frequent ones proves to differ (0 for
+    a single token); ``place``: the signature's position among the others."""
+    n, o_n = F.col("n"), F.col("o_n")
+    before = F.abs(F.col("place") - F.col("o_place"))
+    behind = F.abs((n - F.col("apart") - F.col("place")) - (o_n - F.col("o_apart") - F.col("o_place")))
+    allowed = F.floor((n + o_n) * (100 - percent) / (100 + percent) + F.lit(1e-9))
+    return ((F.least(n, o_n) * 100 >= F.greatest(n, o_n) * percent)
+            & (F.col("apart") + F.col("o_apart") + before + behind <= allowed))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
@@ -183,19 +203,23 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, sizes, keys, signs = batch.column(0).slice(at, 512), [], [], []
+                ids, sizes, keys, signs, kinds = batch.column(0).slice(at, 512), [], [], [], []
                 for doc_id, text in zip(ids, batch.column(1).slice(at, 512)):
                     tokens = shingle_set(text.as_py(), size)
                     linkable = len(tokens) and doc_id.is_valid
                     sizes.append(len(tokens))
                     keys.append(_set_keys(tokens) if linkable else (None, None))
-                    signs.append(signatures(tokens, shared.value, cut, percent).view(np.int64) if linkable else [])
+                    made, *kind = signatures(tokens if linkable else tokens[:0], shared.value, cut, percent)
+                    signs.append(made.view(np.int64))
+                    kinds.append(kind)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
-                     pa.array([k[1] for k in keys], pa.int64()), pa.array(signs, pa.list_(pa.int64()))],
-                    names=["doc_id", "n", "sid", "key2", "signs"])
+                     pa.array([k[1] for k in keys], pa.int64()), pa.array(signs, pa.list_(pa.int64())),
+                     pa.array([k[0] for k in kinds], pa.int64()), pa.array([k[1] for k in kinds], pa.int64())],
+                    names=["doc_id", "n", "sid", "key2", "signs", "singles", "rare"])
 
-    signed = materialize(docs.mapInArrow(sign, "doc_id long, n long, sid long, key2 long, signs array<long>"), "signed")
+    signed = materialize(docs.mapInArrow(
+        sign, "doc_id long, n long, sid long, key2 long, signs array<long>, singles long, rare long"), "signed")
     sets = materialize(signed.where("sid is not null").groupBy("sid", "key2").agg(F.min("doc_id").alias("rep"),
                                                                                  F.first("n").alias("n")), "sets")
 
@@ -205,44 +229,48 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     bits = spark.sparkContext.broadcast(_bitmap(materialize(common, "common")))
 
     def popular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows (sign, sid, n, share of the set's signatures that are common)."""
+        """A row for each common signature of a set, with the share of its
+        signatures that are common."""
         table = bits.value
         for batch in batches:
             out = []
-            for sid, n, signs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            sids, sizes, singles, rares = (batch.column(k).to_pylist() for k in range(4))
+            for sid, n, single, rare, signs in zip(sids, sizes, singles, rares, batch.column(4)):
                 own = signs.values.to_numpy()
-                hit = own[table[own % len(table)] == 1]
-                out.append((hit, sid, n, len(hit) * 1000 // max(len(own), 1)))
-            lengths = [len(o[0]) for o in out]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([o[0] for o in out]) if out else [], pa.int64())]
-                + [pa.array(np.repeat(np.array([o[k] for o in out], dtype=np.int64), lengths), pa.int64()) for k in (1, 2, 3)],
-                names=["sign", "sid", "n", "share"])
-
-    rows = signed.where("sid is not null").select("sid", "n", "signs").mapInArrow(
-        popular, "sign long, sid long, n long, share long")
-    rows = materialize(rows.dropDuplicates(["sign", "sid"]), "rows")
-
-    centres = (rows.groupBy("sign").agg(F.max(F.struct("share", "sid", "n")).alias("c"), F.min("sid").alias("lo"),
-                                        F.max("sid").alias("hi"))
-               .where("lo < hi").select("sign", F.col("c.sid").alias("c_sid"), F.col("c.n").alias("c_n")))
-    pairs = (rows.join(centres, "sign").where(F.col("sid") != F.col("c_sid"))
-             .where(_similar_sizes(F.col("n"), F.col("c_n"), percent))
-             .select(F.least("sid", "c_sid").alias("u"), F.greatest("sid", "c_sid").alias("v")).distinct())
+                place = np.nonzero(_marked(table, own))[0]
+                pair = place >= single
+                out.append(np.stack([
+                    own[place], np.full(len(place), sid), np.full(len(place), n),
+                    np.full(len(place), len(place) * 1000 // max(len(own), 1)), np.where(pair, rare, 0),
+                    np.where(pair, place - single, place)]))
+            columns = np.concatenate(out, axis=1) if out else np.zeros((6, 0), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
+    names = ["sign", "sid", "n", "share", "apart", "place"]
+    rows = signed.where("sid is not null").select("sid", "n", "singles", "rare", "signs").mapInArrow(
+        popular, ", ".join(f"{c} long" for c in names)).dropDuplicates(["sign", "sid"])
+
+    # every signature's sets beside its centre; written once, all that follows reads this
+    other = [F.col(c).alias(f"o_{c}") for c in ("sid", "n", "apart", "place")]
+    pair = [F.least("sid", "o_sid").alias("u"), F.greatest("sid", "o_sid").alias("v")]
+    centres = (rows.groupBy("sign").agg(F.max(F.struct("share", "sid", "n", "apart", "place")).alias("c"),
+                                        F.count(F.lit(1)).alias("sets"))
+               .where("sets > 1").select("sign", "sets", "c.*").select("sign", "sets", *other))
+    rows = materialize(rows.drop("share").join(centres, "sign"), "rows")
+    pairs = rows.where((F.col("sid") != F.col("o_sid")) & _may_link(percent)).select(*pair).distinct()
     pairs = materialize(pairs, "centre-pairs")
     edges = materialize(_linked(pairs, sets, docs, size, percent), "links")
     labels = materialize(component_labels(edges), "labels")
 
-    # signatures whose sets are not yet in one component
-    labelled = rows.join(labels, rows["sid"] == labels["node"], "left").select(
-        "sign", "sid", "n", F.coalesce("label", "sid").alias("label"))
-    mixed = (labelled.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-             .where("lo < hi").select("sign"))
-    mixed = materialize(labelled.join(mixed, "sign"), "mixed")
-    other = mixed.select("sign", F.col("sid").alias("o_sid"), F.col("n").alias("o_n"), F.col("label").alias("o_label"))
-    across = (mixed.join(other, "sign").where((F.col("label") < F.col("o_label"))
-                                              & _similar_sizes(F.col("n"), F.col("o_n"), percent))
-              .select(F.least("sid", "o_sid").alias("u"), F.greatest("sid", "o_sid").alias("v")).distinct()
+    # signatures whose sets are not yet in one component; two sets have been compared by now
+    many = rows.where("sets > 2").select("sign", "sid", "n", "apart", "place")
+    labelled = many.join(labels, many["sid"] == labels["node"], "left").select(
+        "sign", "sid", "n", "apart", "place", F.coalesce("label", "sid").alias("label"))
+    several = (labelled.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+               .where("lo < hi").select("sign"))
+    mixed = materialize(labelled.join(several, "sign"), "mixed")
+    across = (mixed.join(mixed.select("sign", F.col("label").alias("o_label"), *other), "sign")
+              .where((F.col("label") < F.col("o_label")) & _may_link(percent)).select(*pair).distinct()
               .join(pairs, ["u", "v"], "left_anti"))
     across = materialize(across, "across")
     if not across.isEmpty():
@@ -254,7 +282,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     placed = sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "key2", "rep", "label")
     least = placed.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
     placed = placed.join(least, "label", "left").select("sid", "key2", F.coalesce("least", "rep").alias("component"))
-    return signed.drop("signs").join(placed, ["sid", "key2"], "left").select(
+    return signed.select("doc_id", "n", "sid", "key2").join(placed, ["sid", "key2"], "left").select(
         F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
         F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -270,8 +298,10 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     @F.pandas_udf("boolean")
     def maybe(ids):
+        import pandas as pd
+
         table = bits.value
-        return ids.map(lambda x: bool(table[x % len(table)]))
+        return pd.Series(_marked(table, ids.to_numpy()))
 
     flagged = F.col(id_col).isNotNull() & maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     unsure = df.where(flagged)
