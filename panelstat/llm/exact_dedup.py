@@ -52,11 +52,13 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .agg(F.count(F.lit(1)).alias("texts"), F.max("keep_id").alias("keep_id"),
                    F.max("group_size").alias("group_size"))
               .withColumn("group_size", F.when(F.col("texts") == 1, F.col("group_size"))
-                          .otherwise(F.raise_error(F.lit("different texts agree in every digest"))))
-              .drop("texts"))
+                          .otherwise(F.raise_error(F.lit("different texts agree in every digest")))))
+    # one column joins them: the groups are dealt anew for it, and Spark can split the rows of a hot text
+    key = F.concat_ws(":", "digest", "second", "chars").alias("key")
     keyed = digested.select("row_id", "digest", F.md5(F.col("norm").cast("binary")).alias("second"),
                             F.length("norm").alias("chars"), sha256_hex(F.col("norm")).alias("text_sha256"))
-    return keyed.join(groups, ["digest", "second", "chars"]).select(
+    keyed = keyed.select("row_id", "text_sha256", key)
+    return keyed.join(groups.select(key, "keep_id", "group_size"), "key").select(
         F.col("row_id").alias(id_col), "keep_id", F.col("group_size").cast("long").alias("group_size"),
         F.col("row_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
