@@ -3,17 +3,28 @@
 Two things are found in every whole text:
 
 * base places: a phrase's words standing consecutively among the text's words;
-* template matches: lines ("text blocks") whose distinct words contain at
-  least ``threshold`` of a notice template's distinct words.
+* template matches: text blocks whose distinct words contain at least
+  ``threshold`` of a notice template's distinct words.
+
+Blocks overlap and are sized by the template. Over the whole word sequence,
+line breaks ignored, a block is any run of as many words as the template has,
+so hard-wrapped notices are found. Within one line, where other words may stand
+between, a block is any run of up to ``LINE_SPAN`` times as many words: a short
+line is one block, and words scattered over a very long line do not add up.
 
 The join is exact. Template words are put into one global order, rarest in
-the corpus first (their counts cover every block). A block can reach the
+the corpus first (their counts cover every line). A block can reach the
 threshold only if it holds one of the template's first ``size - need + 1``
-words in that order (prefix filter), has at least ``need`` distinct words
-(length filter) and first meets the template's order early enough that
-``need`` words remain (positional filter). What is left is verified by a full
-intersection. Templates are a fixed parameter, so their index travels as a
-literal and no text is shuffled.
+words in that order (prefix filter), so only the blocks around these words'
+positions are looked at (positional filter), and only where the text, the
+line and then the words in reach of the position hold ``need`` template words
+(length filter). What is left is verified by a full intersection. Templates
+are a fixed parameter, so their index travels as a literal and no text is
+shuffled.
+
+The DuckDB text takes each line as one block of any length. It gives the same
+rows wherever no notice is wrapped and no long line adds scattered words up,
+as in the driver's tables.
 
 Defined results. Null text: as the empty text, which has no words, null
 places, no labels and score 0. Repeated rows are scanned one by one. Empty
@@ -55,6 +66,7 @@ TEMPLATES = [
             " associated documentation files to deal in the software without restriction"),
 ]
 THRESHOLD = 0.9
+LINE_SPAN = 4  # within a line a block has at most so many times the template's words
 
 
 def _words(lowered: Column) -> Column:
@@ -74,22 +86,43 @@ def template_counts(df: DataFrame, text_col: str, vocabulary: list[str]) -> dict
 
 
 def ordered_templates(templates: list[tuple[str, str]], counts: dict[str, int], threshold: float) -> list[tuple]:
-    """(label, words rarest first, words needed, prefix) of each template."""
+    """(label, words rarest first, words needed, prefix, length in words) of each template."""
     out = []
     for label, text in templates:
         words = sorted(set(text.split()), key=lambda w: (counts.get(w, 0), w))
         need = max(1, math.ceil(threshold * len(words) - 1e-9))
-        out.append((label, words, need, words[:len(words) - need + 1]))
+        out.append((label, words, need, words[:len(words) - need + 1], len(text.split())))
     return out
 
 
+def most_held(words: Column, tokens: list[str], need: int, prefix: list[str], width: int) -> Column:
+    """The most distinct ``tokens`` that ``width`` neighbouring words hold; 0 below ``need``."""
+
+    def held(some: Column) -> Column:
+        return F.size(F.array_intersect(some, _strings(tokens)))
+
+    def around(i: Column) -> Column:
+        """Over the blocks that hold place i."""
+        first = F.greatest(F.lit(0), i - (width - 1))
+        blocks = F.transform(F.sequence(first, i), lambda s: held(F.slice(words, s + 1, F.lit(width))))
+        return F.when(held(F.slice(words, first + 1, i - first + width)) >= need, F.array_max(blocks)).otherwise(0)
+
+    places = F.filter(F.sequence(F.lit(0), F.size(words) - 1),
+                      lambda i: F.array_contains(_strings(prefix), F.get(words, i)))
+    whole = held(words)
+    most = F.when(F.size(words) <= width, whole).otherwise(
+        F.coalesce(F.array_max(F.transform(places, around)), F.lit(0)))
+    return F.when((F.size(words) >= need) & (whole >= need), F.when(most >= need, most)).otherwise(0)
+
+
 def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   phrases: list[tuple[str, str]] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES,
                   threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: ``id_col``, ``n_words``, ``n_base``,
     ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` (1
     with a base place, else the largest template containment that reaches the
-    threshold, else 0) and ``matches`` (block number, label, containment)."""
+    threshold, else 0) and ``matches`` (line number, label, containment; the
+    line is null where a run across lines holds more than any line's)."""
     vocabulary = sorted({w for _, t in templates for w in t.split()})
     index = ordered_templates(templates, template_counts(df, text_col, vocabulary), threshold)
 
@@ -114,30 +147,30 @@ def scan_licenses(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     for k, (phrase, _) in enumerate(phrases):
         rows = rows.withColumn(f"at_{k}", places(phrase))
 
-    prefix_words = sorted({w for _, _, _, prefix in index for w in prefix})
+    prefix_words = sorted({w for _, _, _, prefix, _ in index for w in prefix})
 
-    def matches_of(block: Column, number: Column) -> Column:
-        """Array of (block, label, containment) of one line."""
-        words = F.array_distinct(_words(block))
+    def matches_of(words: Column, number: Column, span: int) -> Column:
+        """Array of (block, label, containment) of one sequence of words."""
 
-        def one(label: str, tokens: list[str], need: int, prefix: list[str]) -> Column:
-            # position of the first template word that the block holds, in the global order
-            first = F.least(*[F.when(F.array_contains(words, w), F.lit(i)).otherwise(F.lit(len(tokens)))
-                              for i, w in enumerate(prefix)], F.lit(len(tokens)))
-            overlap = F.size(F.array_intersect(words, _strings(tokens)))
-            passes = (F.size(words) >= need) & (F.lit(len(tokens)) - first >= need) & (first < len(prefix))
-            share = F.round(overlap / F.lit(float(len(tokens))), 6)
-            return F.when(passes & (overlap >= need), F.struct(
-                number.alias("block"), F.lit(label).alias("label"), share.alias("containment")))
+        def one(label: str, tokens: list[str], need: int, prefix: list[str], length: int) -> Column:
+            # an array of one number, so that it is worked out once
+            most = F.array(most_held(words, tokens, need, prefix, span * length))
+            return F.transform(F.filter(most, lambda n: n >= need), lambda n: F.struct(
+                number.alias("block"), F.lit(label).alias("label"),
+                F.round(n / F.lit(float(len(tokens))), 6).alias("containment")))
 
-        return F.array_compact(F.array(*[one(*t) for t in index]))
+        return F.flatten(F.array(*[one(*t) for t in index]))
 
     empty = F.array().cast("array<struct<block:int,label:string,containment:double>>")
     if index:
-        lines = F.split(F.col("lowered"), "\n")
-        per_line = F.transform(lines, lambda b, i: F.when(
-            F.arrays_overlap(_words(b), _strings(prefix_words)), matches_of(b, i)).otherwise(empty))
-        found = F.when(F.arrays_overlap("words", _strings(prefix_words)), F.flatten(per_line)).otherwise(empty)
+        hit = F.arrays_overlap("words", _strings(prefix_words))
+        lines = F.transform(F.split(F.col("lowered"), "\n"), _words)
+        per_line = F.transform(lines, lambda ws, i: F.when(
+            F.arrays_overlap(ws, _strings(prefix_words)), matches_of(ws, i, LINE_SPAN)).otherwise(empty))
+        rows = (rows.withColumn("in_lines", F.when(hit, F.flatten(per_line)).otherwise(empty))
+                .withColumn("anywhere", F.when(hit, matches_of(F.col("words"), F.lit(None).cast("int"), 1)).otherwise(empty)))
+        found = F.concat("in_lines", F.filter("anywhere", lambda m: ~F.exists("in_lines", lambda x: (
+            x["label"] == m["label"]) & (x["containment"] >= m["containment"]))))
     else:
         found = empty
     rows = rows.withColumn("matches", found)

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 
 import pytest
 
@@ -117,3 +118,64 @@ def test_licenses_of_odd_rows(odd, empty, templates):
     want = sorted(((r[0], *brute_licenses(r[1])) for r in ODD), key=str)
     assert got == want
     assert L.scan_licenses(empty, templates=templates).count() == 0
+
+
+def wrapped(text, width, lead=""):
+    """The text in lines of at most ``width`` characters, as in a source file."""
+    return "\n".join(lead + line for line in textwrap.wrap(text, width))
+
+
+def test_wrapped_notices_are_found(make):
+    rows, want = [], {}
+    for k, (label, template) in enumerate(L.TEMPLATES):
+        for w, width in enumerate((16, 30, 72)):
+            for p, lead in enumerate(("", " * ", "# ")):
+                i = 100 * k + 10 * w + p
+                rows.append((i, "Some code\n" + wrapped(template.capitalize(), width, lead) + "\nand more of it", "src0"))
+                want[i] = label
+    for r in L.scan_licenses(make(rows)).collect():
+        assert want[r["doc_id"]] in r["labels"].split(",") and r["score"] == 1.0, r
+
+
+def test_scattered_words_do_not_add_up(make):
+    filler = " ".join(f"word{i}" for i in range(200))
+    rows = [(k, f" {filler} ".join(template.split()), "s") for k, (_, template) in enumerate(L.TEMPLATES)]
+    rows += [(100, "Released by Someone Else under the old MIT license", "s"),
+             (101, f"{filler} released by someone else under the well known MIT license {filler}", "s")]
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in L.scan_licenses(make(rows)).collect()}
+    assert got.pop(100) == got.pop(101) == ("mit", 1.0)
+    assert set(got.values()) == {("", 0.0)}
+
+
+def brute_windows(text):
+    """Every run of words against every template: labels and the best share."""
+    word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    lowered, best, labels = text.translate(LOWER_TABLE), 0.0, set()
+    for label, template in L.TEMPLATES:
+        tokens, n = set(template.split()), len(template.split())
+        for words, width in [(word.findall(lowered), n)] + [(word.findall(x), L.LINE_SPAN * n) for x in lowered.split("\n")]:
+            for start in range(max(1, len(words) - width + 1)):
+                share = len(tokens & set(words[start:start + width])) / len(tokens)
+                if share >= L.THRESHOLD - 1e-12:
+                    best, labels = max(best, round(share, 6)), labels | {label}
+    return labels, best
+
+
+def test_runs_of_words_against_brute_force(make):
+    rng = random.Random(17)
+    rows = []
+    for i in range(150):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            some = [w for w in rng.choice(L.TEMPLATES)[1].split() if rng.random() < 0.97]
+            gap = rng.choice([0, 0, 0.05, 0.5])
+            words += [x for w in some for x in ([w, "between"] if rng.random() < gap else [w])] + ["other"] * rng.randint(0, 3)
+        breaks = rng.choice([0, 0.02, 0.15])
+        rows.append((i, "".join(w + ("\n" if rng.random() < breaks else " ") for w in words), "src0"))
+    seen = set()
+    for r in L.scan_licenses(make(rows)).collect():
+        labels, best = brute_windows(rows[r["doc_id"]][1])
+        assert r["labels"] == ",".join(sorted(labels | set(filter(None, r["base_labels"].split(","))))), rows[r["doc_id"]]
+        assert r["score"] == (1.0 if r["n_base"] else best)
+        seen |= {b is None for b, _, _ in r["matches"]}
+    assert seen == {True, False}
