@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from panelstat.llm.common import read_table
 from panelstat.llm.exact_dedup import drop_exact_copies
 from panelstat.llm.jaccard_join import drop_near_copies
-from panelstat.llm.mixing import mixed
+from panelstat.llm.mixing import mix_order, mixed
 from panelstat.llm.piece_transducer import with_pieces
 from panelstat.llm.quality import fit, keep_quality
 from panelstat.session import materialize
@@ -36,16 +36,21 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, in the order that interleaves the sources at their target weights."""
+    """All rows, in the order that interleaves the sources at their target
+    weights. The order is the files' numbers and the rows' places in them; the
+    next stage makes it a column. A source that has run out leaves its slots
+    empty, and the others go on in their order."""
     return mixed(docs)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' columns and their piece ids (packed unsigned 32-bit
-    numbers), counts, digest and round-trip check, named ``sp_...``."""
+    """The documents' columns, the mix's decision for each (``mix_order``, and
+    ``in_mix``: the target weights hold up to this row), and their piece ids
+    (packed unsigned 32-bit numbers), counts, digest and round-trip check, named
+    ``sp_...``."""
     import public_tokenizers
 
-    return with_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), prefix="sp_")
+    return with_pieces(mix_order(docs), public_tokenizers.path("piece_bpe_32k.model"), prefix="sp_")
 
 
 STAGES = [

@@ -24,6 +24,11 @@ out of the period. Null ids and texts are mixed like others. Rows that repeat an
 take neighbouring ranks, in the order of all their columns. Texts are not
 looked at. Empty table: no rows. Extra columns are not read by
 ``mix_positions`` and are kept by ``mixed``.
+
+``mixed`` adds no column; its order is the mix, and it stands in the written
+files' numbers and the rows' places in them. A scan packs files by size and
+does not keep that order, so whoever reads the files takes it from there:
+``mix_order`` gives it as a column.
 """
 
 from __future__ import annotations
@@ -62,11 +67,22 @@ def _class(source: Column, names: list[str]) -> Column:
     return out
 
 
+def _first_empty(slots: list[tuple[int, int, int, int, int]], blocks: list[int], quota: list[int]) -> int:
+    """The first slot that one of the tasks, with so many blocks, leaves empty."""
+    at = {(i, k): slot for i, k, slot, _, _ in slots}
+    return min((n // q * sum(quota) + at[i, n % q] for i, (n, q) in enumerate(zip(blocks, quota))), default=0)
+
+
+def _ordered(shares: dict[str, int], other: int) -> tuple[list[str], list[int]]:
+    """The named sources, largest share first, and the weights of all classes."""
+    names = sorted(shares, key=lambda s: (-shares[s], s))
+    return names, [shares[n] for n in names] + [other]
+
+
 def _positions(rows: DataFrame, shares: dict[str, int], other: int, block: int) -> DataFrame:
     """Adds rank, block, slot, release, deadline, position and in_mix to rows
     of (id, source, ...); ties of the id go by the remaining columns."""
-    names = sorted(shares, key=lambda s: (-shares[s], s))
-    weights = [shares[n] for n in names] + [other]
+    names, weights = _ordered(shares, other)
     if min(weights) < 1 or sum(weights) > PERIOD_MOST:
         raise ValueError(f"shares are whole numbers from 1 on that add up to {PERIOD_MOST} at most")
     ties = [c for c in rows.columns if c not in ("id", "source")]
@@ -82,11 +98,7 @@ def _positions(rows: DataFrame, shares: dict[str, int], other: int, block: int)
     quota = [weights[c] for c in live]
     period = sum(quota)
     slots = pfair_period(quota)
-    at = {(live[i], k): slot for i, k, slot, _, _ in slots}
-    empty = []  # the first slot that each class leaves empty
-    for c, q in zip(live, quota):
-        blocks = -(-total[c] // block)
-        empty.append(blocks // q * period + at[c, blocks % q])
+    first_empty = _first_empty(slots, [-(-total[c] // block) for c in live], quota)
     table = [F.struct(F.lit(live[i]).alias("cls"), F.lit(quota[i]).alias("quota"), F.lit(k).alias("k"),
                       F.lit(slot).alias("in_period"), F.lit(release).alias("release_in"),
                       F.lit(deadline).alias("deadline_in")) for i, k, slot, release, deadline in slots]
@@ -109,7 +121,7 @@ def _positions(rows: DataFrame, shares: dict[str, int], other: int, block: int)
             .withColumn("release", F.col("start") + F.col("release_in"))
             .withColumn("deadline", F.col("start") + F.col("deadline_in"))
             .withColumn("position", F.col("slot") * block + F.col("rank") % block)
-            .withColumn("in_mix", F.col("slot") < F.lit(min(empty, default=0))))
+            .withColumn("in_mix", F.col("slot") < F.lit(first_empty)))
 
 
 def mix_positions(df: DataFrame, shares: dict[str, int] = SHARES, other: int = OTHER, block: int = BLOCK,
@@ -132,6 +144,32 @@ def mixed(df: DataFrame, shares: dict[str, int] = SHARES, other: int = OTHER, bl
             .sortWithinPartitions("position").select("original.*"))
 
 
+def mix_order(df: DataFrame, shares: dict[str, int] = SHARES, other: int = OTHER, block: int = BLOCK,
+              source_col: str = "source") -> DataFrame:
+    """``df``, as read from the files that ``mixed`` was written to, with
+    ``mix_order`` (0, 1, 2, ... in sending order) and ``in_mix``: the row goes
+    out before the first slot that stays empty. The numbers of files and the
+    classes' counts decide, so only these are collected or broadcast."""
+    file = F.col("_metadata.file_name")
+    rows = df.select(F.struct("*").alias("original"), file.alias("file"), F.col("_metadata.row_index").alias("place"))
+    number = F.regexp_extract("file", r"^part-(\d+)", 1).cast("long")
+    earlier = Window.orderBy(number, "file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    files = (df.select(file.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+             .select("file", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start")))
+
+    names, weights = _ordered(shares, other)
+    total = {r["cls"]: r["n"] for r in df.select(_class(F.col(source_col), names).alias("cls"))
+             .groupBy("cls").agg(F.count(F.lit(1)).alias("n")).collect()}
+    live = sorted(total)
+    quota = [weights[c] for c in live]
+    slots = pfair_period(quota)
+    periods, rest = divmod(_first_empty(slots, [-(-total[c] // block) for c in live], quota), max(1, sum(quota)))
+    sent = [periods * q + sum(j == i for j, *_ in slots[:rest]) for i, q in enumerate(quota)]
+    mixed_rows = sum(min(total[c], n * block) for c, n in zip(live, sent))
+    placed = rows.join(F.broadcast(files), "file").withColumn("at", F.col("start") + F.col("place"))
+    return placed.select("original.*", F.col("at").alias("mix_order"), (F.col("at") < F.lit(mixed_rows)).alias("in_mix"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_positions(read_table(spark, sf_dir, "documents"))
 

@@ -7,6 +7,7 @@ import pytest
 import __spark_entry__ as entry
 import corpus_pipeline
 from panelstat.llm import quality as Q
+from panelstat.llm import mixing
 from panelstat.llm.mixing import mix_positions
 from panelstat.session import materialize
 
@@ -78,6 +79,36 @@ def test_mix_stage(spark, stages):
     assert sorted(order) == ids(after)
 
 
+def test_the_mix_decides_the_result(spark, make):
+    """Each source's share of the pipeline's rows, in their order, is within
+    one block of its weight for as long as every source has rows."""
+    counts = {"src0": 60, "src1": 9, "src2": 9, "src5": 5, "src10": 3, None: 9}  # blocks; src0 has far more than its share
+    sources = [s for s, n in counts.items() for _ in range(n * mixing.BLOCK)]
+    docs = make([(7 * i % 100003, "text", s) for i, s in enumerate(sources)]).repartition(5)
+    stages = dict(corpus_pipeline.STAGES)
+    quota = {s: mixing.SHARES.get(s, mixing.OTHER) for s in counts}
+
+    def worst(rows):
+        sent, most = dict.fromkeys(quota, 0), 0
+        for t, r in enumerate(rows, 1):
+            sent[r["source"]] += 1
+            most = max(most, *(abs(n - t * quota[s] / sum(quota.values())) for s, n in sent.items()))
+        return most
+
+    def result(before):
+        made = materialize(stages["pieces"](spark, materialize(before, "mix-test"), SF), "pieces-test")
+        rows = sorted(made.repartition(3).select("doc_id", "source", "mix_order", "in_mix").collect(), key=lambda r: r["mix_order"])
+        assert [r["mix_order"] for r in rows] == list(range(len(sources)))
+        return rows
+
+    rows = result(stages["mix"](spark, docs, SF))
+    want = mix_positions(docs).orderBy("position").collect()
+    assert [(r["doc_id"], r["in_mix"]) for r in rows] == [(r["doc_id"], r["in_mix"]) for r in want]
+    live = [r for r in rows if r["in_mix"]]
+    assert len(live) > 40 * mixing.BLOCK and worst(live) <= mixing.BLOCK
+    assert worst(result(docs)[:len(live)]) > mixing.BLOCK  # without the stage
+
+
 def test_pieces_stage(stages):
     before, after, _ = stages["pieces"]
     assert ids(before) == ids(after) and all(r["sp_round_trip"] and len(r["sp_piece_ids"]) == 4 * r["sp_n_pieces"] for r in after)
