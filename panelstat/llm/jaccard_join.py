@@ -37,7 +37,9 @@ linked with nothing, its own component. Fewer words than n: the whole sequence
 is one token. Null ids: never linked, null component. Rows that repeat an id:
 each has its own set; links of both join the id's component by value. Equal
 texts: one component. Empty table: no rows. Extra columns are not read by
-``jaccard_components`` and are kept by ``drop_near_copies``.
+``jaccard_components`` and are kept by ``drop_near_copies``, which leaves
+exactly one row of each component of sets, whatever ids its rows share with other
+components; of rows that repeat an id and an empty set's text one stays, too.
 """
 
 from __future__ import annotations
@@ -190,11 +192,9 @@ def _may_link(percent: int) -> Column:
             & (F.col("apart") + F.col("o_apart") + before + behind <= allowed))
 
 
-def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
-                       percent: int = 80) -> DataFrame:
-    """One row per row of ``df``: ``id_col``, ``n_shingles`` and
-    ``component_id``, the smallest id that is reachable by links of at least
-    ``percent`` hundredths Jaccard similarity of ``size``-word shingles."""
+def _placed_rows(df: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> DataFrame:
+    """One row per row of ``df``: doc_id, n, the set (sid, key2), its component
+    of sets (group, group2; null for an empty set) and component_id."""
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts, cut = token_counts(docs, size, "text")
@@ -281,19 +281,53 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     placed = sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "key2", "rep", "label")
     least = placed.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    placed = placed.join(least, "label", "left").select("sid", "key2", F.coalesce("least", "rep").alias("component"))
+    placed = placed.join(least, "label", "left").select(
+        "sid", "key2", F.coalesce("label", "sid").alias("group"),
+        F.when(F.col("label").isNull(), F.col("key2")).otherwise(0).alias("group2"), F.coalesce("least", "rep").alias("component"))
     return signed.select("doc_id", "n", "sid", "key2").join(placed, ["sid", "key2"], "left").select(
-        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"),
-        F.coalesce("component", "doc_id").alias("component_id"))
+        "doc_id", "n", "sid", "key2", "group", "group2", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
+                       percent: int = 80) -> DataFrame:
+    """One row per row of ``df``: ``id_col``, ``n_shingles`` and
+    ``component_id``, the smallest id that is reachable by links of at least
+    ``percent`` hundredths Jaccard similarity of ``size``-word shingles."""
+    return _placed_rows(df, id_col, text_col, size, percent).select(
+        F.col("doc_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def _first_of_repeated(rows: DataFrame, parts: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """Of rows whose ids repeat, those that stay: a row of each component whose
+    least id is theirs, and one of each id and text without words."""
+
+    @F.pandas_udf("sid long, key2 long")
+    def keys(texts):
+        import pandas as pd
+
+        found = [shingle_set(t, size) for t in texts]
+        return pd.DataFrame([_set_keys(f) if len(f) else (None, None) for f in found], columns=["sid", "key2"], dtype="Int64")
+
+    keyed = rows.withColumn("__set__", keys(F.col(text_col)))
+    first = (parts.where("doc_id = component_id and sid is not null").groupBy("group", "group2")
+             .agg(F.min(F.struct("doc_id", "sid", "key2")).alias("first")).select("first.*"))
+    with_set = keyed.join(first, (keyed[id_col] == first["doc_id"]) & (keyed["__set__.sid"] == first["sid"])
+                          & (keyed["__set__.key2"] == first["key2"]), "left_semi").dropDuplicates([id_col, "__set__"])
+    without = (keyed.where("__set__.sid is null").withColumn("__text__", F.coalesce(text_col, F.lit("")))
+               .dropDuplicates([id_col, "__text__"]).drop("__text__"))
+    return with_set.unionByName(without).drop("__set__")
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
                      percent: int = 80) -> DataFrame:
-    """The rows of ``df`` but those whose component has a smaller id; all
-    columns as they were. Rows that no dropped id can match skip the join."""
-    parts = materialize(jaccard_components(df, id_col, text_col, size, percent), "components")
-    dropped = materialize(parts.where(F.col(id_col) != F.col("component_id"))
-                          .select(F.col(id_col).alias("key")).distinct(), "dropped")
+    """One row of each component, that with the smallest id; all columns as
+    they were. Ids that stand once decide by themselves, those that repeat
+    with their sets. Rows that no dropped or repeated id can match skip the join."""
+    parts = materialize(_placed_rows(df, id_col, text_col, size, percent), "components")
+    repeated = materialize(parts.where("doc_id is not null").groupBy(F.col("doc_id").alias("key"))
+                           .agg(F.count(F.lit(1)).alias("times")).where("times > 1").select("key"), "repeated")
+    dropped = materialize(parts.where("doc_id <> component_id").select(F.col("doc_id").alias("key")).distinct()
+                          .unionByName(repeated).distinct(), "dropped")
     bits = df.sparkSession.sparkContext.broadcast(_bitmap(dropped))
 
     @F.pandas_udf("boolean")
@@ -305,7 +339,12 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     flagged = F.col(id_col).isNotNull() & maybe(F.coalesce(F.col(id_col).cast("long"), F.lit(0)))
     unsure = df.where(flagged)
-    return df.where(~flagged).unionByName(unsure.join(dropped, unsure[id_col] == dropped["key"], "left_anti"))
+    kept = df.where(~flagged).unionByName(unsure.join(dropped, unsure[id_col] == dropped["key"], "left_anti"))
+    if repeated.isEmpty():
+        return kept
+    again = unsure.join(repeated, unsure[id_col] == repeated["key"], "left_semi")
+    return kept.unionByName(_first_of_repeated(again, parts.join(repeated, parts["doc_id"] == repeated["key"], "left_semi"),
+                                               id_col, text_col, size))
 
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

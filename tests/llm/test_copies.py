@@ -149,6 +149,23 @@ def test_components_of_odd_rows(odd, empty):
     assert J.drop_near_copies(empty).count() == 0
 
 
+def test_one_row_of_each_component_stays_when_ids_repeat(make):
+    words = {c: [f"{c}{k}" for k in range(60)] for c in "abcde"}
+    near = {c: " ".join(w[:-1]) for c, w in words.items()}  # lacks the last word
+    text = {c: " ".join(w) for c, w in words.items()}
+    rows = [(5, text["a"]), (7, near["a"]), (5, text["b"]), (3, near["b"]),  # a's least id is dropped in b
+            (9, text["c"]), (9, text["c"]), (11, near["c"]),  # equal in id and text
+            (5, text["d"]), (5, near["d"]), (12, text["d"]),  # one id, two near texts
+            (20, text["e"]), (20, near["a"]), (21, ""), (21, None), (21, " "), (None, text["a"]), (None, text["a"])]
+    got = J.drop_near_copies(make([(i, t, "s") for i, t in rows]).repartition(3)).collect()
+    kept = sorted(((r["doc_id"], r["text"] or "") for r in got), key=str)
+    d = [x for x in kept if x[1] in (text["d"], near["d"])]
+    assert len(d) == 1 and d[0][0] == 5
+    assert sorted([x for x in kept if x not in d], key=str) == sorted(
+        [(5, text["a"]), (3, near["b"]), (9, text["c"]), (20, text["e"]), (21, ""), (21, " "),
+         (None, text["a"]), (None, text["a"])], key=str)
+
+
 def test_component_labels_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(component_labels(spark.createDataFrame(edges, "u long, v long")).collect())
