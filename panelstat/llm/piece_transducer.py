@@ -5,9 +5,9 @@ each input on the fly:
 
 * the normaliser: a blank in front of a text that is not empty, blanks as the
   piece mark;
-* the pieces: one arc for every piece that stands at a position, weighted by the
-  negative score; a character without a piece goes through byte fallback, one
-  arc that writes its UTF-8 bytes;
+* the pieces: one arc for every piece that stands at a position, with weight 0,
+  since scores only order the merges below; a character without a piece goes
+  through byte fallback, one arc that writes its UTF-8 bytes;
 * the merge order: an acceptor of pairs of neighbouring arcs. A pair costs 0
   if merging its joint characters by score gives just these two pieces, else
   infinity. A sequence of pieces is the model's encoding if and only if each piece
@@ -16,12 +16,13 @@ each input on the fly:
   alone, so that this merge would also happen to the pair by itself.
 
 The encoding is the shortest path in the tropical semiring over the states
-(position, last arc). Where no piece of the model holds two
+(position, last arc), whose weights are only 0 and infinity: the one allowed path. Where no piece of the model holds two
 neighbouring characters, no arc crosses, and the path factors there; each
 task keeps the paths of the factors that it has met.
 
-Only models without normalisation rules of their own (and without user-defined
-pieces) are compiled; others raise.
+Only BPE models without normalisation rules of their own, user-defined pieces
+and pieces with a blank behind a character are compiled; others raise, unigram
+models among them.
 
 Defined results. Null text: as the empty text, no pieces. Round trips give
 the text with the piece mark itself read as a blank. Repeated rows are encoded
