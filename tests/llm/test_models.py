@@ -36,6 +36,16 @@ def test_held_out_accuracy(fitted):
     assert got["score"].between(0, 1).all() and ((got["score"] >= 0.7) == (got["predicted"] == 1)).all()
 
 
+def test_held_out_good_documents_are_kept(fitted):
+    """The bound that the smallest table has too few labels for."""
+    docs, labels, model = fitted
+    kept = Q.keep_quality(docs, model).select("doc_id")
+    good = labels.where((F.col("quality") == 1) & Q.held_out(F.col("doc_id"))).join(docs.select("doc_id"), "doc_id")
+    n, stay = good.count(), good.join(kept, "doc_id", "left_semi").count()
+    print("held-out good documents:", n, "kept:", stay)
+    assert n >= 50 and stay >= 0.97 * n
+
+
 def test_held_out_labels_are_never_read(fitted):
     docs, labels, model = fitted
     flipped = labels.withColumn("quality", F.when(Q.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
