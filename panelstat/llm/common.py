@@ -84,6 +84,16 @@ def summed_table(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], No
     return out[:cells]
 
 
+def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table``, which has one row per ``key`` and, in
+    ``size``, how many of the ``total`` rows have it. Keys of more than a thousandth
+    of all rows, a thousand at most, are broadcast, so that their rows stay where they
+    are; the others are shuffled."""
+    hot = F.broadcast(table.where(F.col(size) * 1000 > total).drop(size))
+    rest = table.where(F.col(size) * 1000 <= total).drop(size)
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+
+
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     """Up to ``parts - 1`` ascending cut points that deal the column's values
     into ranges of about equal size. Nulls are left out; an empty table has
@@ -95,5 +105,5 @@ def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted(set(int(x) for x in row["q"] or []))
 
 
-__all__ = ["LOWER_BYTES", "ascii_lower", "materialize", "mix64", "range_bounds", "read_table", "summed_table",
+__all__ = ["LOWER_BYTES", "ascii_lower", "hot_join", "materialize", "mix64", "range_bounds", "read_table", "summed_table",
            "task_partitions"]

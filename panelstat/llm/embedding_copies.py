@@ -42,7 +42,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from panelstat.llm.common import materialize, read_table, task_partitions
+from panelstat.llm.common import hot_join, materialize, read_table, task_partitions
 from panelstat.llm.components import component_labels
 from panelstat.llm.vectors import grouped, stacked, whole_vectors
 
@@ -275,18 +275,16 @@ def embedding_components(df: DataFrame, id_col: str = "vec_id", vector_col: str
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     labels = materialize(component_labels(found.where("other is not null").select(
         F.col("node").alias("u"), F.col("other").alias("v"))), "labels")
-    placed = nodes.select("key", "node", "rep", "copies").join(links, "node", "left").join(labels, "node", "left")
-    least = placed.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    placed = materialize(placed.join(least, "label", "left").select(
-        "key", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
-        F.coalesce("least", "rep").alias("component_id")), "placed")
-    # nodes that hold a thousandth of all rows are a thousand at most; their rows stay where they are
+    placed = materialize(nodes.select("key", "node", "rep", "copies").join(links, "node", "left").join(labels, "node", "left")
+                         .withColumn("n_links", F.coalesce("links", F.lit(0)) + F.col("copies") - 1).drop("links"), "placed")
+    least = materialize(placed.where("label is not null").groupBy("label")
+                        .agg(F.min("rep").alias("component_id"), F.sum("copies").alias("total")), "least")
     total = rows.count()
-    hot = F.broadcast(placed.where(F.col("copies") * 1000 > total).drop("copies"))
-    rest = placed.where(F.col("copies") * 1000 <= total).drop("copies")
+    linked = hot_join(placed.where("label is not null"), least, "label", "total", total)
+    alone = placed.where("label is null").withColumn("component_id", F.col("rep"))
+    parts = materialize(linked.unionByName(alone).select("key", "copies", "n_links", "component_id"), "parts")
     narrow = rows.select("vec_id", "key")
-    out = (narrow.join(hot, "key").unionByName(narrow.join(hot, "key", "left_anti").join(rest, "key"))
-           .select("vec_id", "n_links", "component_id")
+    out = (hot_join(narrow.where("key is not null"), parts, "key", "copies", total).select("vec_id", "n_links", "component_id")
            .unionByName(narrow.where("key is null").select("vec_id", F.lit(0).cast("long").alias("n_links"),
                                                            F.col("vec_id").alias("component_id"))))
     return out.select(F.col("vec_id").alias(id_col), "n_links", "component_id",
