@@ -171,7 +171,8 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     n = F.size(L)
 
     # R1 ministry
-    gi = _first_index(L, lambda x, i: F.upper(x).contains(GOVERNMENT))
+    d = d.withColumn("_gi", _first_index(L, lambda x, i: F.upper(x).contains(GOVERNMENT)))
+    gi = F.col("_gi")
     p1 = F.when((gi >= 0) & (gi + 1 < n), F.get(L, gi + 1))
     m_line = F.get(L, F.col("_mi"))
     p2 = F.regexp_replace(F.regexp_replace(F.regexp_extract(m_line, MINISTRY_RE, 0), "(?i)ministry", "Ministry"),
@@ -287,15 +288,15 @@ def extract_records(docs: DataFrame, text: str = "text", file: str = "file") ->
     d = d.withColumn("answer", F.when(F.col("_an") >= 0, final_answer(F.col("_parts"), F.col("_ans")))
                      .otherwise(F.lit("")))
 
-    # R13 documents whose text could not be read become error rows instead of
-    # failures; an empty text is a document in which nothing was found
+    # R13 documents without text, and those in which no header rule found a
+    # line, become error rows without fields instead of failures or defaults
     unread = F.col(text).isNull()
-    status = F.when(unread, F.lit("Error"))
-    detail = F.when(unread, F.lit("no text"))
+    nothing = (F.col("_gi") < 0) & (F.col("_mi") < 0) & (F.col("_qi") < 0) & (F.col("_di") < 0) & (F.col("_qs") < 0)
+    detail = F.when(unread, F.lit("no text")).when(nothing, F.lit("no fields found"))
     fields = ["ministry", "question_no", "title", "asked_by", "question", "answered_date", "answered_by", "answer"]
     keep = [c for c in docs.columns if c != text]
-    return d.select(*keep, *[F.when(~unread, F.col(c)).alias(c) for c in fields],
-                    status.alias("status"), detail.alias("detail"))
+    return d.select(*keep, *[F.when(detail.isNull(), F.col(c)).alias(c) for c in fields],
+                    F.when(detail.isNotNull(), F.lit("Error")).alias("status"), detail.alias("detail"))
 
 
 def answer_part_rows(docs: DataFrame, answer: str = "answer_raw", key: str = "doc_id") -> DataFrame:

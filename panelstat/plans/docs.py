@@ -23,7 +23,8 @@ WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY",
 
 
 def record_docs(spark: SparkSession, sf_dir: str, unread: bool = True) -> DataFrame:
-    """The records; with ``unread`` some have no text (null) or an empty one."""
+    """The records; with ``unread`` some have no text (null), an empty one, or
+    one that holds no field."""
     d = table(spark, sf_dir, "documents")
     did = F.col("doc_id")
     q = (did % 4000 + 1).cast("string")
@@ -74,7 +75,8 @@ def record_docs(spark: SparkSession, sf_dir: str, unread: bool = True) -> DataFr
         F.lit("*****"),
     )
     if unread:
-        record = F.when(did % 97 == 5, F.lit(None)).when(did % 97 == 6, F.lit("")).otherwise(record)
+        record = (F.when(did % 97 == 5, F.lit(None)).when(did % 97 == 6, F.lit(""))
+                  .when(did % 97 == 7, F.lit("This page is left blank.\n\n- 2 -")).otherwise(record))
     return d.select("doc_id", F.concat(F.lit("doc_"), did.cast("string"), F.lit(".txt")).alias("file"),
                     record.alias("text"), date_text.alias("date_text"))
 
@@ -118,15 +120,15 @@ CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id % 28 + 1 AS VARCHAR) || '.' || CAST(do
      ELSE CAST(doc_id % 28 + 1 AS VARCHAR) || '/' || CAST(doc_id % 12 + 1 AS VARCHAR) || '/2025' END"""
 
 
-# What an unread text (null) and an empty one give instead.
-_EMPTY = {"ministry": "Ministry of Power", **{c: "N/A" for c in (
-    "question_no", "title", "asked_by", "question", "answered_date", "answered_by")}, "answer": ""}
-_UNREAD = ", ".join(f"CASE doc_id % 97 WHEN 5 THEN NULL WHEN 6 THEN '{v}' ELSE {c} END AS {c}" for c, v in _EMPTY.items())
+# Texts without fields give error rows.
+_FIELDS = ("ministry", "question_no", "title", "asked_by", "question", "answered_date", "answered_by", "answer")
+_UNREAD = ", ".join(f"CASE WHEN doc_id % 97 NOT IN (5, 6, 7) THEN {c} END AS {c}" for c in _FIELDS)
 
 
 def expected(cols: str, unread: bool = True) -> str:
     if not unread:
         return f"SELECT {cols} FROM ({EXPECTED_SQL}) AS e"
     return f"""SELECT {cols} FROM (SELECT doc_id, file, {_UNREAD},
-  CASE WHEN doc_id % 97 = 5 THEN 'Error' END AS status, CASE WHEN doc_id % 97 = 5 THEN 'no text' END AS detail
+  CASE WHEN doc_id % 97 IN (5, 6, 7) THEN 'Error' END AS status,
+  CASE WHEN doc_id % 97 = 5 THEN 'no text' WHEN doc_id % 97 IN (6, 7) THEN 'no fields found' END AS detail
   FROM ({EXPECTED_SQL}) AS i) AS e"""
