@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelstat.operators.records import MONTHS
-from panelstat.plans.views import table
+from panelstat.plans.views import spread, table
 
 WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY", "SUNDAY"]
 
@@ -25,7 +25,7 @@ WEEKDAYS = ["MONDAY", "TUESDAY", "WEDNESDAY", "THURSDAY", "FRIDAY", "SATURDAY",
 def record_docs(spark: SparkSession, sf_dir: str, unread: bool = True) -> DataFrame:
     """The records; with ``unread`` some have no text (null), an empty one, or
     one that holds no field."""
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents"))  # per-row work heavy enough to need every core
     did = F.col("doc_id")
     q = (did % 4000 + 1).cast("string")
     src = F.upper("source")

@@ -32,6 +32,14 @@ SOCIAL_ELSE = "scheduled caste"
 _TABLES: dict[tuple, DataFrame] = {}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a scan has fewer splits than these: a file of
+    one row group is one task, however many splits it has. Larger inputs
+    have more splits and stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A source table, opened once per session (file listing and footer
     schema are read once; every query still scans the files)."""
