@@ -18,6 +18,8 @@ from array import array
 
 import numpy as np
 
+from panelstat.llm.common import worker_memo
+
 # The white space and the last code point of the Latin blocks of Unicode.
 WHITE = "\t-\r \x85\xa0  -     　"
 LATIN_END = 0x24F
@@ -124,7 +126,6 @@ class ByteBpe:
         return out
 
 
-@functools.lru_cache(maxsize=2)
 def byte_bpe(path: str) -> ByteBpe:
     """One encoder per Python worker and vocabulary file."""
-    return ByteBpe(path)
+    return worker_memo(("byte bpe", path), lambda: ByteBpe(path))

@@ -84,14 +84,29 @@ def summed_table(df: DataFrame, count: Callable[[pa.RecordBatch, np.ndarray], No
     return out[:cells]
 
 
-def hot_join(rows: DataFrame, table: DataFrame, key: str, size: str, total: int) -> DataFrame:
+def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], size: str, total: int) -> DataFrame:
     """Inner join of ``rows`` with ``table``, which has one row per ``key`` and, in
-    ``size``, how many of the ``total`` rows have it. Keys of more than a thousandth
-    of all rows, a thousand at most, are broadcast, so that their rows stay where they
-    are; the others are shuffled."""
+    ``size``, at most how many of the ``total`` rows have it. Keys of more than a
+    thousandth of all rows, a thousand at most, are broadcast, so that their rows stay
+    where they are; the others are shuffled."""
+    keys = [key] if isinstance(key, str) else key
     hot = F.broadcast(table.where(F.col(size) * 1000 > total).drop(size))
     rest = table.where(F.col(size) * 1000 <= total).drop(size)
-    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest, key))
+    return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
+
+
+_WORKER: dict = {}
+
+
+def worker_memo(owner, make):
+    """What an operator keeps from task to task in a Python worker, made at first
+    use. A worker holds only what the operator that ran last in it keeps, so that a
+    session with many operators needs no more memory than its largest one."""
+    if owner not in _WORKER:
+        _WORKER.clear()
+        pa.default_memory_pool().release_unused()
+        _WORKER[owner] = make()
+    return _WORKER[owner]
 
 
 def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
@@ -106,4 +121,4 @@ def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
 
 
 __all__ = ["LOWER_BYTES", "ascii_lower", "hot_join", "materialize", "mix64", "range_bounds", "read_table", "summed_table",
-           "task_partitions"]
+           "task_partitions", "worker_memo"]

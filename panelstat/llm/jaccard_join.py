@@ -22,8 +22,11 @@ far rarer than either. Positions bound the mismatches of a candidate from below:
 before and those behind the signature, in the whole sets for a single token; for
 a pair, in the frequent tokens, and all rare tokens of both sets on top, since
 sets that share a rare token also meet there. Candidates with more
-mismatches than the threshold allows go before their sets are read. The table's noise changes how many candidates there
-are, never which links are found.
+mismatches than the threshold allows go. So do those whose parity sketches
+differ in more bits: a sketch tells for each cell whether the set has an odd number of tokens
+there, so two sketches differ in no more cells than the sets have mismatches. Only
+sets of candidates that are left are read. The tables' noise changes how many candidates
+there are, never which links are found.
 
 Candidates. Equal sets are one node. Every signature's sets are first compared
 with one centre, the set with the largest share of signatures that others have;
@@ -50,12 +53,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelstat.llm.common import LOWER_BYTES, materialize, mix64, read_table, summed_table
+from panelstat.llm.common import (LOWER_BYTES, hot_join, materialize, mix64, read_table, summed_table, task_partitions,
+                                  worker_memo)
 from panelstat.llm.components import component_labels
 
 CELLS = 1 << 20  # of the counter table
 BITS_MOST = 1 << 26  # of a broadcast bitmap, which only spares rows a shuffle
 MEMO_WORDS = 500_000
+BLOCK = 2_048  # sets under one signature that a task compares with as many others
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -70,15 +75,13 @@ class _WordHashes(dict):
         return value
 
 
-_WORDS = _WordHashes()
-
-
 def shingle_set(text: str | None, size: int) -> np.ndarray:
     """Ascending distinct hashes of the word n-grams of the whole text."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
     if not words:
         return np.zeros(0, np.uint64)
-    hashes = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = worker_memo("word hashes", _WordHashes)
+    hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(size, len(words))
     grams = np.full(len(words) - width + 1, width, dtype=np.uint64)
     for k in range(width):
@@ -142,33 +145,116 @@ def _marked(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 == 1
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (u, v) of set numbers whose sets reach the threshold. Texts
-    are read again, for the documents that stand for the sets that a pair names."""
-    pairs = materialize(pairs, "pairs")
+def sketch(tokens: np.ndarray) -> bytes:
+    """Which of at least half as many cells as there are tokens hold an odd number of them."""
+    cells = 256
+    while 2 * cells < len(tokens):
+        cells *= 2
+    return np.packbits(np.bincount((tokens & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1 == 1,
+                       bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """In how many cells two sketches differ; the longer one is folded."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[:len(x) // 2] ^ x[len(x) // 2:]
+    while len(y) > len(x):
+        y = y[:len(y) // 2] ^ y[len(y) // 2:]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _named(pairs: DataFrame, sets: DataFrame):
+    """A broadcast bitmap of the documents that stand for the sets that pairs name."""
     named = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
-    needed = materialize(sets.join(named, "sid").select(F.col("rep").alias("key")), "needed")
-    shared = docs.sparkSession.sparkContext.broadcast(_bitmap(needed))
+    return pairs.sparkSession.sparkContext.broadcast(
+        _bitmap(materialize(sets.join(named, "sid").select(F.col("rep").alias("key")), "needed")))
+
+
+def _both_sides(pairs: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with both sets' columns; shuffled whatever their number: the plan is the same at every size."""
+    sides = [rows.select(F.col("sid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in columns]) for s in "uv"]
+    return pairs.join(sides[0].hint("merge"), "u").join(sides[1].hint("merge"), "v")
+
 
-    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
+def _linked(pairs: DataFrame, sets: DataFrame, signed: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (u, v) of set numbers whose sets reach the threshold. First by
+    sketches; then texts are read again, of the documents that stand for the sets of a pair."""
+    # a document that only shares its bit with a named one meets no pair below
+    shared = _named(pairs, sets)
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            marked = _marked(shared.value, batch.column(0).to_numpy(zero_copy_only=False))
+            yield batch.filter(pa.array(marked)).select(["sid", "n", "sketch"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(_marked(bits, batch.column(0).to_numpy(zero_copy_only=False))))
+            most = (batch.column(2).to_numpy() + batch.column(3).to_numpy()) * (100 - percent) // (100 + percent)
+            apart = [differing(a.as_py(), b.as_py()) for a, b in zip(batch.column(4), batch.column(5))]
+            yield batch.select(["u", "v"]).filter(pa.array(np.array(apart, np.int64) <= most))
+
+    rows = signed.where("doc_id is not null and sid is not null").select("doc_id", "sid", "n", "sketch").mapInArrow(
+        pick, "sid long, n long, sketch binary").dropDuplicates(["sid"])
+    pairs = materialize(_both_sides(pairs, rows, "n", "sketch").select("u", "v", "u_n", "v_n", "u_sketch", "v_sketch")
+                        .mapInArrow(near, "u long, v long"), "near")
+    shared.destroy()
+    again = _named(pairs, sets)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pa.array(_marked(again.value, batch.column(0).to_numpy(zero_copy_only=False))))
             for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                found = [shingle_set(t.as_py(), size) for t in part.column(1)]
+                found = [shingle_set(t.as_py(), size) for t in batch.column(1).slice(at, 256)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([_set_keys(f)[0] for f in found], pa.int64()),
                      pa.array([f.view(np.int64) for f in found], pa.list_(pa.int64()))], names=["sid", "tokens"])
 
-    # a document that only shares its bit with a named one meets no pair below
-    tokens = docs.where("doc_id is not null").mapInArrow(again, "sid long, tokens array<long>")
-    left = tokens.select(F.col("sid").alias("u"), F.col("tokens").alias("a"))
-    right = tokens.select(F.col("sid").alias("v"), F.col("tokens").alias("b"))
-    both = F.size(F.array_intersect("a", "b")).cast("long")
-    # sets are shuffled whatever their number: the plan is the same at every size
-    return (pairs.join(left.hint("merge"), "u").join(right.hint("merge"), "v").withColumn("both", both)
-            .where(F.col("both") * 100 >= (F.size("a") + F.size("b") - F.col("both")) * percent).select("u", "v"))
+    tokens = docs.where("doc_id is not null").mapInArrow(read, "sid long, tokens array<long>")
+    both, least = F.size(F.array_intersect("u_tokens", "v_tokens")).cast("long"), F.size("u_tokens") + F.size("v_tokens")
+    return (_both_sides(pairs, tokens, "tokens").withColumn("both", both)
+            .where(F.col("both") * 100 >= (least - F.col("both")) * percent).select("u", "v"))
+
+
+def _across(percent: int):
+    """Over groups (sign, i, j) of sets of two blocks, or of one where i = j, sorted:
+    pairs of sets of different components within the bounds."""
+    def compare(rows: dict[str, np.ndarray], group: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at, gap = np.arange(len(group)), 0
+        while True:  # every row with the next, with the one behind it, ... of its group
+            gap += 1
+            at = at[at + gap < len(group)]
+            at = at[group[at] == group[at + gap]]
+            if not len(at):
+                return
+            a, b = ({c: v[k] for c, v in rows.items()} for k in (at, at + gap))
+            before = np.abs(a["place"] - b["place"])
+            behind = np.abs((a["n"] - a["apart"] - a["place"]) - (b["n"] - b["apart"] - b["place"]))
+            allowed = (a["n"] + b["n"]) * (100 - percent) // (100 + percent)
+            keep = ((a["label"] != b["label"]) & ((a["side"] != b["side"]) | (a["i"] == a["j"]))
+                    & (a["apart"] + b["apart"] + before + behind <= allowed))
+            u, v = a["sid"][keep], b["sid"][keep]
+            if len(u):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+
+        def marks() -> np.ndarray:
+            return np.concatenate([[0], np.cumsum(np.any([np.diff(held[c]) != 0 for c in ("sign", "i", "j")], axis=0))])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            held = {c: np.concatenate([held[c], v]) if held else v for c, v in new.items()}
+            group = marks()
+            cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
+            yield from compare({c: v[:cut] for c, v in held.items()}, group[:cut])
+            held = {c: v[cut:] for c, v in held.items()}
+        if held:
+            yield from compare(held, marks())
+    return run
 
 
 def _set_keys(tokens: np.ndarray) -> tuple[int, int]:
@@ -203,7 +289,7 @@ def _placed_rows(df: DataFrame, id_col: str, text_col: str, size: int, percent:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                ids, sizes, keys, signs, kinds = batch.column(0).slice(at, 512), [], [], [], []
+                ids, sizes, keys, signs, kinds, sketches = batch.column(0).slice(at, 512), [], [], [], [], []
                 for doc_id, text in zip(ids, batch.column(1).slice(at, 512)):
                     tokens = shingle_set(text.as_py(), size)
                     linkable = len(tokens) and doc_id.is_valid
@@ -212,30 +298,35 @@ def _placed_rows(df: DataFrame, id_col: str, text_col: str, size: int, percent:
                     made, *kind = signatures(tokens if linkable else tokens[:0], shared.value, cut, percent)
                     signs.append(made.view(np.int64))
                     kinds.append(kind)
+                    sketches.append(sketch(tokens) if linkable else None)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(sizes, pa.int64()), pa.array([k[0] for k in keys], pa.int64()),
                      pa.array([k[1] for k in keys], pa.int64()), pa.array(signs, pa.list_(pa.int64())),
-                     pa.array([k[0] for k in kinds], pa.int64()), pa.array([k[1] for k in kinds], pa.int64())],
-                    names=["doc_id", "n", "sid", "key2", "signs", "singles", "rare"])
+                     pa.array([k[0] for k in kinds], pa.int64()), pa.array([k[1] for k in kinds], pa.int64()),
+                     pa.array(sketches, pa.binary())],
+                    names=["doc_id", "n", "sid", "key2", "signs", "singles", "rare", "sketch"])
 
     signed = materialize(docs.mapInArrow(
-        sign, "doc_id long, n long, sid long, key2 long, signs array<long>, singles long, rare long"), "signed")
-    sets = materialize(signed.where("sid is not null").groupBy("sid", "key2").agg(F.min("doc_id").alias("rep"),
-                                                                                 F.first("n").alias("n")), "sets")
+        sign, "doc_id long, n long, sid long, key2 long, signs array<long>, singles long, rare long, sketch binary"), "signed")
+    shared.destroy()
+    sets = materialize(signed.where("sid is not null").groupBy("sid", "key2").agg(
+        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "sets")
 
     # which signatures do different sets share?
     common = (signed.where("sid is not null").select(F.explode("signs").alias("key"), "sid")
               .groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key"))
     bits = spark.sparkContext.broadcast(_bitmap(materialize(common, "common")))
+    reps = spark.sparkContext.broadcast(_bitmap(sets.select(F.col("rep").alias("key"))))
 
     def popular(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each common signature of a set, with the share of its
-        signatures that are common."""
+        signatures that are common; only of rows that may stand for their set."""
         table = bits.value
         for batch in batches:
+            batch = batch.filter(pa.array(_marked(reps.value, batch.column(0).to_numpy(zero_copy_only=False))))
             out = []
-            sids, sizes, singles, rares = (batch.column(k).to_pylist() for k in range(4))
-            for sid, n, single, rare, signs in zip(sids, sizes, singles, rares, batch.column(4)):
+            sids, sizes, singles, rares = (batch.column(k).to_pylist() for k in range(1, 5))
+            for sid, n, single, rare, signs in zip(sids, sizes, singles, rares, batch.column(5)):
                 own = signs.values.to_numpy()
                 place = np.nonzero(_marked(table, own))[0]
                 pair = place >= single
@@ -247,45 +338,59 @@ def _placed_rows(df: DataFrame, id_col: str, text_col: str, size: int, percent:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
     names = ["sign", "sid", "n", "share", "apart", "place"]
-    rows = signed.where("sid is not null").select("sid", "n", "singles", "rare", "signs").mapInArrow(
-        popular, ", ".join(f"{c} long" for c in names)).dropDuplicates(["sign", "sid"])
+    rows = materialize(signed.where("sid is not null").select("doc_id", "sid", "n", "singles", "rare", "signs").mapInArrow(
+        popular, ", ".join(f"{c} long" for c in names)), "popular")
+    bits.destroy()
+    reps.destroy()
 
-    # every signature's sets beside its centre; written once, all that follows reads this
+    # every signature's sets beside its centre; a set that stands twice gives the same pairs twice
     other = [F.col(c).alias(f"o_{c}") for c in ("sid", "n", "apart", "place")]
     pair = [F.least("sid", "o_sid").alias("u"), F.greatest("sid", "o_sid").alias("v")]
     centres = (rows.groupBy("sign").agg(F.max(F.struct("share", "sid", "n", "apart", "place")).alias("c"),
-                                        F.count(F.lit(1)).alias("sets"))
-               .where("sets > 1").select("sign", "sets", "c.*").select("sign", "sets", *other))
-    rows = materialize(rows.drop("share").join(centres, "sign"), "rows")
-    pairs = rows.where((F.col("sid") != F.col("o_sid")) & _may_link(percent)).select(*pair).distinct()
-    pairs = materialize(pairs, "centre-pairs")
-    edges = materialize(_linked(pairs, sets, docs, size, percent), "links")
+                                        F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.count(F.lit(1)).alias("held"))
+               .where("lo < hi").select("sign", "held", "c.*").select("sign", "held", *other))
+    total = rows.count()
+    pairs = hot_join(rows.drop("share"), materialize(centres, "centres"), "sign", "held", total)
+    pairs = materialize(pairs.where((F.col("sid") != F.col("o_sid")) & _may_link(percent)).select(*pair).distinct(), "centre-pairs")
+    edges = materialize(_linked(pairs, sets, signed, docs, size, percent), "links")
     labels = materialize(component_labels(edges), "labels")
 
     # signatures whose sets are not yet in one component; two sets have been compared by now
-    many = rows.where("sets > 2").select("sign", "sid", "n", "apart", "place")
-    labelled = many.join(labels, many["sid"] == labels["node"], "left").select(
-        "sign", "sid", "n", "apart", "place", F.coalesce("label", "sid").alias("label"))
-    several = (labelled.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
-               .where("lo < hi").select("sign"))
-    mixed = materialize(labelled.join(several, "sign"), "mixed")
-    across = (mixed.join(mixed.select("sign", F.col("label").alias("o_label"), *other), "sign")
-              .where((F.col("label") < F.col("o_label")) & _may_link(percent)).select(*pair).distinct()
-              .join(pairs, ["u", "v"], "left_anti"))
+    labelled = materialize(rows.join(labels, rows["sid"] == labels["node"], "left").select(
+        "sign", "sid", "n", "apart", "place", F.coalesce("label", "sid").alias("label")), "labelled")
+    several = (labelled.groupBy("sign").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("held"))
+               .where("lo < hi and held > 2").select("sign", "held", F.ceil(F.col("held") / BLOCK).cast("int").alias("blocks")))
+    last = F.col("blocks") - 1
+    mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+    beside = F.explode(F.sequence(F.lit(0), last)).alias("other")
+    groups = (hot_join(labelled, materialize(several, "several"), "sign", "held", total)
+              .select("sign", mine.alias("own"), beside, "sid", "label", "n", "apart", "place")
+              .select("sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                      (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "label", "n", "apart", "place"))
+    groups = (groups.repartition(task_partitions(spark), "sign", "i", "j").sortWithinPartitions("sign", "i", "j", "side"))
+    across = groups.mapInArrow(_across(percent), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
     across = materialize(across, "across")
     if not across.isEmpty():
-        more = materialize(_linked(across, sets, docs, size, percent), "links")
+        more = materialize(_linked(across, sets, signed, docs, size, percent), "links")
         if not more.isEmpty():
             stars = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
             labels = materialize(component_labels(stars.unionByName(more)), "labels")
 
-    placed = sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "key2", "rep", "label")
-    least = placed.where("label is not null").groupBy("label").agg(F.min("rep").alias("least"))
-    placed = placed.join(least, "label", "left").select(
-        "sid", "key2", F.coalesce("label", "sid").alias("group"),
-        F.when(F.col("label").isNull(), F.col("key2")).otherwise(0).alias("group2"), F.coalesce("least", "rep").alias("component"))
-    return signed.select("doc_id", "n", "sid", "key2").join(placed, ["sid", "key2"], "left").select(
-        "doc_id", "n", "sid", "key2", "group", "group2", F.coalesce("component", "doc_id").alias("component_id"))
+    placed = materialize(sets.join(labels, sets["sid"] == labels["node"], "left").select("sid", "key2", "rep", "copies", "label"),
+                         "placed")
+    least = materialize(placed.where("label is not null").groupBy("label").agg(
+        F.min("rep").alias("component"), F.sum("copies").alias("held")), "least")
+    total = signed.count()
+    linked = hot_join(placed.where("label is not null"), least, "label", "held", total).select(
+        "sid", "key2", "copies", F.col("label").alias("group"), F.lit(0).cast("long").alias("group2"), "component")
+    alone = placed.where("label is null").select("sid", "key2", "copies", F.col("sid").alias("group"),
+                                                 F.col("key2").alias("group2"), F.col("rep").alias("component"))
+    parts = materialize(linked.unionByName(alone), "parts")
+    ids, none = signed.select("doc_id", "n", "sid", "key2"), F.lit(None).cast("long")
+    out = hot_join(ids.where("sid is not null"), parts, ["sid", "key2"], "copies", total).select(
+        "doc_id", "n", "sid", "key2", "group", "group2", F.col("component").alias("component_id"))
+    return out.unionByName(ids.where("sid is null").select(
+        "doc_id", "n", "sid", "key2", none.alias("group"), none.alias("group2"), F.col("doc_id").alias("component_id")))
 
 
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,

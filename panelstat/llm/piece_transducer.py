@@ -32,7 +32,6 @@ one by one. Empty table: no rows. Extra columns are not read by
 
 from __future__ import annotations
 
-import functools
 import re
 import struct
 import zlib
@@ -42,7 +41,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from panelstat.llm.common import read_table
+from panelstat.llm.common import read_table, worker_memo
 
 MARK = "▁"
 # Kinds of pieces in a model file.
@@ -211,10 +210,9 @@ class PieceTransducer:
         return raw.decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def transducer(path: str) -> PieceTransducer:
     """One compiled model per Python worker and model file."""
-    return PieceTransducer(path)
+    return worker_memo(("pieces", path), lambda: PieceTransducer(path))
 
 
 def with_pieces(df: DataFrame, model: str, text_col: str = "text", prefix: str = "") -> DataFrame:

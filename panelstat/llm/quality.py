@@ -35,7 +35,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelstat.llm.common import mix64, read_table, summed_table
+from panelstat.llm.common import mix64, read_table, summed_table, worker_memo
 
 WORD_ROWS, SHAPE_ROWS, DIMENSIONS = 1 << 14, 1 << 10, 32
 SAMPLE = 20_000  # labelled rows that the network learns from, at most
@@ -66,12 +66,9 @@ class _Rows(dict):
         return row
 
 
-_ROWS = _Rows()
-
-
 def _word_rows(text: str | None) -> np.ndarray:
     words = (text or "").split()
-    return np.fromiter(map(_ROWS.__getitem__, words), dtype=np.int64, count=len(words))
+    return np.fromiter(map(worker_memo("word rows", _Rows).__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def _index_dimensions(rows: int, salt: int) -> tuple[np.ndarray, np.ndarray]:

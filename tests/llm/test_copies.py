@@ -170,3 +170,42 @@ def test_component_labels_of_long_chains(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7)]
     got = dict(component_labels(spark.createDataFrame(edges, "u long, v long")).collect())
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100}
+
+
+def test_family_just_below_the_threshold(spark, make, monkeypatch):
+    """2,000 texts around one another, most pairs just below the threshold; small
+    blocks, so that groups of blocks are compared, too."""
+    monkeypatch.setattr(J, "BLOCK", 64)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for at in rng.sample(range(120), 3 if i % 50 else 1):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words), "src0"))
+    got = {r["doc_id"]: r["component_id"] for r in J.jaccard_components(make(rows), size=4, percent=80).collect()}
+    grams = [frozenset(zip(*(t.split()[k:] for k in range(4)))) for _, t, _ in rows]
+    number = {g: n for n, g in enumerate(sorted(set().union(*grams)))}
+    held = np.zeros((len(rows), len(number)), np.float32)
+    for i, g in enumerate(grams):
+        held[i, [number[x] for x in g]] = 1
+    both, sizes = held @ held.T, held.sum(axis=1)
+    linked = both * 100 >= (sizes[:, None] + sizes - both) * 80
+    parent = np.arange(len(rows))
+    while True:
+        least = np.where(linked, parent, len(rows)).min(axis=1)
+        if (least == parent).all():
+            break
+        parent = least
+    assert 1 < len(set(parent)) < len(rows)
+    assert [got[i] for i in range(len(rows))] == parent.tolist()
+
+
+def test_sketches_never_differ_in_more_cells_than_sets():
+    rng = np.random.default_rng(4)
+    for n, m, common in ((10, 12, 9), (900, 700, 650), (5, 3000, 5), (4000, 4000, 3999), (1, 1, 0)):
+        pool = rng.integers(0, 2**63, n + m, dtype=np.uint64)
+        a, b = np.unique(pool[:n]), np.unique(np.concatenate([pool[:common], pool[n:n + m - common]]))
+        assert J.differing(J.sketch(a), J.sketch(b)) <= len(np.setxor1d(a, b))
+        assert J.differing(J.sketch(a), J.sketch(a)) == 0
