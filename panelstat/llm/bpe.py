@@ -6,12 +6,14 @@ units that encode on their own. Each task remembers the ids of the units it
 has met; the library's model encodes every unit that is new. Texts whose white
 space does not split that way (runs of blanks, empty lines) go through the same
 pre-tokeniser pattern, and units with letters beyond Latin, whose classes could
-differ between libraries, through the whole tokenizer.
+differ between libraries, through the whole tokenizer. A vocabulary file that declares
+another normaliser, pre-tokeniser or kind of model is served by the library alone.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 from array import array
@@ -23,7 +25,7 @@ from panelstat.llm.common import worker_memo
 # The white space and the last code point of the Latin blocks of Unicode.
 WHITE = "\t-\r \x85\xa0  -     　"
 LATIN_END = 0x24F
-MEMO_UNITS = 600_000
+MEMO_UNITS = 400_000
 
 
 def _char_class(major: str) -> str:
@@ -32,15 +34,19 @@ def _char_class(major: str) -> str:
 
 
 class _Memo(dict):
-    """A dict that computes what it lacks and starts anew at ``limit`` entries."""
+    """A dict that computes what it lacks. At ``limit`` entries it starts anew and keeps
+    the former ones beside it, so that what is asked often is never computed again."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.former = make, limit, {}
 
     def __missing__(self, key):
-        value = self.make(key)
+        value = self.former.get(key)
+        if value is None:
+            value = self.make(key)
         if len(self) >= self.limit:
+            self.former = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -54,6 +60,7 @@ class ByteBpe:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.known = self._known(self.tokenizer)
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
         letters, numbers = _char_class("L"), _char_class("N")
         self.pieces = re.compile(
@@ -65,7 +72,16 @@ class ByteBpe:
         self.alphabet = self._alphabet()
         self.blank = self.alphabet[32]
         self.units = _Memo(self._unit, memo_units)
-        self.parts = _Memo(self._piece, memo_units)
+        self.parts = _Memo(self._piece, memo_units // 2)
+
+    @staticmethod
+    def _known(tokenizer) -> bool:
+        """Whether the file declares the pre-tokeniser that this module splits by."""
+        declared = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
+        model = tokenizer.model
+        return (tokenizer.normalizer is None and declared.get("type") == "ByteLevel" and declared.get("use_regex") is True
+                and declared.get("add_prefix_space") is False and type(model).__name__ == "BPE"
+                and not (model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix))
 
     @staticmethod
     def _alphabet() -> dict[int, str]:
@@ -99,12 +115,14 @@ class ByteBpe:
         does not stand on its own."""
         if not unit or unit[-1] in self.white:
             return None
+        if unit.isascii() and unit.isalpha():  # one piece, kept as a unit alone
+            return self._piece(" " + unit)
         return self._any(unit if unit[0] == "\n" else " " + unit)
 
     def encode(self, text: str) -> bytes:
         if not text:
             return b""
-        if any(s in text for s in self.special):
+        if not self.known or any(s in text for s in self.special):
             return self._whole(text)
         first, *units = text.replace("\n", " \n").split(" ")
         if first and first[-1] in self.white:
@@ -117,6 +135,8 @@ class ByteBpe:
     @functools.cached_property
     def byte_lengths(self) -> np.ndarray:
         """Bytes that each id stands for."""
+        if not self.known:
+            raise ValueError("ids of this vocabulary file do not spell the text's bytes")
         size = self.tokenizer.get_vocab_size()
         out = np.zeros(size, dtype=np.int64)
         for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():

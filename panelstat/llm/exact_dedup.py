@@ -27,7 +27,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelstat.llm.common import ascii_lower, read_table
+from panelstat.llm.common import ascii_lower, materialize, read_table
 
 SALTS = 16
 
@@ -70,6 +70,7 @@ def drop_exact_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = (exact_groups(df, id_col, text_col, salts).where("kept")
             .groupBy(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
             .agg(F.count(F.lit(1)).alias("times")))
+    kept = materialize(kept, "kept")  # narrow, read twice below
     digest = sha256_hex(ascii_lower(F.coalesce(df[text_col], F.lit(""))))
 
     def found(which: DataFrame) -> DataFrame:

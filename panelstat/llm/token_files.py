@@ -35,7 +35,7 @@ from panelstat.llm.common import read_table, task_partitions
 from panelstat.session import shared_path
 
 MAGIC = b"S8B1\0\0\0\0"
-GROUP = 256  # blocks that are encoded or decoded at once
+GROUP = 64  # blocks that are encoded or decoded at once
 
 
 def _filesystem(path: str):

@@ -36,6 +36,22 @@ def test_ids_equal_the_library_on_random_texts(bpe):
         assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library_ids(bpe, text)
 
 
+def test_ids_of_a_vocabulary_with_another_pre_tokeniser():
+    words = ByteBpe(public_tokenizers.path("word_bpe_49k.json"), memo_units=50)
+    rng = random.Random(4)
+    for text in ["", "Hello  World 123's", "É x\n\ny"] + ["".join(rng.choices(ALPHABET, k=12)) for _ in range(300)]:
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == library_ids(words, text), repr(text)
+    with pytest.raises(ValueError):
+        words.byte_lengths
+
+
+def test_memo_keeps_what_is_asked_often(bpe):
+    text = " ".join(f"often w{i} often" for i in range(400))
+    for _ in range(2):
+        assert np.frombuffer(bpe.encode(text), "<u4").tolist() == library_ids(bpe, text)
+    assert len(bpe.units) <= 50 and len(bpe.units.former) <= 50
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**64 - 1)), max_size=400),
        st.integers(0, 3))
