@@ -20,7 +20,7 @@ from array import array
 
 import numpy as np
 
-from panelstat.llm.common import worker_memo
+from panelstat.llm.common import Memo, worker_memo
 
 # The white space and the last code point of the Latin blocks of Unicode.
 WHITE = "\t-\r \x85\xa0  -     　"
@@ -33,25 +33,6 @@ def _char_class(major: str) -> str:
     return "".join(map(re.escape, chars))
 
 
-class _Memo(dict):
-    """A dict that computes what it lacks. At ``limit`` entries it starts anew and keeps
-    the former ones beside it, so that what is asked often is never computed again."""
-
-    def __init__(self, make, limit: int):
-        super().__init__()
-        self.make, self.limit, self.former = make, limit, {}
-
-    def __missing__(self, key):
-        value = self.former.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.limit:
-            self.former = dict(self)
-            self.clear()
-        self[key] = value
-        return value
-
-
 class ByteBpe:
     """``encode(text)`` gives the ids as unsigned 32-bit numbers, packed."""
 
@@ -71,8 +52,8 @@ class ByteBpe:
         self.limit = memo_units
         self.alphabet = self._alphabet()
         self.blank = self.alphabet[32]
-        self.units = _Memo(self._unit, memo_units)
-        self.parts = _Memo(self._piece, memo_units // 2)
+        self.units = Memo(self._unit, memo_units)
+        self.parts = Memo(self._piece, memo_units // 2)
 
     @staticmethod
     def _known(tokenizer) -> bool:

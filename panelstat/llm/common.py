@@ -3,6 +3,8 @@ ASCII letters, sums of fixed-size tables over all rows, range buckets."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -95,16 +97,44 @@ def hot_join(rows: DataFrame, table: DataFrame, key: str | list[str], size: str,
     return rows.join(hot, keys).unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys))
 
 
+class Memo(dict):
+    """A dict that computes what it lacks. At ``limit`` entries it starts anew and keeps
+    the former ones beside it, so that what is asked often is never computed again."""
+
+    def __init__(self, make: Callable, limit: int):
+        super().__init__()
+        self.make, self.limit, self.former = make, limit, {}
+
+    def __missing__(self, key):
+        value = self.former.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.limit:
+            self.former = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
 _WORKER: dict = {}
 
 
+def _give_back() -> None:
+    """Returns freed memory to the system, as far as its C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def worker_memo(owner, make):
     """What an operator keeps from task to task in a Python worker, made at first
     use. A worker holds only what the operator that ran last in it keeps, so that a
     session with many operators needs no more memory than its largest one."""
     if owner not in _WORKER:
         _WORKER.clear()
-        pa.default_memory_pool().release_unused()
+        _give_back()
         _WORKER[owner] = make()
     return _WORKER[owner]
 
@@ -120,5 +150,5 @@ def range_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
     return sorted(set(int(x) for x in row["q"] or []))
 
 
-__all__ = ["LOWER_BYTES", "ascii_lower", "hot_join", "materialize", "mix64", "range_bounds", "read_table", "summed_table",
+__all__ = ["LOWER_BYTES", "Memo", "ascii_lower", "hot_join", "materialize", "mix64", "range_bounds", "read_table", "summed_table",
            "task_partitions", "worker_memo"]

@@ -53,26 +53,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelstat.llm.common import (LOWER_BYTES, hot_join, materialize, mix64, read_table, summed_table, task_partitions,
+from panelstat.llm.common import (LOWER_BYTES, Memo, hot_join, materialize, mix64, read_table, summed_table, task_partitions,
                                   worker_memo)
 from panelstat.llm.components import component_labels
 
 CELLS = 1 << 20  # of the counter table
 BITS_MOST = 1 << 26  # of a broadcast bitmap, which only spares rows a shuffle
-MEMO_WORDS = 500_000
+MEMO_WORDS = 200_000
 BLOCK = 2_048  # sets under one signature that a task compares with as many others
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def _word_hash(word: bytes) -> int:
+    import xxhash
 
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        value = xxhash.xxh64_intdigest(word)
-        self[word] = value
-        return value
+    return xxhash.xxh64_intdigest(word)
 
 
 def shingle_set(text: str | None, size: int) -> np.ndarray:
@@ -80,7 +75,7 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER_BYTES).split()
     if not words:
         return np.zeros(0, np.uint64)
-    known = worker_memo("word hashes", _WordHashes)
+    known = worker_memo("word hashes", lambda: Memo(_word_hash, MEMO_WORDS))
     hashes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     width = min(size, len(words))
     grams = np.full(len(words) - width + 1, width, dtype=np.uint64)

@@ -41,13 +41,13 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, types as T
 
-from panelstat.llm.common import read_table, worker_memo
+from panelstat.llm.common import Memo, read_table, worker_memo
 
 MARK = "▁"
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-MEMO = 400_000
+MEMO = 120_000  # entries of a memo and of its former generation
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -75,18 +75,6 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
-class _Memo(dict):
-    def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= MEMO:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 class PieceTransducer:
     def __init__(self, path: str):
         with open(path, "rb") as f:
@@ -125,10 +113,10 @@ class PieceTransducer:
             raise ValueError("pieces that hold a blank behind a character are not compiled here")
         newline = any("\n" in pair for pair in self.inner)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if newline else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
-        self.alone = _Memo(lambda p: self.merged(p) == [p])
-        self.pairs = _Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab))
-        self.factors = _Memo(self._factor)
-        self.known = _Memo(self._word)
+        self.alone = Memo(lambda p: self.merged(p) == [p], MEMO)
+        self.pairs = Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab), MEMO)
+        self.factors = Memo(self._factor, MEMO)
+        self.known = Memo(self._word, MEMO)
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure itself: the neighbours whose joint piece has the

@@ -35,14 +35,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from panelstat.llm.common import mix64, read_table, summed_table, worker_memo
+from panelstat.llm.common import Memo, mix64, read_table, summed_table, worker_memo
 
 WORD_ROWS, SHAPE_ROWS, DIMENSIONS = 1 << 14, 1 << 10, 32
 SAMPLE = 20_000  # labelled rows that the network learns from, at most
 HIDDEN, EPOCHS, BATCH, SEED = 32, 14, 256, 7
 THRESHOLD = 0.7
 CHUNK = 200_000  # words whose neighbours are added up at once
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 
 _SHAPE = str.maketrans({**{c: "a" for c in map(chr, range(97, 123))}, **{c: "A" for c in map(chr, range(65, 91))},
                         **{c: "9" for c in "0123456789"}})
@@ -55,20 +55,14 @@ def _shape(word: str) -> str:
     return _REPEATS.sub(r"\1", word.translate(_SHAPE))
 
 
-class _Rows(dict):
-    """Word to its row times SHAPE_ROWS plus its shape's row."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        row = zlib.crc32(word.encode()) % WORD_ROWS * SHAPE_ROWS + zlib.crc32(_shape(word).encode()) % SHAPE_ROWS
-        self[word] = row
-        return row
+def _row(word: str) -> int:
+    """A word's row times SHAPE_ROWS plus its shape's row."""
+    return zlib.crc32(word.encode()) % WORD_ROWS * SHAPE_ROWS + zlib.crc32(_shape(word).encode()) % SHAPE_ROWS
 
 
 def _word_rows(text: str | None) -> np.ndarray:
     words = (text or "").split()
-    return np.fromiter(map(worker_memo("word rows", _Rows).__getitem__, words), dtype=np.int64, count=len(words))
+    return np.fromiter(map(worker_memo("word rows", lambda: Memo(_row, MEMO_WORDS)).__getitem__, words), dtype=np.int64, count=len(words))
 
 
 def _index_dimensions(rows: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
