@@ -54,6 +54,26 @@ def with_quarantine_flag(df: DataFrame, cols: Sequence[str], name: str = "quaran
     return df.withColumn(name, bad)
 
 
+def missing_keys(json_text, required: Sequence[str]) -> Column:
+    """Required keys that a record's JSON text does not have, in their order.
+    A key whose value is null is present. Text that is no JSON object lacks all."""
+    keys = F.coalesce(F.json_object_keys(_c(json_text)), F.array().cast("array<string>"))
+    return F.array_except(F.array(*[F.lit(k) for k in required]), keys)
+
+
+def require_keys(df: DataFrame, json_text: str, required: Sequence[str]) -> DataFrame:
+    """All rows, or an error at run time that names the first record's missing keys (F5, strict)."""
+    missing = missing_keys(json_text, required)
+    ok = F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("missing fields: "), F.array_join(missing, ", "))).cast("boolean"))
+    return df.where(ok.isNull())
+
+
+def split_by_keys(df: DataFrame, json_text: str, required: Sequence[str], name: str = "missing") -> tuple[DataFrame, DataFrame]:
+    """(records with all keys, the others with their missing keys) (F5, lenient)."""
+    flagged = df.withColumn(name, missing_keys(json_text, required))
+    return flagged.where(F.size(name) == 0).drop(name), flagged.where(F.size(name) > 0)
+
+
 def url_ok(col) -> Column:
     """Text starts with 'http' (F6)."""
     return _c(col).startswith("http")

@@ -17,6 +17,7 @@ from panelstat.plans.registry import r6, register, sql_r6
 from panelstat.plans.views import households, persons, table, with_views
 from panelstat.session import shared_path
 from panelstat.sources import readers, sinks
+from panelstat.streaming.decode import run_available
 
 _CUSTOMER = ["c_custkey", "c_name", "c_mktsegment", "c_acctbal"]
 _CUSTOMER_DDL = "c_custkey long, c_name string, c_mktsegment string, c_acctbal double"
@@ -35,19 +36,93 @@ def q_records_json_lines(spark, sf_dir):
     return readers.read_any(spark, path, _CUSTOMER_DDL)
 
 
-@register("records_json_array", """
-SELECT n_nationkey, n_name, list_sort(list(c_custkey)) AS customers FROM customer
-JOIN nation ON c_nationkey = n_nationkey GROUP BY n_nationkey, n_name""")
+@register("records_json_array", _CUSTOMER_SQL)
 def q_records_json_array(spark, sf_dir):
-    """S1 and S2 on records that span lines: one pretty-printed object per file."""
-    path = shared_path(spark, "nations") + ".json"
-    n, c = table(spark, sf_dir, "nation"), table(spark, sf_dir, "customer")
-    rows = (c.join(n, c.c_nationkey == n.n_nationkey).groupBy("n_nationkey", "n_name")
-            .agg(F.array_sort(F.collect_list("c_custkey")).alias("customers")))
-    text = F.to_json(F.struct("*"), {"pretty": "true"})
-    rows.select(text.alias("value"), F.col("n_nationkey").alias("k")).write.partitionBy("k").text(path)
-    read = readers.read_records_auto(spark, f"{path}/*", "n_nationkey long, n_name string, customers array<long>")
-    return read.select("n_nationkey", "n_name", "customers")
+    """S1 and S2 on records that span lines: arrays of pretty-printed objects, an
+    array for each part of the table."""
+    path = shared_path(spark, "customers") + ".json"
+    sinks.write_array(_customers(spark, sf_dir).repartition(8, "c_custkey"), path, pretty=True)
+    return readers.read_records_auto(spark, path, _CUSTOMER_DDL).select(*_CUSTOMER)
+
+
+_LINE = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "note"]
+_LINE_DDL = "l_orderkey long, l_linenumber long, l_quantity double, l_returnflag string, note string"
+
+
+def _lines_with_notes(spark, sf_dir):
+    note = F.when(F.col("l_orderkey") % 9 == 0, F.lit(None)).when(
+        F.col("l_orderkey") % 9 == 1, F.lit('says "hi", [1, 2] { \u00e9')).otherwise(F.lit("plain"))
+    return table(spark, sf_dir, "lineitem").select(*_LINE[:-1], note.alias("note")).withColumns(
+        {c: F.col(c).cast("long") for c in _LINE[:2]})
+
+
+_LINE_SQL = """SELECT CAST(l_orderkey AS BIGINT) AS l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(l_quantity AS DOUBLE) AS l_quantity,
+  l_returnflag, CASE l_orderkey % 9 WHEN 0 THEN NULL WHEN 1 THEN 'says "hi", [1, 2] { \u00e9' ELSE 'plain' END AS note FROM lineitem"""
+
+
+@register("json_array_items", _LINE_SQL)
+def q_json_array_items(spark, sf_dir):
+    """S3: arrays read record by record, several tasks to a file."""
+    path = shared_path(spark, "lines-array")
+    sinks.write_array(_lines_with_notes(spark, sf_dir).coalesce(2), path)
+    return readers.read_array_items(spark, path, _LINE_DDL)
+
+
+@register("json_array_stream", f"SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM ({_LINE_SQL}) l GROUP BY 1")
+def q_json_array_stream(spark, sf_dir):
+    """S3 and ST1: the same items through a stream of files."""
+    path = shared_path(spark, "lines-arrays")
+    sinks.write_array(_lines_with_notes(spark, sf_dir).repartition(6, "l_orderkey"), path, pretty=True)
+    stream = readers.read_stream_array_items(spark, path, _LINE_DDL, max_files=2)
+    out = spark.read.schema(stream.schema).parquet(run_available(stream, "array-items"))
+    return out.groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"))
+
+
+@register("json_array_pieces", """
+SELECT c_custkey % 10 = 3 AS bad, count(*) AS records, count(DISTINCT c_custkey) AS customers FROM customer GROUP BY 1""")
+def q_json_array_pieces(spark, sf_dir):
+    """S3: records with a nested object or a brace in a string are quarantined."""
+    path = shared_path(spark, "nested-array")
+    k = F.col("c_custkey")
+    nested = F.concat(F.lit('{"c_custkey": '), k.cast("string"), F.lit(', "c_name": {"first": "x", "id": '), k.cast("string"), F.lit("}}"))
+    flat = F.concat(F.lit('{"c_custkey": '), k.cast("string"), F.lit(', "c_name": "n"}'))
+    text = F.when(k % 10 == 3, nested).otherwise(flat)
+    table(spark, sf_dir, "customer").select(F.concat(text, F.lit(",")).alias("value")).write.text(path)
+    got = readers.read_array_items(spark, path, "c_custkey long, c_name string", quarantine="piece")
+    # a nested record leaves two pieces: its own and the brace that closes it
+    key = F.coalesce("c_custkey", F.regexp_extract("piece", r'"c_custkey": (\d+)', 1).try_cast("long"))
+    found = got.select(F.col("piece").isNotNull().alias("bad"), key.alias("key")).where("key is not null")
+    return found.groupBy("bad").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("key").alias("customers"))
+
+
+@register("json_lines_broken", """
+SELECT CASE WHEN c_custkey % 1000 <> 7 THEN c_custkey END AS c_custkey, CASE WHEN c_custkey % 1000 <> 7 THEN c_name END AS c_name,
+  CASE WHEN c_custkey % 1000 = 7 THEN '{"c_custkey":' || CAST(c_custkey AS VARCHAR) || ',"c_na' END AS broken FROM customer""")
+def q_json_lines_broken(spark, sf_dir):
+    """Broken lines among records go to quarantine, never become rows of nulls."""
+    path = shared_path(spark, "broken-lines") + ".json"
+    k = F.col("c_custkey")
+    line = F.to_json(F.struct("c_custkey", "c_name"))
+    cut = F.concat(F.lit('{"c_custkey":'), k.cast("string"), F.lit(',"c_na'))
+    table(spark, sf_dir, "customer").select(F.when(k % 1000 == 7, cut).otherwise(line).alias("value")).write.text(path)
+    return readers.read_records_auto(spark, path, "c_custkey long, c_name string", quarantine="broken")
+
+
+@register("missing_keys", """
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 AND c_custkey % 5 = 0 THEN 'c_name, c_mktsegment' WHEN c_custkey % 7 = 0 THEN 'c_name'
+  WHEN c_custkey % 5 = 0 THEN 'c_mktsegment' END AS missing, c_custkey % 3 = 0 OR c_custkey % 7 = 0 AS unnamed FROM customer""")
+def q_missing_keys(spark, sf_dir):
+    """F5 per record: a key that is absent is missing, one that is null is not."""
+    path = shared_path(spark, "records-with-gaps") + ".json"
+    k = F.col("c_custkey")
+    text = F.concat(F.lit('{"c_custkey":'), k.cast("string"),
+                    F.when(k % 7 == 0, F.lit("")).when(k % 3 == 0, F.lit(',"c_name":null')).otherwise(F.lit(',"c_name":"x"')),
+                    F.when(k % 5 == 0, F.lit("")).otherwise(F.lit(',"c_mktsegment":"s"')), F.lit("}"))
+    table(spark, sf_dir, "customer").select(text.alias("value")).write.text(path)
+    whole, gaps = qa.split_by_keys(spark.read.text(path), "value", ["c_custkey", "c_name", "c_mktsegment"])
+    both = whole.withColumn("missing", F.lit(None).cast("string")).unionByName(gaps.withColumn("missing", F.array_join("missing", ", ")))
+    record = F.from_json("value", "c_custkey long, c_name string")
+    return both.select(record["c_custkey"].alias("c_custkey"), "missing", record["c_name"].isNull().alias("unnamed"))
 
 
 @register("csv_records", _CUSTOMER_SQL.replace("c_acctbal", "round(c_acctbal, 2) AS c_acctbal"))
@@ -118,30 +193,36 @@ def q_read_documents(spark, sf_dir):
 
 
 @register("valid_files", """
-SELECT * FROM (VALUES ('customer', TRUE), ('nation', TRUE)) t(name, ok)""")
+SELECT 'page-' || CAST(page_id AS VARCHAR) AS name, page_id % 4 <> 1 AS ok FROM pages""")
 def q_valid_files(spark, sf_dir):
-    """S11 on the signature of the driver's own files."""
-    found = readers.valid_files(spark, sf_dir, "{customer,nation}.parquet", b"PAR1")
-    return found.select(F.regexp_extract("path", r"(\w+)\.parquet$", 1).alias("name"), "ok")
+    """A file per page, some without the signature."""
+    path = shared_path(spark, "signed-files")
+    page = F.col("page_id")
+    body = F.concat(F.when(page % 4 == 1, F.lit("<html>")).otherwise(F.lit("%PDF-1.4\n")), F.coalesce("html", F.lit("")))
+    name = F.concat(F.lit("page-"), page.cast("string"))
+    table(spark, sf_dir, "pages").select(body.alias("value"), name.alias("name")).write.partitionBy("name").text(path)
+    found = readers.valid_files(spark, f"{path}/*", "*.txt")
+    return found.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), "ok")
 
 
 @register("write_profile", with_views(f"""
 SELECT state, sector, metric, category, value FROM ({sql_r6(PROFILE_SQL, ["value"])}) l
-WHERE metric IN ('avg_household_size', 'religion')"""))
+WHERE value IS NOT NULL"""))
 def q_write_profile(spark, sf_dir):
-    """The written objects parse as nested JSON."""
+    """Every metric of the written nested objects, read back; a metric is
+    a number or an object of numbers."""
     long = r6(state_profile(households(spark, sf_dir), persons(spark, sf_dir), industry_codebook(spark),
                             occupation_codebook(spark)))
     path = shared_path(spark, "profiles")
     sinks.write_profile(long, path)
-    per_sector = "struct<avg_household_size:double,religion:map<string,double>>"
-    docs = readers.read_records_auto(spark, path, f"state string, profile map<string,{per_sector}>")
-    sector = docs.select("state", F.explode("profile").alias("sector", "p"))
-    shares = sector.select("state", "sector", F.lit("religion").alias("metric"),
-                           F.explode("p.religion").alias("category", "value"))
-    return sector.select("state", "sector", F.lit("avg_household_size").alias("metric"),
-                         F.lit(None).cast("string").alias("category"), F.col("p.avg_household_size").alias("value")
-                         ).unionByName(shares)
+    docs = readers.read_records_auto(spark, path, "state string, profile map<string,map<string,string>>")
+    metrics = docs.select("state", F.explode("profile").alias("sector", "m")).select(
+        "state", "sector", F.explode("m").alias("metric", "text"))
+    nested = F.col("text").startswith("{")
+    pairs = F.when(nested, F.from_json("text", "map<string,double>")).otherwise(
+        F.create_map(F.lit(""), F.col("text").cast("double")))
+    return metrics.select("state", "sector", "metric", nested.alias("_nested"), F.explode(pairs).alias("_c", "value")).select(
+        "state", "sector", "metric", F.when(F.col("_nested"), F.col("_c")).alias("category"), "value").where("value is not null")
 
 
 @register("score_files", sql_r6(f"""

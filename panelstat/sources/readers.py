@@ -1,5 +1,5 @@
-"""Readers (S1-S11). All return lazy DataFrames; the driver only learns, from the
-first line that is not blank, how a JSON file is laid out."""
+"""Readers (S1-S11). All return lazy DataFrames; the driver only learns, from two
+counts over all lines, how JSON files are laid out."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from panelstat.functions.text import strip_ws
 
@@ -22,21 +22,82 @@ def read_records(spark: SparkSession, path: str, schema: StructType | str | None
     return r.json(path)
 
 
-def _one_record_per_line(spark: SparkSession, path: str) -> bool:
-    """Whether the first line that is not blank is a whole JSON object."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    whole = F.trim("value").startswith("{") & F.from_json("value", "map<string,string>").isNotNull()
-    first = lines.select(whole.alias("whole")).head(1)
-    return bool(first and first[0]["whole"])
-
-
-def read_records_auto(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """JSON lines if the first line is a record by itself; else one array or
-    one object that spans lines (S2)."""
-    r = spark.read.option("multiLine", not _one_record_per_line(spark, path))
-    if schema is not None:
-        r = r.schema(schema)
-    return r.json(path)
+# Brackets and commas around a line's records are an array's layout.
+_LAYOUT_RE = r"^[\s\[,]+|[\s\],]+$"
+_CORRUPT = "_corrupt"
+
+
+def _record_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Lines that hold more than layout: value, body (without it), whole (records and nothing else)."""
+    lines = spark.read.text(path).withColumn("body", F.regexp_replace("value", _LAYOUT_RE, "")).where("body <> ''")
+    items = F.from_json(F.concat(F.lit("["), "body", F.lit("]")), "array<map<string,string>>")
+    return lines.withColumn("whole", items.isNotNull() & F.col("body").startswith("{") & F.col("body").endswith("}"))
+
+
+def read_records_auto(spark: SparkSession, path: str, schema=None, quarantine: str | None = None) -> DataFrame:
+    """JSON lines, and where that fails one array or object that spans lines.
+
+    Counts over all lines decide. If no line is a record by itself, each file is read as a
+    whole. If only some are not, they are no records: with ``quarantine`` and a schema they
+    become rows whose column of that name holds the line, null elsewhere;
+    without it, an error says how many there are. Brackets and commas around the records
+    of a line are layout."""
+    lines = _record_lines(spark, path)
+    got = lines.agg(F.count(F.lit(1)).alias("n"), F.count_if("whole").alias("good"),
+                    F.count_if(F.col("body") != F.trim("value")).alias("laid")).first()
+    n, good, plain = got["n"], got["good"], got["laid"] == 0
+    if 0 < good < n and quarantine is None:
+        raise ValueError(f"{n - good} of {n} lines in {path} are no JSON records")
+    r = spark.read.option("multiLine", n > 0 and (good == 0 or not plain))
+    if schema is None:
+        return r.json(path)
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if good in (0, n) and (plain or good == 0):
+        read = r.schema(fields).json(path)
+        return read if quarantine is None else read.withColumn(quarantine, F.lit(None).cast("string"))
+    records = F.from_json(F.concat(F.lit("["), "body", F.lit("]")), ArrayType(fields))
+    records = F.when(F.col("whole"), records).otherwise(F.array(F.lit(None).cast(fields)))
+    rows = lines.select("value", "whole", F.explode(records).alias("r"))
+    out = [F.col(f"r.`{f.name}`").alias(f.name) for f in fields.fields]
+    return rows.select(*out, *([F.when(~F.col("whole"), F.col("value")).alias(quarantine)] if quarantine else []))
+
+
+def _with_corrupt(fields: StructType) -> StructType:
+    return StructType([*fields.fields, StructField(_CORRUPT, StringType())])
+
+
+def _array_items(pieces: DataFrame, schema: StructType | str, quarantine: str | None) -> DataFrame:
+    """Records from the text between closing braces."""
+    fields = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    piece = F.regexp_replace("value", r"^[\s,]*\[?[\s,]*", "")
+    items = pieces.select(piece.alias("_piece")).where(~F.col("_piece").rlike(r"^[\s\]]*$"))
+    item = F.concat("_piece", F.lit("}"))
+    one = F.from_json(item, _with_corrupt(fields), {"columnNameOfCorruptRecord": _CORRUPT})
+    bad = ~F.col("_piece").startswith("{") | F.col("r").isNull() | F.col(f"r.{_CORRUPT}").isNotNull()
+    got = items.select("_piece", one.alias("r")).select("_piece", "r", bad.alias("_bad"))
+    values = [F.when(~F.col("_bad"), F.col(f"r.`{f.name}`")).alias(f.name) for f in fields.fields]
+    if quarantine is not None:
+        return got.select(*values, F.when(F.col("_bad"), F.col("_piece")).alias(quarantine))
+    # without a quarantine a piece that is no record ends the read
+    fail = F.raise_error(F.concat(F.lit("not a flat record: "), F.substring("_piece", 1, 80)))
+    return got.where(F.when(F.col("_bad"), fail.cast("boolean")).otherwise(F.lit(True))).select(*values)
+
+
+def read_array_items(spark: SparkSession, path: str, schema: StructType | str, quarantine: str | None = None) -> DataFrame:
+    """Items of JSON arrays of flat records, a file read by as many tasks as it
+    has splits (S1, S3). A flat record ends at its closing brace, so braces divide the
+    text into records, however it is laid out in lines. A brace within a string or a nested object
+    leaves pieces that do not parse: they are quarantined, or an error; never taken for records."""
+    return _array_items(spark.read.option("lineSep", "}").text(path), schema, quarantine)
+
+
+def read_stream_array_items(spark: SparkSession, path: str, schema: StructType | str, quarantine: str | None = None,
+                            max_files: int | None = None) -> DataFrame:
+    """``read_array_items`` as a stream of files (S3, ST1)."""
+    r = spark.readStream.option("lineSep", "}")
+    if max_files:
+        r = r.option("maxFilesPerTrigger", max_files)
+    return _array_items(r.text(path), schema, quarantine)
 
 
 def read_stream_records(spark: SparkSession, path: str, schema: StructType | str, multiline: bool = False,

@@ -14,6 +14,28 @@ def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("ignoreNullFields", False).json(path)
 
 
+def write_array(df: DataFrame, path: str, pretty: bool = False) -> None:
+    """Every part file is one JSON array of its rows (S12), written row by row."""
+    rows = df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("value"))
+
+    def bracketed(batches):
+        import pyarrow as pa
+
+        held = None
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            if not rows:
+                continue
+            before = [] if held is None else [held + ","]
+            rows[0] = "[" + rows[0] if held is None else rows[0]
+            held = rows.pop()
+            yield pa.RecordBatch.from_arrays([pa.array(before + [r + "," for r in rows], pa.string())], names=["value"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([held + "]"], pa.string())], names=["value"])
+
+    rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
+
+
 def _json_key(c) -> "F.Column":
     """A string as a quoted JSON key."""
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
