@@ -20,6 +20,7 @@ from panelstat.functions.scoring import first_number, numeric_score, parse_score
 from panelstat.functions.text import file_safe
 from panelstat.operators.estimators import moments, quantiles_from_cumulative, value_counts
 from panelstat.operators.quality import require_columns
+from panelstat.session import materialize
 
 SYSTEM_PROMPT = "Answer with a single number or a short phrase."
 FAMILIES = ("gemini", "gpt", "qwen", "llama", "llamma")
@@ -80,6 +81,26 @@ def run_batch(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series
     return requests.mapInPandas(call, schema)
 
 
+def until_failure(answered: DataFrame, position: str, model: str = "model", error: str = "error") -> DataFrame:
+    """The answers of each model before its first failure, by ``position`` (E2: a model
+    stops at its first failure and what it has answered is kept). The answers are
+    written first, so that no request is asked twice. A model's stop is one
+    aggregate of all its rows, and the stops, a row per model that failed, are looked up
+    by every row: no model's answers are brought together."""
+    from panelstat.operators.lookups import bounded_broadcast
+
+    answered = materialize(answered, "answered")
+    stops = answered.where(F.col(error).isNotNull()).groupBy(F.col(model).alias("_model")).agg(F.min(position).alias("_stop"))
+    rows = answered.join(bounded_broadcast(materialize(stops, "stops")), F.col(model).eqNullSafe(F.col("_model")), "left")
+    return rows.where(F.col("_stop").isNull() | (F.col(position) < F.col("_stop"))).drop("_model", "_stop")
+
+
+def run_until_failure(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series], position: str,
+                      model: str = "model") -> DataFrame:
+    """``run_batch``, cut at each model's first failure."""
+    return until_failure(run_batch(requests, answer_fn), position, model).drop("error")
+
+
 def score_responses(df: DataFrame, response: str = "response", truth: str = "ground_truth") -> DataFrame:
     """Numeric rule when both sides carry numbers, token similarity otherwise
     (E4, E5, E6). Adds ``predicted``, ``truth_value``, ``method`` and ``score``."""

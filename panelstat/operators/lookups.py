@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from panelstat.functions import _c
 from panelstat.functions.text import zfill
+from panelstat.session import materialize
 from panelstat.sources.codebooks import (HOUSEHOLD_TYPE_DEFAULT, STATUS_DEFAULT_CATEGORY,
                                          UNKNOWN_DISTRICT, map_literal)
 
@@ -103,20 +104,35 @@ def status_category(df: DataFrame, statuses: DataFrame, code: str = "status_code
                   out=out, default=STATUS_DEFAULT_CATEGORY)
 
 
-def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Sequence[str]) -> DataFrame:
+LABELS_MOST = 10_000  # labels that stand in the plan as maps
+
+
+def apply_value_labels(df: DataFrame, labels: DataFrame, columns: Sequence[str], most: int = LABELS_MOST) -> DataFrame:
     """Replace codes by labels in each of ``columns``.
 
-    ``labels`` has ``column, code, label``, one label per column and code. Every
-    column is one left join with its part of the table, whatever its size; the
-    planner broadcasts the parts that it knows to be small. Codes without a
-    label pass through."""
-    for c in [c for c in columns if c in df.columns]:
-        part = labels.where(F.col("column") == c).select(F.col("code").cast("string").alias("__code"),
-                                                         F.col("label").alias("__label"))
-        code = df[c].cast("string")
-        df = (df.join(part, code == part["__code"], "left")
-              .withColumn(c, F.coalesce(F.col("__label"), code)).drop("__code", "__label"))
-    return df
+    ``labels`` has ``column, code, label``, one label per column and code. Up to ``most``
+    labels, counted first, become a map for each column and no join is needed; more are met by
+    one join for all columns: the codes are unpivoted, labelled and put back
+    by row. Codes without a label pass through."""
+    columns = [c for c in columns if c in df.columns]
+    used = labels.where(F.col("column").isin(*columns)).select("column", F.col("code").cast("string").alias("code"), "label")
+    small = used.limit(most + 1).collect()
+    if len(small) <= most:
+        maps: dict[str, dict] = {}
+        for r in small:
+            if r["code"] is not None:
+                maps.setdefault(r["column"], {})[r["code"]] = r["label"]
+        return df.withColumns({c: F.coalesce(F.element_at(map_literal(list(maps[c].items())), F.col(f"`{c}`").cast("string")),
+                                             F.col(f"`{c}`").cast("string")) if c in maps else F.col(f"`{c}`").cast("string")
+                               for c in columns})
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), "coded")
+    codes = rows.select("__row", F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("code")) for c in columns])).alias("e"))
+    found = (codes.select("__row", "e.*").where("code is not null").join(used, ["column", "code"])
+             .groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("column", "label"))).alias("__labels")))
+    out = rows.join(found, "__row", "left")  # a row's map has as many entries as there are columns, at most
+    return out.withColumns({c: F.coalesce(F.element_at("__labels", F.lit(c)), F.col(f"`{c}`").cast("string"))
+                            for c in columns}).drop("__row", "__labels")
 
 
 def unmatched_codes(df: DataFrame, codebook: DataFrame, key: Column, name: str = "code") -> DataFrame:

@@ -99,6 +99,33 @@ def union_panels(frames: Mapping[str, DataFrame], panel_col: str = "panel") -> D
     return out
 
 
+def read_panels(spark, paths: Mapping[str, str], aliases: Mapping[str, Mapping[str, str | None]],
+                types: Mapping[str, str] | None = None, panel_col: str = "panel") -> DataFrame:
+    """All panels' JSON lines in one scan, by canonical columns.
+
+    ``paths`` maps a panel to its folder, ``aliases`` a canonical column to each
+    panel's own name for it: None where the panel lacks it, the canonical name where a panel is not listed.
+    A record's keys are read as they stand, and its file's path tells which apply."""
+    types = types or {}
+    own = {c: {p: names.get(p, c) for p in paths} for c, names in aliases.items()}
+    # keys as they stand: names of two panels may differ by case alone
+    record = F.from_json("value", "map<string,string>").alias("__record")
+    rows = spark.read.text(list(paths.values())).select(record, F.col("_metadata.file_path").alias("__file"))
+    panel = F.lit(None).cast("string")
+    for name, path in paths.items():
+        folder = path.split(":", 1)[-1].strip("/") + "/"
+        panel = F.when(F.contains("__file", F.lit("/" + folder)), F.lit(name)).otherwise(panel)
+    rows = rows.withColumn("__panel", panel)
+    out = []
+    for canon, names in own.items():
+        value = F.lit(None).cast("string")
+        for source in sorted({n for n in names.values() if n is not None}):
+            of = [p for p, n in names.items() if n == source]
+            value = F.when(F.col("__panel").isin(*of), F.element_at("__record", F.lit(source))).otherwise(value)
+        out.append((value.cast(types[canon]) if canon in types else value).alias(canon))
+    return rows.select(*out, F.col("__panel").alias(panel_col))
+
+
 def positional(df: DataFrame, start: int, stop: int | None = None) -> DataFrame:
     """Columns by position."""
     return df.select(*[F.col(f"`{c}`") for c in df.columns[start:stop]])

@@ -127,6 +127,30 @@ def q_run_batch(spark, sf_dir):
     return ev.run_batch(reqs, _length_answer).select("doc_id", "model", "response", "error")
 
 
+# From which document on each model fails, and at which documents from there on.
+_STOPS = {"gpt-4o": (300, 10), "qwen-2": (0, 7), "other-7b": (90_000_000, 1)}
+_STOP_SQL = " OR ".join(f"(m.model = '{m}' AND e.doc_id >= {a} AND e.doc_id % {b} = 3)" for m, (a, b) in _STOPS.items())
+
+
+def _failing_answer(pdf: pd.DataFrame) -> pd.Series:
+    for m, (start, step) in _STOPS.items():
+        if ((pdf["model"] == m) & (pdf["doc_id"] >= start) & (pdf["doc_id"] % step == 3)).any():
+            raise ValueError("model is gone")
+    return "len:" + pdf["prompt"].str.len().astype(str)
+
+
+@register("run_until_failure", f"""
+SELECT doc_id, model, response FROM (
+  SELECT e.doc_id, m.model, 'len:' || CAST(length({PROMPT_SQL}) AS VARCHAR) AS response,
+    min(CASE WHEN {_STOP_SQL} THEN e.doc_id END) OVER (PARTITION BY m.model) AS stop
+  FROM ({EVAL_SQL}) e, {MODELS_SQL}) t WHERE stop IS NULL OR doc_id < stop""")
+def q_run_until_failure(spark, sf_dir):
+    """Each model's answers up to its first failure."""
+    items = eval_items(spark, sf_dir).select("doc_id", "query")
+    reqs = ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
+    return ev.run_until_failure(reqs, _failing_answer, "doc_id").select("doc_id", "model", "response")
+
+
 @register("parse_score", sql_r6(f"""
 SELECT doc_id, {PARSE_SQL} AS score, CASE WHEN {PARSE_SQL} IS NULL THEN 'Error' END AS status
 FROM ({EVAL_SQL}) e""", ["score"]))

@@ -11,10 +11,12 @@ from panelstat.operators import schema as sc
 from panelstat.plans import sqlgen as S
 from panelstat.plans.catalog_survey import (INDUSTRY_SQL, OCCUPATION_SQL, STATUS_SQL, industry_codebook,
                                             occupation_codebook)
-from panelstat.plans.registry import r6, register, sql_r6
+from panelstat.plans.registry import ORACLE, r6, register, sql_r6
 from panelstat.plans.views import (HOUSEHOLD_RAW_SQL, PERSON_RAW_SQL, household_raw, households, person_raw,
                                    persons, table, with_views)
-from panelstat.sources import codebooks as cb
+from panelstat.session import shared_path
+from panelstat.sources import codebooks as cb, sinks
+from panelstat.sources.sinks import stored
 from panelstat.sources.readers import REGION_LINE_RE, last_per_key, region_codes_from_text
 
 
@@ -139,6 +141,39 @@ def q_value_labels(spark, sf_dir):
     return hh.groupBy("quarter", "visit", "social_group").agg(F.count(F.lit(1)).alias("n"))
 
 
+_MANY = 60
+
+
+@register("value_labels_many", f"""
+SELECT c_custkey, {", ".join(f"CASE WHEN (c_custkey + {i}) % 10 < 7 THEN 'label {i}/' || CAST((c_custkey + {i}) % 10 AS VARCHAR) ELSE CAST((c_custkey + {i}) % 10 AS VARCHAR) END AS v{i}" for i in range(_MANY))}
+FROM customer""")
+def q_value_labels_many(spark, sf_dir):
+    """J8 over 60 columns, three codes of each without a label."""
+    k = F.col("c_custkey")
+    coded = table(spark, sf_dir, "customer").select(k, *[((k + i) % 10).alias(f"v{i}") for i in range(_MANY)])
+    labels = cb.literal_table(spark, [(f"v{i}", str(c), f"label {i}/{c}") for i in range(_MANY) for c in range(7)],
+                              ["column", "code", "label"])
+    return lk.apply_value_labels(coded, labels, [f"v{i}" for i in range(_MANY)])
+
+
+_PANELS = {"v1_urban": ("State/Ut Code", "Balance"), "rv_urban": ("state", "balance"), "v1_rural": ("STATE", "bal"), "rv_rural": ("state", None)}
+
+
+@register("panels_one_scan", """
+SELECT c_custkey AS id, CAST(c_nationkey AS VARCHAR) AS state, CASE WHEN c_custkey % 4 < 3 THEN round(c_acctbal, 2) END AS balance,
+  CASE c_custkey % 4 WHEN 0 THEN 'v1_urban' WHEN 1 THEN 'rv_urban' WHEN 2 THEN 'v1_rural' ELSE 'rv_rural' END AS panel FROM customer""")
+def q_panels_one_scan(spark, sf_dir):
+    """Panels of four layouts through one scan."""
+    c, paths = table(spark, sf_dir, "customer"), {}
+    for n, (panel, (state, balance)) in enumerate(_PANELS.items()):
+        paths[panel] = shared_path(spark, f"panel-{panel}")
+        cols = [F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("string").alias(state)]
+        cols += [F.round("c_acctbal", 2).alias(balance)] if balance else []
+        sinks.write_records(c.where(F.col("c_custkey") % 4 == n).select(*cols), paths[panel])
+    aliases = {"id": {}, "state": {p: s for p, (s, _) in _PANELS.items()}, "balance": {p: b for p, (_, b) in _PANELS.items()}}
+    return sc.read_panels(spark, paths, aliases, {"id": "long", "balance": "double"})
+
+
 @register("unmatched_codes", f"""
 SELECT substr(p.industry_code, 1, 2) AS code, count(*) AS n FROM ({PERSON_RAW_SQL}) p
 WHERE substr(p.industry_code, 1, 2) NOT IN (SELECT code FROM {INDUSTRY_SQL} i)
@@ -162,6 +197,16 @@ def q_literacy_by_religion(spark, sf_dir):
     return r6(share.select("religion", (F.lit(1.0) - F.col("_nl")).alias("literacy_rate")))
 
 
+@register("literacy_by_religion_stored", ORACLE["literacy_by_religion"])
+def q_literacy_by_religion_stored(spark, sf_dir):
+    """J13 on stored tables: both sides bucketed by household, joined without an exchange."""
+    p = stored(spark, persons(spark, sf_dir).select("hh_id", "general_education", "weight"), "hh_id", "persons")
+    h = stored(spark, households(spark, sf_dir).select("hh_id", "religion"), "hh_id", "households")
+    share = est.indicator_share(p.join(h.hint("merge"), "hh_id"), ["religion"], F.col("general_education") == "not literate",
+                                "weight", name="_nl")
+    return r6(share.select("religion", (F.lit(1.0) - F.col("_nl")).alias("literacy_rate")))
+
+
 # --------------------------------------------------------------------------- P1 - P9
 
 @register("rename", f"""

@@ -20,7 +20,7 @@ from panelstat.sources import codebooks as cb
 from panelstat.session import shared_path
 from panelstat.sources.readers import read_stream_records
 from panelstat.sources.sinks import write_records
-from panelstat.streaming.decode import decode_stream, run_available, with_progress
+from panelstat.streaming.decode import decode_stream, progress, run_available, with_progress
 
 _CAT = [(c, cat) for c, _, cat in cb.STATUS]
 
@@ -73,3 +73,16 @@ def q_projection_stream(spark, sf_dir):
     proj = sc.select_and_rename(stream, ["l_orderkey", "l_linenumber", "no_such_col", "l_returnflag"],
                                 {"l_orderkey": "hh_id", "l_linenumber": "person_no", "l_returnflag": "flag"})
     return spark.read.schema(proj.schema).parquet(run_available(with_progress(proj), "project"))
+
+
+@register("stream_progress", """
+SELECT count(*) AS rows, CAST(12 AS BIGINT) AS batches, count(*) AS total FROM customer""")
+def q_stream_progress(spark, sf_dir):
+    """ST3: a row per micro-batch in the progress table, whose total is the input."""
+    landed = shared_path(spark, "landed-customers")
+    rows = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name")
+    rows.repartitionByRange(12, "c_custkey").write.json(landed)
+    stream = with_progress(read_stream_records(spark, landed, rows.schema, max_files=1))
+    run_available(stream, "customers")
+    return progress(spark, "customers").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("batches"),
+                                            F.max("total").alias("total"))

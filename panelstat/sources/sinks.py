@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelstat.functions.text import file_safe
+from panelstat.session import shared_path
 
 
 def write_records(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -36,6 +37,16 @@ def write_array(df: DataFrame, path: str, pretty: bool = False) -> None:
     rows.mapInArrow(bracketed, "value string").write.mode("overwrite").text(path)
 
 
+def stored(spark, df: DataFrame, key: str, name: str, buckets: int | None = None) -> DataFrame:
+    """``df`` written as a table bucketed and sorted by ``key`` under the shared folder.
+    Tables of one key and number of buckets join without an exchange (J13)."""
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = shared_path(spark, name)
+    table = f"{name}_{path[-32:]}"
+    df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def _json_key(c) -> "F.Column":
     """A string as a quoted JSON key."""
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
