@@ -56,3 +56,61 @@ def text_score(response, truth) -> Column:
     union = F.size(a) + F.size(b) - inter
     same = F.array_join(F.array_sort(a), " ") == F.array_join(F.array_sort(b), " ")
     return F.when(same, F.lit(1.0)).otherwise(F.try_divide(inter.cast("double"), F.when(union > 0, union)))
+
+
+# --------------------------------------------------------------------------- equal meaning (E5)
+
+# What unit words multiply a number by. A percentage is its number.
+UNITS = {"thousand": 1e3, "k": 1e3, "lakh": 1e5, "lakhs": 1e5, "lac": 1e5, "lacs": 1e5, "million": 1e6, "mn": 1e6,
+         "crore": 1e7, "crores": 1e7, "cr": 1e7, "billion": 1e9, "bn": 1e9}
+# Abbreviations and other words that stand for the same.
+ABBREVIATIONS = {"wpr": "worker population ratio", "lfpr": "labour force participation rate", "ur": "unemployment rate",
+                 "up": "uttar pradesh", "ap": "andhra pradesh", "mp": "madhya pradesh", "hp": "himachal pradesh",
+                 "tn": "tamil nadu", "wb": "west bengal", "jk": "jammu kashmir", "uts": "union territories",
+                 "labor": "labour", "women": "female", "men": "male", "females": "female", "males": "male", "salaried": "regular"}
+STOP_WORDS = ["the", "a", "an", "of", "in", "is", "and", "per", "state"]
+_NUMBER = r"(-?\d[\d,]*(?:\.\d+)?)"
+_UNIT = r"\s*-?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")?\b"
+# Which number of a text is meant: the first with a currency, with a unit, as a percentage, that is no year, any.
+QUANTITY_RES = [r"(?i)(?:₹|\brs\.?|\binr)\s*" + _NUMBER + _UNIT,
+                r"(?i)" + _NUMBER + r"\s*-?(" + "|".join(sorted(UNITS, key=len, reverse=True)) + r")\b",
+                r"(?i)" + _NUMBER + r"()\s*(?:%|per\s?cent\b)",
+                r"(?<![\d.,–-])(?!(?:19|20)\d\d(?![\d.,]\d))" + _NUMBER + r"()",
+                _NUMBER + r"()"]
+
+
+def quantity(col) -> Column:
+    """The number that a text states, with currencies, thousands commas and unit
+    words ("2.1 lakh") resolved; null without one."""
+    c = _c(col)
+    out = F.lit(None).cast("double")
+    for pattern in reversed(QUANTITY_RES):
+        digits, unit = F.regexp_extract(c, pattern, 1), F.lower(F.regexp_extract(c, pattern, 2))
+        factor = F.lit(1.0)
+        for word, times in UNITS.items():
+            factor = F.when(unit == word, F.lit(times)).otherwise(factor)
+        value = F.regexp_replace(digits, ",", "").try_cast("double") * factor
+        out = F.when(digits != "", value).otherwise(out)
+    return out
+
+
+def meaning_tokens(col) -> Column:
+    """Distinct tokens with abbreviations written out and common words left out."""
+    named = F.create_map(*[F.lit(x) for pair in ABBREVIATIONS.items() for x in pair])
+    words = F.flatten(F.transform(tokens(col), lambda t: F.split(F.coalesce(F.element_at(named, t), t), " ")))
+    return F.array_distinct(F.filter(words, lambda t: ~t.isin(*STOP_WORDS)))
+
+
+def token_likeness(a: Column, b: Column) -> Column:
+    """1 less edits by length, from 0.75 on; else 0: plurals and misspellings count, other words do not."""
+    like = F.lit(1.0) - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b))
+    return F.when(like >= 0.75, like).otherwise(F.lit(0.0))
+
+
+def aligned_score(response_tokens: Column, weighted_truth: Column) -> Column:
+    """Share of the truth's token weight (array of structs t, w) that the response's
+    most alike tokens cover; null for a truth without tokens."""
+    covered = F.aggregate(weighted_truth, F.lit(0.0), lambda acc, x: acc + x["w"] * F.coalesce(
+        F.array_max(F.transform(response_tokens, lambda r: token_likeness(r, x["t"]))), F.lit(0.0)))
+    total = F.aggregate(weighted_truth, F.lit(0.0), lambda acc, x: acc + x["w"])
+    return F.try_divide(covered, F.when(total > 0, total))

@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from panelstat.functions.scoring import first_number, numeric_score, parse_score, text_score, truth_number
+from panelstat.functions.scoring import (aligned_score, first_number, meaning_tokens, numeric_score, parse_score, quantity,
+                                         text_score, truth_number)
 from panelstat.functions.text import file_safe
 from panelstat.operators.estimators import moments, quantiles_from_cumulative, value_counts
 from panelstat.operators.quality import require_columns
@@ -115,6 +116,28 @@ def score_responses(df: DataFrame, response: str = "response", truth: str = "gro
         .otherwise(text_score(F.col(response), F.col(truth)))})
 
 
+def meaning_scores(df: DataFrame, response: str = "response", truth: str = "ground_truth") -> DataFrame:
+    """Scores by meaning (E5): where the truth is a number, the numeric rule on the
+    quantities that both state, units resolved; otherwise the truth's tokens, abbreviations
+    written out, aligned with the response's, each weighted by its rarity among all truths. Adds
+    ``method`` and ``score``. Token weights are counted over the distinct truths and
+    joined to these, so that a truth of many items is looked up once."""
+    t, r = F.col(truth), F.col(response)
+    number = truth_number(t).isNotNull()
+    texts = materialize(df.where(t.isNotNull() & ~number).select(t.alias("_truth")).distinct(), "truths")
+    words = texts.select("_truth", F.explode(meaning_tokens("_truth")).alias("_t"))
+    count = texts.count()
+    weights = words.groupBy("_t").agg(F.log(F.lit(1.0) + F.lit(float(count)) / F.count(F.lit(1))).alias("_w"))
+    weighted = words.join(weights, "_t").groupBy("_truth").agg(
+        F.sort_array(F.collect_list(F.struct(F.col("_t").alias("t"), F.col("_w").alias("w")))).alias("_weights"))
+    out = df.join(weighted, t == F.col("_truth"), "left").drop("_truth")
+    none = F.array().cast("array<struct<t:string,w:double>>")
+    text = aligned_score(meaning_tokens(F.coalesce(r, F.lit(""))), F.coalesce("_weights", none))
+    score = F.when(number, F.when(quantity(r).isNotNull(), numeric_score(quantity(r), truth_number(t))).otherwise(0.0)).otherwise(text)
+    return out.withColumns({"method": F.when(number, F.lit("numeric")).otherwise(F.lit("text")),
+                            "score": F.when(r.isNotNull(), score)}).drop("_weights")
+
+
 def judge_scores(df: DataFrame, judge_text: str = "judge_text") -> DataFrame:
     """Scores parsed from judge output (E3); unparseable rows get
     ``status='Error'`` instead of failing the run."""

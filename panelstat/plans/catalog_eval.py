@@ -199,3 +199,33 @@ def q_unscored(spark, sf_dir):
     items = eval_items(spark, sf_dir)
     judged, _ = ev.split_scored(ev.judge_scores(items))
     return ev.unscored(items.select("model", "query"), judged)
+
+
+# Planted answers by document: (truth, response) as SQL text that both engines read, and the score that they must get.
+_MEANINGS = [
+    ("concat(n_chars, '')", "concat('₹', n_chars, ' (PLFS 2022-23, per month)')", "1.0"),
+    ("concat(n_chars * 1000, '')", "concat('In 2023 about ', n_chars, ' thousand people')", "1.0"),
+    ("concat(n_chars * 100000, '')", "concat('Rs. ', n_chars, ' lakh')", "1.0"),
+    ("concat(n_chars, '')", "concat('PLFS 2019: ', n_chars * 2, ' per cent')", "0.0"),
+    ("'Uttar Pradesh'", "'UP'", "1.0"),
+    ("'Worker population ratio of women'", "'The WPR of females'", "1.0"),
+    ("'Agriculture'", "'agricultur sector'", "1.0 - 1.0 / 11"),
+    ("concat('Region ', doc_id)", "'no idea'", "0.0"),
+    ("'regular labour'", "cast(null as string)", "cast(null as double)"),
+    ("concat(n_chars, '')", "'I do not know.'", "0.0"),
+]
+
+
+def _meaning_case(k: int, text: str = "string") -> str:
+    arms = " ".join(f"WHEN {i} THEN {m[k]}" for i, m in enumerate(_MEANINGS))
+    return f"CASE doc_id % {len(_MEANINGS)} {arms} END".replace("as string", f"as {text}")
+
+
+@register("meaning_score", sql_r6(f"""
+SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 1, 2, 3, 9) THEN 'numeric' ELSE 'text' END AS method, {_meaning_case(2)} AS score
+FROM documents""", ["score"]))
+def q_meaning_score(spark, sf_dir):
+    """E5: units, currencies, abbreviations and near words against planted scores."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr(_meaning_case(0)).alias("ground_truth"),
+                                                 F.expr(_meaning_case(1)).alias("response"))
+    return r6(ev.meaning_scores(d).select("doc_id", "method", "score"))
