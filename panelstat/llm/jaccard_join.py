@@ -159,6 +159,15 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches folded to their first 256 cells, a row of four words each."""
+    out = np.zeros((len(sketches), 4), np.uint64)
+    for k, sketched in enumerate(sketches):
+        x = np.frombuffer(sketched, np.uint64)
+        out[k] = np.bitwise_xor.reduce(x.reshape(-1, 4), axis=0)
+    return out
+
+
 def _named(pairs: DataFrame, sets: DataFrame):
     """A broadcast bitmap of the documents that stand for the sets that pairs name."""
     named = pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct()
@@ -228,6 +237,9 @@ def _across(percent: int):
             allowed = (a["n"] + b["n"]) * (100 - percent) // (100 + percent)
             keep = ((a["label"] != b["label"]) & ((a["side"] != b["side"]) | (a["i"] == a["j"]))
                     & (a["apart"] + b["apart"] + before + behind <= allowed))
+            keep[keep] = np.bitwise_count(a["fold"][keep] ^ b["fold"][keep]).sum(axis=1) <= allowed[keep]
+            for k in np.nonzero(keep & (np.minimum(a["n"], b["n"]) > 512))[0]:  # the fold is too short for these
+                keep[k] = differing(a["sketch"][k], b["sketch"][k]) <= allowed[k]
             u, v = a["sid"][keep], b["sid"][keep]
             if len(u):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["u", "v"])
@@ -241,7 +253,8 @@ def _across(percent: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = {c: batch.column(c).to_numpy() for c in batch.schema.names}
+            new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            new["fold"] = folded(new["sketch"].tolist())
             held = {c: np.concatenate([held[c], v]) if held else v for c, v in new.items()}
             group = marks()
             cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
@@ -358,9 +371,10 @@ def _placed_rows(df: DataFrame, id_col: str, text_col: str, size: int, percent:
     last = F.col("blocks") - 1
     mine = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
     beside = F.explode(F.sequence(F.lit(0), last)).alias("other")
-    groups = (hot_join(labelled, materialize(several, "several"), "sign", "held", total)
-              .select("sign", mine.alias("own"), beside, "sid", "label", "n", "apart", "place")
-              .select("sign", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+    sketches = signed.where("sid is not null").select("sid", "sketch").dropDuplicates(["sid"])
+    groups = (hot_join(labelled, materialize(several, "several"), "sign", "held", total).join(sketches, "sid")
+              .select("sign", "sketch", mine.alias("own"), beside, "sid", "label", "n", "apart", "place")
+              .select("sign", "sketch", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
                       (F.col("own") > F.col("other")).cast("int").alias("side"), "sid", "label", "n", "apart", "place"))
     groups = (groups.repartition(task_partitions(spark), "sign", "i", "j").sortWithinPartitions("sign", "i", "j", "side"))
     across = groups.mapInArrow(_across(percent), "u long, v long").distinct().join(pairs, ["u", "v"], "left_anti")
