@@ -47,7 +47,7 @@ MARK = "▁"
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BPE = 2
-MEMO = 120_000  # entries of a memo and of its former generation
+MEMO = 400_000  # entries of a memo, and of its former generation
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -76,7 +76,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 
 
 class PieceTransducer:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo: int = MEMO):
         with open(path, "rb") as f:
             model = list(_fields(f.read()))
         trainer = dict(_fields(next(v for n, v in model if n == 2)))
@@ -113,10 +113,10 @@ class PieceTransducer:
             raise ValueError("pieces that hold a blank behind a character are not compiled here")
         newline = any("\n" in pair for pair in self.inner)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if newline else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
-        self.alone = Memo(lambda p: self.merged(p) == [p], MEMO)
-        self.pairs = Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab), MEMO)
-        self.factors = Memo(self._factor, MEMO)
-        self.known = Memo(self._word, MEMO)
+        self.alone = Memo(lambda p: self.merged(p) == [p], memo)
+        self.pairs = Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab), memo)
+        self.factors = Memo(self._factor, memo)
+        self.known = Memo(self._word, memo)
 
     def merged(self, text: str) -> list[str]:
         """The merge procedure itself: the neighbours whose joint piece has the
@@ -198,12 +198,12 @@ class PieceTransducer:
         return raw.decode("utf-8", "replace")
 
 
-def transducer(path: str) -> PieceTransducer:
+def transducer(path: str, memo: int = MEMO) -> PieceTransducer:
     """One compiled model per Python worker and model file."""
-    return worker_memo(("pieces", path), lambda: PieceTransducer(path))
+    return worker_memo(("pieces", path, memo), lambda: PieceTransducer(path, memo))
 
 
-def with_pieces(df: DataFrame, model: str, text_col: str = "text", prefix: str = "") -> DataFrame:
+def with_pieces(df: DataFrame, model: str, text_col: str = "text", prefix: str = "", memo: int = MEMO) -> DataFrame:
     """``df`` with the columns ``piece_ids`` (packed unsigned 32-bit numbers),
     ``n_pieces``, ``n_byte_pieces``, ``ids_crc32`` and ``round_trip`` (decoding
     gives the text again), each name with ``prefix`` in front."""
@@ -213,7 +213,7 @@ def with_pieces(df: DataFrame, model: str, text_col: str = "text", prefix: str =
     schema = T.StructType(df.schema.fields + [T.StructField(prefix + n, t) for n, t in added])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = transducer(model)
+        pieces = transducer(model, memo)
         fallback = set(pieces.byte_ids.values())
         for batch in batches:
             for start in range(0, max(batch.num_rows, 1), 512):
