@@ -50,7 +50,8 @@ def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ``sp_...``."""
     import public_tokenizers
 
-    return with_pieces(mix_order(docs), public_tokenizers.path("piece_bpe_32k.model"), prefix="sp_")
+    return with_pieces(mix_order(docs), public_tokenizers.path("piece_bpe_32k.model"), prefix="sp_",
+                       memo=120_000)  # the session holds other operators' memory, too
 
 
 STAGES = [
