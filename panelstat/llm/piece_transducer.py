@@ -1,28 +1,35 @@
 """SentencePiece encoding and decoding by a weighted finite-state transducer.
 
-A BPE model file is compiled into three transducers that are composed with
-each input on the fly:
+A model file is compiled into transducers that are composed with each input on
+the fly:
 
 * the normaliser: a blank in front of a text that is not empty, blanks as the
   piece mark;
-* the pieces: one arc for every piece that stands at a position, with weight 0,
-  since scores only order the merges below; a character without a piece goes
-  through byte fallback, one arc that writes its UTF-8 bytes;
-* the merge order: an acceptor of pairs of neighbouring arcs. A pair costs 0
-  if merging its joint characters by score gives just these two pieces, else
-  infinity. A sequence of pieces is the model's encoding if and only if each piece
-  and each pair of neighbours is its own encoding: up to the first merge across
-  a boundary, all merges within the two pieces happen as if they stood
-  alone, so that this merge would also happen to the pair by itself.
-
-The encoding is the shortest path in the tropical semiring over the states
-(position, last arc), whose weights are only 0 and infinity: the one allowed path. Where no piece of the model holds two
-neighbouring characters, no arc crosses, and the path factors there; each
-task keeps the paths of the factors that it has met.
-
-Only BPE models without normalisation rules of their own, user-defined pieces
-and pieces with a blank behind a character are compiled; others raise, unigram
-models among them.
+* the pieces: an arc for every piece that stands at a position. In a unigram
+  model its weight is minus the piece's score. A character without a piece goes
+  through byte fallback, one arc that writes its UTF-8 bytes; in a unigram
+  model it weighs ``UNKNOWN_PENALTY`` more than the heaviest piece;
+* of BPE models, whose scores only order the merges, the merge order: an acceptor
+  of pairs of neighbouring arcs, made of the pieces' chains. A piece's chain
+  holds a state for each of its own merges: the symbol at its left edge, the one
+  at its right edge, the cost of the next merge. A pair runs the left arc's
+  chain against the right arc's, the cheaper next merge first. It costs
+  infinity if the symbols on both sides of the boundary would merge before
+  one of the chains goes on, else 0. A sequence of pieces is the model's encoding if
+  and only if each piece and each pair of neighbours is its own encoding: up to
+  the first merge across a boundary, all merges within the two pieces happen as if
+  they stood alone.
+
+The encoding is the shortest path in the tropical semiring: positions are
+relaxed from left to right, each arc by (min, +). In a BPE model the finite
+paths to a position are encodings of the text before it, of which there is one,
+so that one state is kept for each position there, too. Sums are in double
+precision; of equal paths the one whose last arc is longest stays. Where no
+piece of the model holds two neighbouring characters, no arc crosses, and the
+path factors there; each task keeps the paths of the factors that it has met.
+
+Models of other kinds, with normalisation rules of their own, user-defined
+pieces or pieces with a blank behind a character raise.
 
 Defined results. Null text: as the empty text, no pieces. Round trips give
 the text with the piece mark itself read as a blank. Repeated rows are encoded
@@ -46,7 +53,9 @@ from panelstat.llm.common import Memo, read_table, worker_memo
 MARK = "▁"
 # Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-BPE = 2
+UNIGRAM, BPE = 1, 2
+UNKNOWN_PENALTY = 10.0
+INFINITY = float("inf")
 MEMO = 400_000  # entries of a memo, and of its former generation
 
 
@@ -81,8 +90,9 @@ class PieceTransducer:
             model = list(_fields(f.read()))
         trainer = dict(_fields(next(v for n, v in model if n == 2)))
         spec = dict(_fields(next(v for n, v in model if n == 3)))
-        if trainer.get(3) != BPE:
-            raise ValueError("not a BPE model")
+        if trainer.get(3, UNIGRAM) not in (UNIGRAM, BPE):
+            raise ValueError("neither a unigram nor a BPE model")
+        self.unigram = trainer.get(3, UNIGRAM) == UNIGRAM
         if spec.get(2) or spec.get(4, 1) or not spec.get(5, 1):
             raise ValueError("the model's normaliser has rules that are not compiled here")
         self.prefix = bool(spec.get(3, 1))
@@ -106,6 +116,7 @@ class PieceTransducer:
             elif kind == UNKNOWN:
                 self.unknown = i
         self.inner = {p[k:k + 2] for p in self.number for k in range(len(p) - 1)}  # neighbours within a piece
+        self.starts = {p[:k] for p in self.number for k in range(2, len(p))}
         self.longest: dict[str, int] = {}
         for p in self.number:
             self.longest[p[0]] = max(self.longest.get(p[0], 0), len(p))
@@ -113,54 +124,72 @@ class PieceTransducer:
             raise ValueError("pieces that hold a blank behind a character are not compiled here")
         newline = any("\n" in pair for pair in self.inner)
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+" if newline else f"\n|{MARK}*[^{MARK}\n]+|{MARK}+").findall
-        self.alone = Memo(lambda p: self.merged(p) == [p], memo)
-        self.pairs = Memo(lambda ab: self.merged(ab[0] + ab[1]) == list(ab), memo)
+        self.unknown_cost = max(self.cost.values(), default=0.0) + UNKNOWN_PENALTY
+        self.least = min(self.cost.values(), default=0.0) if self.unigram else 0.0  # no arc weighs less
+        self.chains = Memo(self._chain, len(self.number) + memo)
+        self.pairs = Memo(lambda ab: self.pair_weight(*ab), memo)
         self.factors = Memo(self._factor, memo)
         self.known = Memo(self._word, memo)
 
-    def merged(self, text: str) -> list[str]:
-        """The merge procedure itself: the neighbours whose joint piece has the
-        best score, the first of equals, become one, until none do."""
-        symbols, cost = list(text), self.cost
-        while True:
-            best, at = None, -1
-            for k in range(len(symbols) - 1):
-                c = cost.get(symbols[k] + symbols[k + 1])
-                if c is not None and (best is None or c < best):
-                    best, at = c, k
-            if at < 0:
-                return symbols
+    def _chain(self, piece: str) -> list[tuple[str, str, float]]:
+        """The states of a piece's own merges: symbols at its left and right
+        edge, cost of the next merge (infinity in the last). Empty if the merges
+        do not end in the piece, so that no encoding holds it."""
+        symbols, states, cost = list(piece), [], self.cost
+        while len(symbols) > 1:
+            least, at = min((cost.get(symbols[k] + symbols[k + 1], INFINITY), k) for k in range(len(symbols) - 1))
+            states.append((symbols[0], symbols[-1], least))
+            if least == INFINITY:
+                break
             symbols[at:at + 2] = [symbols[at] + symbols[at + 1]]
-
-    def _arcs(self, text: str, at: int) -> list[str]:
-        """The arcs that leave a position, longest first."""
-        cost, alone = self.cost, self.alone
-        ends = range(min(len(text), at + max(1, self.longest.get(text[at], 1))), at + 1, -1)
-        found = [arc for arc in (text[at:end] for end in ends) if arc in cost and alone[arc]]
-        found.append(text[at])
-        return found
+        else:
+            states.append((piece, piece, INFINITY))
+        return states if len(symbols) == 1 else []
+
+    def pair_weight(self, left: str, right: str) -> float:
+        """0, or infinity if a merge across the boundary comes before the two
+        chains have ended. Of equal costs the leftmost merge comes first."""
+        a, b, cost = self.chains[left], self.chains[right], self.cost
+        i = j = 0
+        while True:
+            (_, x, before), (y, _, behind) = a[i], b[j]
+            across = cost.get(x + y, INFINITY)
+            if across < before and across <= behind:
+                return INFINITY
+            if before <= behind:
+                if before == INFINITY:
+                    return 0.0
+                i += 1
+            else:
+                j += 1
 
     def shortest(self, text: str) -> list[str]:
-        """The arcs of the shortest path through one factor. The merge order
-        leaves exactly one path of finite cost, so the search goes depth first,
-        longest arcs first, and marks the states (position, last arc) that
-        cannot reach the end."""
-        n, pairs, dead = len(text), self.pairs, set()
-        stack = [(0, "", iter(self._arcs(text, 0)))]
-        while stack:
-            at, last, arcs = stack[-1]
-            for arc in arcs:
-                end = at + len(arc)
-                if (end, arc) in dead or last and not pairs[last, arc]:
+        """The arcs of the shortest path through one factor."""
+        n, pairs, chains, cost, unigram = len(text), self.pairs, self.chains, self.cost, self.unigram
+        least, longest, starts, unknown = self.least, self.longest, self.starts, self.unknown_cost
+        best = [0.0] + [INFINITY] * n
+        last = [""] * (n + 1)
+        for at in range(n):
+            here, before = best[at], last[at]
+            for end in range(at + 1, min(n, at + longest.get(text[at], 1)) + 1):
+                if here + least >= best[end]:
                     continue
-                if end == n:
-                    return [state[1] for state in stack[1:]] + [arc]
-                stack.append((end, arc, iter(self._arcs(text, end))))
-                break
-            else:
-                dead.add((at, last))
-                stack.pop()
-        raise AssertionError("every text has an encoding")
+                arc = text[at:end]
+                if arc in cost:
+                    weight = cost[arc] if unigram else INFINITY if not chains[arc] else pairs[before, arc] if at else 0.0
+                elif end == at + 1:
+                    weight = unknown if unigram else pairs[before, arc] if at else 0.0
+                elif arc in starts:
+                    continue
+                else:
+                    break
+                if here + weight < best[end]:
+                    best[end], last[end] = here + weight, arc
+        path, at = [], n
+        while at:
+            path.append(last[at])
+            at -= len(last[at])
+        return path[::-1]
 
     def _factor(self, text: str) -> bytes:
         ids = array("I")
@@ -187,7 +216,12 @@ class PieceTransducer:
 
     def encode(self, text: str) -> bytes:
         """The ids of the whole text as unsigned 32-bit numbers, packed."""
-        return b"".join(map(self.known.__getitem__, self.words(self.normalised(text))))
+        packed = b"".join(map(self.known.__getitem__, self.words(self.normalised(text))))
+        if self.byte_ids:
+            return packed
+        ids = array("I")
+        ids.frombytes(packed)  # without byte fallback, neighbouring unknown characters are one unknown piece
+        return array("I", [x for k, x in enumerate(ids) if x != self.unknown or not k or ids[k - 1] != x]).tobytes()
 
     def decode(self, packed: bytes) -> str:
         ids = array("I")

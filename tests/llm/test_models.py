@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import struct
 import zlib
 from collections import defaultdict
 
@@ -207,11 +208,70 @@ def test_ids_equal_the_library(pieces, spark):
         assert pieces.decode(packed) == text.replace(MARK, " ")
 
 
+def merged(cost, text):
+    """The merge procedure: the neighbours whose joint piece costs least, the first of equals, become one."""
+    symbols = list(text)
+    while True:
+        joint = [(cost[a + b], k) for k, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in cost]
+        if not joint:
+            return symbols
+        k = min(joint)[1]
+        symbols[k:k + 2] = [symbols[k] + symbols[k + 1]]
+
+
 def test_paths_equal_the_merge_procedure(pieces):
     rng = random.Random(9)
-    for _ in range(500):
+    for _ in range(1500):
         text = "".join(rng.choice("aeinrstхи中ing") for _ in range(rng.randint(1, 25)))
-        assert pieces.shortest(text) == pieces.merged(text)
+        assert pieces.shortest(text) == merged(pieces.cost, text)
+
+
+def write_model(path, scores, kind, fallback=True):
+    """A model file of the given pieces and scores; ``kind`` is 1 (unigram) or 2 (BPE)."""
+    def field(number, value):
+        if isinstance(value, int):
+            return bytes([number << 3 & 127 | (128 if number > 15 else 0)]) + (bytes([number >> 4]) if number > 15 else b"") + bytes([value])
+        if isinstance(value, float):
+            return bytes([number << 3 | 5]) + struct.pack("<f", value)
+        size = len(value)
+        return bytes([number << 3 | 2]) + (bytes([size]) if size < 128 else bytes([size & 127 | 128, size >> 7])) + value
+
+    listed = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(p, s, 1) for p, s in scores.items()]
+    listed += [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)] if fallback else []
+    made = [field(1, field(1, p.encode()) + field(2, float(s)) + field(3, t)) for p, s, t in listed]
+    made.append(field(2, field(3, kind) + field(35, int(fallback))))
+    made.append(field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1)))
+    path.write_bytes(b"".join(made))
+    return str(path)
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("fallback", [True, False])
+def test_other_models_equal_the_library(tmp_path, kind, fallback):
+    """Random models: weighted paths of unigram models; BPE models whose pieces
+    came in any order, so that a merge may free a cheaper one."""
+    import sentencepiece
+
+    rng = random.Random(10 * kind + fallback)
+    for trial in range(60):
+        some = {"".join(rng.choice("abcé") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(2, 40))}
+        some = sorted({*some, *(MARK + p for p in some if rng.random() < 0.4), "a", "b", MARK})
+        rng.shuffle(some)
+        # different sums of steps of 1/64, so that no two paths of a text are equal but by chance
+        scores = {p: -rng.randint(1, 700) / 64 if kind == 1 else -float(k) for k, p in enumerate(some)}
+        model = write_model(tmp_path / f"{kind}-{trial}.model", scores, kind, fallback)
+        library, own = sentencepiece.SentencePieceProcessor(model_file=model), PieceTransducer(model, memo=200)
+        for _ in range(60):
+            text = "".join(rng.choice("aaabbcé d\n世") for _ in range(rng.randint(0, 18)))
+            got = np.frombuffer(own.encode(text), "<u4").tolist()
+            assert got == library.encode(text), (scores, text)
+            if kind == 1:  # every way to cut the text, by plain recursion over its ends
+                full, least = own.normalised(text), [0.0]
+                for end in range(1, len(full) + 1):
+                    least.append(min(least[at] + (own.cost.get(full[at:end], own.unknown_cost if end == at + 1 else np.inf))
+                                     for at in range(end)))
+                cuts = [arc for word in own.words(full) for arc in own.shortest(word)]
+                assert sum(own.cost.get(arc, own.unknown_cost) for arc in cuts) == least[-1]
 
 
 def test_pieces_of_odd_rows(odd, empty):
