@@ -83,14 +83,7 @@ def brute_licenses(text):
         hits = [i for i in range(len(words) - len(p) + 1) if words[i:i + len(p)] == p]
         at += hits
         named |= {label} if hits else set()
-    best, method = 0.0, set()
-    for line in lowered.split("\n"):
-        block = set(word.findall(line))
-        for label, template in L.TEMPLATES:
-            tokens = set(template.split())
-            share = len(block & tokens) / len(tokens)
-            if share >= L.THRESHOLD - 1e-12:
-                best, method = max(best, round(share, 6)), method | {label}
+    method, best = brute_windows(text or "")
     return (len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(named)),
             ",".join(sorted(named | method)), 1.0 if at else best)
 
@@ -154,6 +147,8 @@ def brute_windows(text):
     for label, template in L.TEMPLATES:
         tokens, n = set(template.split()), len(template.split())
         for words, width in [(word.findall(lowered), n)] + [(word.findall(x), L.LINE_SPAN * n) for x in lowered.split("\n")]:
+            if len(tokens & set(words)) / len(tokens) < L.THRESHOLD - 1e-12:
+                continue  # no run holds more
             for start in range(max(1, len(words) - width + 1)):
                 share = len(tokens & set(words[start:start + width])) / len(tokens)
                 if share >= L.THRESHOLD - 1e-12:
@@ -179,3 +174,24 @@ def test_runs_of_words_against_brute_force(make):
         assert r["score"] == (1.0 if r["n_base"] else best)
         seen |= {b is None for b, _, _ in r["matches"]}
     assert seen == {True, False}
+
+
+def test_sql_follows_the_same_rule(spark, make, tmp_path):
+    """Wrapped, scattered and overlong notices: the DuckDB text against the operator."""
+    import duckdb
+
+    rng, rows = random.Random(23), []
+    for i, (_, template) in enumerate(L.TEMPLATES * 3):
+        words = [w for w in template.split() if rng.random() < 0.98]
+        gap = rng.choice([0, 1, 3, 5])
+        spread = [x for w in words for x in [w] + ["filler"] * rng.randint(0, gap)]
+        rows.append((i, rng.choice([" ".join(spread), wrapped(" ".join(spread), 60, "# "), "Intro. " * 400 + " ".join(words)]), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, "MIT License", "s")]
+    docs = make(rows)
+    docs.write.parquet(str(tmp_path / "documents"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents/*.parquet'")
+    got = L.scan_licenses(docs).drop("matches")
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({L.ORACLE})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert {0.0} < {r[-1] for r in want}
