@@ -463,3 +463,27 @@ def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read_table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+# Brute force in SQL: all pairs that share a shingle, whole intersections.
+ORACLE = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS words FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+         ELSE list_distinct(list_transform(range(len(words) - 3), lambda i: array_to_string(words[i + 1:i + 4], ' '))) END AS shingles
+  FROM d),
+kinds AS (SELECT list_sort(shingles) AS shingles, min(doc_id) AS doc_id, len(list_sort(shingles)) AS n FROM sets
+          WHERE len(shingles) > 0 GROUP BY list_sort(shingles)),
+tokens AS (SELECT doc_id, n, unnest(shingles) AS shingle FROM kinds),
+shared AS (SELECT a.doc_id AS u, b.doc_id AS v, any_value(a.n + b.n) AS n, count(*) AS common
+           FROM tokens a JOIN tokens b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+                AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),
+links AS (SELECT u, v FROM shared WHERE 100 * common >= 85 * (n - common)),
+edges AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach AS (SELECT doc_id AS u, doc_id AS v FROM kinds UNION SELECT r.u, b.v FROM reach r JOIN edges b ON r.v = b.u),
+labels AS (SELECT u AS doc_id, min(v) AS component_id FROM reach GROUP BY u)
+SELECT s.doc_id, len(s.shingles)::BIGINT AS n_shingles, coalesce(l.component_id, s.doc_id) AS component_id
+FROM sets s LEFT JOIN kinds k ON list_sort(s.shingles) = k.shingles LEFT JOIN labels l ON l.doc_id = k.doc_id
+"""

@@ -222,8 +222,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                                               pa.array(found, pa.list_(pa.float64()))],
                                              names=["row_id", "label", "features"])
 
-    got = rows.mapInArrow(features, "row_id long, label int, features array<double>").limit(sample).toPandas()
-    got = got.sort_values(["row_id", "label"], kind="stable")
+    got = rows.mapInArrow(features, "row_id long, label int, features array<double>")
+    # ids may repeat in both tables: the first rows in a full order, whatever the partitions
+    got = got.orderBy("row_id", "label", "features").limit(sample).toPandas()
     x = np.stack(got["features"].to_list()) if len(got) else np.zeros((0, 2 * DIMENSIONS + 5))
     order = np.random.default_rng(SEED).permutation(len(got))
     return train(x[order], got["label"].to_numpy()[order], vectors)

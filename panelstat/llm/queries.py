@@ -1,6 +1,6 @@
 """The queries of the training-data operators and their DuckDB SQL."""
 
-from panelstat.llm import embedding_copies, exact_dedup, fill_middle, hard_negatives, license_scan, mixing
+from panelstat.llm import embedding_copies, exact_dedup, fill_middle, hard_negatives, jaccard_join, license_scan, mixing
 from panelstat.llm.edit_fingerprint import op5_edit_fingerprint
 from panelstat.llm.embedding_copies import op11_embedding_copies
 from panelstat.llm.exact_dedup import op7_exact_dedup
@@ -20,6 +20,7 @@ QUERIES = {f.__name__: f for f in (
     op7_exact_dedup, op8_piece_transducer, op9_secret_scan, op10_license_scan,
     op11_embedding_copies, op12_fill_middle, op13_hard_negatives)}
 
-ORACLE = {"op4_mix_sources": mixing.ORACLE, "op7_exact_dedup": exact_dedup.ORACLE,
+ORACLE = {"op3_jaccard_join": jaccard_join.ORACLE, "op4_mix_sources": mixing.ORACLE,
+          "op7_exact_dedup": exact_dedup.ORACLE,
           "op10_license_scan": license_scan.ORACLE, "op11_embedding_copies": embedding_copies.ORACLE,
           "op12_fill_middle": fill_middle.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
