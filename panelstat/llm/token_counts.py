@@ -12,12 +12,14 @@ that crosses a boundary is allocated by an explicit rule:
 * ``split``: to all of them, by shares of its characters.
 
 Sections are the lines of a text, or spans from a column of (name, start, end)
-in characters, end exclusive, which may leave gaps but not overlap; tokens
-without any section are counted for the section null.
+in characters, end exclusive, which may leave gaps; where spans overlap, the
+characters belong to the span that starts first (of equal starts, ends first), and the
+other one starts behind it. Tokens without any section are counted for the section null.
 
 Defined results. Null text: as the empty text. An empty text has one empty
 line; an empty section counts no token. Spans beyond the text are cut;
-null spans: no sections. Repeated rows are counted one by one. Empty table: no
+null spans: no sections; a null start is the text's, a null end the text's, and a
+span that ends before its start is empty. Repeated rows are counted one by one. Empty table: no
 rows. Extra columns are not read.
 """
 
@@ -92,6 +94,22 @@ def attribute(starts: np.ndarray, ends: np.ndarray, lo: np.ndarray, hi: np.ndarr
     return counts, crossing, float(len(starts) - np.count_nonzero(own))
 
 
+def disjoint_spans(given: list, n: int) -> list[tuple[str | None, int, int]]:
+    """(name, start, end) of the given spans in a text of ``n`` characters,
+    ascending and without overlaps."""
+    cut = []
+    for s in given:
+        if s is not None:
+            start = min(max(s["start"] or 0, 0), n)
+            cut.append((s["name"], start, n if s["end"] is None else min(max(s["end"], start), n)))
+    out, reach = [], 0
+    for name, start, end in sorted(cut, key=lambda s: (s[1], s[2])):
+        start = max(start, reach)
+        reach = max(end, start)
+        out.append((name, start, reach))
+    return out
+
+
 def section_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text",
                    spans_col: str | None = None, rule: str = "most") -> DataFrame:
     """One row per section of each row of ``df``: ``id_col``, ``section``,
@@ -119,9 +137,7 @@ def section_tokens(df: DataFrame, vocabulary: str, id_col: str = "doc_id", text_
             for k in range(batch.num_rows):
                 doc_id, text = batch.column(0)[k].as_py(), batch.column(1)[k].as_py() or ""
                 if spans_col:
-                    given = batch.column(2)[k].as_py() or []
-                    spans = sorted(((s["name"], min(s["start"], len(text)), min(s["end"], len(text))) for s in given),
-                                   key=lambda s: (s[1], s[2]))
+                    spans = disjoint_spans(batch.column(2)[k].as_py() or [], len(text))
                 else:
                     spans = line_sections(text)
                 ids = np.frombuffer(bpe.encode(text), dtype=np.uint32)

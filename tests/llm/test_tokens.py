@@ -157,3 +157,22 @@ def test_section_tokens_of_given_spans(spark):
     got = {(r["doc_id"], r["section"]): r["n_tokens"]
            for r in token_counts.section_tokens(df, VOCABULARY, spans_col="fields").collect()}
     assert got == {(1, "title"): 1.0, (1, "body"): 3.0, (2, None): 1.0}
+
+
+def test_odd_spans(spark):
+    text = "title body text here"
+    fields = {1: [("all", None, None)], 2: [("late", 6, None), None, ("early", None, 5)], 3: [("back", 9, 4), ("far", 50, 60)],
+              4: [("b", 5, 15), ("a", 0, 10)], 5: [("in", 0, 5), ("in", 0, 20)], 6: [(None, -3, 5)]}
+    df = spark.createDataFrame([(i, text, f) for i, f in fields.items()],
+                               "doc_id long, text string, fields array<struct<name:string,start:int,end:int>>")
+    got = {}
+    for r in token_counts.section_tokens(df, VOCABULARY, spans_col="fields").orderBy("start", "end").collect():
+        got.setdefault(r["doc_id"], []).append((r["section"], r["start"], r["end"], r["n_tokens"]))
+    assert got[1] == [("all", 0, 20, 4.0)]
+    assert [s for s in got[2] if s[0]] == [("early", 0, 5, 1.0), ("late", 6, 20, 3.0)]
+    assert sorted(got[3], key=str) == sorted([(None, None, None, 4.0), ("back", 9, 9, 0.0), ("far", 20, 20, 0.0)], key=str)
+    assert [s for s in got[4] if s[0]] == [("a", 0, 10, 2.0), ("b", 10, 15, 1.0)]
+    assert got[5] == [("in", 0, 5, 1.0), ("in", 5, 20, 3.0)]
+    assert (None, 0, 5, 1.0) in got[6]
+    for rows in got.values():
+        assert sum(r[3] for r in rows) == 4.0
