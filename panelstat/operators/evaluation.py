@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import DateType, NumericType, StringType, StructField, StructType
 
 from panelstat.functions.scoring import (aligned_score, first_number, meaning_tokens, numeric_score, parse_score, quantity,
                                          text_score, truth_number)
@@ -46,40 +46,95 @@ def build_requests(queries: DataFrame, models: Sequence[str], query: str = "quer
     return out.withColumn("prompt", prompt)
 
 
-def run_batch(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series]) -> DataFrame:
+# Rows of the pieces in which a failed batch is asked again: the first size below the
+# batch's, then each smaller one for the pieces that fail.
+_PIECES = (256, 8, 1)
+
+
+def _ask(answer_fn: Callable[[pd.DataFrame], pd.Series], pdf: pd.DataFrame) -> list:
+    answers = answer_fn(pdf)
+    if len(answers) != len(pdf):
+        raise ValueError(f"{len(answers)} answers to {len(pdf)} requests")
+    if isinstance(answers, pd.Series) and answers.dtype == object:
+        return answers.tolist()  # made text with the batch's others
+    return list(pd.Series(answers).astype("string"))
+
+
+def _ask_in_pieces(answer_fn: Callable[[pd.DataFrame], pd.Series], pdf: pd.DataFrame) -> tuple[list, list]:
+    """Responses and errors of the rows. Only a row that fails by itself has an error;
+    a row is asked once per size of ``_PIECES`` at most, and once with its batch."""
+    try:
+        return _ask(answer_fn, pdf), [None] * len(pdf)
+    except Exception as e:  # noqa: BLE001 - failure becomes data
+        if len(pdf) <= 1:
+            return [None] * len(pdf), [f"{type(e).__name__}: {e}"] * len(pdf)
+    size = next(s for s in _PIECES if s < len(pdf))
+    responses, errors = [], []
+    for k in range(0, len(pdf), size):
+        r, e = _ask_in_pieces(answer_fn, pdf.iloc[k:k + size])
+        responses += r
+        errors += e
+    return responses, errors
+
+
+def _ask_to_stop(answer_fn: Callable[[pd.DataFrame], pd.Series], pdf: pd.DataFrame, position: str,
+                 stop) -> tuple[list[tuple[pd.DataFrame, list, list]], object]:
+    """One model's requests, in order of ``position``, up to its first failure: (rows with
+    responses and errors, the failure's position). Requests behind ``stop`` or a failure
+    found are not asked; a failed piece is halved, its front first, so that all
+    pieces that fail have twice the rows of the batch at most."""
+    done, todo = [], [pdf]
+    while todo:
+        part = todo.pop()
+        if stop is not None:
+            part = part[~(part[position] > stop)]
+        if not len(part):
+            continue
+        try:
+            done.append((part, _ask(answer_fn, part), [None] * len(part)))
+        except Exception as e:  # noqa: BLE001 - failure becomes data
+            if len(part) > 1:
+                half = len(part) // 2
+                todo += [part.iloc[half:], part.iloc[:half]]
+                continue
+            done.append((part, [None], [f"{type(e).__name__}: {e}"]))
+            if pd.notna(at := part[position].iloc[0]):
+                stop = at
+    return done, stop
+
+
+def run_batch(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series], position: str | None = None,
+              model: str = "model") -> DataFrame:
     """Call ``answer_fn`` on Arrow batches of requests (E2). Where a batch
-    fails, its rows are asked one by one, so that only the rows that fail by
-    themselves get a null response and the error text."""
+    fails, its rows are asked in smaller pieces and those of the pieces that fail one by one,
+    so that only the rows that fail by themselves get a null response and the error text.
+
+    With ``position`` a model stops at its first failure: requests of which the task knows that they
+    lie behind a failure of their model are not asked and have no row. Those before any
+    failure are all asked."""
     schema = StructType(list(requests.schema.fields) + [StructField("response", StringType()),
                                                         StructField("error", StringType())])
 
-    def ask(pdf: pd.DataFrame) -> tuple[list, list]:
-        answers = answer_fn(pdf)
-        if len(answers) != len(pdf):
-            raise ValueError(f"{len(answers)} answers to {len(pdf)} requests")
-        return list(pd.Series(answers).astype("string")), [None] * len(pdf)
-
-    def one_by_one(pdf: pd.DataFrame) -> tuple[list, list]:
-        responses, errors = [], []
-        for k in range(len(pdf)):
-            try:
-                (answer,), _ = ask(pdf.iloc[k:k + 1])
-                responses.append(answer)
-                errors.append(None)
-            except Exception as e:  # noqa: BLE001 - failure becomes data
-                responses.append(None)
-                errors.append(f"{type(e).__name__}: {e}")
-        return responses, errors
+    def answered(pdf: pd.DataFrame, responses: list, errors: list) -> pd.DataFrame:
+        return pdf.assign(response=pd.Series(responses, dtype="string", index=pdf.index),
+                          error=pd.Series(errors, dtype="string", index=pdf.index))
 
     def call(batches):
         for pdf in batches:
-            try:
-                responses, errors = ask(pdf)
-            except Exception:  # noqa: BLE001 - the rows that fail say why
-                responses, errors = one_by_one(pdf)
-            yield pdf.assign(response=pd.Series(responses, dtype="string", index=pdf.index),
-                             error=pd.Series(errors, dtype="string", index=pdf.index))
-    return requests.mapInPandas(call, schema)
+            yield answered(pdf, *_ask_in_pieces(answer_fn, pdf))
+
+    def call_to_stop(batches):
+        stops = {}
+        for pdf in batches:
+            for name, rows in pdf.groupby(model, dropna=False, sort=False):
+                name = None if pd.isna(name) else name
+                done, stops[name] = _ask_to_stop(answer_fn, rows.sort_values(position), position, stops.get(name))
+                if done:
+                    yield pd.concat([answered(*d) for d in done])
+
+    # only types that pandas orders as Spark does
+    ordered = position is not None and isinstance(requests.schema[position].dataType, (NumericType, DateType))
+    return requests.mapInPandas(call_to_stop if ordered else call, schema)
 
 
 def until_failure(answered: DataFrame, position: str, model: str = "model", error: str = "error") -> DataFrame:
@@ -98,8 +153,9 @@ def until_failure(answered: DataFrame, position: str, model: str = "model", erro
 
 def run_until_failure(requests: DataFrame, answer_fn: Callable[[pd.DataFrame], pd.Series], position: str,
                       model: str = "model") -> DataFrame:
-    """``run_batch``, cut at each model's first failure."""
-    return until_failure(run_batch(requests, answer_fn), position, model).drop("error")
+    """``run_batch``, cut at each model's first failure; a task that has met a failure asks
+    that model nothing behind it."""
+    return until_failure(run_batch(requests, answer_fn, position, model), position, model).drop("error")
 
 
 def score_responses(df: DataFrame, response: str = "response", truth: str = "ground_truth") -> DataFrame:

@@ -109,12 +109,17 @@ def q_build_requests(spark, sf_dir):
     return ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
 
 
+def _lengths(prompts: pd.Series) -> pd.Series:
+    """In plain Python, as a batch may be a single request."""
+    return pd.Series([f"len:{len(p)}" if isinstance(p, str) else None for p in prompts], dtype=object)
+
+
 def _length_answer(pdf: pd.DataFrame) -> pd.Series:
     """Deterministic stand-in model: reports the prompt length, and fails on
     every request about a document whose number ends in 7."""
-    if (pdf["doc_id"] % 10 == 7).any():
+    if (pdf["doc_id"].to_numpy() % 10 == 7).any():
         raise ValueError("no answer")
-    return "len:" + pdf["prompt"].str.len().astype(str)
+    return _lengths(pdf["prompt"])
 
 
 @register("run_batch", f"""
@@ -133,10 +138,11 @@ _STOP_SQL = " OR ".join(f"(m.model = '{m}' AND e.doc_id >= {a} AND e.doc_id % {b
 
 
 def _failing_answer(pdf: pd.DataFrame) -> pd.Series:
+    model, doc = pdf["model"].to_numpy(), pdf["doc_id"].to_numpy()
     for m, (start, step) in _STOPS.items():
-        if ((pdf["model"] == m) & (pdf["doc_id"] >= start) & (pdf["doc_id"] % step == 3)).any():
+        if ((model == m) & (doc >= start) & (doc % step == 3)).any():
             raise ValueError("model is gone")
-    return "len:" + pdf["prompt"].str.len().astype(str)
+    return _lengths(pdf["prompt"])
 
 
 @register("run_until_failure", f"""

@@ -76,3 +76,33 @@ def test_published_score_means(spark):
     assert {m: round(lb[m]["mean_score"], 4) for m in lb} == {"gemini": 0.6203, "qwen": 0.6044, "gpt": 0.6368,
                                                               "llamma": 0.6123}
     assert lb["qwen"]["items"] == 93
+
+
+def _counted(spark, answer):
+    """``answer`` with the number of its calls and of the rows asked."""
+    calls, rows = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(pdf):
+        calls.add(1)
+        rows.add(len(pdf))
+        return answer(pdf)
+    return counted, calls, rows
+
+
+@pytest.mark.parametrize("kind", ["long", "string", "decimal(9,2)"])
+def test_a_stopped_model_is_not_asked_on(spark, kind):
+    """Models of 3000 requests in any order, one failing at every seventh, one never; a
+    position may be null. Where positions are numbers, a model is asked little behind its stop."""
+    def answer(pdf):
+        if ((pdf["model"] == "bad") & (pdf["id"] >= 100) & (pdf["id"] % 7 == 0)).any():
+            raise RuntimeError("gone")
+        return "a" + pdf["id"].astype(str)
+    counted, _, asked = _counted(spark, answer)
+    pos = F.when(F.col("id") % 1000 != 999, F.lpad(F.col("id").cast("string"), 6, "0").cast(kind))
+    reqs = (spark.range(3000).withColumn("model", F.explode(F.array(F.lit("bad"), F.lit("good")))).withColumn("at", pos)
+            .repartition(1).sortWithinPartitions(F.xxhash64("id", "model")))
+    got = sorted((r["model"], r["id"], r["response"]) for r in ev.run_until_failure(reqs, counted, "at").collect())
+    want = [("bad", i, f"a{i}") for i in range(105)] + [("good", i, f"a{i}") for i in range(3000)]
+    assert got == want
+    if kind != "string":
+        assert asked.value < 3 * 6000
