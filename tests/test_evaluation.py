@@ -89,6 +89,18 @@ def _counted(spark, answer):
     return counted, calls, rows
 
 
+def test_few_bad_requests_cost_few_calls(spark):
+    """A batch of 6000 requests with 60 bad ones is not asked request by request."""
+    def answer(pdf):
+        if (pdf["id"] % 100 == 7).any():
+            raise RuntimeError("no")
+        return "a" + pdf["id"].astype(str)
+    counted, calls, asked = _counted(spark, answer)
+    got = {r["id"]: (r["response"], r["error"]) for r in ev.run_batch(spark.range(6000).coalesce(1), counted).collect()}
+    assert got == {i: (None, "RuntimeError: no") if i % 100 == 7 else (f"a{i}", None) for i in range(6000)}
+    assert calls.value < 2000 and asked.value < 4 * 6000
+
+
 @pytest.mark.parametrize("kind", ["long", "string", "decimal(9,2)"])
 def test_a_stopped_model_is_not_asked_on(spark, kind):
     """Models of 3000 requests in any order, one failing at every seventh, one never; a
