@@ -39,20 +39,26 @@ def metric_preaggregate(df: DataFrame, keys, categorical: dict[str, str], numeri
     ``(keys, metric, category, num)``. Every metric family below derives from
     this one partially-aggregated table, so the source is scanned (and joined)
     once and all consumers share the same exchange."""
-    entries = ([F.struct(F.lit(m).alias("metric"), F.col(c).cast("string").alias("category"),
-                         F.lit(None).cast("double").alias("num")) for m, c in categorical.items()]
-               + [F.struct(F.lit(m).alias("metric"), F.lit(None).cast("string").alias("category"),
-                           F.col(c).cast("double").alias("num")) for m, c in numeric.items()])
+    names = [*categorical, *numeric, ALL_ROWS]  # grouped by number, named at the end
+
+    def entry(metric: str, category=None, num=None):
+        return F.struct(F.lit(names.index(metric)).alias("_m"), F.lit(category).cast("string").alias("category"),
+                        F.lit(num).cast("double").alias("num"))
+    entries = [*[entry(m, category=F.col(c)) for m, c in categorical.items()],
+               *[entry(m, num=F.col(c)) for m, c in numeric.items()], entry(ALL_ROWS)]
+    # The weight is made exact once per row, below the entries: per entry, this took most of the time.
+    w = F.col(weight).cast("double")
+    rows = df.select(*keys, w.alias("_x"), w.cast(est.WEIGHT_TYPE).alias("_w"),
+                     *{c: F.col(c) for c in [*categorical.values(), *numeric.values()]}.values())
+    ex = rows.select(*keys, "_x", "_w", F.inline(F.array(*entries)))
     # null values count in no metric but the bands, whose denominator is every row; every row counts in ALL_ROWS
-    told = F.filter(F.array(*entries), lambda e: e["category"].isNotNull() | e["num"].isNotNull()
-                    | e["metric"].isin(*BANDED))
-    every = F.array(F.struct(F.lit(ALL_ROWS).alias("metric"), F.lit(None).cast("string").alias("category"),
-                             F.lit(None).cast("double").alias("num")))
-    ex = df.select(*keys, F.col(weight).cast("double").alias("_w"), F.explode(F.concat(told, every)).alias("_e"))
-    pre = (ex.groupBy(*keys, F.col("_e.metric").alias("metric"), F.col("_e.category").alias("category"),
-                      F.col("_e.num").alias("num"))
-           .agg(F.sum(F.col("_w").cast(est.WEIGHT_TYPE)).alias("w"), F.sum("_w").alias("x"),
+    always = [k for k, m in enumerate(names) if m in BANDED or m == ALL_ROWS]
+    told = ex.where(F.col("category").isNotNull() | F.col("num").isNotNull() | F.col("_m").isin(*always))
+    pre = (told.groupBy(*keys, "_m", "category", "num")
+           .agg(F.sum("_w").alias("w"), F.sum("_x").alias("x"),
                 F.count(F.lit(1)).alias("n")))  # w: exact, for ranks and medians; x: for ratios
+    pre = pre.select(*keys, F.element_at(F.array(*map(F.lit, names)), F.col("_m") + 1).alias("metric"),
+                     "category", "num", "w", "x", "n")
     # Consumers filter by metric and Catalyst would push those filters below
     # the aggregate, giving each consumer its own scan. Writing this narrow,
     # pre-aggregated table to the shared checkpoint folder keeps it to one

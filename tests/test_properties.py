@@ -105,3 +105,28 @@ def test_exact_quantiles_match_numpy(spark, rows):
     assert set(got) == set(want)
     for g in want:
         assert all(abs(a - b) < 1e-9 for a, b in zip(got[g], want[g]))
+
+
+def test_profile_entries_cost_no_cast_and_no_lambda(spark, monkeypatch):
+    """The weight is made exact once per row, below the entries of the metrics, and these are
+    chosen by a compiled condition; sums are exact and null values count where they should."""
+    from decimal import Decimal
+
+    from pyspark.sql import functions as F
+
+    from panelstat.plans import profile
+
+    monkeypatch.setattr(profile, "materialize", lambda df, name: df)
+    df = spark.createDataFrame([("a", "x", 1.0, None, 0.1), ("a", None, 1.0, 30.0, 0.2), ("a", "x", None, 30.0, None)],
+                               "k string, c string, v double, age double, weight double")
+    pre = profile.metric_preaggregate(df, ["k"], {"cat": "c"}, {"num": "v", "age": "age"})
+    got = {tuple(r)[:4]: (r["w"], r["x"], r["n"]) for r in pre.collect()}
+    assert got == {("a", "cat", "x", None): (Decimal("0.1"), 0.1, 2), ("a", "num", None, 1.0): (Decimal("0.3"), 0.1 + 0.2, 2),
+                   ("a", "age", None, None): (Decimal("0.1"), 0.1, 1), ("a", "age", None, 30.0): (Decimal("0.2"), 0.2, 2),
+                   ("a", profile.ALL_ROWS, None, None): (Decimal("0.3"), 0.1 + 0.2, 3)}
+    rows = spark.range(10).select(F.col("id").alias("k"), F.col("id").cast("string").alias("c"), F.rand(1).alias("v"),
+                                  F.rand(2).alias("age"), F.rand(3).alias("weight"))
+    plan = profile.metric_preaggregate(rows, ["k"], {"cat": "c"}, {"num": "v", "age": "age"})._jdf.queryExecution().optimizedPlan()
+    above, _, below = plan.toString().partition("Generate")
+    assert "lambda" not in plan.toString()
+    assert "decimal(26,12))" not in above and "decimal(26,12))" in below
