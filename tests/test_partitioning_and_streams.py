@@ -142,3 +142,20 @@ assert set(e.oracle_sql()) <= set(e.queries())
 """
     here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], cwd=here, check=True)
+
+
+def test_page_files_lie_in_one_folder(spark):
+    """A file per page without a folder per page."""
+    import glob
+
+    from panelstat.plans.catalog_sources import q_read_documents
+    from panelstat.session import checkpoint_dir
+    from tests.conftest import SMOKE
+
+    pages = spark.read.parquet(f"{SMOKE}/pages.parquet").count()
+    folders = checkpoint_dir(spark).removeprefix("file:") + "/tables/page-files-*"
+    before = set(glob.glob(folders))
+    assert q_read_documents(spark, SMOKE).agg(F.sum("files")).first()[0] == pages
+    (folder,) = set(glob.glob(folders)) - before
+    assert not [p for p in os.listdir(folder) if os.path.isdir(f"{folder}/{p}")]
+    assert len(glob.glob(f"{folder}/part-*.txt")) == pages
