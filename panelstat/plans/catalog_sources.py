@@ -214,9 +214,9 @@ def q_valid_files(spark, sf_dir):
     page = F.col("page_id")
     body = F.concat(F.when(page % 4 == 1, F.lit("<html>")).otherwise(F.lit("%PDF-1.4\n")), F.coalesce("html", F.lit("")))
     name = F.concat(F.lit("page-"), page.cast("string"))
-    table(spark, sf_dir, "pages").select(body.alias("value"), name.alias("name")).write.partitionBy("name").text(path)
-    found = readers.valid_files(spark, f"{path}/*", "*.txt")
-    return found.select(F.regexp_extract("path", r"name=([^/]+)/", 1).alias("name"), "ok")
+    sinks.write_files(spread(table(spark, sf_dir, "pages").select(name.alias("name"), body.alias("value"))), path)
+    found = readers.valid_files(spark, path, "*.txt")
+    return found.select(F.regexp_substr(F.substring_index("path", "/", -1), F.lit(r"^page--?\d+")).alias("name"), "ok")
 
 
 @register("write_profile", with_views(f"""

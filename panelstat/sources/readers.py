@@ -187,17 +187,16 @@ def valid_files(spark: SparkSession, directory: str, glob: str = "*.pdf", magic:
     """Files whose content begins with the (ASCII) signature (S11): path, ok.
     Empty files have no row, as Spark does not list them.
 
-    The names come from a listing; the first bytes from the first line of each
-    file's first split, as text, so that no file is held whole."""
-    files = (spark.read.format("binaryFile").option("pathGlobFilter", glob).load(directory)
-             .select(F.col("path")))
+    The first bytes come from the first line of each file's first split, as text, so that no
+    file is held whole and the folder is listed once."""
     lines = (spark.read.option("pathGlobFilter", glob).text(directory)
-             .select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_start"),
+             .select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"),
                      F.substring("value", 1, len(magic)).alias("_head"), F.monotonically_increasing_id().alias("_at"))
              .where("_start = 0"))
-    heads = lines.groupBy("path").agg(F.min_by("_head", "_at").alias("_head"))
-    ok = F.coalesce(F.col("_head") == magic.decode("ascii"), F.lit(False))
-    return files.join(heads, "path", "left").select("path", ok.alias("ok"))
+    heads = lines.groupBy("_file").agg(F.min_by("_head", "_at").alias("_head"))
+    # the metadata column encodes blanks and the like, the path itself does not
+    path = F.url_decode(F.replace(F.col("_file"), F.lit("+"), F.lit("%2B")))
+    return heads.select(path.alias("path"), (F.col("_head") == magic.decode("ascii")).alias("ok"))
 
 
 def file_order(df: DataFrame, col: str = "file") -> DataFrame:

@@ -3,6 +3,8 @@ the driver."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +93,53 @@ def write_profile(long: DataFrame, path: str, outer: str = "state", **kw) -> Non
     docs.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
+def _files_of_rows(folder: str):
+    """Task of ``write_files``: rows (name, text) in order become files, a count comes out."""
+
+    def write(batches):
+        import uuid
+        from urllib.parse import quote
+
+        import pyarrow as pa
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        store, top = fs.FileSystem.from_uri(folder)
+        part, hidden = TaskContext.get().partitionId(), f"{top}/_{uuid.uuid4().hex}"
+        files, last, k = 0, None, 0
+        for batch in batches:
+            for name, text in zip(batch.column(0), batch.column(1)):
+                name = name.as_py()
+                last, k = name, (k + 1 if name == last else 0)
+                with store.open_output_stream(hidden) as out:
+                    out.write(text.as_buffer() or b"")
+                    out.write(b"\n")
+                shown = re.sub("^[._]", lambda m: f"%{ord(m[0]):02X}", quote(name, safe=""))  # readers skip others
+                store.move(hidden, f"{top}/{shown}-{part}-{k}.txt")
+                files += 1
+        yield pa.RecordBatch.from_arrays([pa.array([files], pa.int64())], names=["files"])
+
+    return write
+
+
+def write_files(df: DataFrame, path: str, name: str = "name", text: str = "value") -> int:
+    """A UTF-8 text file per row, all in the new folder ``path``: ``<name>-<task>-<number>.txt``, the name
+    percent-encoded, the text (null: empty) and a line break. Returns the number of files.
+
+    Spark's writers name no files, and a folder per name costs the writer, the commit and every
+    listing more than the file. Tasks write the files themselves, in a store that pyarrow knows
+    (local, HDFS, S3, GCS, Azure). Rows are in order in each task and files are moved
+    to their names when whole, so that a second attempt leaves the same files."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(folder)
+    uri = re.sub(r"^file:/+", "/", store.makeQualified(folder).toString())
+    rows = df.select(F.coalesce(F.col(name), F.lit("")).alias("name"), F.col(text).alias("text"))
+    written = rows.sortWithinPartitions("name", "text").mapInArrow(_files_of_rows(uri), "files long")
+    return written.agg(F.sum("files")).first()[0] or 0
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """Header CSV, no index."""
     df.write.mode("overwrite").option("header", True).csv(path)

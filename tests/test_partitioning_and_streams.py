@@ -159,3 +159,46 @@ def test_page_files_lie_in_one_folder(spark):
     (folder,) = set(glob.glob(folders)) - before
     assert not [p for p in os.listdir(folder) if os.path.isdir(f"{folder}/{p}")]
     assert len(glob.glob(f"{folder}/part-*.txt")) == pages
+
+
+def test_files_of_rows_keep_names_and_texts(spark, tmp_path):
+    """Names that repeat, are hidden from readers, hold slashes or are null; texts that are null or have no line."""
+    from panelstat.sources import sinks
+
+    path = str(tmp_path / "files")
+    given = [("a", "x"), ("a", "x"), ("a", "é\ny"), ("_b/c d", "z"), (".e", ""), (None, "n"), ("f", None)]
+    df = spark.createDataFrame(given, "name string, value string").coalesce(2)
+    assert sinks.write_files(df, path) == len(given)
+    docs = readers.read_documents(spark, path).collect()
+    assert sorted(d["text"] for d in docs) == sorted((text or "") + "\n" for _, text in given)
+    assert sorted(f.rsplit("-", 2)[0] for f in os.listdir(path)) == ["", "%2Ee", "%5Fb%2Fc%20d", "a", "a", "a", "f"]
+    assert sinks.write_files(df.limit(0), str(tmp_path / "none")) == 0
+    # a second attempt leaves the same files
+    before = {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path)}
+    assert sinks.write_files(df, path) == len(given)
+    assert {f: open(f"{path}/{f}", "rb").read() for f in os.listdir(path)} == before
+
+
+def test_signatures_of_names_with_blanks(spark, tmp_path):
+    for name in ("a b.pdf", "c+d.pdf", "e%20f.pdf", "é#?.pdf"):
+        (tmp_path / name).write_bytes(b"%PDF-1.7\n")
+    got = {r["path"].rpartition("/")[2]: r["ok"] for r in readers.valid_files(spark, str(tmp_path)).collect()}
+    assert got == {"a b.pdf": True, "c+d.pdf": True, "e%20f.pdf": True, "é#?.pdf": True}
+
+
+def test_valid_files_needs_no_folder_per_page(spark, tmp_path):
+    """A file per row of the table in one folder, listed once; a page that stands twice has two files."""
+    import glob
+
+    from panelstat.plans.catalog_sources import q_valid_files
+    from panelstat.session import checkpoint_dir
+
+    pages = [(0, "a"), (1, "b"), (1, "b"), (2, None), (-3, "c"), (10, "%PDF")]
+    spark.createDataFrame(pages, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "pages.parquet"))
+    folders = checkpoint_dir(spark).removeprefix("file:") + "/tables/signed-files-*"
+    before = set(glob.glob(folders))
+    got = q_valid_files(spark, str(tmp_path))
+    assert sorted((r["name"], r["ok"]) for r in got.collect()) == sorted((f"page-{k}", k % 4 != 1 or k < 0) for k, _ in pages)
+    (folder,) = set(glob.glob(folders)) - before
+    assert all(os.path.isfile(f"{folder}/{p}") for p in os.listdir(folder))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
