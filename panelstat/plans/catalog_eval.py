@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelstat.operators import evaluation as ev
 from panelstat.functions.scoring import first_number, numeric_score, parse_score, text_score, truth_number
 from panelstat.plans.registry import r6, register, sql_r6
-from panelstat.plans.views import table
+from panelstat.plans.views import dealt, table
 
 MODELS = ["gpt-4o", "gemini-1.5", "qwen-2", "llama-3", "other-7b"]
 
@@ -109,6 +109,12 @@ def q_build_requests(spark, sf_dir):
     return ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
 
 
+def _requests(spark, sf_dir):
+    """Requests of all items; the items are dealt out first, as a request that fails is asked several times."""
+    items = dealt(eval_items(spark, sf_dir).select("doc_id", "query"))
+    return ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
+
+
 def _lengths(prompts: pd.Series) -> pd.Series:
     """In plain Python, as a batch may be a single request."""
     return pd.Series([f"len:{len(p)}" if isinstance(p, str) else None for p in prompts], dtype=object)
@@ -127,9 +133,7 @@ SELECT e.doc_id, m.model, CASE WHEN e.doc_id % 10 <> 7 THEN 'len:' || CAST(lengt
   CASE WHEN e.doc_id % 10 = 7 THEN 'ValueError: no answer' END AS error
 FROM ({EVAL_SQL}) e, {MODELS_SQL}""")
 def q_run_batch(spark, sf_dir):
-    items = eval_items(spark, sf_dir).select("doc_id", "query")
-    reqs = ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
-    return ev.run_batch(reqs, _length_answer).select("doc_id", "model", "response", "error")
+    return ev.run_batch(_requests(spark, sf_dir), _length_answer).select("doc_id", "model", "response", "error")
 
 
 # From which document on each model fails, and at which documents from there on.
@@ -152,9 +156,7 @@ SELECT doc_id, model, response FROM (
   FROM ({EVAL_SQL}) e, {MODELS_SQL}) t WHERE stop IS NULL OR doc_id < stop""")
 def q_run_until_failure(spark, sf_dir):
     """Each model's answers up to its first failure."""
-    items = eval_items(spark, sf_dir).select("doc_id", "query")
-    reqs = ev.build_requests(items, MODELS).select("doc_id", "model", "prompt")
-    return ev.run_until_failure(reqs, _failing_answer, "doc_id").select("doc_id", "model", "response")
+    return ev.run_until_failure(_requests(spark, sf_dir), _failing_answer, "doc_id").select("doc_id", "model", "response")
 
 
 @register("parse_score", sql_r6(f"""

@@ -40,6 +40,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores, however many splits there are: those of a large file of
+    one row group are many, and one of them has all rows. For work on each row
+    that costs more than shuffling it."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A source table, opened once per session (file listing and footer
     schema are read once; every query still scans the files)."""

@@ -202,3 +202,23 @@ def test_valid_files_needs_no_folder_per_page(spark, tmp_path):
     (folder,) = set(glob.glob(folders)) - before
     assert all(os.path.isfile(f"{folder}/{p}") for p in os.listdir(folder))
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_requests_of_one_row_group_go_to_all_cores(spark, tmp_path):
+    """A file of many splits whose rows are all in one of them."""
+    from panelstat.plans.catalog_eval import q_run_batch, q_run_until_failure
+
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("s").alias("source"), F.col("id").alias("n_chars"))
+    docs.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "1k")
+    try:
+        for query, least in ((q_run_batch, 10_000), (q_run_until_failure, 4000)):
+            tasks = query(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+            assert sum(r["count"] for r in tasks) >= least
+            if query is q_run_batch:
+                assert len(tasks) >= spark.sparkContext.defaultParallelism
+                assert max(r["count"] for r in tasks) <= 5000
+    finally:
+        spark.conf.set(key, before)
