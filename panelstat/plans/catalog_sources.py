@@ -180,27 +180,12 @@ def q_codebook_json(spark, sf_dir):
     return readers.read_codebook_json(spark, path)
 
 
-_FILES_PER_TASK = 100_000  # the writer numbers a task's files up to a million
-
-
-def _file_per_row(lines, path):
-    """A text file per row, all in one folder: a folder per file costs the writer, the
-    commit and every listing more than the file. The writer ends each value with a line break.
-    Tasks commit their own files; the driver would move them one by one."""
-    tasks = lines.count() // _FILES_PER_TASK + 1
-    lines = spread(lines)
-    if lines.rdd.getNumPartitions() < tasks:
-        lines = lines.repartition(tasks)
-    (lines.write.option("maxRecordsPerFile", 1).option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-     .text(path))
-
-
 @register("read_documents", """
 SELECT md5(html || chr(10)) AS digest, length(html) + 1 AS n, count(*) AS files FROM pages GROUP BY 1, 2""")
 def q_read_documents(spark, sf_dir):
     """One text file per page, read whole, in the order of the names."""
     path = shared_path(spark, "page-files")
-    _file_per_row(table(spark, sf_dir, "pages").select(F.col("html").alias("value")), path)
+    sinks.write_files(spread(table(spark, sf_dir, "pages").select(F.lit("part").alias("name"), F.col("html").alias("value"))), path)
     docs = readers.file_order(readers.read_documents(spark, path), "file")
     return docs.groupBy(F.md5(F.col("text").cast("binary")).alias("digest"), F.length("text").cast("long").alias("n")).agg(
         F.count(F.lit(1)).alias("files"))
